@@ -424,3 +424,295 @@ register(
 ) t(ordinal, artifact, rows, columns, one_row_per_patient), (SELECT coalesce(bool_and(visit_date <= reference_date), true) AS pre_reference_only FROM frec)"""
     ),
 )(lambda s, sf: stage5(s, sf)["generation_log"])
+
+# ---------------------------------------------------------------- stage 01 (audit)
+
+from ..operators import audit as AU  # noqa: E402
+from ..operators import explore as EX  # noqa: E402
+
+VISIT_TYPES = [
+    ("hn", "bigint"), ("vstdate", "timestamp_ntz"), ("PrincipleDiagnosis", "string"), ("ComorbidityDiagnosis", "string"),
+    ("sex", "bigint"), ("age", "bigint"), ("smoke", "int"), ("drinking", "bigint"), ("AF", "bigint"),
+    ("bps", "double"), ("bpd", "double"), ("bmi", "double"), ("HDL", "double"), ("LDL", "double"),
+    ("Triglyceride", "double"), ("FBS", "double"), ("Cholesterol", "double"), ("eGFR", "double"), ("Creatinine", "double"),
+    ("heart_disease", "int"), ("hypertension", "int"), ("diabetes", "int"), ("Statin", "int"), ("Gemfibrozil", "int"),
+    ("Antihypertensive_flag", "int"), ("subdistrict", "string"), ("medication", "string"),
+    ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+]
+_RAW_ORDER = f"hn, vstdate, {O.KEYS}"
+
+
+def _vstr(c: str, t: str) -> str:
+    if t == "timestamp_ntz":
+        return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+    return f"CAST({c} AS VARCHAR)"
+
+
+def audit_stage(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    from ..sources.visits import FIXTURE_RAW
+
+    return AU.run_raw_data_audit(fixture_visits(spark, sf), FIXTURE_RAW)
+
+
+def _schema_summary_sql() -> str:
+    parts = []
+    for i, (c, t) in enumerate(VISIT_TYPES, start=1):
+        ex = (
+            f"(SELECT coalesce(string_agg(v, '; ' ORDER BY rn), '') FROM (SELECT {_vstr(c, t)} AS v, row_number() OVER (ORDER BY {_RAW_ORDER}) AS rn "
+            f"FROM visits WHERE {c} IS NOT NULL ORDER BY {_RAW_ORDER} LIMIT 5))"
+        )
+        parts.append(
+            f"SELECT {i} AS ordinal, '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS non_null_count, count(*) - count({c}) AS missing_count, "
+            f"{O.r6(f'(count(*) - count({c})) / count(*)')} AS missing_percent, count(DISTINCT {_vstr(c, t)}) AS unique_count, {ex} AS example_values FROM visits"
+        )
+    return O.with_base(" UNION ALL ".join(parts))
+
+
+register("aud2_schema_summary", _schema_summary_sql())(lambda s, sf: round_doubles(audit_stage(s, sf)["raw_schema_summary"]))
+
+register(
+    "aud6_visit_coverage",
+    O.with_base("SELECT hn, count(*) AS record_count, min(vstdate) AS first_visit_date, max(vstdate) AS last_visit_date, "
+                "date_diff('day', min(vstdate), max(vstdate)) AS followup_days FROM visits WHERE hn IS NOT NULL AND vstdate IS NOT NULL GROUP BY hn"),
+)(lambda s, sf: audit_stage(s, sf)["visit_coverage"])
+
+_COV = "(SELECT hn, count(*) AS r, date_diff('day', min(vstdate), max(vstdate)) AS f FROM visits GROUP BY hn)"
+register(
+    "aud7_coverage_overview",
+    O.with_base(
+        f"""SELECT ordinal, metric, {O.r6('CAST(value AS DOUBLE)')} AS value, detail FROM (
+  SELECT 1 AS ordinal, 'patients_with_visit_coverage' AS metric, count(*) AS value, '' AS detail FROM {_COV}
+  UNION ALL SELECT 2, 'records_per_patient_min', min(r), '' FROM {_COV}
+  UNION ALL SELECT 3, 'records_per_patient_median', quantile_cont(r, 0.5), '' FROM {_COV}
+  UNION ALL SELECT 4, 'records_per_patient_mean', avg(r), '' FROM {_COV}
+  UNION ALL SELECT 5, 'records_per_patient_max', max(r), '' FROM {_COV}
+  UNION ALL SELECT 6, 'followup_days_min', min(f), '' FROM {_COV}
+  UNION ALL SELECT 7, 'followup_days_median', quantile_cont(f, 0.5), '' FROM {_COV}
+  UNION ALL SELECT 8, 'followup_days_mean', avg(f), '' FROM {_COV}
+  UNION ALL SELECT 9, 'followup_days_max', max(f), '' FROM {_COV}
+  UNION ALL SELECT 10, 'patients_with_followup_at_least_21_months', count(*) FILTER (WHERE f >= 21 * 30.4375), 'rough screen for paper FIRST window reach' FROM {_COV}
+  UNION ALL SELECT 11, 'patients_with_at_least_3_records', count(*) FILTER (WHERE r >= 3), 'rough screen for multi-window longitudinal data' FROM {_COV})"""
+    ),
+)(lambda s, sf: round_doubles(audit_stage(s, sf)["visit_coverage_overview"]))
+
+
+def _raw_range_sql() -> str:
+    from ..config import RAW_RANGE_CHECKS
+
+    present = dict(VISIT_TYPES)
+    parts = []
+    for c, (lo, hi) in RAW_RANGE_CHECKS.items():
+        if c not in present:
+            continue
+        parts.append(
+            f"SELECT '{c}' AS \"column\", count({c}) AS non_null_count, {O.r6(f'min({c})')} AS min, {O.r6(f'max({c})')} AS max, "
+            f"count(*) FILTER (WHERE {c} < {lo}) AS below_expected_count, count(*) FILTER (WHERE {c} > {hi}) AS above_expected_count, "
+            f"CAST({lo} AS DOUBLE) AS expected_min, CAST({hi} AS DOUBLE) AS expected_max FROM visits"
+        )
+    return O.with_base(" UNION ALL ".join(parts))
+
+
+register("aud8_range_summary", _raw_range_sql())(lambda s, sf: round_doubles(audit_stage(s, sf)["raw_range_summary"]))
+
+
+def _code_avail_sql() -> str:
+    parts = []
+    for role, c in (("principal", "PrincipleDiagnosis"), ("comorbidity", "ComorbidityDiagnosis")):
+        hit = f"coalesce(regexp_matches({c}, {O.IDX}), false)"
+        ex = (
+            f"(SELECT coalesce(string_agg(v, '; ' ORDER BY rn), '') FROM (SELECT {c} AS v, row_number() OVER (ORDER BY {_RAW_ORDER}) AS rn "
+            f"FROM visits WHERE {hit} ORDER BY {_RAW_ORDER} LIMIT 10))"
+        )
+        parts.append(
+            f"SELECT '{role}' AS diagnosis_role, '{c}' AS \"column\", 'available' AS status, count({c}) AS non_null_count, "
+            f"count(*) FILTER (WHERE {hit}) AS stroke_code_record_count, {ex} AS example_stroke_codes FROM visits"
+        )
+    return O.with_base(" UNION ALL ".join(parts))
+
+
+register("aud10_code_availability", _code_avail_sql())(lambda s, sf: audit_stage(s, sf)["icd10_availability_report"])
+
+_HITS = f"(SELECT count(*) FILTER (WHERE coalesce(regexp_matches(PrincipleDiagnosis, {O.IDX}), false)) + count(*) FILTER (WHERE coalesce(regexp_matches(ComorbidityDiagnosis, {O.IDX}), false)) FROM visits)"
+register(
+    "aud11_audit_acceptance",
+    O.with_base(
+        f"""SELECT * FROM (VALUES
+  (1, 'raw_file_read_only_policy', true, 'Stage 01 reads raw data and writes audit artifacts only.'),
+  (2, 'patient_identifier_found', true, 'hn'),
+  (3, 'visit_date_found', true, 'vstdate'),
+  (4, 'diagnosis_column_found', true, 'ComorbidityDiagnosis, PrincipleDiagnosis'),
+  (5, 'icd10_i60_i68_checked', true, 'stroke_code_record_hits=' || CAST({_HITS} AS VARCHAR)),
+  (6, 'expected_field_missingness_reported', true, 'missing_expected_fields=body_weight,height,tc_hdl_ratio'),
+  (7, 'visit_coverage_reported', (SELECT count(DISTINCT hn) FROM visits) > 0, 'patients_with_visit_coverage=' || CAST((SELECT count(DISTINCT hn) FROM visits) AS VARCHAR))
+) t(check_order, "check", passed, detail)"""
+    ),
+)(lambda s, sf: audit_stage(s, sf)["raw_acceptance_checks"])
+
+register(
+    "aud12_audit_summary",
+    O.with_base(f"SELECT count(*) AS raw_rows, count(DISTINCT hn) AS patients, CAST({_HITS} AS BIGINT) AS stroke_code_record_hits, 31 AS raw_columns FROM visits"),
+)(lambda s, sf: audit_stage(s, sf)["raw_data_report"])
+
+# ---------------------------------------------------------------- stage 04 (EDA)
+
+
+def eda_stage(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    st2 = stage2(spark, sf)
+    cleaned = CL.run_data_cleaning(st2["pre_reference_records_with_windows"], FIXTURE_CLEAN)["cleaned_pre_reference_records"]
+    return EX.run_eda(cleaned, st2["patient_level_cohort"], st2["temporal_completeness_flags"], st2["cohort_attrition_report"], FIXTURE_CLEAN)
+
+
+register(
+    "eda1_class_imbalance",
+    O.with_base("SELECT stroke, CASE stroke WHEN 0 THEN 'non_stroke' WHEN 1 THEN 'stroke' ELSE 'missing' END AS label, count(*) AS patient_count, "
+                f"{O.r6('count(*) / (SELECT count(*) FROM cohort)')} AS percent FROM cohort GROUP BY stroke"),
+)(lambda s, sf: round_doubles(eda_stage(s, sf)["class_imbalance"]))
+
+register(
+    "eda2_visit_frequency",
+    O.with_base("SELECT patient_id, count(*) AS visit_count, min(visit_date) AS first_visit_date, max(visit_date) AS last_visit_date, "
+                "date_diff('day', min(visit_date), max(visit_date)) AS followup_days FROM cleaned GROUP BY patient_id"),
+)(lambda s, sf: eda_stage(s, sf)["visit_frequency"])
+
+register(
+    "eda3_visit_distribution",
+    O.with_base(
+        f"SELECT count(*) AS patients, {O.r6('avg(n)')} AS mean_visits, {O.r6('quantile_cont(n, 0.5)')} AS median_visits, min(n) AS min_visits, max(n) AS max_visits, "
+        f"{O.r6('quantile_cont(n, 0.25)')} AS p25_visits, {O.r6('quantile_cont(n, 0.75)')} AS p75_visits FROM (SELECT patient_id, count(*) AS n FROM cleaned GROUP BY patient_id)"
+    ),
+)(lambda s, sf: round_doubles(eda_stage(s, sf)["visit_frequency_distribution"]))
+
+register(
+    "eda4_window_visit_counts",
+    O.with_base('SELECT "window", patient_id, count(*) AS visit_count FROM cleaned WHERE "window" IS NOT NULL GROUP BY "window", patient_id'),
+)(lambda s, sf: eda_stage(s, sf)["window_visit_counts"])
+
+register(
+    "eda5_time_gap_summary",
+    O.with_base(
+        f"""SELECT count(g) AS gap_count, {O.r6('avg(g)')} AS mean_days, {O.r6('quantile_cont(g, 0.5)')} AS median_days,
+  {O.r6('quantile_cont(g, 0.25)')} AS p25_days, {O.r6('quantile_cont(g, 0.75)')} AS p75_days, max(g) AS max_days
+FROM (SELECT date_diff('day', lag(visit_date) OVER (PARTITION BY patient_id ORDER BY visit_date), visit_date) AS g FROM cleaned) WHERE g IS NOT NULL"""
+    ),
+)(lambda s, sf: round_doubles(eda_stage(s, sf)["time_gap_summary"]))
+
+
+def _cleaned_columns() -> list[str]:
+    ren = {k: v for k, v in __import__("retrospark.config", fromlist=["x"]).COLUMN_RENAME_MAP.items()}
+    raw = [c for c, _ in VISIT_TYPES if c != "subdistrict"]
+    cols = [ren.get(c, c) for c in raw] + [
+        "stroke", "reference_date", "reference_rule", "source_record_id", "days_before_reference", "months_before_reference",
+        "window_membership_count", "window", "window_lower_months_before_reference", "window_upper_months_before_reference",
+        "is_paper_observation_window", "principal_diagnosis_normalized", "comorbidity_diagnosis_normalized",
+    ]
+    return cols
+
+
+def _missing_by_var_sql() -> str:
+    parts = [
+        f"SELECT '{c}' AS \"column\", count(*) - count(\"{c}\") AS missing_count, {O.r6(f'(count(*) - count(\"{c}\")) / count(*)')} AS missing_percent FROM cleaned"
+        for c in _cleaned_columns()
+    ]
+    return O.with_base(" UNION ALL ".join(parts))
+
+
+register("eda6_missingness_by_variable", _missing_by_var_sql())(
+    lambda s, sf: round_doubles(eda_stage(s, sf)["missingness_by_variable"].drop("ordinal"))
+)
+
+
+def _missing_by_group_sql(group: str) -> str:
+    from ..config import EDA_NUMERIC
+
+    present = [c for c in EDA_NUMERIC if c != "tc_hdl_ratio"]
+    parts = [
+        f"SELECT \"{group}\", '{c}' AS \"column\", count(*) AS records, count(*) - count({c}) AS missing_count, "
+        f"{O.r6(f'(count(*) - count({c})) / count(*)')} AS missing_percent FROM cleaned GROUP BY \"{group}\""
+        for c in present
+    ]
+    return O.with_base(" UNION ALL ".join(parts))
+
+
+register("eda7_missingness_by_window", _missing_by_group_sql("window"))(lambda s, sf: round_doubles(eda_stage(s, sf)["missingness_by_window"]))
+register("eda7_missingness_by_label", _missing_by_group_sql("stroke"))(lambda s, sf: round_doubles(eda_stage(s, sf)["missingness_by_stroke"]))
+
+register(
+    "eda8_temporal_coverage",
+    O.with_base(
+        f"""SELECT * FROM (VALUES
+  (1, 'patients_with_temporal_completeness_row', (SELECT count(*) FROM completeness), 1.0),
+  (2, 'temporal_complete_patients', (SELECT count(*) FROM completeness WHERE temporal_complete), (SELECT {O.r6('count(*) FILTER (WHERE temporal_complete) / count(*)')} FROM completeness)),
+  (3, 'first_has_visit', (SELECT count(*) FROM completeness WHERE first_has_visit), (SELECT {O.r6('count(*) FILTER (WHERE first_has_visit) / count(*)')} FROM completeness)),
+  (4, 'mid_has_visit', (SELECT count(*) FROM completeness WHERE mid_has_visit), (SELECT {O.r6('count(*) FILTER (WHERE mid_has_visit) / count(*)')} FROM completeness)),
+  (5, 'last_has_visit', (SELECT count(*) FROM completeness WHERE last_has_visit), (SELECT {O.r6('count(*) FILTER (WHERE last_has_visit) / count(*)')} FROM completeness)),
+  (6, 'attrition_final_step_temporal_complete', (SELECT count(*) FROM completeness WHERE temporal_complete), NULL)
+) t(ordinal, metric, patient_count, percent)"""
+    ).replace("SELECT * FROM (VALUES\n  (1, 'patients_with_temporal", "SELECT ordinal, metric, CAST(patient_count AS BIGINT) AS patient_count, CAST(percent AS DOUBLE) AS percent FROM (VALUES\n  (1, 'patients_with_temporal", 1),
+)(lambda s, sf: round_doubles(eda_stage(s, sf)["temporal_coverage"]))
+
+register(
+    "eda9_window_coverage_by_label",
+    O.with_base(
+        """SELECT w.word AS window_order, w.wname AS "window", coalesce(records, 0) AS records, coalesce(patients, 0) AS patients,
+  coalesce(nonstroke_records, 0) AS nonstroke_records, coalesce(nonstroke_patients, 0) AS nonstroke_patients,
+  coalesce(stroke_records, 0) AS stroke_records, coalesce(stroke_patients, 0) AS stroke_patients
+FROM (SELECT * FROM win UNION ALL SELECT 'OUTSIDE_WINDOWS', NULL, NULL, 4) w
+LEFT JOIN (SELECT coalesce("window", 'OUTSIDE_WINDOWS') AS k, count(*) AS records, count(DISTINCT patient_id) AS patients,
+  count(*) FILTER (WHERE stroke = 0) AS nonstroke_records, count(DISTINCT patient_id) FILTER (WHERE stroke = 0) AS nonstroke_patients,
+  count(*) FILTER (WHERE stroke = 1) AS stroke_records, count(DISTINCT patient_id) FILTER (WHERE stroke = 1) AS stroke_patients
+  FROM cleaned GROUP BY 1) s ON s.k = w.wname"""
+    ),
+)(lambda s, sf: eda_stage(s, sf)["window_coverage_by_label"])
+
+_CASES = f"""SELECT 'all_patient_level_cohort' AS "group", count(*) AS patients, count(*) FILTER (WHERE stroke = 1) AS stroke_patients,
+  count(*) FILTER (WHERE stroke = 0) AS nonstroke_patients, {O.r6('count(*) FILTER (WHERE stroke = 1) / count(*)')} AS stroke_prevalence FROM cohort
+UNION ALL
+SELECT 'temporal_complete', count(*), count(*) FILTER (WHERE stroke = 1), count(*) FILTER (WHERE stroke = 0),
+  {O.r6('CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE stroke = 1) / count(*) ELSE 0.0 END')} FROM cohort WHERE hn IN (SELECT hn FROM completeness WHERE temporal_complete)"""
+register("eda10_complete_case_summary", O.with_base(_CASES))(lambda s, sf: round_doubles(eda_stage(s, sf)["temporal_complete_case_summary"]))
+
+
+def _describe_sql() -> str:
+    from ..config import EDA_NUMERIC
+
+    present = [c for c in EDA_NUMERIC if c != "tc_hdl_ratio"]
+    unp = " UNION ALL ".join(f"SELECT '{c}' AS col, stroke, CAST({c} AS DOUBLE) AS v FROM cleaned WHERE {c} IS NOT NULL" for c in present)
+    return O.with_base(
+        f"""SELECT col AS "column", CASE WHEN grouping(stroke) = 1 THEN 'all' ELSE CAST(stroke AS VARCHAR) END AS stroke, count(v) AS count,
+  {O.r6('avg(v)')} AS mean, {O.r6('CASE WHEN count(v) > 1 THEN stddev_samp(v) END')} AS std, {O.r6('min(v)')} AS min,
+  {O.r6('quantile_cont(v, 0.25)')} AS p25, {O.r6('quantile_cont(v, 0.5)')} AS median, {O.r6('quantile_cont(v, 0.75)')} AS p75, {O.r6('max(v)')} AS max
+FROM ({unp}) GROUP BY GROUPING SETS ((col, stroke), (col))"""
+    )
+
+
+register("eda11_descriptive_stats", _describe_sql())(lambda s, sf: round_doubles(eda_stage(s, sf)["clinical_descriptive_stats"]))
+
+register(
+    "eda12_leakage_audit",
+    O.with_base("SELECT 'no_post_reference_records' AS \"check\", count(*) FILTER (WHERE visit_date > reference_date) = 0 AS passed, "
+                "count(*) FILTER (WHERE visit_date > reference_date) AS failed_record_count FROM cleaned"),
+)(lambda s, sf: eda_stage(s, sf)["leakage_audit"])
+
+def _missing_union() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) - count(\"{c}\") AS missing_count, {O.r6(f'(count(*) - count(\"{c}\")) / count(*)')} AS missing_percent FROM cleaned"
+        for c in _cleaned_columns()
+    )
+
+
+register(
+    "eda13_high_missing_variables",
+    O.with_base("SELECT * FROM (" + _missing_union() + ") WHERE missing_percent >= 0.5"),
+)(lambda s, sf: round_doubles(eda_stage(s, sf)["high_missing_variables"].drop("ordinal")))
+
+register(
+    "eda14_sensitivity_recommendation",
+    O.with_base(
+        f"""SELECT s < 2 AS recommend_sensitivity_analysis,
+  CASE WHEN s < 2 THEN 'strict FIRST/MID/LAST temporal-complete cohort has too few stroke cases for reliable modeling'
+       ELSE 'strict FIRST/MID/LAST temporal-complete cohort has enough stroke cases for minimal modeling' END AS reason,
+  p AS temporal_complete_patients, s AS temporal_complete_stroke_patients,
+  '90/180 days as sensitivity analysis; keep paper windows as primary baseline' AS suggested_fallback_windows
+FROM (SELECT count(*) AS p, count(*) FILTER (WHERE stroke = 1) AS s FROM cohort WHERE hn IN (SELECT hn FROM completeness WHERE temporal_complete))"""
+    ),
+)(lambda s, sf: eda_stage(s, sf)["sensitivity_recommendation"])
