@@ -716,3 +716,85 @@ register(
 FROM (SELECT count(*) AS p, count(*) FILTER (WHERE stroke = 1) AS s FROM cohort WHERE hn IN (SELECT hn FROM completeness WHERE temporal_complete))"""
     ),
 )(lambda s, sf: eda_stage(s, sf)["sensitivity_recommendation"])
+
+# ---------------------------------------------------------------- stages 06/08 (evaluation on predictions)
+
+from ..operators import evaluate as EV  # noqa: E402
+from ..sources.predictions import fixture_predictions  # noqa: E402
+
+PRED_CTE = """preds AS (
+  SELECT l.doc_id AS patient_id, 'single_shot' AS model_name, l.doc_id % 5 AS fold, l.quality AS y_true,
+         CAST((d.n_chars % 100) / 100.0 AS DOUBLE) AS y_prob FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+  UNION ALL
+  SELECT l.doc_id, 'extract_set_1', l.doc_id % 5, l.quality, CAST(((l.doc_id * 37) % 100) / 100.0 AS DOUBLE)
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+p2 AS (SELECT *, CAST(y_prob >= 0.5 AS INTEGER) AS y_pred FROM preds),
+conf AS (
+  SELECT model_name, count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
+         count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn, count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp
+  FROM p2 GROUP BY model_name),
+conf2 AS (
+  SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS sensitivity, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END AS specificity FROM conf),
+dist AS (SELECT model_name, y_prob AS score, count(*) FILTER (WHERE y_true = 1) AS pos, count(*) FILTER (WHERE y_true = 0) AS neg FROM p2 GROUP BY model_name, y_prob),
+cum AS (
+  SELECT *, coalesce(sum(neg) OVER (PARTITION BY model_name ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+         sum(pos) OVER (PARTITION BY model_name ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp_ge,
+         sum(neg) OVER (PARTITION BY model_name ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp_ge,
+         sum(pos) OVER (PARTITION BY model_name) AS P, sum(neg) OVER (PARTITION BY model_name) AS N
+  FROM dist),
+rank_m AS (
+  SELECT model_name,
+    CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (neg_below + 0.5 * neg)) / (max(P) * max(N)) END AS roc_auc,
+    CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(CASE WHEN pos > 0 THEN pos * tp_ge / (tp_ge + fp_ge) END) / max(P) END AS pr_auc
+  FROM cum GROUP BY model_name),
+metrics AS (
+  SELECT c.model_name, c.tn, c.fp, c.fn, c.tp, c.sensitivity, c.specificity,
+         sqrt(greatest(c.sensitivity, 0.0) * greatest(c.specificity, 0.0)) AS g_mean, r.roc_auc, r.pr_auc
+  FROM conf2 c LEFT JOIN rank_m r ON c.model_name = r.model_name)"""
+
+
+def _metrics_cols(prefix: str = "") -> str:
+    return ("model_name, tn, fp, fn, tp, " + ", ".join(O.r6(c, c) for c in ("sensitivity", "specificity", "g_mean", "roc_auc", "pr_auc")))
+
+
+def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.metrics_table(fixture_predictions(spark, sf))
+
+
+register("mod9_val1_metrics", O.with_base(f"SELECT {_metrics_cols()} FROM metrics", PRED_CTE))(lambda s, sf: round_doubles(eval_metrics(s, sf)))
+register("val2_confusion_table", O.with_base("SELECT model_name, tn, fp, fn, tp FROM metrics", PRED_CTE))(lambda s, sf: EV.confusion_table(eval_metrics(s, sf)))
+register("val3_roc_pr_table", O.with_base(f"SELECT model_name, {O.r6('roc_auc', 'roc_auc')}, {O.r6('pr_auc', 'pr_auc')} FROM metrics", PRED_CTE))(
+    lambda s, sf: round_doubles(EV.roc_pr_table(eval_metrics(s, sf)))
+)
+register(
+    "val4_best_temporal_model",
+    O.with_base("SELECT (SELECT model_name FROM metrics WHERE model_name <> 'single_shot' ORDER BY g_mean DESC NULLS LAST, model_name LIMIT 1) AS best_temporal_model", PRED_CTE),
+)(lambda s, sf: EV.best_temporal_model(eval_metrics(s, sf)))
+register(
+    "val5_baseline_vs_temporal",
+    O.with_base(f"SELECT {_metrics_cols()}, CASE WHEN model_name = 'single_shot' THEN 'baseline' ELSE 'temporal' END AS model_group FROM metrics", PRED_CTE),
+)(lambda s, sf: round_doubles(EV.baseline_vs_temporal(eval_metrics(s, sf))))
+
+_ERFC = "(t * exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))))"
+register(
+    "val6_mcnemar",
+    O.with_base(
+        f"""SELECT CASE WHEN n = 0 OR b + c = 0 THEN 'skipped' ELSE 'completed' END AS status,
+  CASE WHEN n = 0 THEN 'no_overlap_patients_between_models' WHEN b + c = 0 THEN 'no_disagreement' ELSE '' END AS reason,
+  n AS overlap_patients, b AS b_baseline_correct_challenger_wrong, c AS c_baseline_wrong_challenger_correct,
+  {O.r6('CASE WHEN n = 0 THEN NULL WHEN b + c = 0 THEN 0.0 ELSE chi END')} AS chi_square,
+  {O.r6('CASE WHEN n = 0 THEN NULL WHEN b + c = 0 THEN 1.0 ELSE p END')} AS p_value,
+  'single_shot' AS baseline_model, 'extract_set_1' AS challenger_model
+FROM (SELECT *, {_ERFC} AS p FROM (SELECT *, 1.0 / (1.0 + 0.5 * z) AS t FROM (SELECT *, sqrt(greatest(chi, 0.0) / 2.0) AS z FROM (
+  SELECT n, b, c, CASE WHEN b + c > 0 THEN power(abs(b - c) - 1.0, 2) / (b + c) END AS chi FROM (
+    SELECT count(*) AS n, count(*) FILTER (WHERE x.y_pred = x.y_true AND y.y_pred <> y.y_true) AS b,
+           count(*) FILTER (WHERE x.y_pred <> x.y_true AND y.y_pred = y.y_true) AS c
+    FROM p2 x JOIN p2 y ON x.patient_id = y.patient_id AND x.y_true = y.y_true
+    WHERE x.model_name = 'single_shot' AND y.model_name = 'extract_set_1')))))""",
+        PRED_CTE,
+    ),
+)(lambda s, sf: round_doubles(EV.mcnemar(fixture_predictions(s, sf), "single_shot", "extract_set_1")))
+register(
+    "val6_mcnemar_vs_best",
+    None,
+)(lambda s, sf: round_doubles(EV.mcnemar_vs_best(fixture_predictions(s, sf), eval_metrics(s, sf))))
