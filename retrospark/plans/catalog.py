@@ -798,3 +798,105 @@ register(
     "val6_mcnemar_vs_best",
     None,
 )(lambda s, sf: round_doubles(EV.mcnemar_vs_best(fixture_predictions(s, sf), eval_metrics(s, sf))))
+
+# ---------------------------------------------------------------- stage 06/07 on the feature tables
+
+from ..config import ModelConfig  # noqa: E402
+from ..operators import folds as FO  # noqa: E402
+from ..operators import model as MO  # noqa: E402
+from ..operators import select as SE  # noqa: E402
+
+MODEL_CFG = ModelConfig(entity="patient_id", label="stroke", cv_strategy="auto")
+_S1_FEATS = [f"{w.lower()}_{c}_mean" for w in ("FIRST", "MID", "LAST") for c in O.FEATURE_NUMERIC] + [f"latest_{c}" for c in O.FEATURE_STATIC]
+_S1_LIST = ", ".join(_S1_FEATS)
+SET1_CTE = (
+    "set1 AS (SELECT patient_id, label AS stroke, "
+    + ", ".join([f"CAST({w.lower()}_{c}_mean AS DOUBLE) AS {w.lower()}_{c}_mean" for w in ("FIRST", "MID", "LAST") for c in O.FEATURE_NUMERIC]
+                + [f"CAST(latest_{c} AS DOUBLE) AS latest_{c}" for c in O.FEATURE_STATIC])
+    + " FROM ent WHERE complete),\n"
+    "folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY stroke ORDER BY md5(CAST(patient_id AS VARCHAR) || ':42')) - 1) % 5 AS INTEGER) AS fold FROM set1),\n"
+    "tc AS (SELECT f.*, CAST(t.tf AS INTEGER) AS train_fold FROM folded f JOIN range(5) t(tf) ON t.tf <> f.fold),\n"
+    "unp AS (" + " UNION ALL ".join(f"SELECT train_fold, stroke, '{c}' AS feature, {c} AS value FROM tc" for c in _S1_FEATS) + "),\n"
+    "med AS (SELECT train_fold, feature, quantile_cont(value, 0.5) AS median FROM unp GROUP BY train_fold, feature)"
+)
+
+
+def set1_folded(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], FO.CvPolicy]:
+    mat = FO.feature_matrix(stage5(spark, sf)["extract_set_1"], MODEL_CFG)
+    policy = FO.choose_cv(mat, MODEL_CFG)
+    return FO.assign_folds(mat, policy, MODEL_CFG), FO.feature_columns(mat, MODEL_CFG), policy
+
+
+register("mod3_stratified_folds", O.with_base("SELECT patient_id, stroke, fold FROM folded", SET1_CTE))(
+    lambda s, sf: set1_folded(s, sf)[0].select("patient_id", "stroke", "fold")
+)
+register("mod4_fold_overlap_guard", O.with_base("SELECT patient_id, count(DISTINCT fold) AS folds FROM folded GROUP BY patient_id HAVING count(DISTINCT fold) > 1", SET1_CTE))(
+    lambda s, sf: FO.overlap_guard(set1_folded(s, sf)[0], MODEL_CFG)
+)
+
+
+def _mod5(s: SparkSession, sf: str) -> DataFrame:
+    folded, feats, policy = set1_folded(s, sf)
+    return round_doubles(FO.fold_medians(folded, feats, policy.folds))
+
+
+register("mod5_fold_medians", O.with_base(f"SELECT train_fold, feature, {O.r6('median', 'median')} FROM med", SET1_CTE))(_mod5)
+
+
+def _mod6(s: SparkSession, sf: str) -> DataFrame:
+    folded, feats, policy = set1_folded(s, sf)
+    return round_doubles(FO.fold_statistics(folded, feats, policy.folds))
+
+
+register(
+    "mod6_fold_scaling",
+    O.with_base(
+        f"""SELECT train_fold, feature, {O.r6('avg(v)', 'mean')}, {O.r6('stddev_pop(v)', 'std')},
+  {O.r6('CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1.0 END', 'scale')}, {O.r6('max(median)', 'median')}
+FROM (SELECT u.train_fold, u.feature, coalesce(u.value, m.median) AS v, m.median FROM unp u JOIN med m USING (train_fold, feature) WHERE m.median IS NOT NULL)
+GROUP BY train_fold, feature""",
+        SET1_CTE,
+    ),
+)(_mod6)
+
+_ANOVA_SQL = """unp0 AS ({unp0}),
+gmed AS (SELECT feature, quantile_cont(value, 0.5) AS m FROM unp0 GROUP BY feature),
+cls AS (SELECT u.feature, u.stroke, count(*) AS n, sum(coalesce(u.value, g.m)) AS s, sum(coalesce(u.value, g.m) * coalesce(u.value, g.m)) AS ss
+        FROM unp0 u JOIN gmed g USING (feature) WHERE g.m IS NOT NULL GROUP BY u.feature, u.stroke),
+tot AS (SELECT feature, sum(n) AS N, sum(s) AS S, count(*) AS k, sum(s * s / n) AS br, sum(ss) AS SS FROM cls GROUP BY feature),
+fsc AS (SELECT feature, CASE WHEN SS - br > 0 AND k > 1 AND N > k THEN ((br - S * S / N) / (k - 1)) / ((SS - br) / (N - k))
+                        WHEN br - S * S / N > 0 THEN 'Infinity'::DOUBLE END AS f_score FROM tot)""".replace(
+    "{unp0}", " UNION ALL ".join(f"SELECT stroke, '{c}' AS feature, {c} AS value FROM set1" for c in _S1_FEATS))
+register(
+    "imp1_anova_ranking",
+    O.with_base(f"SELECT feature, {O.r6('f_score', 'f_score')}, row_number() OVER (ORDER BY round(f_score, 6) DESC NULLS LAST, feature) AS rank FROM fsc", SET1_CTE + ",\n" + _ANOVA_SQL),
+)(lambda s, sf: round_doubles(SE.anova_ranking(stage5(s, sf)["extract_set_1"], MODEL_CFG, with_p=False)))
+register("imp1_anova_pvalues", None)(lambda s, sf: SE.anova_ranking(stage5(s, sf)["extract_set_1"], MODEL_CFG, with_p=True))
+
+
+def _imp3(s: SparkSession, sf: str) -> DataFrame:
+    folded, feats, policy = set1_folded(s, sf)
+    return round_doubles(SE.fold_anova_topk(folded, feats, policy.folds, 10, MODEL_CFG))
+
+
+_FOLD_ANOVA = """cls2 AS (SELECT u.train_fold, u.feature, u.stroke, count(*) AS n, sum(coalesce(u.value, m.median)) AS s,
+                sum(coalesce(u.value, m.median) * coalesce(u.value, m.median)) AS ss
+         FROM unp u JOIN med m USING (train_fold, feature) WHERE m.median IS NOT NULL GROUP BY u.train_fold, u.feature, u.stroke),
+tot2 AS (SELECT train_fold, feature, sum(n) AS N, sum(s) AS S, count(*) AS k, sum(s * s / n) AS br, sum(ss) AS SS FROM cls2 GROUP BY train_fold, feature),
+fsc2 AS (SELECT train_fold, feature, CASE WHEN SS - br > 0 AND k > 1 AND N > k THEN ((br - S * S / N) / (k - 1)) / ((SS - br) / (N - k))
+                        WHEN br - S * S / N > 0 THEN 'Infinity'::DOUBLE END AS f_score FROM tot2)"""
+register(
+    "imp3_fold_anova_top10",
+    O.with_base(
+        f"SELECT train_fold, feature, {O.r6('f_score', 'f_score')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY train_fold ORDER BY round(f_score, 6) DESC NULLS LAST, feature) AS rank FROM fsc2) WHERE rank <= 10",
+        SET1_CTE + ",\n" + _FOLD_ANOVA,
+    ),
+)(_imp3)
+
+
+def _mod8(s: SparkSession, sf: str) -> DataFrame:
+    preds, _ = MO.train_predict_cv(stage5(s, sf)["extract_set_1"], "extract_set_1", MODEL_CFG)
+    return preds
+
+
+register("mod8_oof_predictions_set1", None)(_mod8)
