@@ -900,3 +900,134 @@ def _mod8(s: SparkSession, sf: str) -> DataFrame:
 
 
 register("mod8_oof_predictions_set1", None)(_mod8)
+
+# ---------------------------------------------------------------- documented extensions (DOC1-DOC6)
+
+from ..config import MONTH_DAYS  # noqa: E402
+from ..streaming import drift as DR  # noqa: E402
+
+# DOC1: alternative look-back windows in days: 180-day windows shifted by 90 days.
+ALT_DAY_WINDOWS = (("FIRST", 270, 450), ("MID", 180, 360), ("LAST", 90, 270))
+ALT_COHORT = C.CohortConfig(schema=FIXTURE_COHORT.schema, windows=tuple((n, lo / MONTH_DAYS, hi / MONTH_DAYS) for n, lo, hi in ALT_DAY_WINDOWS))
+
+
+def _doc1(s: SparkSession, sf: str) -> DataFrame:
+    prepared = C.prepare_records(fixture_visits(s, sf), FIXTURE_COHORT)
+    parts = []
+    for label, cfg in (("paper_months", FIXTURE_COHORT), ("days_90_180", ALT_COHORT)):
+        _, _, long = C.build_windowed_records(prepared, cfg)
+        parts.append(C.completeness_summary(C.cohort_completeness(long, cfg), cfg).withColumn("window_set", F.lit(label)))
+    return parts[0].unionByName(parts[1])
+
+
+def _alt_completeness_sql() -> str:
+    conds = {n: f"date_diff('day', p.vstdate, c.reference_date) BETWEEN {lo} AND {hi}" for n, lo, hi in ALT_DAY_WINDOWS}
+    core = O.RAW_CORE_NUMERIC
+    per = []
+    for n in ("FIRST", "MID", "LAST"):
+        vis = f"count(*) FILTER (WHERE {conds[n]}) > 0"
+        cor = " AND ".join(f"count({x}) FILTER (WHERE {conds[n]}) > 0" for x in core)
+        per.append((n.lower(), vis, cor))
+    cols = ", ".join(f"{vis} AS {p}_has_visit, ({cor}) AS {p}_has_core_clinical" for p, vis, cor in per)
+    comp = " AND ".join(f"({vis} AND {cor})" for _, vis, cor in per)
+    return f"SELECT p.hn, {cols}, ({comp}) AS temporal_complete FROM prepared p JOIN cohort c ON p.hn = c.hn WHERE p.vstdate <= c.reference_date GROUP BY p.hn"
+
+
+def _summary_rows(src: str, label: str) -> str:
+    rows = [f"SELECT 1 AS ordinal, 'patients_checked' AS metric, count(*) AS value, '' AS detail, '{label}' AS window_set FROM {src}"]
+    i = 2
+    for p in ("first", "mid", "last"):
+        rows.append(f"SELECT {i}, '{p}_has_visit_patients', count(*) FILTER (WHERE {p}_has_visit), '', '{label}' FROM {src}")
+        rows.append(f"SELECT {i + 1}, '{p}_has_core_clinical_patients', count(*) FILTER (WHERE {p}_has_core_clinical), '', '{label}' FROM {src}")
+        i += 2
+    rows.append(f"SELECT {i}, 'temporal_complete_patients', count(*) FILTER (WHERE temporal_complete), 'visit and core clinical coverage in FIRST, MID, LAST', '{label}' FROM {src}")
+    return " UNION ALL ".join(rows)
+
+
+register(
+    "doc1_window_sensitivity",
+    O.with_base("SELECT * FROM (" + _summary_rows("completeness", "paper_months") + " UNION ALL " + _summary_rows("alt", "days_90_180") + ")",
+                "alt AS (" + _alt_completeness_sql() + ")"),
+)(_doc1)
+
+
+def _doc2(s: SparkSession, sf: str) -> DataFrame:
+    cfg = C.CohortConfig(schema=FIXTURE_COHORT.schema, min_core=5)
+    long = stage2(s, sf)["pre_reference_records_with_windows"]
+    return C.temporal_completeness(long, "hn", cfg.window_names, list(cfg.core_numeric), min_core=5).select("hn", "first_has_core_clinical", "mid_has_core_clinical", "last_has_core_clinical", "temporal_complete")
+
+
+def _relaxed_sql() -> str:
+    parts = []
+    comp = []
+    for n in ("FIRST", "MID", "LAST"):
+        seen = " + ".join(f"CAST(count({x}) FILTER (WHERE \"window\" = '{n}') > 0 AS INTEGER)" for x in O.RAW_CORE_NUMERIC)
+        parts.append(f"({seen}) >= 5 AS {n.lower()}_has_core_clinical")
+        comp.append(f"(count(*) FILTER (WHERE \"window\" = '{n}') > 0 AND ({seen}) >= 5)")
+    return "SELECT hn, " + ", ".join(parts) + ", (" + " AND ".join(comp) + ") AS temporal_complete FROM long GROUP BY hn"
+
+
+register("doc2_relaxed_completeness", O.with_base(_relaxed_sql()))(_doc2)
+
+
+def _doc3(s: SparkSession, sf: str) -> DataFrame:
+    st5 = stage5(s, sf)
+    comp = st5["temporal_completeness"].select("patient_id", "temporal_complete")
+    ss = st5["single_shot"].select("patient_id")
+    ids = ss.unionByName(comp.select("patient_id")).distinct()
+    j = ids.join(comp, "patient_id", "left").join(ss.withColumn("__ss", F.lit(True)), "patient_id", "left")
+    route = F.when(F.coalesce("temporal_complete", F.lit(False)), F.lit("temporal")).when(F.col("__ss"), F.lit("single_shot")).otherwise(F.lit("insufficient_history"))
+    return j.select("patient_id", route.alias("route"))
+
+
+register(
+    "doc3_inference_routing",
+    O.with_base(
+        f"""SELECT e.patient_id, CASE WHEN e.complete THEN 'temporal' WHEN s.patient_id IS NOT NULL THEN 'single_shot' ELSE 'insufficient_history' END AS route
+FROM ent e LEFT JOIN (SELECT DISTINCT patient_id FROM frec WHERE {O.IN_ANY}) s ON e.patient_id = s.patient_id"""
+    ),
+)(_doc3)
+
+
+def _doc4(s: SparkSession, sf: str) -> DataFrame:
+    ev = s.read.parquet(f"{sf}/events.parquet")
+    prof = DR.period_profile(ev, "ts", "user_id", ["value"], None, "day")
+    return round_doubles(DR.drift_vs_reference(prof))
+
+
+register(
+    "doc4_event_drift_by_day",
+    O.with_base(
+        f"""SELECT period, records, entities, {O.r6('value_available', 'value_available')}, {O.r6('records_per_entity', 'records_per_entity')},
+  records - first_value(records) OVER w AS records_drift, entities - first_value(entities) OVER w AS entities_drift,
+  {O.r6('value_available - first_value(value_available) OVER w', 'value_available_drift')},
+  {O.r6('records_per_entity - first_value(records_per_entity) OVER w', 'records_per_entity_drift')}
+FROM (SELECT date_trunc('day', ts) AS period, count(*) AS records, count(DISTINCT user_id) AS entities,
+        avg(CAST(value IS NOT NULL AS DOUBLE)) AS value_available, count(*) / count(DISTINCT user_id) AS records_per_entity FROM events GROUP BY 1)
+WINDOW w AS (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+    ),
+)(_doc4)
+
+register(
+    "doc5_set1_last_representation",
+    O.with_base(
+        "SELECT patient_id, max(stroke) AS stroke, "
+        + ", ".join(
+            O.r6(f"arg_max({c}, {O.ORDER}) FILTER (WHERE \"window\" = '{n}' AND {c} IS NOT NULL)", f"{n.lower()}_{c}_mean")
+            for n in ("FIRST", "MID", "LAST") for c in O.FEATURE_NUMERIC
+        )
+        + ", "
+        + ", ".join(f"{O._latest(c)} AS latest_{c}" for c in O.FEATURE_STATIC)
+        + " FROM frec GROUP BY patient_id HAVING bool_and(true) AND patient_id IN (SELECT patient_id FROM ent WHERE complete)"
+    ),
+)(lambda s, sf: round_doubles(FE.feature_sets(FE.entity_features(FE.ensure_ratio(stage3(s, sf)["cleaned_pre_reference_records"]),
+                                                                    FeatureConfig(schema=FIXTURE_CLEAN, representation="LAST")),
+                                              FeatureConfig(schema=FIXTURE_CLEAN, representation="LAST"))["extract_set_1"]))
+
+register(
+    "doc6_multi_hot_window_flags",
+    O.with_base(
+        "SELECT hn, vstdate, " + O.KEYS + ", months_before_reference BETWEEN 9 AND 21 AS in_first_window, "
+        "months_before_reference BETWEEN 6 AND 18 AS in_mid_window, months_before_reference BETWEEN 3 AND 15 AS in_last_window FROM pre"
+    ),
+)(lambda s, sf: stage2(s, sf)["pre_reference_records"].select("hn", "vstdate", *KEYS, "in_first_window", "in_mid_window", "in_last_window"))
