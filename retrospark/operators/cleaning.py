@@ -28,6 +28,19 @@ CODE_COLUMNS = ["principal_diagnosis", "comorbidity_diagnosis"]
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
 
 
+class _LazyReport:
+    """A schema-derived report that is only turned into a DataFrame when used."""
+
+    def __init__(self, spark, rows, ddl):
+        self._args = (spark, rows, ddl)
+        self._df = None
+
+    def __getattr__(self, item):
+        if self._df is None:
+            self._df = _small_df(*self._args)
+        return getattr(self._df, item)
+
+
 def _small_df(spark, rows: list[tuple], ddl: str) -> DataFrame:
     """Schema-derived report (a handful of rows computed from column names, not from data)."""
     return spark.createDataFrame(rows, ddl)
@@ -40,8 +53,7 @@ def standardize_columns(df: DataFrame, rename_map: dict[str, str] = COLUMN_RENAM
     """CLN1: rename physical names to standard names; report the mapping applied."""
     mapping = {old: new for old, new in rename_map.items() if old in df.columns}
     out = df.withColumnsRenamed(mapping) if mapping else df
-    report = _small_df(df.sparkSession, list(mapping.items()), "original_column string, standardized_column string")
-    return out, report
+    return out, _LazyReport(df.sparkSession, list(mapping.items()), "original_column string, standardized_column string")
 
 
 def deidentify(df: DataFrame, quasi_identifiers: tuple[str, ...] | list[str], drop: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -71,13 +83,29 @@ def coerce_types(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- CLN4 - CLN6
 
 
+def with_normalized_codes(df: DataFrame) -> DataFrame:
+    present = [c for c in CODE_COLUMNS if c in df.columns]
+    return df.withColumns({f"{c}_normalized": normalized_codes(c) for c in present}) if present else df
+
+
+def binary_nulling(df: DataFrame, columns: list[str] = BINARY_COLUMNS) -> DataFrame:
+    present = [c for c in columns if c in df.columns]
+    return df.withColumns({c: F.when(_is_binary(c), q(c)) for c in present}) if present else df
+
+
+def range_nulling(df: DataFrame, ranges: dict[str, tuple[float, float]] = PLAUSIBLE_RANGES) -> DataFrame:
+    present = [c for c in ranges if c in df.columns]
+    vals = {c: q(c).try_cast("double") for c in present}
+    return df.withColumns({c: F.when(~(vals[c].isNotNull() & ~vals[c].between(*ranges[c])), q(c)) for c in present}) if present else df
+
+
 def normalize_codes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CLN4 + CLN5: ``<col>_normalized`` = ordered distinct code tokens joined by ``;``.
 
     The report counts index-code hits before/after tokenisation (lost / added).
     """
     present = [c for c in CODE_COLUMNS if c in df.columns]
-    out = df.withColumns({f"{c}_normalized": normalized_codes(c) for c in present}) if present else df
+    out = with_normalized_codes(df)
     aggs = []
     for i, c in enumerate(present):
         before = code_match(c, CLEAN_INDEX_CODE_PATTERN)
@@ -347,6 +375,20 @@ def unified_cleaning_log(range_log: DataFrame, duplicate_report: DataFrame) -> D
     return range_log.unionByName(dup, allowMissingColumns=True)
 
 
+def typed_records(long: DataFrame, schema: CleanSchema = CleanSchema()) -> DataFrame:
+    """Renamed, de-identified and coerced (the input of the dedupe step)."""
+    df, _ = standardize_columns(long)
+    if schema.drop_quasi_identifiers:
+        df = df.drop(*[c for c in schema.quasi_identifiers if c in df.columns])
+    return coerce_types(df)
+
+
+def clean_records(long: DataFrame, schema: CleanSchema = CleanSchema()) -> DataFrame:
+    """The cleaned table alone (same transformation order as :func:`run_data_cleaning`, no reports)."""
+    df = typed_records(long, schema).dropDuplicates()
+    return range_nulling(binary_nulling(with_normalized_codes(df)))
+
+
 def run_data_cleaning(long: DataFrame, schema: CleanSchema = CleanSchema()) -> dict[str, DataFrame]:
     """CLN16: rename -> de-identify -> coerce -> dedupe -> codes -> binaries -> ranges (all lazy)."""
     df, column_report = standardize_columns(long)

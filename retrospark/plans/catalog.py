@@ -47,16 +47,113 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 # ---------------------------------------------------------------- stage builders (lazy)
 
 
+class _Lazy(dict):
+    """Stage outputs built on first access: a query only pays plan analysis for what it uses."""
+
+    def __init__(self, builders):
+        super().__init__()
+        self._b = builders
+
+    def __missing__(self, key):
+        v = self._b[key]()
+        self[key] = v
+        return v
+
+
+_MEMO: dict = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf: str, build):
+    """Plan handles are immutable; reuse them across queries of one session (no data is cached)."""
+    key = (kind, id(spark), sf)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
+def core2(spark: SparkSession, sf: str):
+    return _memo("core2", spark, sf, lambda: _core2(spark, sf))
+
+
+def _core2(spark: SparkSession, sf: str):
+    raw = fixture_visits(spark, sf)
+    prepared = C.prepare_records(raw, FIXTURE_COHORT)
+    cohort, pre, long = C.build_windowed_records(prepared, FIXTURE_COHORT)
+    return raw, prepared, cohort, pre, long
+
+
 def stage2(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return C.run_target_cohort(fixture_visits(spark, sf), FIXTURE_COHORT)
+    raw, prepared, cohort, pre, long = core2(spark, sf)
+    d: dict = {}
+    b = {
+        "prepared": lambda: prepared,
+        "patient_level_cohort": lambda: cohort,
+        "pre_reference_records": lambda: pre,
+        "pre_reference_records_with_windows": lambda: long,
+        "temporal_completeness_flags": lambda: C.cohort_completeness(long, FIXTURE_COHORT),
+        "temporal_completeness_summary": lambda: C.completeness_summary(d["temporal_completeness_flags"], FIXTURE_COHORT),
+        "cohort_attrition_report": lambda: C.attrition_report(raw, prepared, long, d["temporal_completeness_flags"], FIXTURE_COHORT),
+        "reference_date_audit": lambda: C.reference_date_audit(prepared, cohort, long, FIXTURE_COHORT),
+        "window_distribution_report": lambda: C.window_distribution(long, FIXTURE_COHORT),
+        "window_membership_report": lambda: C.membership_report(pre),
+        "target_cohort_acceptance_checks": lambda: C.cohort_acceptance(cohort, long, d["temporal_completeness_flags"], d["cohort_attrition_report"], FIXTURE_COHORT),
+        "target_cohort_summary": lambda: C.cohort_facts(cohort, long, d["temporal_completeness_flags"], FIXTURE_COHORT),
+    }
+    d = _Lazy(b)
+    return d
+
+
+def cleaned_records(spark: SparkSession, sf: str) -> DataFrame:
+    return _memo("cleaned", spark, sf, lambda: CL.clean_records(core2(spark, sf)[4], FIXTURE_CLEAN))
 
 
 def stage3(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return CL.run_data_cleaning(stage2(spark, sf)["pre_reference_records_with_windows"], FIXTURE_CLEAN)
+    long = core2(spark, sf)[4]
+    d: dict = {}
+    b = {
+        "_typed": lambda: CL.typed_records(long, FIXTURE_CLEAN),
+        "_dedup": lambda: d["_typed"].dropDuplicates(),
+        "_codes": lambda: CL.with_normalized_codes(d["_dedup"]),
+        "_binary": lambda: CL.binary_nulling(d["_codes"]),
+        "cleaned_pre_reference_records": lambda: CL.range_nulling(d["_binary"]),
+        "duplicate_report": lambda: CL.drop_exact_duplicates(d["_typed"])[1],
+        "diagnosis_normalization_report": lambda: CL.normalize_codes(d["_dedup"])[1],
+        "binary_encoding_report": lambda: CL.apply_binary_encoding(d["_codes"])[1],
+        "range_check_summary": lambda: CL.apply_range_checks(d["_binary"], FIXTURE_CLEAN)[1],
+        "range_change_log": lambda: CL.range_change_log(d["_binary"], FIXTURE_CLEAN, CL.PLAUSIBLE_RANGES, [c for c in CL.PLAUSIBLE_RANGES if c in d["_binary"].columns], 10),
+        "required_column_report": lambda: CL.required_column_report(d["cleaned_pre_reference_records"]),
+        "binary_validation_report": lambda: CL.binary_validation_report(d["cleaned_pre_reference_records"]),
+        "leakage_audit_report": lambda: CL.leakage_audit_report(d["cleaned_pre_reference_records"], FIXTURE_CLEAN),
+    }
+    d = _Lazy(b)
+    return d
 
 
 def stage5(spark: SparkSession, sf: str, persist: bool = False) -> dict[str, DataFrame]:
-    return FE.run_feature_engineering(stage3(spark, sf)["cleaned_pre_reference_records"], FEATURE_CFG, persist=persist)
+    return _memo("stage5", spark, sf, lambda: _stage5(spark, sf))
+
+
+def _stage5(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    cleaned = cleaned_records(spark, sf)
+    records = FE.ensure_ratio(cleaned)
+    d: dict = {}
+    b = {
+        "entity_aggregate": lambda: FE.entity_features(records, FEATURE_CFG),
+        "_sets": lambda: FE.feature_sets(d["entity_aggregate"], FEATURE_CFG),
+        "extract_set_1": lambda: d["_sets"]["extract_set_1"],
+        "extract_set_2": lambda: d["_sets"]["extract_set_2"],
+        "extract_set_3": lambda: d["_sets"]["extract_set_3"],
+        "single_shot": lambda: FE.single_shot(d["entity_aggregate"], FEATURE_CFG),
+        "single_shot_audit": lambda: FE.single_shot_audit(d["entity_aggregate"], FEATURE_CFG),
+        "temporal_completeness": lambda: FE.completeness_from(d["entity_aggregate"], FEATURE_CFG),
+        "tc_hdl_audit": lambda: FE.ratio_audit(cleaned, records),
+        "exclusion_report": lambda: FE.exclusion_report(records, d["temporal_completeness"], FEATURE_CFG),
+        "temporal_window_usage_report": lambda: FE.window_usage_report(records, FEATURE_CFG),
+        "generation_log": lambda: FE.generation_log(
+            {k: d[k] for k in ("single_shot", "extract_set_1", "extract_set_2", "extract_set_3")}, FE.validate_pre_reference(records, FEATURE_CFG), "patient_id"),
+    }
+    d = _Lazy(b)
+    return d
 
 
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -451,7 +548,20 @@ def _vstr(c: str, t: str) -> str:
 def audit_stage(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     from ..sources.visits import FIXTURE_RAW
 
-    return AU.run_raw_data_audit(fixture_visits(spark, sf), FIXTURE_RAW)
+    raw = fixture_visits(spark, sf)
+    d: dict = {}
+    b = {
+        "raw_schema_summary": lambda: AU.schema_summary(raw, FIXTURE_RAW),
+        "visit_coverage": lambda: AU.visit_coverage(raw, FIXTURE_RAW),
+        "visit_coverage_overview": lambda: AU.coverage_overview(d["visit_coverage"]),
+        "raw_range_summary": lambda: AU.range_summary(raw),
+        "icd10_availability_report": lambda: AU.code_availability(raw, FIXTURE_RAW),
+        "column_availability_checklist": lambda: AU.column_availability(raw),
+        "raw_acceptance_checks": lambda: AU.audit_acceptance(raw, d["column_availability_checklist"], d["visit_coverage"], d["icd10_availability_report"], FIXTURE_RAW),
+        "raw_data_report": lambda: AU.audit_summary(raw, d["icd10_availability_report"], FIXTURE_RAW),
+    }
+    d = _Lazy(b)
+    return d
 
 
 def _schema_summary_sql() -> str:
@@ -557,9 +667,31 @@ register(
 
 
 def eda_stage(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    st2 = stage2(spark, sf)
-    cleaned = CL.run_data_cleaning(st2["pre_reference_records_with_windows"], FIXTURE_CLEAN)["cleaned_pre_reference_records"]
-    return EX.run_eda(cleaned, st2["patient_level_cohort"], st2["temporal_completeness_flags"], st2["cohort_attrition_report"], FIXTURE_CLEAN)
+    raw, prepared, cohort, pre, long = core2(spark, sf)
+    cleaned = CL.clean_records(long, FIXTURE_CLEAN)
+    comp = C.cohort_completeness(long, FIXTURE_COHORT)
+    cohort_std = cohort.withColumnRenamed("hn", "patient_id")
+    comp_std = comp.withColumnRenamed("hn", "patient_id")
+    d: dict = {}
+    b = {
+        "class_imbalance": lambda: EX.class_imbalance(cohort_std),
+        "visit_frequency": lambda: EX.visit_frequency(cleaned, FIXTURE_CLEAN),
+        "visit_frequency_distribution": lambda: EX.visit_distribution(d["visit_frequency"]),
+        "window_visit_counts": lambda: EX.window_visit_counts(cleaned, FIXTURE_CLEAN),
+        "time_gap_summary": lambda: EX.time_gap_summary(cleaned, FIXTURE_CLEAN),
+        "missingness_by_variable": lambda: EX.missingness_by_variable(cleaned),
+        "missingness_by_stroke": lambda: EX.missingness_by_group(cleaned, "stroke"),
+        "missingness_by_window": lambda: EX.missingness_by_group(cleaned, "window"),
+        "temporal_coverage": lambda: EX.temporal_coverage(comp_std, C.attrition_report(raw, prepared, long, comp, FIXTURE_COHORT)),
+        "window_coverage_by_label": lambda: EX.window_coverage_by_label(cleaned, FIXTURE_CLEAN),
+        "temporal_complete_case_summary": lambda: EX.complete_case_summary(cohort_std, comp_std, "patient_id"),
+        "clinical_descriptive_stats": lambda: EX.descriptive_stats(cleaned),
+        "leakage_audit": lambda: EX.leakage_audit(cleaned, FIXTURE_CLEAN),
+        "high_missing_variables": lambda: EX.high_missing_variables(d["missingness_by_variable"]),
+        "sensitivity_recommendation": lambda: EX.sensitivity_recommendation(d["temporal_complete_case_summary"]),
+    }
+    d = _Lazy(b)
+    return d
 
 
 register(
@@ -1020,7 +1152,7 @@ register(
         + ", ".join(f"{O._latest(c)} AS latest_{c}" for c in O.FEATURE_STATIC)
         + " FROM frec GROUP BY patient_id HAVING bool_and(true) AND patient_id IN (SELECT patient_id FROM ent WHERE complete)"
     ),
-)(lambda s, sf: round_doubles(FE.feature_sets(FE.entity_features(FE.ensure_ratio(stage3(s, sf)["cleaned_pre_reference_records"]),
+)(lambda s, sf: round_doubles(FE.feature_sets(FE.entity_features(FE.ensure_ratio(cleaned_records(s, sf)),
                                                                     FeatureConfig(schema=FIXTURE_CLEAN, representation="LAST")),
                                               FeatureConfig(schema=FIXTURE_CLEAN, representation="LAST"))["extract_set_1"]))
 
