@@ -80,7 +80,7 @@ def prepare_records(df: DataFrame, cfg: CohortConfig = CohortConfig()) -> DataFr
     dtype = dict(df.dtypes)[s.date]
     out = normalize_nan(df).withColumn(s.date, to_timestamp_safe(q(s.date), dtype))
     out = out.where(q(s.entity).isNotNull() & q(s.date).isNotNull()).dropDuplicates()
-    casts = {c: q(c).try_cast("double") for c in cfg.core_numeric if c in out.columns}
+    casts = {c: F.nanvl(q(c).try_cast("double"), F.lit(None).cast("double")) for c in cfg.core_numeric if c in out.columns}
     return out.withColumns(casts) if casts else out
 
 

@@ -43,6 +43,8 @@ def stream_profile(stream: DataFrame, ts: str, entity: str, value_cols: list[str
     aggs = [F.count(F.lit(1)).alias("events"), F.approx_count_distinct(q(entity)).alias("entities_approx")]
     for c in value_cols:
         aggs += [F.avg(q(c)).alias(f"{c}_mean"), F.avg(q(c).isNull().cast("double")).alias(f"{c}_missing")]
+    if dict(stream.dtypes).get(ts) == "timestamp_ntz":  # watermarks need an instant type
+        stream = stream.withColumn(ts, q(ts).cast("timestamp"))
     return stream.withWatermark(ts, watermark).groupBy(*keys).agg(*aggs)
 
 
