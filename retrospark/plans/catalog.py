@@ -946,7 +946,7 @@ SET1_CTE = (
     + ", ".join([f"CAST({w.lower()}_{c}_mean AS DOUBLE) AS {w.lower()}_{c}_mean" for w in ("FIRST", "MID", "LAST") for c in O.FEATURE_NUMERIC]
                 + [f"CAST(latest_{c} AS DOUBLE) AS latest_{c}" for c in O.FEATURE_STATIC])
     + " FROM ent WHERE complete),\n"
-    "cvp AS (SELECT count(*) AS n, least(5, min(c)) AS k FROM (SELECT stroke, count(*) AS c FROM set1 GROUP BY stroke)),\n"
+    "cvp AS (SELECT sum(c) AS n, least(5, min(c)) AS k FROM (SELECT stroke, count(*) AS c FROM set1 GROUP BY stroke)),\n"
     "folded AS (SELECT s.*, CAST(CASE WHEN (SELECT sum(n) FROM cvp) <= 200 THEN row_number() OVER (ORDER BY md5(CAST(patient_id AS VARCHAR) || ':42')) - 1\n"
     "  ELSE (row_number() OVER (PARTITION BY stroke ORDER BY md5(CAST(patient_id AS VARCHAR) || ':42')) - 1) % (SELECT max(k) FROM cvp) END AS INTEGER) AS fold FROM set1 s),\n"
     "tc AS (SELECT f.*, CAST(t.tf AS INTEGER) AS train_fold FROM folded f JOIN range((SELECT max(fold) + 1 FROM folded)) t(tf) ON t.tf <> f.fold),\n"
