@@ -174,3 +174,41 @@ def cv_policy_report(results: DataFrame, paper: str = "LOOCV") -> DataFrame:
         F.when(exact, F.lit("")).otherwise(F.lit("requested non-LOOCV strategy or auto fallback due to runtime/class constraints")).alias("fallback_reason"),
         "n_patients", "target_positive_count", "target_negative_count",
     )
+
+
+def leakage_evidence(eda_leakage: DataFrame, importance_ran: bool) -> DataFrame:
+    """VAL7: leakage evidence from the EDA audit plus whether the importance stage ran."""
+    row = eda_leakage.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("ok"), F.coalesce(F.sum("failed_record_count"), F.lit(0)).alias("n"))
+    structs = F.array(
+        F.struct(F.lit("eda_no_post_reference_records").alias("check"), F.col("ok").alias("passed"),
+                 F.concat(F.lit("failed_record_count="), F.col("n").cast("string")).alias("detail")),
+        F.struct(F.lit("feature_importance_stage_ran").alias("check"), F.lit(importance_ran).alias("passed"),
+                 F.lit("fold-local selection evidence available" if importance_ran else "feature importance outputs not found").alias("detail")),
+    )
+    return row.select(F.explode(structs).alias("c")).select("c.*")
+
+
+def attrition_view(attrition: DataFrame | None, spark=None) -> DataFrame:
+    """VAL8: the cohort attrition table, or a one-row placeholder when it is missing."""
+    if attrition is not None:
+        return attrition
+    return spark.createDataFrame([("missing", "cohort_attrition_report_not_found")], "step string, reason string")
+
+
+def run_validation(preds: DataFrame, attrition: DataFrame | None = None, eda_leakage: DataFrame | None = None,
+                   importance_ran: bool = False, cfg: EvalConfig = EvalConfig()) -> dict[str, DataFrame]:
+    """VAL9: every validation table from one prediction table (all models in the same jobs)."""
+    spark = preds.sparkSession
+    metrics = metrics_table(preds, cfg)
+    out = {
+        "validation_metrics": ranked(metrics),
+        "validation_confusion_matrices": confusion_table(metrics, cfg),
+        "roc_pr_auc_table": roc_pr_table(metrics, cfg),
+        "baseline_vs_temporal_comparison": baseline_vs_temporal(metrics, cfg),
+        "best_temporal_model": best_temporal_model(metrics, cfg),
+        "mcnemar_test_report": mcnemar_vs_best(preds, metrics, cfg),
+        "cohort_attrition_validation_view": attrition_view(attrition, spark),
+    }
+    if eda_leakage is not None:
+        out["leakage_audit_report"] = leakage_evidence(eda_leakage, importance_ran)
+    return out

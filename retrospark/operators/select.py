@@ -206,3 +206,31 @@ def run_set_analysis(table: DataFrame, set_name: str, cfg: ModelConfig = ModelCo
 def array_features(df: DataFrame, cols: list[str]) -> DataFrame:
     """Helper: pack numeric columns into an ML vector (used by callers that prefer arrays)."""
     return df.withColumn("features", array_to_vector(F.array(*[q(c).cast("double") for c in cols])))
+
+
+def run_feature_importance(tables: dict[str, DataFrame], cfg: ModelConfig = ModelConfig(), k_grid: list[int] = ANOVA_K_GRID,
+                           n_grid: list[int] = PCA_N_GRID) -> dict[str, DataFrame]:
+    """IMP9: ranking, per-set performance grids and best choices for every temporal feature set."""
+    perf, best, skipped, ranking = [], [], [], []
+    for name, t in tables.items():
+        ranking.append(anova_ranking(t, cfg, with_p=True).withColumn("feature_set", F.lit(name)))
+        res = run_set_analysis(t, name, cfg, k_grid, n_grid)
+        perf.append(res["performance"])
+        best.append(res["best"])
+        skipped.append(res["skipped"])
+
+    def union(parts):
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return out
+
+    bests = union(best)
+    summary = bests.groupBy("feature_set").agg(F.max_by(F.struct("method", "anova_k", "pca_n", "g_mean"), F.col("g_mean")).alias("b")).select("feature_set", "b.*")
+    return {
+        "anova_feature_ranking": union(ranking),
+        "performance_grid": union(perf),
+        "best_choice_per_method": bests,
+        "best_choice_per_set": summary,
+        "skipped_sets": union(skipped),
+    }

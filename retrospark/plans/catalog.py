@@ -1165,3 +1165,89 @@ register(
         "months_before_reference BETWEEN 6 AND 18 AS in_mid_window, months_before_reference BETWEEN 3 AND 15 AS in_last_window FROM pre"
     ),
 )(lambda s, sf: stage2(s, sf)["pre_reference_records"].select("hn", "vstdate", *KEYS, "in_first_window", "in_mid_window", "in_last_window"))
+
+# ---------------------------------------------------------------- remaining report operators
+
+register(
+    "aud3_missing_summary",
+    O.with_base(" UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing_count, {O.r6(f'(count(*) - count({c})) / count(*)')} AS missing_percent FROM visits"
+        for c, _ in VISIT_TYPES)),
+)(lambda s, sf: round_doubles(AU.missing_from_summary(audit_stage(s, sf)["raw_schema_summary"])))
+
+
+def _aud5(s: SparkSession, sf: str) -> DataFrame:
+    st = audit_stage(s, sf)
+    raw = fixture_visits(s, sf)
+    return round_doubles(AU.data_dictionary(raw, st["column_availability_checklist"], st["raw_schema_summary"]).drop("example_values", "ordinal"))
+
+
+def _aud5_sql() -> str:
+    from ..config import EXPECTED_COLUMNS, EXPECTED_FIELD_DETAILS
+
+    cols = [c for c, _ in VISIT_TYPES]
+    types = dict(VISIT_TYPES)
+    parts = []
+    for field, cands in EXPECTED_COLUMNS.items():
+        m = next((c for c in cands if c in cols), None)
+        cat, role, req = EXPECTED_FIELD_DETAILS[field]
+        if m:
+            parts.append(
+                f"SELECT '{field}' AS required_field, '{m}' AS matched_column, 'available' AS status, '{cat}' AS category, '{role}' AS paper_role, "
+                f"'{req}' AS required_for, '{types[m]}' AS dtype, {O.r6(f'(count(*) - count({m})) / count(*)')} AS missing_percent, "
+                f"count(DISTINCT {_vstr(m, types[m])}) AS unique_count FROM visits"
+            )
+        else:
+            parts.append(
+                f"SELECT '{field}', '', 'missing', '{cat}', '{role}', '{req}', CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT)"
+            )
+    return O.with_base(" UNION ALL ".join(parts))
+
+
+register("aud5_data_dictionary", _aud5_sql())(_aud5)
+
+register(
+    "coh9_source_record_counts",
+    O.with_base('SELECT count(DISTINCT source_record_id) AS pre_reference_source_records, count(DISTINCT source_record_id) FILTER (WHERE "window" IS NOT NULL) AS window_source_records, count(*) AS long_rows FROM long'),
+)(lambda s, sf: core2(s, sf)[4].agg(
+    C.source_record_count(core2(s, sf)[4]).alias("pre_reference_source_records"),
+    F.count_distinct(F.when(F.col("window").isNotNull(), F.col("source_record_id"))).alias("window_source_records"),
+    F.count(F.lit(1)).alias("long_rows")))
+
+register("cln9_missing_after_cleaning", _missing_by_var_sql())(
+    lambda s, sf: round_doubles(CL.cleaned_missing_summary(cleaned_records(s, sf)).drop("ordinal"))
+)
+register(
+    "cln10_no_post_reference",
+    O.with_base("SELECT bool_and(visit_date <= reference_date) FILTER (WHERE visit_date IS NOT NULL AND reference_date IS NOT NULL) AS no_post_reference_records FROM cleaned"),
+)(lambda s, sf: CL.no_post_reference(cleaned_records(s, sf), FIXTURE_CLEAN))
+
+
+def _cln14(s: SparkSession, sf: str) -> DataFrame:
+    d = stage3(s, sf)
+    return CL.cleaning_acceptance(d["cleaned_pre_reference_records"], d["required_column_report"], d["binary_validation_report"],
+                                  d["range_check_summary"], d["range_change_log"], d["diagnosis_normalization_report"], d["leakage_audit_report"])
+
+
+register("cln14_cleaning_acceptance", None)(_cln14)
+register("cln15_unified_cleaning_log", None)(lambda s, sf: round_doubles(CL.unified_cleaning_log(stage3(s, sf)["range_change_log"], stage3(s, sf)["duplicate_report"])))
+register("eda15_eda_acceptance", None)(lambda s, sf: EX.eda_acceptance(
+    eda_stage(s, sf)["class_imbalance"], eda_stage(s, sf)["temporal_coverage"], eda_stage(s, sf)["missingness_by_window"],
+    eda_stage(s, sf)["leakage_audit"], eda_stage(s, sf)["temporal_complete_case_summary"], eda_stage(s, sf)["sensitivity_recommendation"]))
+register(
+    "val7_leakage_evidence",
+    O.with_base("SELECT 'eda_no_post_reference_records' AS \"check\", count(*) FILTER (WHERE visit_date > reference_date) = 0 AS passed, "
+                "'failed_record_count=' || CAST(count(*) FILTER (WHERE visit_date > reference_date) AS VARCHAR) AS detail FROM cleaned "
+                "UNION ALL SELECT 'feature_importance_stage_ran', false, 'feature importance outputs not found'"),
+)(lambda s, sf: EV.leakage_evidence(eda_stage(s, sf)["leakage_audit"], False))
+register("val8_attrition_view", ORACLES["coh10_attrition_report"])(lambda s, sf: EV.attrition_view(stage2(s, sf)["cohort_attrition_report"]))
+
+
+def _orc3(s: SparkSession, sf: str) -> DataFrame:
+    from ..plans.pipeline import PipelineConfig, run_pipeline
+    from ..sources.visits import FIXTURE_RAW
+
+    return run_pipeline(s, fixture_visits(s, sf), PipelineConfig(raw=FIXTURE_RAW, clean=FIXTURE_CLEAN))["00"]["pipeline_acceptance"]
+
+
+register("orc3_pipeline_acceptance", None)(_orc3)
