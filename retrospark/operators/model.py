@@ -113,6 +113,20 @@ def train_predict_cv(table: DataFrame, name: str, cfg: ModelConfig = ModelConfig
     return preds, result
 
 
+RESULT_DDL = "model_name string, status string, skip_reason string, n_patients bigint, n_features bigint, target_positive_count bigint, target_negative_count bigint, cv_strategy string"
+
+
+def policy_results(tables: dict[str, DataFrame], cfg: ModelConfig = ModelConfig()) -> DataFrame:
+    """Per feature table: CV decision, status and class counts, before any fit (feeds MOD12/MOD13)."""
+    rows = []
+    for name, t in tables.items():
+        mat = feature_matrix(t, cfg)
+        pol = choose_cv(mat, cfg)
+        rows.append((name, "skipped" if pol.skip_reason else "completed", pol.skip_reason, pol.n_rows, len(feature_columns(mat, cfg)),
+                     pol.positives, pol.negatives, pol.strategy or "not_run"))
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, RESULT_DDL)
+
+
 def run_modeling(tables: dict[str, DataFrame], cfg: ModelConfig = ModelConfig()) -> dict[str, DataFrame]:
     """MOD16: CV for each feature table, union of predictions, metrics, reports."""
     from . import evaluate as EV
@@ -130,7 +144,7 @@ def run_modeling(tables: dict[str, DataFrame], cfg: ModelConfig = ModelConfig())
         allp = allp.unionByName(p)
     res = spark.createDataFrame(
         [(r["model_name"], r["status"], r["skip_reason"], r["n_patients"], r["n_features"], r["target_positive_count"], r["target_negative_count"], r["cv_strategy"]) for r in results],
-        "model_name string, status string, skip_reason string, n_patients bigint, n_features bigint, target_positive_count bigint, target_negative_count bigint, cv_strategy string",
+        RESULT_DDL,
     )
     metrics = res.join(EV.metrics_table(allp), on="model_name", how="left")
     return {

@@ -1251,3 +1251,89 @@ def _orc3(s: SparkSession, sf: str) -> DataFrame:
 
 
 register("orc3_pipeline_acceptance", None)(_orc3)
+
+register(
+    "fea3_observation_records",
+    O.with_base(f'SELECT DISTINCT patient_id, visit_date, {O.KEYS} FROM frec WHERE {O.IN_ANY}'),
+)(lambda s, sf: FE.observation_records(FE.ensure_ratio(cleaned_records(s, sf)), FEATURE_CFG).select("patient_id", "visit_date", *KEYS))
+register(
+    "fea4_pre_reference_only",
+    O.with_base("SELECT coalesce(bool_and(visit_date <= reference_date) FILTER (WHERE visit_date IS NOT NULL AND reference_date IS NOT NULL), true) AS pre_reference_only FROM frec"),
+)(lambda s, sf: FE.validate_pre_reference(cleaned_records(s, sf), FEATURE_CFG))
+
+
+def _fea18(s: SparkSession, sf: str) -> DataFrame:
+    d = stage5(s, sf)
+    spark = s
+    comparison = FE.feature_set_comparison(spark, {k: d[k] for k in ("extract_set_1", "extract_set_2", "extract_set_3")})
+    dictionary = FE.feature_dictionary(spark, FEATURE_CFG, set(cleaned_records(s, sf).columns) | {"tc_hdl_ratio"})
+    return FE.feature_acceptance(d["generation_log"], comparison, dictionary, d["temporal_window_usage_report"], d["tc_hdl_audit"])
+
+
+register("fea18_feature_acceptance", None)(_fea18)
+
+register("mod1_feature_matrix", O.with_base("SELECT patient_id, stroke, " + ", ".join(O.r6(c, c) for c in _S1_FEATS) + " FROM set1", SET1_CTE))(
+    lambda s, sf: round_doubles(FO.feature_matrix(stage5(s, sf)["extract_set_1"], MODEL_CFG))
+)
+
+_TABLE_CTES = {
+    "single_shot": f"SELECT patient_id, stroke FROM (SELECT patient_id, arg_max(stroke, {O.ORDER}) AS stroke FROM frec WHERE {O.IN_ANY} GROUP BY patient_id)",
+    "extract_set_1": "SELECT patient_id, label AS stroke FROM ent WHERE complete",
+    "extract_set_2": "SELECT patient_id, label AS stroke FROM ent WHERE complete",
+    "extract_set_3": "SELECT patient_id, label AS stroke FROM ent WHERE complete",
+}
+_NFEAT = {"single_shot": 21, "extract_set_1": 35, "extract_set_2": 115, "extract_set_3": 121}
+
+
+def _policy_sql(select_cols: str, where: str = "") -> str:
+    parts = []
+    for name, q_ in _TABLE_CTES.items():
+        parts.append(
+            f"SELECT '{name}' AS model_name, count(*) AS n, count(*) FILTER (WHERE stroke = 1) AS pos, count(*) FILTER (WHERE stroke = 0) AS neg, "
+            f"{_NFEAT[name]} AS nf FROM ({q_}) WHERE stroke IS NOT NULL"
+        )
+    pol = " UNION ALL ".join(parts)
+    body = f"""SELECT *, CASE WHEN pos = 0 OR neg = 0 THEN 'not_run_single_class' WHEN least(pos, neg) < 2 THEN 'not_run_min_class_lt_2' ELSE '' END AS skip_reason,
+  CASE WHEN pos = 0 OR neg = 0 OR least(pos, neg) < 2 THEN 'not_run' WHEN n <= 200 THEN 'LOOCV' ELSE 'StratifiedKFold_' || CAST(least(5, least(pos, neg)) AS VARCHAR) END AS cv_strategy
+FROM ({pol})"""
+    return O.with_base(f"SELECT {select_cols} FROM ({body}) {where}")
+
+
+def _policy_tables(s: SparkSession, sf: str) -> dict[str, DataFrame]:
+    d = stage5(s, sf)
+    return {k: d[k] for k in ("single_shot", "extract_set_1", "extract_set_2", "extract_set_3")}
+
+
+register(
+    "mod2_cv_policy",
+    _policy_sql("model_name, CASE WHEN skip_reason = '' THEN 'completed' ELSE 'skipped' END AS status, skip_reason, n AS n_patients, "
+                "CAST(nf AS BIGINT) AS n_features, pos AS target_positive_count, neg AS target_negative_count, cv_strategy"),
+)(lambda s, sf: MO.policy_results(_policy_tables(s, sf), MODEL_CFG))
+register(
+    "mod12_skipped_models",
+    _policy_sql("model_name, skip_reason, n AS n_patients, CAST(nf AS BIGINT) AS n_features, pos AS target_positive_count, neg AS target_negative_count, cv_strategy", "WHERE skip_reason <> ''"),
+)(lambda s, sf: EV.skipped_models(MO.policy_results(_policy_tables(s, sf), MODEL_CFG)))
+register(
+    "mod13_cv_policy_report",
+    _policy_sql("model_name, 'LOOCV' AS paper_cv_strategy, cv_strategy AS actual_cv_strategy, cv_strategy = 'LOOCV' AS paper_cv_exact_match, "
+                "CASE WHEN cv_strategy = 'LOOCV' THEN '' ELSE 'requested non-LOOCV strategy or auto fallback due to runtime/class constraints' END AS fallback_reason, "
+                "n AS n_patients, pos AS target_positive_count, neg AS target_negative_count"),
+)(lambda s, sf: EV.cv_policy_report(MO.policy_results(_policy_tables(s, sf), MODEL_CFG)))
+
+
+def _imp4(s: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    folded, feats, policy = set1_folded(s, sf)
+    folded = folded.checkpoint()
+    states = MO.collect_fold_states(folded, feats, policy.folds)
+    rows = []
+    for st in states:
+        used = st.used(feats)
+        tr = VectorAssembler(inputCols=used, outputCol="features").transform(folded.where(F.col("fold") != st.fold).select(*st.exprs(feats)))
+        model = PCA(k=min(5, len(used)), inputCol="features", outputCol="pcs").fit(tr)
+        rows += [(st.fold, i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]
+    return s.createDataFrame(rows, "train_fold int, component int, explained_variance_ratio double")
+
+
+register("imp4_fold_pca_variance", None)(_imp4)
