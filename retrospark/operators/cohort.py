@@ -495,9 +495,13 @@ def cohort_acceptance(cohort: DataFrame, long: DataFrame, completeness: DataFram
     return _checks(row, checks)
 
 
-def run_target_cohort(raw: DataFrame, cfg: CohortConfig = CohortConfig()) -> dict[str, DataFrame]:
-    """COH17: all stage-02 tables, lazily (nothing is executed here)."""
-    prepared = prepare_records(raw, cfg)
+def run_target_cohort(raw: DataFrame, cfg: CohortConfig = CohortConfig(), prepared: DataFrame | None = None) -> dict[str, DataFrame]:
+    """COH17: all stage-02 tables, lazily (nothing is executed here).
+
+    ``prepared`` may be given already materialised (the pipeline writes it once so the cohort
+    aggregate and the reference-date join read it instead of re-scanning the raw input).
+    """
+    prepared = prepared if prepared is not None else prepare_records(raw, cfg)
     cohort, pre, long = build_windowed_records(prepared, cfg)
     completeness = cohort_completeness(long, cfg)
     attrition = attrition_report(raw, prepared, long, completeness, cfg)

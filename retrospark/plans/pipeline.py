@@ -1,8 +1,8 @@
 """End-to-end run (ORC1-ORC4): audit -> cohort -> cleaning -> EDA -> features [-> models -> validation].
 
-Everything is one lazy plan until a table is written.  Two tables are reused by many
-outputs and are materialised once: the cleaned long-format records and the
-entity-level feature aggregate.  When ``output_root`` is given each stage's tables are
+Everything is one lazy plan until a table is written.  Three tables are reused by many
+outputs and are materialised once: the prepared (deduplicated) records, the cleaned
+long-format records and the entity-level feature aggregate.  When ``output_root`` is given each stage's tables are
 written there (Parquet) and the next stage reads them back, so lineage is cut at stage
 boundaries on shared storage (an executor loss re-runs one stage, not the whole chain).
 Without an output root, lineage is cut with ``checkpoint()`` into the session's
@@ -108,7 +108,8 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: PipelineConfig = Pipe
     dirs = stage_dirs(cfg.output_root) if cfg.output_root else {}
     cohort_cfg = CohortConfig(schema=cfg.raw)
     st1 = AU.run_raw_data_audit(raw, cfg.raw)
-    st2 = C.run_target_cohort(raw, cohort_cfg)
+    prepared = _cut(C.prepare_records(raw, cohort_cfg), dirs and f"{dirs['target_cohort_output']}/prepared_records", spark)
+    st2 = C.run_target_cohort(raw, cohort_cfg, prepared=prepared)
     long = st2["pre_reference_records_with_windows"]
     st3 = CL.run_data_cleaning(long, cfg.clean)
     cleaned = _cut(st3["cleaned_pre_reference_records"], dirs and f"{dirs['data_cleaning_output']}/cleaned_pre_reference_records", spark)
@@ -145,7 +146,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: PipelineConfig = Pipe
             if stage == "00":
                 continue
             for name, df in tables.items():
-                if name in ("cleaned_pre_reference_records", "entity_aggregate"):
+                if name in ("cleaned_pre_reference_records", "entity_aggregate", "prepared"):
                     continue
                 write_table(df, f"{dirs[names[stage]]}/{name}")
     return out
