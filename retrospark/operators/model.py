@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..config import ModelConfig
 from ..functions.codes import q
 from .folds import CvPolicy, assign_folds, choose_cv, feature_columns, feature_matrix, fold_statistics
@@ -83,7 +84,8 @@ def score(model_vec, test: DataFrame, name: str, fold: int, cfg: ModelConfig) ->
 def train_predict_cv(table: DataFrame, name: str, cfg: ModelConfig = ModelConfig(), policy: CvPolicy | None = None) -> tuple[DataFrame, dict]:
     """MOD8: out-of-fold predictions for one feature table plus a result record."""
     spark = table.sparkSession
-    mat = feature_matrix(table, cfg)
+    ensure_checkpoint_dir(spark)
+    mat = feature_matrix(table, cfg).checkpoint()  # one row per entity; read by the policy, the ranks and every fold
     feats = feature_columns(mat, cfg)
     policy = policy or choose_cv(mat, cfg)
     result = {

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import ensure_checkpoint_dir
 from ..config import ANOVA_K_GRID, PCA_N_GRID, ModelConfig
 from ..functions.codes import q
 from . import evaluate as EV
@@ -171,7 +172,8 @@ def evaluate_candidate(folded: DataFrame, feats: list[str], states, counts, poli
 def run_set_analysis(table: DataFrame, set_name: str, cfg: ModelConfig = ModelConfig(), k_grid: list[int] = ANOVA_K_GRID, n_grid: list[int] = PCA_N_GRID) -> dict[str, DataFrame]:
     """IMP8: grid over ANOVA k, PCA n and ANOVA+PCA (n <= k); metrics per candidate; best per method."""
     spark = table.sparkSession
-    mat = feature_matrix(table, cfg)
+    ensure_checkpoint_dir(spark)
+    mat = feature_matrix(table, cfg).checkpoint()
     feats = feature_columns(mat, cfg)
     policy = choose_cv(mat, cfg)
     if policy.skip_reason:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..config import FeatureConfig
 from ..operators import cleaning as CL
 from ..operators import cohort as C
@@ -956,7 +957,12 @@ SET1_CTE = (
 
 
 def set1_folded(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], FO.CvPolicy]:
-    mat = FO.feature_matrix(stage5(spark, sf)["extract_set_1"], MODEL_CFG)
+    return _memo("set1_folded", spark, sf, lambda: _set1_folded(spark, sf))
+
+
+def _set1_folded(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], FO.CvPolicy]:
+    ensure_checkpoint_dir(spark)
+    mat = FO.feature_matrix(stage5(spark, sf)["extract_set_1"], MODEL_CFG).checkpoint()
     policy = FO.choose_cv(mat, MODEL_CFG)
     return FO.assign_folds(mat, policy, MODEL_CFG), FO.feature_columns(mat, MODEL_CFG), policy
 
@@ -1325,6 +1331,7 @@ def _imp4(s: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.feature import PCA, VectorAssembler
 
     folded, feats, policy = set1_folded(s, sf)
+    ensure_checkpoint_dir(s)
     folded = folded.checkpoint()
     states = MO.collect_fold_states(folded, feats, policy.folds)
     rows = []
