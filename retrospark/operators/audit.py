@@ -20,7 +20,7 @@ from ..config import (
 )
 from ..functions.codes import code_match, q
 from ..functions.dates import days_between
-from ..functions.profile import first_k_per_group, scalar_row, stack_metrics
+from ..functions.profile import exact_quantiles, first_k_per_group, scalar_row, stack_metrics
 
 
 def _order(df: DataFrame, schema: RawSchema) -> list[str]:
@@ -122,17 +122,19 @@ def visit_coverage(df: DataFrame, schema: RawSchema = RawSchema()) -> DataFrame:
 def coverage_overview(coverage: DataFrame) -> DataFrame:
     """AUD7: min/median/mean/max of records and follow-up per entity, plus two screens.
 
-    Medians are exact (``percentile`` keeps a value->count map, so its buffer is bounded by
-    the number of distinct counts/day spans, not by the number of entities).
+    Medians are exact and distributed (:func:`exact_quantiles`).
     """
     r, f = F.col("record_count"), F.col("followup_days")
     agg = coverage.agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(r).alias("rmin"), F.percentile(r, 0.5).alias("rmed"), F.avg(r).alias("rmean"), F.max(r).alias("rmax"),
-        F.min(f).alias("fmin"), F.percentile(f, 0.5).alias("fmed"), F.avg(f).alias("fmean"), F.max(f).alias("fmax"),
+        F.min(r).alias("rmin"), F.avg(r).alias("rmean"), F.max(r).alias("rmax"),
+        F.min(f).alias("fmin"), F.avg(f).alias("fmean"), F.max(f).alias("fmax"),
         F.count_if(f >= F.lit(21 * MONTH_DAYS)).alias("f21"),
         F.count_if(r >= 3).alias("r3"),
     )
+    rmed = exact_quantiles(coverage, [], "record_count", [0.5], prefix="rmed").select(F.col("rmed0").alias("rmed"))
+    fmed = exact_quantiles(coverage, [], "followup_days", [0.5], prefix="fmed").select(F.col("fmed0").alias("fmed"))
+    agg = scalar_row(agg, rmed, fmed)
     c = F.col
     return stack_metrics(
         agg,

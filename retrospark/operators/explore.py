@@ -1,7 +1,8 @@
 """Stage 04: exploratory analysis of the cleaned long-format records.
 
-All summaries are aggregates.  Exact quantiles use ``percentile`` (a value->count map
-per group, merged map-side), never ``approx_percentile``.  The visit-gap summary never
+All summaries are aggregates.  Exact quantiles come from :func:`exact_quantiles` (distinct
+values bucketed and ranked in parallel), never ``approx_percentile`` and never one buffer
+holding a whole group.  The visit-gap summary never
 sorts an entity's rows: it first collapses records to (entity, day) counts -- a bounded
 number of days per entity -- and derives the gap multiset with frequencies from that.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import EDA_NUMERIC, HIGH_MISSING_THRESHOLD, MIN_COMPLETE_POSITIVES_FOR_MODELLING, CleanSchema
 from ..functions.codes import q
 from ..functions.dates import days_between
-from ..functions.profile import missing_summary, scalar_row, stack_metrics
+from ..functions.profile import exact_quantiles, missing_summary, scalar_row, stack_metrics
 
 WINDOW_NAMES = ["FIRST", "MID", "LAST"]
 
@@ -42,19 +43,21 @@ def visit_frequency(records: DataFrame, schema: CleanSchema = CleanSchema(), ded
 def visit_distribution(freq: DataFrame) -> DataFrame:
     """EDA3: n, mean, median, min, max, p25, p75 of visits per entity (exact quantiles)."""
     v = F.col("visit_count")
-    q3 = F.percentile(v, [0.25, 0.5, 0.75])
-    return freq.agg(
+    base = freq.agg(
         F.count(F.lit(1)).alias("patients"),
         F.coalesce(F.avg(v), F.lit(0.0)).alias("mean_visits"),
-        q3.alias("__q"),
         F.coalesce(F.min(v), F.lit(0)).alias("min_visits"),
         F.coalesce(F.max(v), F.lit(0)).alias("max_visits"),
-    ).select(
+    )
+    quart = exact_quantiles(freq, [], "visit_count", [0.25, 0.5, 0.75])
+    # both sides hold at most one row; an empty input keeps the one-row summary with zeros
+    row = base.join(quart, on=F.lit(True), how="left")
+    return row.select(
         "patients", "mean_visits",
-        F.coalesce(F.col("__q")[1], F.lit(0.0)).alias("median_visits"),
+        F.coalesce(F.col("q1"), F.lit(0.0)).alias("median_visits"),
         "min_visits", "max_visits",
-        F.coalesce(F.col("__q")[0], F.lit(0.0)).alias("p25_visits"),
-        F.coalesce(F.col("__q")[2], F.lit(0.0)).alias("p75_visits"),
+        F.coalesce(F.col("q0"), F.lit(0.0)).alias("p25_visits"),
+        F.coalesce(F.col("q2"), F.lit(0.0)).alias("p75_visits"),
     )
 
 
@@ -85,12 +88,12 @@ def time_gap_summary(records: DataFrame, schema: CleanSchema = CleanSchema()) ->
     agg = g.agg(
         F.sum(freq).alias("gap_count"),
         (F.sum(gap * freq) / F.sum(freq)).alias("mean_days"),
-        F.percentile(gap, [0.25, 0.5, 0.75], freq).alias("__q"),
         F.max(gap).alias("max_days"),
     )
-    return agg.where(F.col("gap_count") > 0).select(
+    quart = exact_quantiles(g, [], "gap_days", [0.25, 0.5, 0.75], weight="freq")
+    return scalar_row(agg.where(F.col("gap_count") > 0), quart).select(
         F.col("gap_count").cast("bigint").alias("gap_count"), "mean_days",
-        F.col("__q")[1].alias("median_days"), F.col("__q")[0].alias("p25_days"), F.col("__q")[2].alias("p75_days"),
+        F.col("q1").alias("median_days"), F.col("q0").alias("p25_days"), F.col("q2").alias("p75_days"),
         F.col("max_days").cast("bigint").alias("max_days"),
     )
 
@@ -191,15 +194,15 @@ def descriptive_stats(records: DataFrame, label: str = "stroke", columns: list[s
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
-        F.percentile(v, [0.25, 0.5, 0.75]).alias("__q"),
         F.max(v).alias("max"),
     ).where(F.col("__gid") < 2)
-    return g.select(
-        "column",
-        F.when(F.col("__gid") == 1, F.lit("all")).otherwise(F.col("__label").cast("string")).alias("stroke"),
-        "count", "mean",
+    g = g.withColumn("stroke", F.when(F.col("__gid") == 1, F.lit("all")).otherwise(F.col("__label").cast("string")))
+    both = long.withColumn("stroke", F.col("__label").cast("string")).unionByName(long.withColumn("stroke", F.lit("all")))
+    quart = exact_quantiles(both, ["column", "stroke"], "value", [0.25, 0.5, 0.75])
+    return g.join(quart, on=["column", "stroke"], how="left").select(
+        "column", "stroke", "count", "mean",
         F.when(F.col("count") > 1, F.col("std")).alias("std"),
-        "min", F.col("__q")[0].alias("p25"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("p75"), "max",
+        "min", F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), "max",
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import ModelConfig
 from ..functions.codes import q
+from ..functions.profile import exact_quantiles
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal", "boolean")
 
@@ -102,7 +103,9 @@ def _unpivot(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
 def fold_medians(folded: DataFrame, features: list[str], k: int) -> DataFrame:
     """MOD5: exact median of every feature over each training fold (null when all-null)."""
     long = _unpivot(training_copies(folded, k), ["train_fold"], features)
-    return long.groupBy("train_fold", "feature").agg(F.percentile("value", 0.5).alias("median"))
+    med = exact_quantiles(long, ["train_fold", "feature"], "value", [0.5]).select("train_fold", "feature", F.col("q0").alias("median"))
+    # features with no value in a training fold keep a null median (dropped downstream)
+    return long.select("train_fold", "feature").distinct().join(med, on=["train_fold", "feature"], how="left")
 
 
 def fold_scaling(folded: DataFrame, features: list[str], k: int, medians: DataFrame) -> DataFrame:

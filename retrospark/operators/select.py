@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType
 from ..session import ensure_checkpoint_dir
 from ..config import ANOVA_K_GRID, PCA_N_GRID, ModelConfig
 from ..functions.codes import q
+from ..functions.profile import exact_quantiles
 from . import evaluate as EV
 from .folds import _unpivot, assign_folds, choose_cv, feature_columns, feature_matrix, training_copies
 from .model import balanced_weight, collect_fold_states
@@ -100,8 +101,8 @@ def anova_ranking(table: DataFrame, cfg: ModelConfig = ModelConfig(), with_p: bo
     mat = feature_matrix(table, cfg)
     feats = feature_columns(mat, cfg)
     long = _unpivot(mat, [cfg.label], feats)
-    med = long.groupBy("feature").agg(F.percentile("value", 0.5).alias("__m"))
-    imputed = long.join(med, on="feature").where(F.col("__m").isNotNull()).withColumn("value", F.coalesce("value", "__m"))
+    med = exact_quantiles(long, ["feature"], "value", [0.5]).select("feature", F.col("q0").alias("__m"))
+    imputed = long.join(med, on="feature").withColumn("value", F.coalesce("value", "__m"))
     scores = anova_moments(imputed, [], cfg.label)
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(F.round("f_score", 6)), "feature")  # one row per feature
     out = scores.withColumn("rank", F.row_number().over(w))
@@ -116,8 +117,8 @@ def fold_anova_topk(folded: DataFrame, features: list[str], k_folds: int, top_k:
     F scores equal to 6 decimals (e.g. proportional features) are ordered by feature name.
     """
     long = _unpivot(training_copies(folded, k_folds), ["train_fold", cfg.label], features)
-    med = long.groupBy("train_fold", "feature").agg(F.percentile("value", 0.5).alias("__m"))
-    imputed = long.join(med, on=["train_fold", "feature"]).where(F.col("__m").isNotNull()).withColumn("value", F.coalesce("value", "__m"))
+    med = exact_quantiles(long, ["train_fold", "feature"], "value", [0.5]).select("train_fold", "feature", F.col("q0").alias("__m"))
+    imputed = long.join(med, on=["train_fold", "feature"]).withColumn("value", F.coalesce("value", "__m"))
     scores = anova_moments(imputed, ["train_fold"], cfg.label)
     w = Window.partitionBy("train_fold").orderBy(F.desc_nulls_last(F.round("f_score", 6)), "feature")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("train_fold", "feature", "f_score", "rank")
