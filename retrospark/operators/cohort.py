@@ -4,10 +4,12 @@ Physical design (for very large visit tables):
 
 * The per-entity cohort is ONE hash aggregate (partial + final), so a hot entity is
   combined map-side before the shuffle.
-* The reference date is attached back to the records with an equi-join on the entity
-  key; the cohort side is one row per entity, so AQE's skew-join split of a hot entity
-  only replicates a single cohort row.  Downstream aggregations group by the same key
-  and reuse the join's hash partitioning.
+* The reference date is attached back to the records with an equi-join on
+  (entity, salt).  Entities with more than ``hot_entity_rows`` records (known from the
+  cohort's record count) get their records spread over ``salts`` partitions and their
+  single cohort row replicated per salt; the hot-entity list is broadcast with a size
+  bound of records / hot_entity_rows.  The entity aggregates downstream shuffle only
+  their partial aggregates.
 * Window membership is computed as multi-hot booleans on each record (no range join,
   no copy per window); the long format is a narrow ``explode_outer``.
 * Completeness, window distributions and attrition are single conditional aggregates.
@@ -153,9 +155,18 @@ def pre_reference_records(records: DataFrame, cohort: DataFrame, cfg: CohortConf
     s = cfg.schema
     cols = records.columns
     rid = F.xxhash64(*[q(c) for c in cols])
-    joined = records.join(
-        cohort.select(s.entity, "stroke", "reference_date", "reference_rule"), on=s.entity, how="inner"
-    ).where(q(s.date) <= F.col("reference_date"))
+    # Salted join for hot entities: their records spread over ``salts`` partitions and their
+    # single cohort row is replicated once per salt; every other entity keeps salt 0.
+    hot_flag = F.col("record_count") > F.lit(cfg.hot_entity_rows)
+    hot = cohort.where(hot_flag).select(s.entity, F.lit(True).alias("__hot"))
+    rec = records.join(F.broadcast(hot), on=s.entity, how="left").withColumn(
+        "__salt", F.when(F.col("__hot"), F.pmod(rid, F.lit(cfg.salts))).otherwise(F.lit(0)).cast("bigint")
+    ).drop("__hot")
+    side = cohort.select(
+        s.entity, "stroke", "reference_date", "reference_rule",
+        F.explode(F.when(hot_flag, F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("__salt"),
+    )
+    joined = rec.join(side, on=[s.entity, "__salt"], how="inner").drop("__salt").where(q(s.date) <= F.col("reference_date"))
     days = days_between(F.col("reference_date"), q(s.date))
     out = joined.withColumns(
         {
