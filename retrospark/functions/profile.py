@@ -78,8 +78,9 @@ def exact_quantiles(
     value: str,
     probs: list[float],
     weight: str | None = None,
-    buckets: int = 512,
+    buckets: int | None = None,
     prefix: str = "q",
+    values_per_bucket: int = 200_000,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, without holding a group in one buffer.
 
@@ -91,13 +92,23 @@ def exact_quantiles(
     4. inside each bucket a window over values gives each value's rank interval;
     5. the values covering the two ranks around each target position are interpolated.
     Output: one row per group with ``{prefix}{i}`` for each probability and ``n`` (total weight).
+    The collapsed (group, value, weight) table is checkpointed, so building this DataFrame runs
+    one job over the input.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     out_keys = list(keys)
     keys = out_keys or ["__all"]  # a global quantile is one group
     src = df if out_keys else df.withColumn("__all", F.lit(0))
     base = src.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("__v"), w.alias("__w")).where(F.col("__v").isNotNull())
-    dv = base.groupBy(*keys, "__v").agg(F.sum("__w").alias("__w"))
+    # The collapsed table is read three times below (bounds, bucket totals, ranks): materialise
+    # it once in the shared checkpoint folder instead of re-running the input plan each time.
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    dv = base.groupBy(*keys, "__v").agg(F.sum("__w").alias("__w")).checkpoint()
+    if buckets is None:  # enough buckets that each holds about ``values_per_bucket`` distinct values
+        largest = dv.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        buckets = int(min(1024, max(8, -(-largest // values_per_bucket))))
     qs = [i / buckets for i in range(1, buckets)]
     bounds = dv.groupBy(*keys).agg(F.percentile_approx("__v", qs, 10000).alias("__b"), F.sum("__w").alias("n"))
     dv = dv.join(bounds.drop("n"), on=keys)  # bounds: one row per group, ``buckets`` numbers
