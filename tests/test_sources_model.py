@@ -101,3 +101,20 @@ def test_f_pvalue_reference_points():
     assert abs(p(3.936, 1, 100) - 0.05) < 5e-4
     assert abs(p(4.965, 1, 10) - 0.05) < 5e-4
     assert p(0.0, 1, 10) == 1.0
+
+
+def test_optional_catalog_context_and_sinks(spark):
+    from retrospark.sources.files import feature_catalog, optional_table, read_context, write_report, write_table
+
+    root = tempfile.mkdtemp(prefix="retrospark-files-")
+    empty = optional_table(spark, os.path.join(root, "missing"), "a int, b string")
+    assert empty.count() == 0 and empty.columns == ["a", "b"]
+    df = spark.createDataFrame([(1, 0.5)], "patient_id long, x double")
+    write_table(df, os.path.join(root, "single_shot"))
+    cat = feature_catalog(spark, root)
+    assert list(cat) == ["single_shot"] and cat["single_shot"].count() == 1
+    with pytest.raises(FileNotFoundError):
+        feature_catalog(spark, os.path.join(root, "nowhere"))
+    write_report(spark.createDataFrame([("extract_set_1", 0.7)], "best string, g double"), os.path.join(root, "report"))
+    ctx = read_context(spark, os.path.join(root, "report")).first()
+    assert ctx.best == "extract_set_1"
