@@ -91,7 +91,8 @@ def exact_quantiles(
     3. bucket totals give each bucket's first rank (small window over buckets);
     4. inside each bucket a window over values gives each value's rank interval;
     5. the values covering the two ranks around each target position are interpolated.
-    Output: one row per group with ``{prefix}{i}`` for each probability and ``n`` (total weight).
+    Output: one row per group with ``{prefix}{i}`` for each probability, ``n`` (total weight)
+    and the weighted ``{prefix}_mean``, ``{prefix}_min``, ``{prefix}_max``.
     The collapsed (group, value, weight) table is checkpointed, so building this DataFrame runs
     one job over the input.
     """
@@ -139,4 +140,10 @@ def exact_quantiles(
     )
     val = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__f")
     out = picked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("qi") == i, val)).alias(f"{prefix}{i}") for i in range(len(probs))])
+    moments = dv.groupBy(*keys).agg(
+        (F.sum(F.col("__v") * F.col("__w")) / F.sum("__w")).alias(f"{prefix}_mean"),
+        F.min("__v").alias(f"{prefix}_min"),
+        F.max("__v").alias(f"{prefix}_max"),
+    )
+    out = out.join(moments, on=keys)
     return out if out_keys else out.drop("__all")

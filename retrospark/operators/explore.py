@@ -84,17 +84,12 @@ def visit_gaps(records: DataFrame, schema: CleanSchema = CleanSchema()) -> DataF
 def time_gap_summary(records: DataFrame, schema: CleanSchema = CleanSchema()) -> DataFrame:
     """EDA5: count, mean, median, p25, p75, max of days between consecutive visits."""
     g = visit_gaps(records, schema)
-    gap, freq = F.col("gap_days"), F.col("freq")
-    agg = g.agg(
-        F.sum(freq).alias("gap_count"),
-        (F.sum(gap * freq) / F.sum(freq)).alias("mean_days"),
-        F.max(gap).alias("max_days"),
-    )
+    # one pass: count, mean and max come with the quantiles from the collapsed gap table
     quart = exact_quantiles(g, [], "gap_days", [0.25, 0.5, 0.75], weight="freq")
-    return scalar_row(agg.where(F.col("gap_count") > 0), quart).select(
-        F.col("gap_count").cast("bigint").alias("gap_count"), "mean_days",
+    return quart.where(F.col("n") > 0).select(
+        F.col("n").cast("bigint").alias("gap_count"), F.col("q_mean").alias("mean_days"),
         F.col("q1").alias("median_days"), F.col("q0").alias("p25_days"), F.col("q2").alias("p75_days"),
-        F.col("max_days").cast("bigint").alias("max_days"),
+        F.col("q_max").cast("bigint").alias("max_days"),
     )
 
 
