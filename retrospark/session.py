@@ -46,12 +46,15 @@ RECOMMENDED_CONF = {
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only when none is configured."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Connect: the server owns the checkpoint folder)
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
+    if not conf:  # only outside a cluster (tests, local runs): a scratch folder of our own
         conf = tempfile.mkdtemp(prefix="retrospark-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
