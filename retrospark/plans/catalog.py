@@ -66,7 +66,11 @@ _MEMO: dict = {}
 
 def _memo(kind: str, spark: SparkSession, sf: str, build):
     """Plan handles are immutable; reuse them across queries of one session (no data is cached)."""
-    key = (kind, id(spark), sf)
+    try:
+        app = spark.conf.get("spark.app.id", "")
+    except Exception:  # noqa: BLE001
+        app = ""
+    key = (kind, id(spark), app, sf)
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
