@@ -41,6 +41,10 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # start wide and let AQE coalesce: ~200 MB per shuffle partition after coalescing
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # set spark.sql.shuffle.partitions to about (largest shuffle bytes / 200 MB), e.g. 20000 for 4 TB
 }
 
 
