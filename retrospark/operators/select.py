@@ -98,7 +98,8 @@ def anova_moments(long: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 def anova_ranking(table: DataFrame, cfg: ModelConfig = ModelConfig(), with_p: bool = True) -> DataFrame:
     """IMP1: F, p and rank per feature over the whole table after global median imputation."""
-    mat = feature_matrix(table, cfg)
+    ensure_checkpoint_dir(table.sparkSession)
+    mat = feature_matrix(table, cfg).checkpoint()  # one row per entity; read by the medians and the moments
     feats = feature_columns(mat, cfg)
     long = _unpivot(mat, [cfg.label], feats)
     med = exact_quantiles(long, ["feature"], "value", [0.5]).select("feature", F.col("q0").alias("__m"))
