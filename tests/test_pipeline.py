@@ -45,3 +45,19 @@ def test_input_manifest(spark):
     data = open(f"{SF001}/nation.parquet", "rb").read()
     assert rows["nation.parquet"].sha256 == hashlib.sha256(data).hexdigest()
     assert rows["nation.parquet"].size_bytes == len(data)
+
+
+def test_pipeline_with_models(spark):
+    from retrospark.config import ModelConfig
+    from retrospark.plans.pipeline import PipelineConfig, run_pipeline
+    from retrospark.sources.visits import FIXTURE_CLEAN, FIXTURE_RAW, fixture_visits
+
+    cfg = PipelineConfig(raw=FIXTURE_RAW, clean=FIXTURE_CLEAN, skip_modeling=False,
+                         model=ModelConfig(entity="patient_id", label="stroke", cv_strategy="stratified", max_folds=2, max_iter=10))
+    out = run_pipeline(spark, fixture_visits(spark, SF001), cfg)
+    metrics = {r.model_name: r for r in out["08"]["validation_metrics"].collect()}
+    assert set(metrics) == {"single_shot", "extract_set_1", "extract_set_2", "extract_set_3"}
+    mc = out["08"]["mcnemar_test_report"].first()
+    assert mc.baseline_model == "single_shot" and mc.challenger_model in metrics
+    failed = [(r.stage, r.check) for r in out["00"]["pipeline_acceptance"].collect() if not r.passed]
+    assert not failed, failed
