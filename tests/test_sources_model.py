@@ -118,3 +118,15 @@ def test_optional_catalog_context_and_sinks(spark):
     write_report(spark.createDataFrame([("extract_set_1", 0.7)], "best string, g double"), os.path.join(root, "report"))
     ctx = read_context(spark, os.path.join(root, "report")).first()
     assert ctx.best == "extract_set_1"
+
+
+def test_feature_importance_runner(spark):
+    from retrospark.config import ModelConfig
+    from retrospark.operators import select as SE
+    from retrospark.plans import catalog as K
+
+    cfg = ModelConfig(entity="patient_id", label="stroke", cv_strategy="stratified", max_folds=2, max_iter=10)
+    t = K.stage5(spark, SF001)["extract_set_1"]
+    out = SE.run_feature_importance({"extract_set_1": t}, cfg, k_grid=[5], n_grid=[2])
+    assert out["best_choice_per_set"].count() == 1
+    assert out["anova_feature_ranking"].count() == 35
