@@ -192,8 +192,10 @@ def descriptive_stats(records: DataFrame, label: str = "stroke", columns: list[s
         F.max(v).alias("max"),
     ).where(F.col("__gid") < 2)
     g = g.withColumn("stroke", F.when(F.col("__gid") == 1, F.lit("all")).otherwise(F.col("__label").cast("string")))
-    both = long.withColumn("stroke", F.col("__label").cast("string")).unionByName(long.withColumn("stroke", F.lit("all")))
-    quart = exact_quantiles(both, ["column", "stroke"], "value", [0.25, 0.5, 0.75])
+    # collapse to (column, label, value, count) once; the "all" level re-groups that small table
+    dv = long.groupBy("column", F.col("__label").cast("string").alias("stroke"), "value").agg(F.count(F.lit(1)).alias("__n"))
+    both = dv.unionByName(dv.groupBy("column", "value").agg(F.sum("__n").alias("__n")).withColumn("stroke", F.lit("all")))
+    quart = exact_quantiles(both, ["column", "stroke"], "value", [0.25, 0.5, 0.75], weight="__n")
     return g.join(quart, on=["column", "stroke"], how="left").select(
         "column", "stroke", "count", "mean",
         F.when(F.col("count") > 1, F.col("std")).alias("std"),
