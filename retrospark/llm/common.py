@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,14 @@ from retrospark.session import ensure_checkpoint_dir
 MASK32 = 0xFFFFFFFF
 
 
+def ship(module: str) -> None:
+    """Send functions of this module to executors by value, so that they need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship(__name__)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

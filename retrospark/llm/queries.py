@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import fingerprint, mixing, urlrules
+from retrospark.llm import fingerprint, langid, mixing, pieces, urlrules
 from retrospark.llm.common import table
 
 # ---------------------------------------------------------------- op1
@@ -16,6 +16,14 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---------------------------------------------------------------- op3
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from the ids whose crc32 mod 4 is not 2."""
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 # ---------------------------------------------------------------- op4
 
 
@@ -24,6 +32,22 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+# ---------------------------------------------------------------- op6
+
+
+def piece_model() -> str:
+    """Path of the public 32k BPE model (a parameter of the operator; the file is not part of the repository)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    model = pieces.PieceTable.from_model(piece_model())
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+
+
 # ---------------------------------------------------------------- op8
 
 MIX_ROUNDS = 10
@@ -89,7 +113,9 @@ def mixing_sql(docs: str = "documents") -> str:
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_mixing": op8_mixing,
 }
 
