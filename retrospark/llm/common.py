@@ -24,6 +24,14 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
+def once(shared, build):
+    """The object that ``build`` makes of a broadcast dict, made once per worker process and kept beside it."""
+    state = shared.value
+    if "_made" not in state:
+        state["_made"] = build(**state)
+    return state["_made"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

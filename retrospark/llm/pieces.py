@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retrospark.llm.common import sha256_hex, ship
+from retrospark.llm.common import once, sha256_hex, ship
 
 ship(__name__)
 
@@ -56,9 +56,6 @@ class PieceTable:
         kind = lambda i: "byte" if sp.is_byte(i) else "control" if sp.is_control(i) or sp.is_unused(i) else "unknown" if sp.is_unknown(i) else "normal"
         return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [kind(i) for i in range(n)])
 
-    def __getstate__(self):
-        return {"pieces": self.pieces, "scores": self.scores, "kinds": self.kinds, "_ready": False}
-
     def _prepare(self) -> None:
         if self._ready:
             return
@@ -241,13 +238,13 @@ def _utf8(run: bytearray) -> str:
 
 def encode_documents(docs: DataFrame, table: PieceTable, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """``keep`` columns plus n_tokens, ids_sha256, decoded_sha256 of every row (and ids, decoded if asked)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast({"pieces": table.pieces, "scores": table.scores, "kinds": table.kinds})
     rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value  # one object per worker process: its tables of words and pairs stay
+        t = once(shared, PieceTable)  # one object per worker process: its tables of words and pairs stay
         for pdf in batches:
             out = pdf[list(keep)].copy()
             got = [t.digests(x) for x in pdf["_text"]]

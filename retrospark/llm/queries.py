@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import fingerprint, langid, mixing, pieces, urlrules
+from retrospark.llm import bitlm, fingerprint, langid, mixing, pieces, urlrules
 from retrospark.llm.common import table
 
 # ---------------------------------------------------------------- op1
@@ -111,12 +111,21 @@ def mixing_sql(docs: str = "documents") -> str:
     )
 
 
+# ---------------------------------------------------------------- op10
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and context-mixing score of every document."""
+    return bitlm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_mixing": op8_mixing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES = {
