@@ -145,26 +145,30 @@ def fingerprint_with_edits(docs: DataFrame, pattern: str = PARAGRAPH) -> DataFra
     single document follows itself); a row with null doc_id has no next document, so its last
     quarter is dropped and near_next is 0 (1 if its text is empty).
     """
-    ring = neighbours(docs)
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ring, "doc_id", "left")
+    columns = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = columns.where(F.col("doc_id").isNotNull())
+    # both uses of ``base`` are inner joins over the same scan, so the texts are shuffled once
+    base = known.join(neighbours(docs), "doc_id")
     starts = (
-        base.where(F.col("prev_id").isNotNull())
-        .select(
+        base.select(
             F.col("prev_id").alias("doc_id"),
             F.struct(F.substring(F.col("text"), F.lit(1), F.col("take")).alias("start"), lanes(F.col("text"), pattern).alias("lanes")).alias("nx"),
         )
         .groupBy("doc_id")
         .agg(F.min("nx").alias("nx"))
     )
+    zero = F.array_repeat(F.lit(0).cast("bigint"), LANES)
+    lone = columns.where(F.col("doc_id").isNull()).withColumn("nx", F.struct(F.lit("").alias("start"), zero.alias("lanes")))
+    rows = base.select("doc_id", "text").join(starts, "doc_id").unionByName(lone)
     n, q = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - q), F.coalesce(F.substring(F.col("nx.start"), F.lit(1), q), F.lit("")))
-    rows = base.select("doc_id", "text").join(starts, "doc_id", "left").select(
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - q), F.substring(F.col("nx.start"), F.lit(1), q))
+    rows = rows.select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
         lanes(F.col("text"), pattern).alias("own"),
         lanes(edited, pattern).alias("edit"),
-        F.coalesce(F.col("nx.lanes"), F.array_repeat(F.lit(0).cast("bigint"), LANES)).alias("next"),
+        F.col("nx.lanes").alias("next"),
     )
     return rows.select(
         "doc_id",
