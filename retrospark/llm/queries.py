@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import bitlm, fingerprint, langid, mixing, pieces, urlrules
+from retrospark.llm import bitlm, fingerprint, langid, mixing, neardup, pieces, urlrules
 from retrospark.llm.common import table
 
 # ---------------------------------------------------------------- op1
@@ -48,6 +48,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
 
 
+# ---------------------------------------------------------------- op7
+
+
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 3-word shingle sets with a similarity of 0.85 or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85, rows=5, count=24)
+
+
 # ---------------------------------------------------------------- op8
 
 MIX_ROUNDS = 10
@@ -124,6 +132,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_mixing": op8_mixing,
     "op10_lm_scoring": op10_lm_scoring,
 }
