@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import bitlm, fingerprint, langid, mixing, neardup, pieces, urlrules
+from retrospark.llm import adsearch, bitlm, fingerprint, langid, mixing, neardup, pieces, urlrules, warc
 from retrospark.llm.common import table
 
 # ---------------------------------------------------------------- op1
@@ -16,6 +16,15 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---------------------------------------------------------------- op2
+
+
+def op2_adaptive_scan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors found for every vector whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return adsearch.nearest(rows, F.col("vec_id") % 100 == 0)
+
+
 # ---------------------------------------------------------------- op3
 
 
@@ -32,6 +41,58 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+# ---------------------------------------------------------------- op5
+
+WARC_COLUMNS = ["page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "source_headers", "payload_digest", "title", "n_links", "block_digest", "content_length"]
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page; blocks and whole records as digests."""
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return made.select(*WARC_COLUMNS, F.sha2(F.col("record_text").cast("binary"), 256).alias("record_sha256"))
+
+
+def warc_sql() -> str:
+    """The same records in DuckDB SQL."""
+
+    def quote(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    def clean(c: str) -> str:
+        for entity, char in warc.ENTITIES:
+            c = f"replace({c}, {quote(entity)}, {quote(char)})"
+        c = f"regexp_replace({c}, '[ \t\r\f\x0B]+', ' ', 'g')"
+        c = f"regexp_replace({c}, ' ?\n[ \n]*', chr(10), 'g')"
+        return f"regexp_replace({c}, '^[ \n]+|[ \n]+$', '', 'g')"
+
+    text = "payload"
+    for pattern in warc.DROP:
+        text = f"regexp_replace({text}, {quote(pattern)}, '', 'g')"
+    text = clean(f"regexp_replace(regexp_replace({text}, {quote(warc.BREAK)}, chr(10), 'g'), '<[^>]*>', '', 'g')")
+    urn = "'urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12)"
+    eol = "chr(13) || chr(10)"
+    return f"""
+WITH r0 AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r1 AS (SELECT *, md5('response|' || coalesce(cast(page_id AS VARCHAR), '') || '|' || coalesce(target_uri, '') || '|' || payload_digest) AS h,
+  'Content-Type: text/html; charset=utf-8' || {eol} || 'Content-Length: ' || strlen(payload) AS source_headers FROM r0),
+r2 AS (SELECT *, {urn.format(h="h")} AS response_id, {clean(f"regexp_extract(payload, {quote(warc.TITLE)}, 1)")} AS title,
+  regexp_extract(payload, {quote(warc.LANG)}, 1) AS language, regexp_extract_all(payload, {quote(warc.LINK)}, 1) AS links, {text} AS plain FROM r1),
+r3 AS (SELECT *, 'title: ' || replace(title, chr(10), ' ') || {eol} || 'language: ' || language || {eol} || 'payload-digest: ' || payload_digest || {eol}
+  || 'source-' || replace(source_headers, chr(10), chr(10) || 'source-') || {eol}
+  || coalesce((SELECT string_agg('outlink: ' || u || ' L a/@href' || {eol}, '' ORDER BY i) FROM (SELECT unnest(links) AS u, generate_subscripts(links, 1) AS i)), '') AS fields FROM r2),
+k AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, fields AS block FROM r3
+  UNION ALL SELECT *, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS content_type, plain AS block FROM r3),
+m AS (SELECT *, md5(record_type || '|' || response_id) AS h2, 'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length FROM k),
+n AS (SELECT *, {urn.format(h="h2")} AS record_id FROM m)
+SELECT page_id, record_type, record_id, response_id AS refers_to, target_uri, content_type, source_headers, payload_digest, title, cast(len(links) AS INTEGER) AS n_links,
+  block_digest, content_length,
+  sha256('WARC/1.1' || {eol} || 'WARC-Type: ' || record_type || {eol} || 'WARC-Record-ID: <' || record_id || '>' || {eol} || 'WARC-Date: 1970-01-01T00:00:00Z' || {eol}
+  || coalesce('WARC-Target-URI: ' || target_uri || {eol}, '') || 'WARC-Refers-To: <' || response_id || '>' || {eol} || coalesce('WARC-Refers-To-Target-URI: ' || target_uri || {eol}, '')
+  || 'WARC-Refers-To-Date: 1970-01-01T00:00:00Z' || {eol} || 'WARC-Payload-Digest: ' || payload_digest || {eol} || 'WARC-Block-Digest: ' || block_digest || {eol}
+  || 'Content-Type: ' || content_type || {eol} || 'Content-Length: ' || content_length || {eol} || {eol} || block) AS record_sha256
+FROM n"""
+
+
 # ---------------------------------------------------------------- op6
 
 
@@ -129,8 +190,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_adaptive_scan_search": op2_adaptive_scan_search,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_mixing": op8_mixing,
@@ -138,5 +201,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_warc_derivatives": warc_sql(),
     "op8_mixing": mixing_sql(),
 }
