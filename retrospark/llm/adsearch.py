@@ -2,7 +2,10 @@
 
 * The index is fitted on a bounded sample (``sample_rows`` vectors with the smallest id hashes):
   a random rotation and k-means centroids.  Every vector is indexed in its nearest list.
-* A query probes its ``n_probe`` nearest lists, and more until they hold ``k`` candidates.
+* How many lists a query probes is calibrated on the sample: the fewest nearest lists that hold
+  ``aim`` of the true ``k`` nearest sample neighbours of up to ``CALIBRATE`` sample vectors.
+  (In the whole table the neighbours lie nearer, so this errs on the safe side.)  A query
+  probes more lists where those hold fewer than ``k`` candidates.
 * Within a probed list the rotated vectors are scanned in blocks of ``BLOCK`` columns.  After
   each block a hypothesis test compares the partial distance with the current k-th best: after
   a random rotation ``d`` of ``D`` columns hold about ``d / D`` of the squared distance, so a
@@ -34,6 +37,7 @@ EPS = 2.1
 PART = 50_000
 PART_QUERIES = 2_000
 STEP = 1024
+CALIBRATE = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -61,6 +65,23 @@ def fit(sample: np.ndarray, lists: int, seed: int = 5, rounds: int = 12) -> tupl
     return rotation, centroids
 
 
+def probes_needed(sample: np.ndarray, rotation: np.ndarray, centroids: np.ndarray, k: int, aim: float) -> int:
+    """Fewest nearest lists that hold the share ``aim`` of the true neighbours within the sample."""
+    x = sample @ rotation
+    home = _square(x, centroids).argmin(axis=1)
+    asked = x[:CALIBRATE]
+    near = _square(asked, x)
+    near[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    top = np.argsort(near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    if not top.size:
+        return 1
+    order = _square(asked, centroids).argsort(axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape).copy(), axis=1)
+    at = np.sort(np.take_along_axis(place, home[top], axis=1).ravel())
+    return int(at[min(int(np.ceil(aim * len(at))), len(at)) - 1]) + 1
+
+
 def _square(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1)[None, :]
 
@@ -94,10 +115,11 @@ def scan(q: np.ndarray, q_id: int, rotated: np.ndarray, query: np.ndarray, vecto
     return best_i, best_d
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, lists: int | None = None, n_probe: int = 32, sample_rows: int = 16_384) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, lists: int | None = None, n_probe: int | None = None, aim: float = 0.98, sample_rows: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every vector for which ``is_query`` (a column) holds.
 
-    ``lists`` defaults to half the square root of the number of vectors, 4096 at most.
+    ``lists`` defaults to half the square root of the number of vectors, 4096 at most; ``n_probe``
+    to the calibrated number of lists.
     """
     spark = vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -107,7 +129,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, lists: int | None = None,
         return spark.createDataFrame([], schema)
     few = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample_rows).collect()  # sample_rows at most
     n_lists = lists or int(min(max(round(n**0.5 / 2), 1), 4096))
-    rotation, centroids = fit(np.array([r["v"] for r in few]), n_lists)
+    sample = np.array([r["v"] for r in few])
+    rotation, centroids = fit(sample, n_lists)
+    n_probe = n_probe or probes_needed(sample, rotation, centroids, k, aim)
     index = spark.sparkContext.broadcast((rotation, centroids))
 
     def assign(batches):
