@@ -190,10 +190,15 @@ def train(docs: DataFrame, per_label: int = 1000) -> dict | None:
     return pickle.loads(bytes(got[0]["model"])) if got else None
 
 
-def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs`` plus lang_pred and score, for every row."""
+def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """``keep`` columns of ``docs`` plus lang_pred and score, for every row.
+
+    ``with_text``: the text is one of the ``keep`` columns.
+    """
     spark = docs.sparkSession
-    rows = docs.select(*keep, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_ok"))
+    text = [] if with_text else [F.col("text").alias("_text")]
+    rows = docs.select(*keep, *text, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_ok"))
+    name = "text" if with_text else "_text"
     if model is None:
         return rows.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(model)
@@ -203,7 +208,7 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_i
         names, table = np.array(shared.value["labels"], object), shared.value["table"]
         for pdf in batches:
             ok = pdf["_ok"].to_numpy(bool)
-            texts = [t if o else "" for t, o in zip(pdf["_text"], ok, strict=True)]
+            texts = [t if o else "" for t, o in zip(pdf[name], ok, strict=True)]
             logits, count = np.zeros((len(texts), len(names))), np.zeros(len(texts))
             for nums, at, idx in _blocks(texts):
                 for row in idx:

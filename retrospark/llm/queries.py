@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import adsearch, bitlm, fingerprint, langid, mixing, neardup, pieces, urlrules, warc
+from retrospark.llm import adsearch, bitlm, fingerprint, langid, mixing, neardup, pieces, suffixes, urlrules, warc
 from retrospark.llm.common import table
 
 # ---------------------------------------------------------------- op1
@@ -180,6 +180,14 @@ def mixing_sql(docs: str = "documents") -> str:
     )
 
 
+# ---------------------------------------------------------------- op9
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50-byte strings of documents with smaller ids."""
+    return suffixes.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+
+
 # ---------------------------------------------------------------- op10
 
 
@@ -197,6 +205,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_mixing": op8_mixing,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
