@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -299,7 +300,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if len(words) >= 400_000:
                     yield pd.DataFrame({"word": list(words), "c": list(words.values())})
                     words.clear()
-        yield pd.DataFrame({"word": list(words), "c": list(words.values())})
+        if words:
+            yield pd.DataFrame({"word": list(words), "c": list(words.values())})
 
     return docs.select("text").mapInPandas(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -330,10 +332,10 @@ def score_documents(docs: DataFrame, sample_docs: int = 256, common_words: int =
     top = counts.where(F.col("c") >= bound).toPandas() if bound else pd.DataFrame({"word": [], "c": []})
     common = spark.sparkContext.broadcast({bytes(w): float(np.log10(c + 1)) for w, c in zip(top["word"], top["c"], strict=True)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, get = once(scorer, Scorer), common.value.get
-        for pdf in batches:
-            texts = [_lower(t) for t in pdf["text"]]
+        for batch in batches:
+            texts = [_lower(t) for t in batch.column("text").to_pylist()]
             bits = model.bits(texts)
             n_tokens, known, sums, rare = [], [], [], []
             for t in texts:
@@ -342,23 +344,21 @@ def score_documents(docs: DataFrame, sample_docs: int = 256, common_words: int =
                 odd = [w for w, f in zip(words, found, strict=True) if f is None] if None in found else []
                 n_tokens.append(len(words) + 1)
                 known.append(len(words) - len(odd))
-                sums.append(sum(f for f in found if f is not None) if odd else sum(found))
+                sums.append(float(sum(f for f in found if f is not None)))
                 rare.append(odd)
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "held_out": pdf["held_out"],
-                    "n_tokens": n_tokens,
-                    "n_common": known,
-                    "log_common": [float(s) for s in sums],
-                    "n_bytes": [len(t) + 1 for t in texts],
-                    "bits": bits,
-                    "rare": rare,
-                }
-            )
+            made = [
+                pa.array(n_tokens, pa.int64()),
+                pa.array(known, pa.int64()),
+                pa.array(sums, pa.float64()),
+                pa.array([len(t) + 1 for t in texts], pa.int64()),
+                pa.array(bits, pa.float64()),
+                pa.array(rare, pa.list_(pa.binary())),
+            ]
+            names = ["doc_id", "held_out", "n_tokens", "n_common", "log_common", "n_bytes", "bits", "rare"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInPandas(
+    scored = rows.mapInArrow(
         run,
         f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_common bigint, log_common double, n_bytes bigint, bits double, rare array<binary>",
     )

@@ -10,7 +10,7 @@
 * Scoring: one map pass over all texts with the broadcast model (``DIM`` x labels floats);
   linear in the characters, blocks of ``BLOCK`` code points, so memory doesn't grow with a text.
 
-The work per text is array code in ``mapInPandas``; Spark partitions it, nothing is shuffled
+The work per text is array code in ``mapInPandas`` and ``mapInArrow``; Spark partitions it, nothing is shuffled
 but the counts and the sample, and a lost task is simply run again.
 
 Defined cases: null text or one without a letter is ``und`` with score 0; so is every text if
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,11 +205,11 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_i
     shared = spark.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, table = np.array(shared.value["labels"], object), shared.value["table"]
-        for pdf in batches:
-            ok = pdf["_ok"].to_numpy(bool)
-            texts = [t if o else "" for t, o in zip(pdf[name], ok, strict=True)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table = shared.value["labels"], shared.value["table"]
+        for batch in batches:
+            ok = np.array(batch.column("_ok").to_pylist(), bool)
+            texts = [t if o else "" for t, o in zip(batch.column(name).to_pylist(), ok, strict=True)]
             logits, count = np.zeros((len(texts), len(names))), np.zeros(len(texts))
             for nums, at, idx in _blocks(texts):
                 for row in idx:
@@ -216,12 +217,11 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_i
                     np.add.at(count, nums, np.add.reduceat(row != DIM, at, dtype=np.float64))
             p = _softmax(logits / np.maximum(count, 1.0)[:, None])
             best = p.argmax(axis=1)
-            out = pdf[list(keep)].copy()
-            out["lang_pred"] = np.where(ok, names[best], UNKNOWN)
-            out["score"] = np.where(ok, p[np.arange(len(p)), best], 0.0)
-            yield out
+            label = [names[k] if o else UNKNOWN for k, o in zip(best, ok, strict=True)]
+            score = np.where(ok, p[np.arange(len(p)), best], 0.0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(label, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return rows.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def learnable(docs: DataFrame) -> DataFrame:

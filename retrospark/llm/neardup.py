@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +52,12 @@ def signatures(docs: DataFrame, words: int, rows: int, count: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, keys, sig): ``count`` bands of ``rows`` minima."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = S.Hasher(words)
-        for pdf in batches:
-            for b in range(0, len(pdf), 500):
-                part = pdf.iloc[b : b + 500]
-                sets = [hasher.shingles(t) for t in part["text"]]
+        for batch in batches:
+            for b in range(0, batch.num_rows, 500):
+                part = batch.slice(b, 500)
+                sets = [hasher.shingles(t) for t in part.column("text").to_pylist()]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 d = np.zeros((len(sets), 2), np.uint64)
                 keys, sig = [[] for _ in sets], [b""] * len(sets)
@@ -69,12 +70,12 @@ def signatures(docs: DataFrame, words: int, rows: int, count: int) -> DataFrame:
                     d[full, 1] = np.add.reduceat(mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
                     low = S.minima(some, rows * count)
                     for i, k, g in zip(full, S.bands(low, count), S.pack(low, BITS), strict=True):
-                        keys[i], sig[i] = k.tolist(), g.tobytes()
-                yield pd.DataFrame(
-                    {"doc_id": part["doc_id"].to_numpy(), "n_shingles": sizes, "d1": d[:, 0].view(np.int64), "d2": d[:, 1].view(np.int64), "keys": keys, "sig": sig}
-                )
+                        keys[i], sig[i] = k, g.tobytes()
+                digest = [pa.array(d[:, j].view(np.int64)) for j in range(2)]
+                made = [pa.array(sizes), *digest, pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "n_shingles", "d1", "d2", "keys", "sig"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary")
 
 
 def _union(n: int, links: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ Characters outside the vocabulary become byte tokens.  Text is cut where no toke
 across (before a space that follows something else, around line breaks), and the results of the
 pieces are kept in a bounded table per worker process, since most words of a corpus repeat.
 
-Documents are encoded in ``mapInPandas``; the vocabulary (about 1 MB) is broadcast, nothing is
+Documents are encoded in ``mapInArrow``; the vocabulary (about 1 MB) is broadcast, nothing is
 shuffled.
 
 Defined cases: null text counts as empty; empty text has no ids and decodes to an empty text;
@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,19 +242,17 @@ def encode_documents(docs: DataFrame, table: PieceTable, keep: tuple[str, ...] =
     rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = once(shared, PieceTable)  # one object per worker process: its tables of words and pairs stay
-        for pdf in batches:
-            out = pdf[list(keep)].copy()
-            got = [t.digests(x) for x in pdf["_text"]]
-            out["n_tokens"] = pd.Series([g[0] for g in got], out.index, dtype="int64")
-            out["ids_sha256"] = pd.Series([g[1] for g in got], out.index, dtype=object)
-            out["decoded_sha256"] = pd.Series([g[2] for g in got], out.index, dtype=object)
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            counts, ids, decoded = zip(*map(t.digests, texts), strict=True) if texts else ((), (), ())
+            out = [batch.column(k) for k in keep] + [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                ids = [t.encode(x) for x in pdf["_text"]]
-                out["ids"] = pd.Series(ids, out.index, dtype=object)
-                out["decoded"] = pd.Series([t.decode(i) for i in ids], out.index, dtype=object)
-            yield out
+                each = [t.encode(x) for x in texts]
+                out += [pa.array(each, pa.list_(pa.int32())), pa.array([t.decode(i) for i in each], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -122,8 +122,8 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_ROUNDS = 10
 MIX_KEEP = 0.5
 MIX_TARGETS = {
-    "source": {"src0": 0.24, **{f"src{i}": 0.04 for i in range(1, 20)}},
-    "lang": {"en": 0.55, "de": 0.15, "es": 0.14, "fr": 0.16},
+    "source": {"src0": 0.22, **{f"src{i}": 0.04 for i in range(1, 20)}, "other": 0.02},
+    "lang": {"en": 0.55, "de": 0.15, "es": 0.13, "fr": 0.16, "other": 0.01},
     "topic": {"note": 0.03, "article": 0.27, "report": 0.45, "book": 0.25},
 }
 

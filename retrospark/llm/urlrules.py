@@ -72,6 +72,8 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     FP-growth keeps no url: its result is bounded by the support threshold.
     """
     tag = "label="
+    if not labelled.limit(1).count():
+        return labelled.sparkSession.createDataFrame([], "rule_tokens array<string>, label string, confidence double, support double, lift double")
     baskets = labelled.select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit(tag), F.col("label"))))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules
