@@ -76,7 +76,7 @@ def coerce_types(df: DataFrame) -> DataFrame:
             fixes[c] = to_timestamp_safe(q(c), types[c])
     for c in NUMERIC_COLUMNS + BINARY_COLUMNS:
         if c in types and not types[c].startswith(NUMERIC_TYPES):
-            fixes[c] = q(c).try_cast("double")
+            fixes[c] = F.nanvl(q(c).try_cast("double"), F.lit(None).cast("double"))  # the text NaN is missing, too
     return df.withColumns(fixes) if fixes else df
 
 

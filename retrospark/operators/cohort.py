@@ -7,16 +7,19 @@ Physical design (for very large visit tables):
 * The reference date is attached back to the records with an equi-join on
   (entity, salt).  Entities with more than ``hot_entity_rows`` records (known from the
   cohort's record count) get their records spread over ``salts`` partitions and their
-  single cohort row replicated per salt; the hot-entity list is broadcast with a size
-  bound of records / hot_entity_rows.  The entity aggregates downstream shuffle only
-  their partial aggregates.
+  single cohort row replicated per salt; the optimiser sizes the join with the list of hot
+  entities.  The entity aggregates downstream shuffle only their partial aggregates.
 * Window membership is computed as multi-hot booleans on each record (no range join,
   no copy per window); the long format is a narrow ``explode_outer``.
-* Completeness, window distributions and attrition are single conditional aggregates.
+* Completeness, window distributions and attrition roll up per entity first, then globally; source
+  records are counted from ``window_membership_count`` (a record in m windows has m rows), never
+  by distinct ids.  ``source_record_id`` (SHA-256 over the whole row, nulls kept) is for tracing.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,19 +151,20 @@ def window_flag_columns(cfg: CohortConfig) -> list[str]:
 
 
 def pre_reference_records(records: DataFrame, cohort: DataFrame, cfg: CohortConfig = CohortConfig()) -> DataFrame:
-    """COH6: leakage cut (inclusive) + days/months before reference + content-hash record id.
+    """COH6: leakage cut (inclusive) + days/months before reference + null-safe content-hash record id.
 
     One row per source record, with multi-hot window flags and ``window_membership_count``.
     """
     s = cfg.schema
     cols = records.columns
-    rid = F.xxhash64(*[q(c) for c in cols])
+    rid = F.sha2(F.to_json(F.struct(*[q(c) for c in cols]), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    spread = F.pmod(F.xxhash64(*[q(c) for c in cols]), F.lit(cfg.salts))
     # Salted join for hot entities: their records spread over ``salts`` partitions and their
     # single cohort row is replicated once per salt; every other entity keeps salt 0.
     hot_flag = F.col("record_count") > F.lit(cfg.hot_entity_rows)
     hot = cohort.where(hot_flag).select(s.entity, F.lit(True).alias("__hot"))
-    rec = records.join(F.broadcast(hot), on=s.entity, how="left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(rid, F.lit(cfg.salts))).otherwise(F.lit(0)).cast("bigint")
+    rec = records.join(hot, on=s.entity, how="left").withColumn(
+        "__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0)).cast("bigint")
     ).drop("__hot")
     side = cohort.select(
         s.entity, "stroke", "reference_date", "reference_rule",
@@ -275,30 +279,50 @@ def cohort_completeness(long: DataFrame, cfg: CohortConfig = CohortConfig()) ->
 # ---------------------------------------------------------------- COH9 - COH16
 
 
-def source_record_count(df: DataFrame) -> Column:
-    """COH9: distinct source records (overlapping window rows counted once)."""
-    if "source_record_id" in df.columns:
-        return F.count_distinct("source_record_id")
-    return F.count(F.lit(1))
+def source_record_count(df: DataFrame, where: Column | None = None, windows: int = 3) -> Column:
+    """COH9: number of source records of a long table (overlapping window rows counted once).
+
+    A record in m windows has m rows, each counts 1/m (as integers over the least common multiple
+    of 1..``windows``).  Tables without ``window_membership_count`` hold one row per record.
+    """
+    if "window_membership_count" not in df.columns:
+        return F.count(F.lit(1)) if where is None else F.count_if(where)
+    unit = math.lcm(*range(1, max(windows, 1) + 1))
+    share = (F.lit(unit) / F.greatest(F.col("window_membership_count"), F.lit(1))).cast("bigint")
+    total = F.sum(share if where is None else F.when(where, share))
+    return F.coalesce(F.call_function("div", total, F.lit(unit).cast("bigint")), F.lit(0).cast("bigint"))
+
+
+def entity_rollup(long: DataFrame, cfg: CohortConfig = CohortConfig()) -> DataFrame:
+    """One row per entity: source records, those in a window, window rows, records in several windows."""
+    in_w = F.col("window").isNotNull()
+    n = len(cfg.windows)
+    return long.groupBy(cfg.schema.entity).agg(
+        source_record_count(long, windows=n).alias("pre_records"),
+        source_record_count(long, in_w, n).alias("win_records"),
+        source_record_count(long, F.col("window_membership_count") > 1, n).alias("multi_records"),
+        F.count(F.lit(1)).alias("long_rows"),
+        F.count_if(in_w).alias("win_rows"),
+    )
 
 
 def attrition_report(raw: DataFrame, prepared: DataFrame, long: DataFrame, completeness: DataFrame, cfg: CohortConfig = CohortConfig()) -> DataFrame:
     """COH10: six attrition steps with entities/records remaining and removed."""
     e = cfg.schema.entity
-    in_w = F.col("window").isNotNull()
-    raw_stats = raw.agg(F.count_distinct(e).alias("raw_patients"), F.count(F.lit(1)).alias("raw_records"))
-    prep_stats = prepared.agg(F.count_distinct(e).alias("prep_patients"), F.count(F.lit(1)).alias("prep_records"))
-    complete_ids = completeness.where("temporal_complete").select(e)
-    long_stats = long.join(complete_ids.withColumn("__c", F.lit(True)), on=e, how="left").agg(
-        F.count_distinct(e).alias("pre_patients"),
-        F.count_distinct("source_record_id").alias("pre_records"),
-        F.count_distinct(F.when(in_w, q(e))).alias("win_patients"),
-        F.count_distinct(F.when(in_w, F.col("source_record_id"))).alias("win_records"),
-        F.count_if(in_w).alias("win_rows"),
-        F.count_if(in_w & F.col("__c").isNotNull()).alias("complete_rows"),
+    raw_stats = raw.groupBy(e).agg(F.count(F.lit(1)).alias("n")).agg(F.count(e).alias("raw_patients"), F.coalesce(F.sum("n"), F.lit(0)).alias("raw_records"))
+    prep_stats = prepared.groupBy(e).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("prep_patients"), F.coalesce(F.sum("n"), F.lit(0)).alias("prep_records"))
+    per_entity = entity_rollup(long, cfg).join(completeness.select(e, "temporal_complete"), on=e, how="left")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+    long_stats = per_entity.agg(
+        F.count(F.lit(1)).alias("pre_patients"),
+        zero("pre_records").alias("pre_records"),
+        F.count_if(F.col("win_rows") > 0).alias("win_patients"),
+        zero("win_records").alias("win_records"),
+        zero("win_rows").alias("win_rows"),
+        zero(F.when(F.col("temporal_complete"), F.col("win_rows"))).alias("complete_rows"),
+        F.count_if("temporal_complete").alias("complete_patients"),
     )
-    comp_stats = completeness.agg(F.count_if("temporal_complete").alias("complete_patients"))
-    row = scalar_row(raw_stats, prep_stats, long_stats, comp_stats)
+    row = scalar_row(raw_stats, prep_stats, long_stats)
     col = F.col
     steps = [
         ("raw_input", col("raw_patients"), col("raw_records"), F.lit(0), F.lit(0), "Raw input before Stage 02 filtering"),
@@ -362,7 +386,7 @@ def reference_date_audit(prepared: DataFrame, cohort: DataFrame, long: DataFrame
     """COH11: per entity rule validity and how many records the leakage cut removed."""
     e = cfg.schema.entity
     total = prepared.groupBy(e).agg(F.count(F.lit(1)).alias("total_records"))
-    pre = long.groupBy(e).agg(F.count_distinct("source_record_id").alias("pre_reference_records"))
+    pre = long.groupBy(e).agg(source_record_count(long, windows=len(cfg.windows)).alias("pre_reference_records"))
     a = cohort.join(total, on=e, how="left").join(pre, on=e, how="left")
     pre_n = F.coalesce(F.col("pre_reference_records"), F.lit(0)).cast("bigint")
     valid = ((F.col("stroke") == 1) & (F.col("reference_date") == F.col("first_stroke_date"))) | (
@@ -399,12 +423,14 @@ def window_distribution(long: DataFrame, cfg: CohortConfig = CohortConfig(), lab
     """
     e = cfg.schema.entity
     key = F.coalesce(F.col("window"), F.lit("OUTSIDE_WINDOWS")).alias("window")
-    stats = long.groupBy(key).agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_distinct("source_record_id").alias("source_records"),
-        F.count_distinct(e).alias("patients"),
-        F.count_distinct(F.when(F.col(label) == 1, q(e))).alias("stroke_patients"),
-        F.count_distinct(F.when(F.col(label) == 0, q(e))).alias("nonstroke_patients"),
+    # a record has one row per window it belongs to: rows of a window are its source records
+    per_entity = long.groupBy(key, q(e)).agg(F.count(F.lit(1)).alias("n"), F.max(label).alias("__label"))
+    stats = per_entity.groupBy("window").agg(
+        F.sum("n").alias("records"),
+        F.sum("n").alias("source_records"),
+        F.count(F.lit(1)).alias("patients"),
+        F.count_if(F.col("__label") == 1).alias("stroke_patients"),
+        F.count_if(F.col("__label") == 0).alias("nonstroke_patients"),
     )
     cat = _window_catalog(long.sparkSession, cfg)
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
@@ -468,19 +494,22 @@ def cohort_facts(cohort: DataFrame, long: DataFrame, completeness: DataFrame, cf
         F.coalesce(F.bool_and(F.when(F.col("stroke") == 1, F.col("first_stroke_date") == F.col("reference_date"))), F.lit(True)).alias("stroke_reference_is_first_stroke_date"),
         F.coalesce(F.bool_and(F.when(F.col("stroke") == 0, F.col("last_visit_date") == F.col("reference_date"))), F.lit(True)).alias("nonstroke_reference_is_last_visit_date"),
     )
-    in_w = F.col("window").isNotNull()
-    lg = long.agg(
+    n = F.lit(0).cast("bigint")
+    per_entity = entity_rollup(long, cfg)
+    lg = per_entity.agg(
+        F.coalesce(F.sum("pre_records"), n).alias("pre_reference_source_records"),
+        F.coalesce(F.sum("long_rows"), n).alias("pre_reference_rows_after_window_expansion"),
+        F.coalesce(F.sum("win_rows"), n).alias("paper_observation_window_rows"),
+        F.coalesce(F.sum("win_records"), n).alias("source_records_in_any_paper_window"),
+        F.coalesce(F.sum("multi_records"), n).alias("source_records_with_multiple_window_memberships"),
+        F.count_if(F.col("win_rows") > 0).alias("patients_in_any_paper_window"),
+    )
+    whole = long.agg(
         F.coalesce(F.bool_and(q(s.date) <= F.col("reference_date")), F.lit(True)).alias("no_post_reference_records"),
-        F.count_distinct("source_record_id").alias("pre_reference_source_records"),
-        F.count(F.lit(1)).alias("pre_reference_rows_after_window_expansion"),
-        F.count_if(in_w).alias("paper_observation_window_rows"),
-        F.count_distinct(F.when(in_w, F.col("source_record_id"))).alias("source_records_in_any_paper_window"),
-        F.count_distinct(F.when(F.col("window_membership_count") > 1, F.col("source_record_id"))).alias("source_records_with_multiple_window_memberships"),
-        F.count_distinct(F.when(in_w, q(s.entity))).alias("patients_in_any_paper_window"),
         F.array_sort(F.collect_set("window")).alias("observed_windows"),
     )
     cp = completeness.agg(F.count_if("temporal_complete").alias("temporal_complete_patients"))
-    return scalar_row(c, lg, cp)
+    return scalar_row(c, lg, whole, cp)
 
 
 def cohort_acceptance(cohort: DataFrame, long: DataFrame, completeness: DataFrame, attrition: DataFrame, cfg: CohortConfig = CohortConfig()) -> DataFrame:

@@ -51,7 +51,7 @@ def observation_records(records: DataFrame, cfg: FeatureConfig = FeatureConfig()
     """FEA3: rows inside any look-back window, one row per source record."""
     s = cfg.schema
     rows = records.where(q(s.window).isin(*cfg.window_names))
-    return rows.dropDuplicates([s.record_id]) if s.record_id in records.columns else rows
+    return rows.dropDuplicates([s.entity, s.record_id]) if s.record_id in records.columns else rows
 
 
 def validate_pre_reference(records: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
@@ -309,11 +309,9 @@ def window_usage_report(records: DataFrame, cfg: FeatureConfig = FeatureConfig()
     """FEA16: rows, source rows and entities per window (+ OUTSIDE_WINDOWS), used flag."""
     s = cfg.schema
     key = F.coalesce(q(s.window), F.lit("OUTSIDE_WINDOWS")).alias("window")
-    stats = records.groupBy(key).agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_distinct(s.record_id).alias("source_records"),
-        F.count_distinct(s.entity).alias("patients"),
-    )
+    # a source record has one row per window it belongs to: rows of a window are its source records
+    per_entity = records.groupBy(key, q(s.entity)).agg(F.count(F.lit(1)).alias("n"))
+    stats = per_entity.groupBy("window").agg(F.sum("n").alias("records"), F.sum("n").alias("source_records"), F.count(F.lit(1)).alias("patients"))
     names = list(cfg.window_names) + ["OUTSIDE_WINDOWS"]
     cat = records.sparkSession.createDataFrame([(i, n, n != "OUTSIDE_WINDOWS") for i, n in enumerate(names, 1)], "window_order int, window string, used_for_temporal_features boolean")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)

@@ -76,7 +76,7 @@ def score(model_vec, test: DataFrame, name: str, fold: int, cfg: ModelConfig) ->
     out = model.transform(vec.transform(test))
     prob = vector_to_array(F.col("probability"))[1]
     return out.select(
-        q(cfg.entity).cast("bigint").alias("patient_id"), F.lit(name).alias("model_name"), F.lit(fold).alias("fold"),
+        q(cfg.entity).alias("patient_id"), F.lit(name).alias("model_name"), F.lit(fold).alias("fold"),
         q(cfg.label).cast("int").alias("y_true"), (prob >= cfg.threshold).cast("int").alias("y_pred"), prob.alias("y_prob"),
     )
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -82,20 +82,29 @@ def f_pvalue(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def anova_moments(long: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """(keys..., feature) -> F statistic from class moments of ``value`` (nulls already imputed)."""
-    g = long.groupBy(*keys, "feature", label).agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("ss"))
-    t = g.groupBy(*keys, "feature").agg(
-        F.sum("n").alias("N"), F.sum("s").alias("S"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("s") ** 2 / F.col("n")).alias("between_raw"), F.sum("ss").alias("SS"),
+def anova_scores(classes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., feature) -> F statistic from (n, mean, m2) per class; m2 = sum of squared deviations.
+
+    Between-class sums use deviations from the grand mean, so large offsets don't cancel.
+    """
+    w = Window.partitionBy(*keys, "feature")  # a row per class
+    c = classes.where(F.col("n") > 0).withColumn("__grand", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
+    t = c.groupBy(*keys, "feature").agg(
+        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum("m2").alias("ssw"), F.sum(F.col("n") * (F.col("mean") - F.col("__grand")) ** 2).alias("ssb")
     )
-    ssb = F.col("between_raw") - F.col("S") ** 2 / F.col("N")
-    ssw = F.col("SS") - F.col("between_raw")
     df1, df2 = F.col("k") - 1, F.col("N") - F.col("k")
-    fstat = F.when((ssw > 0) & (df1 > 0) & (df2 > 0), (ssb / df1) / (ssw / df2)).when(ssb > 0, F.lit(float("inf")))
+    fstat = F.when((F.col("ssw") > 0) & (df1 > 0) & (df2 > 0), (F.col("ssb") / df1) / (F.col("ssw") / df2)).when(F.col("ssb") > 0, F.lit(float("inf")))
     return t.select(*keys, "feature", fstat.alias("f_score"), df1.alias("df1"), df2.alias("df2"))
 
 
+def anova_moments(long: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys..., feature) -> F statistic from class moments of ``value`` (nulls already imputed)."""
+    g = long.groupBy(*keys, "feature", label).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2")
+    )
+    return anova_scores(g, keys)
+
+
 def anova_ranking(table: DataFrame, cfg: ModelConfig = ModelConfig(), with_p: bool = True) -> DataFrame:
     """IMP1: F, p and rank per feature over the whole table after global median imputation."""
     ensure_checkpoint_dir(table.sparkSession)
@@ -154,8 +163,9 @@ def evaluate_candidate(folded: DataFrame, feats: list[str], states, counts, poli
         vec = VectorAssembler(inputCols=used, outputCol="features", handleInvalid="keep")
         tr, te = vec.transform(tr), vec.transform(te)
         if mode in ("pca", "anova_pca"):
-            comps = min(n, len(used), pos + neg)
-            pca = PCA(k=comps, inputCol="features", outputCol="pcs").fit(tr)
+            if n > len(used):  # a fold has fewer usable features than components asked for
+                raise ValueError(f"{name}: {n} components of {len(used)} features in fold {f}")
+            pca = PCA(k=n, inputCol="features", outputCol="pcs").fit(tr)
             tr = pca.transform(tr).drop("features").withColumnRenamed("pcs", "features")
             te = pca.transform(te).drop("features").withColumnRenamed("pcs", "features")
         lr = LogisticRegression(featuresCol="features", labelCol=cfg.label, weightCol="__w", regParam=1.0 / (cfg.reg_scale * (pos + neg)),
@@ -163,7 +173,7 @@ def evaluate_candidate(folded: DataFrame, feats: list[str], states, counts, poli
         model = lr.fit(tr.withColumn("__w", balanced_weight(cfg.label, pos + neg, pos, neg)))
         prob = vector_to_array(F.col("probability"))[1]
         parts.append(model.transform(te).select(
-            q(cfg.entity).cast("bigint").alias("patient_id"), F.lit(name).alias("model_name"), F.lit(f).alias("fold"),
+            q(cfg.entity).alias("patient_id"), F.lit(name).alias("model_name"), F.lit(f).alias("fold"),
             q(cfg.label).cast("int").alias("y_true"), (prob >= cfg.threshold).cast("int").alias("y_pred"), prob.alias("y_prob")))
     out = parts[0]
     for p in parts[1:]:
@@ -171,6 +181,11 @@ def evaluate_candidate(folded: DataFrame, feats: list[str], states, counts, poli
     return out
 
 
+def _preference():
+    """Best candidate: highest G-Mean, then the fewest features and components."""
+    return F.struct(F.coalesce("g_mean", F.lit(-1.0)), -F.col("anova_k"), -F.col("pca_n"))
+
+
 def run_set_analysis(table: DataFrame, set_name: str, cfg: ModelConfig = ModelConfig(), k_grid: list[int] = ANOVA_K_GRID, n_grid: list[int] = PCA_N_GRID) -> dict[str, DataFrame]:
     """IMP8: grid over ANOVA k, PCA n and ANOVA+PCA (n <= k); metrics per candidate; best per method."""
     spark = table.sparkSession
@@ -186,7 +201,7 @@ def run_set_analysis(table: DataFrame, set_name: str, cfg: ModelConfig = ModelCo
     states = collect_fold_states(folded, feats, policy.folds)
     min_train = min(policy.n_rows - sum(v for (f, _), v in counts.items() if f == s.fold) for s in states)
     ks = sanitize_candidates(len(feats), k_grid)
-    ns = sanitize_candidates(min(len(feats), min_train), n_grid)
+    ns = sanitize_candidates(min(min_train, *[len(s.used(feats)) for s in states]), n_grid)  # components that every fold can give
     cands = [("anova", k, 0) for k in ks] + [("pca", 0, n) for n in ns] + [("anova_pca", k, n) for k in ks for n in ns if n <= k]
     preds = []
     for mode, k, n in cands:
@@ -203,15 +218,10 @@ def run_set_analysis(table: DataFrame, set_name: str, cfg: ModelConfig = ModelCo
         F.regexp_extract(parts[3], r"n=(\d+)", 1).cast("int").alias("pca_n"),
         "sensitivity", "specificity", "g_mean", "roc_auc", "pr_auc",
     )
-    best = perf.groupBy("feature_set", "method").agg(F.max_by(F.struct("anova_k", "pca_n", "g_mean", "sensitivity", "specificity"), F.col("g_mean")).alias("b")).select("feature_set", "method", "b.*")
+    best = perf.groupBy("feature_set", "method").agg(F.max_by(F.struct("anova_k", "pca_n", "g_mean", "sensitivity", "specificity"), _preference()).alias("b")).select("feature_set", "method", "b.*")
     return {"performance": perf, "best": best, "skipped": spark.createDataFrame([], "feature_set string, skip_reason string"), "predictions": allp}
 
 
-def array_features(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Helper: pack numeric columns into an ML vector (used by callers that prefer arrays)."""
-    return df.withColumn("features", array_to_vector(F.array(*[q(c).cast("double") for c in cols])))
-
-
 def run_feature_importance(tables: dict[str, DataFrame], cfg: ModelConfig = ModelConfig(), k_grid: list[int] = ANOVA_K_GRID,
                            n_grid: list[int] = PCA_N_GRID) -> dict[str, DataFrame]:
     """IMP9: ranking, per-set performance grids and best choices for every temporal feature set."""
@@ -230,7 +240,7 @@ def run_feature_importance(tables: dict[str, DataFrame], cfg: ModelConfig = Mode
         return out
 
     bests = union(best)
-    summary = bests.groupBy("feature_set").agg(F.max_by(F.struct("method", "anova_k", "pca_n", "g_mean"), F.col("g_mean")).alias("b")).select("feature_set", "b.*")
+    summary = bests.groupBy("feature_set").agg(F.max_by(F.struct("method", "anova_k", "pca_n", "g_mean"), _preference()).alias("b")).select("feature_set", "b.*")
     return {
         "anova_feature_ranking": union(ranking),
         "performance_grid": union(perf),
