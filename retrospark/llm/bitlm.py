@@ -51,7 +51,9 @@ ORDERS = (1, 2, 3, 4, 5)
 BITS = (16, 19, 20, 21, 21)
 OFFSETS = tuple(int(sum(1 << b for b in BITS[:i])) for i in range(len(BITS) + 1))
 CHUNK = 1 << 16
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Rows that are taken from a batch at once.
+ROWS = 1000
 FAN = 64
 CACHE_BITS = 21
 APM_STEPS = 32
@@ -121,15 +123,16 @@ def count_bits(docs: DataFrame) -> np.ndarray:
     """Bit counts (slots x 2, at most 65535 each) of all texts of ``docs``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, seen = np.zeros((OFFSETS[-1], 2), np.int64), False
+        table, seen = np.zeros((OFFSETS[-1], 2), np.uint32), False
         for pdf in batches:
-            for _, code, _ in _groups([_lower(t) for t in pdf["text"]]):
-                seen = True
-                _count_into(table, code)
+            for b in range(0, len(pdf), ROWS):
+                for _, code, _ in _groups([_lower(t) for t in pdf["text"].iloc[b : b + ROWS]]):
+                    seen = True
+                    _count_into(table, code)
         if seen:
             part = TaskContext.get().partitionId()
             for c in range(0, OFFSETS[-1], CHUNK):
-                yield pd.DataFrame({"chunk": [c // CHUNK], "part": [part], "blob": [zlib.compress(table[c : c + CHUNK].tobytes(), 1)]})
+                yield pd.DataFrame({"chunk": [c // CHUNK], "part": [part], "blob": [zlib.compress(table[c : c + CHUNK].astype(np.int64).tobytes(), 1)]})
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((CHUNK, 2), np.int64)
@@ -334,7 +337,7 @@ def score_documents(docs: DataFrame, sample_docs: int = 256, common_words: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, get = once(scorer, Scorer), common.value.get
-        for batch in batches:
+        for batch in (whole.slice(b, ROWS) for whole in batches for b in range(0, whole.num_rows, ROWS)):
             texts = [_lower(t) for t in batch.column("text").to_pylist()]
             bits = model.bits(texts)
             n_tokens, known, sums, rare = [], [], [], []
