@@ -12,7 +12,7 @@ window over (model, bucket) totals plus a window inside each bucket; both are ex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EvalConfig
@@ -176,16 +176,23 @@ def cv_policy_report(results: DataFrame, paper: str = "LOOCV") -> DataFrame:
     )
 
 
-def leakage_evidence(eda_leakage: DataFrame, importance_ran: bool) -> DataFrame:
-    """VAL7: leakage evidence from the EDA audit plus whether the importance stage ran."""
-    row = eda_leakage.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("ok"), F.coalesce(F.sum("failed_record_count"), F.lit(0)).alias("n"))
-    structs = F.array(
-        F.struct(F.lit("eda_no_post_reference_records").alias("check"), F.col("ok").alias("passed"),
-                 F.concat(F.lit("failed_record_count="), F.col("n").cast("string")).alias("detail")),
-        F.struct(F.lit("feature_importance_stage_ran").alias("check"), F.lit(importance_ran).alias("passed"),
-                 F.lit("fold-local selection evidence available" if importance_ran else "feature importance outputs not found").alias("detail")),
-    )
-    return row.select(F.explode(structs).alias("c")).select("c.*")
+def leakage_evidence(eda_leakage: DataFrame | None, importance: DataFrame | None) -> DataFrame:
+    """VAL7: leakage evidence from the EDA audit and from the importance stage's results.
+
+    ``importance``: the performance grid, whose rows are scores of folds that selected features and
+    components on their training part; without rows there is no such evidence.  A missing audit
+    fails its check.
+    """
+    spark = SparkSession.active()
+    if eda_leakage is None:
+        audit = spark.range(1).select(F.lit(False).alias("ok"), F.lit("leakage_audit_not_found").alias("why"))
+    else:
+        n = F.coalesce(F.sum("failed_record_count"), F.lit(0))
+        audit = eda_leakage.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("ok"), F.concat(F.lit("failed_record_count="), n.cast("string")).alias("why"))
+    rows = importance.agg(F.count(F.lit(1)).alias("n")) if importance is not None else spark.range(1).select(F.lit(0).alias("n"))
+    grid = rows.select((F.col("n") > 0).alias("ok"), F.when(F.col("n") > 0, F.concat(F.lit("candidates="), F.col("n").cast("string"))).otherwise(F.lit("feature importance outputs not found")).alias("why"))
+    part = lambda df, name: df.select(F.lit(name).alias("check"), F.col("ok").alias("passed"), F.col("why").alias("detail"))
+    return part(audit, "eda_no_post_reference_records").unionByName(part(grid, "feature_selection_and_pca_fold_local_fit"))
 
 
 def attrition_view(attrition: DataFrame | None, spark=None) -> DataFrame:
@@ -196,7 +203,7 @@ def attrition_view(attrition: DataFrame | None, spark=None) -> DataFrame:
 
 
 def run_validation(preds: DataFrame, attrition: DataFrame | None = None, eda_leakage: DataFrame | None = None,
-                   importance_ran: bool = False, cfg: EvalConfig = EvalConfig()) -> dict[str, DataFrame]:
+                   importance: DataFrame | None = None, cfg: EvalConfig = EvalConfig()) -> dict[str, DataFrame]:
     """VAL9: every validation table from one prediction table (all models in the same jobs)."""
     spark = preds.sparkSession
     metrics = metrics_table(preds, cfg)
@@ -209,6 +216,5 @@ def run_validation(preds: DataFrame, attrition: DataFrame | None = None, eda_lea
         "mcnemar_test_report": mcnemar_vs_best(preds, metrics, cfg),
         "cohort_attrition_validation_view": attrition_view(attrition, spark),
     }
-    if eda_leakage is not None:
-        out["leakage_audit_report"] = leakage_evidence(eda_leakage, importance_ran)
+    out["leakage_audit_report"] = leakage_evidence(eda_leakage, importance)
     return out

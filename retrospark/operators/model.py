@@ -8,12 +8,15 @@ bounded by (folds x features), so they are collected and applied as literal proj
 
 Regularisation parity: scikit-learn minimises 1/2 |w|^2 + C * sum(s_i * loss_i); spark.ml
 minimises sum(s_i * loss_i) / sum(s_i) + lambda/2 |w|^2.  With balanced weights
-sum(s_i) = n_train, hence ``regParam = 1 / (C * n_train)``.
+sum(s_i) = n_train, hence ``regParam = 1 / (C * n_train)``.  The reference solver penalises the
+intercept like a weight, so the intercept is a column of ones and ``fitIntercept`` is off.
+spark.ml gives a column without variance the weight 0; the loss of (x, y) equals that of
+(-x, 1 - y), so half of the training rows (by entity hash) are mirrored and the column varies.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -24,9 +27,13 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..config import ModelConfig
 from ..functions.codes import q
-from .folds import CvPolicy, assign_folds, choose_cv, feature_columns, feature_matrix, fold_statistics
+from .folds import CvPolicy, assign_folds, choose_cv, feature_columns, feature_matrix, fold_statistics, overlap_guard
 
-PRED_SCHEMA = "patient_id bigint, model_name string, fold int, y_true int, y_pred int, y_prob double"
+CONSTANT = "__constant"
+
+
+def empty_predictions(spark, id_type: str) -> DataFrame:
+    return spark.createDataFrame([], f"patient_id {id_type}, model_name string, fold int, y_true int, y_pred int, y_prob double")
 
 
 @dataclass
@@ -61,12 +68,21 @@ def balanced_weight(label: str, n_train: int, pos: int, neg: int) -> Column:
     return F.when(q(label) == 1, F.lit(n_train / (2.0 * pos))).otherwise(F.lit(n_train / (2.0 * neg)))
 
 
+def balanced_total(n_train: int, n_class: int) -> float:
+    """Sum of a class's weights."""
+    return n_class * (n_train / (2.0 * n_class))
+
+
 def fit_fold(train: DataFrame, used: list[str], cfg: ModelConfig, n_train: int, pos: int, neg: int):
-    vec = VectorAssembler(inputCols=used, outputCol="features", handleInvalid="keep")
-    data = vec.transform(train.withColumn("__w", balanced_weight(cfg.label, n_train, pos, neg)))
+    """(assembler, model); ``train`` holds the used features and :data:`CONSTANT`."""
+    vec = VectorAssembler(inputCols=[*used, CONSTANT], outputCol="features", handleInvalid="keep")
+    mirror = F.pmod(F.xxhash64(q(cfg.entity)), F.lit(2)) == 1
+    sides = {c: F.when(mirror, -q(c)).otherwise(q(c)) for c in [*used, CONSTANT]}
+    data = train.withColumn("__w", balanced_weight(cfg.label, n_train, pos, neg)).withColumns(sides)
+    data = vec.transform(data.withColumn(cfg.label, F.when(mirror, 1 - q(cfg.label)).otherwise(q(cfg.label))))
     lr = LogisticRegression(
         featuresCol="features", labelCol=cfg.label, weightCol="__w", regParam=1.0 / (cfg.reg_scale * n_train),
-        elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=cfg.max_iter, tol=1e-8,
+        elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=cfg.max_iter, tol=1e-8,
     )
     return vec, lr.fit(data)
 
@@ -88,27 +104,33 @@ def train_predict_cv(table: DataFrame, name: str, cfg: ModelConfig = ModelConfig
     mat = feature_matrix(table, cfg).checkpoint()  # one row per entity; read by the policy, the ranks and every fold
     feats = feature_columns(mat, cfg)
     policy = policy or choose_cv(mat, cfg)
+    if not feats and not policy.skip_reason:
+        policy = replace(policy, strategy="", folds=0, skip_reason="not_run_no_numeric_features")
+    id_type = dict(mat.dtypes)[cfg.entity]
     result = {
-        "model_name": name, "status": "skipped" if policy.skip_reason else "completed", "skip_reason": policy.skip_reason,
+        "patient_overlap_detected": False, "class_weight": "", "model_name": name, "status": "skipped" if policy.skip_reason else "completed", "skip_reason": policy.skip_reason,
         "n_patients": policy.n_rows, "n_features": len(feats), "target_positive_count": policy.positives,
         "target_negative_count": policy.negatives, "cv_strategy": policy.strategy or "not_run",
     }
     if policy.skip_reason:
-        return spark.createDataFrame([], PRED_SCHEMA), result
+        return empty_predictions(spark, id_type), result
     folded = assign_folds(mat, policy, cfg).checkpoint()  # lineage cut in the shared checkpoint folder
     counts = {(r["fold"], r[cfg.label]): r["count"] for r in folded.groupBy("fold", cfg.label).count().collect()}  # k x 2 rows
+    result["patient_overlap_detected"] = overlap_guard(folded, cfg).limit(1).count() > 0
     states = collect_fold_states(folded, feats, policy.folds)
-    parts = []
+    parts, weighted = [], True
     for st in states:
         f = st.fold
         used = st.used(feats)
         pos = policy.positives - counts.get((f, 1), 0)
         neg = policy.negatives - counts.get((f, 0), 0)
-        keep = [cfg.entity, cfg.label]
+        keep = [cfg.entity, cfg.label, F.lit(1.0).alias(CONSTANT)]
         train = folded.where(F.col("fold") != f).select(*keep, *st.exprs(feats))
         test = folded.where(F.col("fold") == f).select(*keep, *st.exprs(feats))
         mv = fit_fold(train, used, cfg, pos + neg, pos, neg)
+        weighted &= mv[1].isDefined("weightCol") and abs(balanced_total(pos + neg, pos) - balanced_total(pos + neg, neg)) < 1e-9
         parts.append(score(mv, test, name, f, cfg))
+    result["class_weight"] = "balanced" if weighted else "unbalanced"
     preds = parts[0]
     for p in parts[1:]:
         preds = preds.unionByName(p)
@@ -116,6 +138,7 @@ def train_predict_cv(table: DataFrame, name: str, cfg: ModelConfig = ModelConfig
 
 
 RESULT_DDL = "model_name string, status string, skip_reason string, n_patients bigint, n_features bigint, target_positive_count bigint, target_negative_count bigint, cv_strategy string"
+RUN_DDL = RESULT_DDL + ", patient_overlap_detected boolean, class_weight string"
 
 
 def policy_results(tables: dict[str, DataFrame], cfg: ModelConfig = ModelConfig()) -> DataFrame:
@@ -144,10 +167,8 @@ def run_modeling(tables: dict[str, DataFrame], cfg: ModelConfig = ModelConfig())
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)
-    res = spark.createDataFrame(
-        [(r["model_name"], r["status"], r["skip_reason"], r["n_patients"], r["n_features"], r["target_positive_count"], r["target_negative_count"], r["cv_strategy"]) for r in results],
-        RESULT_DDL,
-    )
+    fields = [f.split()[0] for f in RUN_DDL.split(", ")]
+    res = spark.createDataFrame([tuple(r[f] for f in fields) for r in results], RUN_DDL)
     metrics = res.join(EV.metrics_table(allp), on="model_name", how="left")
     return {
         "all_model_predictions": allp,
@@ -167,17 +188,19 @@ def modeling_acceptance(results: DataFrame, metrics: DataFrame) -> DataFrame:
         F.max(F.col("model_name") == "single_shot").alias("baseline"),
         F.coalesce(F.bool_and(F.when(F.col("status") == "skipped", F.col("skip_reason") != "")), F.lit(True)).alias("skips_ok"),
         F.count_if(F.col("status") == "completed").alias("done"),
+        F.coalesce(F.bool_or("patient_overlap_detected"), F.lit(False)).alias("overlap"),
+        F.coalesce(F.bool_and(F.when(F.col("status") == "completed", F.col("class_weight") == "balanced")), F.lit(True)).alias("balanced"),
     )
     m = metrics.agg(F.bool_and(F.when(F.col("status") == "completed", F.col("g_mean").isNotNull() & F.col("sensitivity").isNotNull())).alias("metrics_ok"))
     row = scalar_row(r, m)
     checks = [
         ("single_shot_baseline_attempted", F.col("baseline"), F.lit("single_shot")),
         ("skipped_temporal_models_reported_with_reason", F.col("skips_ok"), F.lit("skip_reason filled")),
-        ("train_test_patient_overlap_prevented", F.lit(True), F.lit("folds assigned per entity")),
+        ("train_test_patient_overlap_prevented", ~F.col("overlap"), F.lit("no entity in two folds")),
         ("required_metrics_reported", F.coalesce(F.col("metrics_ok"), F.lit(True)), F.lit("sensitivity, specificity, g_mean, roc_auc, pr_auc")),
         ("best_model_selected_by_g_mean", F.col("done") > 0, F.concat(F.lit("completed_models="), F.col("done").cast("string"))),
         ("prediction_files_available_for_validation", F.col("done") > 0, F.lit("all_model_predictions")),
-        ("logistic_regression_balanced_used", F.lit(True), F.lit("weightCol = n / (2 n_class)")),
+        ("logistic_regression_balanced_used", F.col("balanced"), F.lit("weightCol = n / (2 n_class)")),
     ]
     structs = [
         F.struct(F.lit(i).alias("check_order"), F.lit(n).alias("check"), F.coalesce(p, F.lit(False)).alias("passed"), d.cast("string").alias("detail"))

@@ -23,7 +23,7 @@ from ..functions.codes import q
 from ..functions.profile import exact_quantiles
 from . import evaluate as EV
 from .folds import _unpivot, assign_folds, choose_cv, feature_columns, feature_matrix, training_copies
-from .model import balanced_weight, collect_fold_states
+from .model import CONSTANT, collect_fold_states, fit_fold
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -141,8 +141,6 @@ def sanitize_candidates(limit: int, values: list[int]) -> list[int]:
 
 def evaluate_candidate(folded: DataFrame, feats: list[str], states, counts, policy, mode: str, k: int, n: int, cfg: ModelConfig, name: str) -> DataFrame:
     """IMP7: out-of-fold predictions of one (mode, k, n) pipeline: [ANOVA top-k] -> [PCA n] -> balanced LR."""
-    from pyspark.ml.classification import LogisticRegression
-
     topk = None
     if mode in ("anova", "anova_pca"):
         topk = {}
@@ -157,20 +155,20 @@ def evaluate_candidate(folded: DataFrame, feats: list[str], states, counts, poli
             used = [c for c in used if c in chosen]
         pos = policy.positives - counts.get((f, 1), 0)
         neg = policy.negatives - counts.get((f, 0), 0)
-        keep = [cfg.entity, cfg.label]
-        tr = folded.where(F.col("fold") != f).select(*keep, *[e for e in st.exprs(used)])
-        te = folded.where(F.col("fold") == f).select(*keep, *[e for e in st.exprs(used)])
-        vec = VectorAssembler(inputCols=used, outputCol="features", handleInvalid="keep")
-        tr, te = vec.transform(tr), vec.transform(te)
+        keep = [cfg.entity, cfg.label, F.lit(1.0).alias(CONSTANT)]
+        tr = folded.where(F.col("fold") != f).select(*keep, *st.exprs(used))
+        te = folded.where(F.col("fold") == f).select(*keep, *st.exprs(used))
         if mode in ("pca", "anova_pca"):
             if n > len(used):  # a fold has fewer usable features than components asked for
                 raise ValueError(f"{name}: {n} components of {len(used)} features in fold {f}")
-            pca = PCA(k=n, inputCol="features", outputCol="pcs").fit(tr)
-            tr = pca.transform(tr).drop("features").withColumnRenamed("pcs", "features")
-            te = pca.transform(te).drop("features").withColumnRenamed("pcs", "features")
-        lr = LogisticRegression(featuresCol="features", labelCol=cfg.label, weightCol="__w", regParam=1.0 / (cfg.reg_scale * (pos + neg)),
-                                elasticNetParam=0.0, standardization=False, maxIter=cfg.max_iter, tol=1e-8)
-        model = lr.fit(tr.withColumn("__w", balanced_weight(cfg.label, pos + neg, pos, neg)))
+            vec = VectorAssembler(inputCols=used, outputCol="__x", handleInvalid="keep")
+            pca = PCA(k=n, inputCol="__x", outputCol="__pcs").fit(vec.transform(tr))
+            parts_of = lambda d: pca.transform(vec.transform(d)).withColumn("__a", vector_to_array("__pcs")).select(  # noqa: E731, B023
+                *[c for c in (cfg.entity, cfg.label, CONSTANT)], *[F.col("__a")[i].alias(f"pc{i}") for i in range(n)]
+            )
+            tr, te, used = parts_of(tr), parts_of(te), [f"pc{i}" for i in range(n)]
+        vec, model = fit_fold(tr, used, cfg, pos + neg, pos, neg)
+        te = vec.transform(te)
         prob = vector_to_array(F.col("probability"))[1]
         parts.append(model.transform(te).select(
             q(cfg.entity).alias("patient_id"), F.lit(name).alias("model_name"), F.lit(f).alias("fold"),
@@ -193,8 +191,9 @@ def run_set_analysis(table: DataFrame, set_name: str, cfg: ModelConfig = ModelCo
     mat = feature_matrix(table, cfg).checkpoint()
     feats = feature_columns(mat, cfg)
     policy = choose_cv(mat, cfg)
-    if policy.skip_reason:
-        skipped = spark.createDataFrame([(set_name, policy.skip_reason)], "feature_set string, skip_reason string")
+    reason = policy.skip_reason or ("" if feats else "not_run_no_numeric_features")
+    if reason:
+        skipped = spark.createDataFrame([(set_name, reason)], "feature_set string, skip_reason string")
         return {"performance": spark.createDataFrame([], "feature_set string"), "best": spark.createDataFrame([], "feature_set string"), "skipped": skipped}
     folded = assign_folds(mat, policy, cfg).checkpoint()
     counts = {(r["fold"], r[cfg.label]): r["count"] for r in folded.groupBy("fold", cfg.label).count().collect()}

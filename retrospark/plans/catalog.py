@@ -1248,8 +1248,8 @@ register(
     "val7_leakage_evidence",
     O.with_base("SELECT 'eda_no_post_reference_records' AS \"check\", count(*) FILTER (WHERE visit_date > reference_date) = 0 AS passed, "
                 "'failed_record_count=' || CAST(count(*) FILTER (WHERE visit_date > reference_date) AS VARCHAR) AS detail FROM cleaned "
-                "UNION ALL SELECT 'feature_importance_stage_ran', false, 'feature importance outputs not found'"),
-)(lambda s, sf: EV.leakage_evidence(eda_stage(s, sf)["leakage_audit"], False))
+                "UNION ALL SELECT 'feature_selection_and_pca_fold_local_fit', false, 'feature importance outputs not found'"),
+)(lambda s, sf: EV.leakage_evidence(eda_stage(s, sf)["leakage_audit"], None))
 register("val8_attrition_view", ORACLES["coh10_attrition_report"])(lambda s, sf: EV.attrition_view(stage2(s, sf)["cohort_attrition_report"]))
 
 

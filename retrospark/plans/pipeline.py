@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FEATURE_TARGET_COUNTS, WINDOWS, CleanSchema, CohortConfig, EvalConfig, FeatureConfig, ModelConfig, RawSchema
+from ..config import ANOVA_K_GRID, FEATURE_TARGET_COUNTS, PCA_N_GRID, WINDOWS, CleanSchema, CohortConfig, EvalConfig, FeatureConfig, ModelConfig, RawSchema
 from ..operators import audit as AU
 from ..operators import cleaning as CL
 from ..operators import cohort as C
@@ -24,6 +24,7 @@ from ..operators import evaluate as EV
 from ..operators import explore as EX
 from ..operators import features as FE
 from ..operators import model as MO
+from ..operators import select as SE
 from ..session import ensure_checkpoint_dir
 from ..sources.files import write_table
 
@@ -55,6 +56,9 @@ class PipelineConfig:
     eval: EvalConfig = field(default_factory=EvalConfig)
     output_root: str | None = None
     skip_modeling: bool = True
+    importance: bool = True  # stage 07, when models are run
+    anova_k: tuple[int, ...] = tuple(ANOVA_K_GRID)
+    pca_n: tuple[int, ...] = tuple(PCA_N_GRID)
 
 
 def stage_dirs(root: str) -> dict[str, str]:
@@ -83,24 +87,59 @@ def _cut(df: DataFrame, path: str | None, spark: SparkSession) -> DataFrame:
     return df.checkpoint()
 
 
-def pipeline_acceptance(checks: dict[str, DataFrame], facts: DataFrame, features: dict[str, DataFrame], cfg: PipelineConfig) -> DataFrame:
-    """ORC3: union of every stage's checks plus the eight run-level checks."""
+def pipeline_acceptance(
+    checks: dict[str, DataFrame],
+    facts: DataFrame,
+    attrition: DataFrame,
+    single_shot: DataFrame,
+    guards: DataFrame,
+    metrics: DataFrame | None,
+    mcnemar: DataFrame | None,
+) -> DataFrame:
+    """ORC3: union of every stage's checks plus the run-level checks, each derived from the run's tables.
+
+    ``guards``: rows (source, ok) of the leakage evidence of stages 02, 03, 04 and 05.  Without
+    modelling the metric checks look at what the evaluation operators offer.
+    """
     out = None
     for stage, df in checks.items():
         part = df.select(F.lit(stage).alias("stage"), "check", "passed", "detail")
         out = part if out is None else out.unionByName(part)
     spark = facts.sparkSession
-    leak = facts.select(F.col("no_post_reference_records").alias("ok"))
-    run = [
-        ("00", "raw_input_exists", F.lit(True), F.lit("input table readable")),
-        ("00", "paper_default_temporal_windows_registered", F.lit(len(WINDOWS) == 3), F.lit(",".join(WINDOWS))),
-        ("00", "single_shot_baseline_available", F.lit("single_shot" in features), F.lit("single_shot")),
-        ("00", "primary_metrics_registered", F.lit(True), F.lit(",".join(PRIMARY_METRICS))),
-        ("00", "mcnemar_validation_supported", F.lit(True), F.lit("evaluate.mcnemar")),
-    ]
-    run_df = spark.createDataFrame([(s, n, True, "") for s, n, _, _ in run], "stage string, check string, passed boolean, detail string")
-    guard = leak.select(F.lit("00").alias("stage"), F.lit("post_reference_leakage_guardrail").alias("check"), F.col("ok").alias("passed"), F.lit("stages 02/03/05").alias("detail"))
-    return out.unionByName(run_df).unionByName(guard)
+    raw = attrition.agg(F.coalesce(F.max(F.when(F.col("step") == "raw_input", F.col("records_remaining"))), F.lit(0)).alias("n"))
+    names = sorted(WINDOWS)
+    windows = facts.select("observed_windows")
+    shots = single_shot.agg(F.count(F.lit(1)).alias("n"))
+    leak = guards.agg(F.coalesce(F.bool_and("ok"), F.lit(False)).alias("ok"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("source")))), ",").alias("bad"))
+    offered = set(metrics.columns) if metrics is not None else set(EV.metrics_table(MO.empty_predictions(spark, "bigint")).columns)
+    lacking = [m for m in PRIMARY_METRICS if m != "mcnemar" and m not in offered]
+    row = lambda name, df, ok, detail: df.select(F.lit("00").alias("stage"), F.lit(name).alias("check"), ok.alias("passed"), detail.cast("string").alias("detail"))
+    one = spark.range(1)
+    if mcnemar is not None:
+        tests = row("mcnemar_validation_supported", mcnemar.agg(F.count(F.lit(1)).alias("n")), F.col("n") > 0, F.concat(F.lit("rows="), F.col("n").cast("string")))
+    else:
+        tests = row("mcnemar_validation_supported", one, F.lit(callable(getattr(EV, "mcnemar_vs_best", None))), F.lit("models not run"))
+    for part in (
+        row("raw_input_exists", raw, F.col("n") > 0, F.concat(F.lit("records="), F.col("n").cast("string"))),
+        row("paper_default_temporal_windows_registered", windows, F.array_sort("observed_windows") == F.array(*[F.lit(n) for n in names]), F.array_join("observed_windows", ",")),
+        row("single_shot_baseline_available", shots, F.col("n") > 0, F.concat(F.lit("rows="), F.col("n").cast("string"))),
+        row("primary_metrics_registered", one, F.lit(not lacking), F.lit("missing: " + ",".join(lacking) if lacking else ",".join(PRIMARY_METRICS))),
+        tests,
+        row("post_reference_leakage_guardrail", leak, F.col("ok"), F.when(F.col("ok"), F.lit("stages 02/03/04/05")).otherwise(F.concat(F.lit("failed: "), F.col("bad")))),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
+def leakage_guards(facts: DataFrame, cleaning: DataFrame, eda: DataFrame, features: DataFrame) -> DataFrame:
+    """(source, ok): what each stage found about records after the reference date."""
+    flag = lambda df, name, col: df.agg(F.coalesce(F.bool_and(col), F.lit(False)).alias("ok")).select(F.lit(name).alias("source"), "ok")
+    return (
+        flag(facts, "02", F.col("no_post_reference_records"))
+        .unionByName(flag(cleaning, "03", F.col("passed")))
+        .unionByName(flag(eda, "04", F.col("passed")))
+        .unionByName(flag(features, "05", F.col("pre_reference_only")))
+    )
 
 
 def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> dict[str, dict[str, DataFrame]]:
@@ -124,29 +163,28 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: PipelineConfig = Pipe
         "04": st4["eda_acceptance_checks"],
         "05": st5["feature_acceptance_checks"],
     }
+    metrics = mcnemar = None
     if not cfg.skip_modeling:
         tables = {k: st5[k] for k in ("single_shot", "extract_set_1", "extract_set_2", "extract_set_3")}
         st6 = MO.run_modeling(tables, cfg.model)
-        preds = st6["all_model_predictions"]
-        metrics = EV.metrics_table(preds, cfg.eval)
-        st8 = {
-            "validation_metrics": EV.ranked(metrics),
-            "validation_confusion_matrices": EV.confusion_table(metrics, cfg.eval),
-            "roc_pr_auc_table": EV.roc_pr_table(metrics, cfg.eval),
-            "baseline_vs_temporal_comparison": EV.baseline_vs_temporal(metrics, cfg.eval),
-            "mcnemar_test_report": EV.mcnemar_vs_best(preds, metrics, cfg.eval),
-            "cohort_attrition_validation_view": st2["cohort_attrition_report"],
-        }
-        out["06"], out["08"] = st6, st8
+        st6["all_model_predictions"] = _cut(st6["all_model_predictions"], dirs and f"{dirs['model_output']}/all_model_predictions", spark)
+        out["06"] = st6
         checks["06"] = st6["modeling_acceptance_checks"]
-    out["00"]["pipeline_acceptance"] = pipeline_acceptance(checks, st2["target_cohort_summary"], st5, cfg)
+        if cfg.importance:
+            out["07"] = SE.run_feature_importance({k: v for k, v in tables.items() if k != "single_shot"}, cfg.model, cfg.anova_k, cfg.pca_n)
+        out["08"] = EV.run_validation(st6["all_model_predictions"], st2["cohort_attrition_report"], st4["leakage_audit"], out.get("07", {}).get("performance_grid"), cfg.eval)
+        metrics, mcnemar = out["08"]["validation_metrics"], out["08"]["mcnemar_test_report"]
+    guards = leakage_guards(st2["target_cohort_summary"], st3["leakage_audit_report"], st4["leakage_audit"], st5["generation_log"])
+    out["00"]["pipeline_acceptance"] = pipeline_acceptance(
+        checks, st2["target_cohort_summary"], st2["cohort_attrition_report"], st5["single_shot"], guards, metrics, mcnemar
+    )
     if cfg.output_root:
         names = dict(STAGES)
         for stage, tables in out.items():
             if stage == "00":
                 continue
             for name, df in tables.items():
-                if name in ("cleaned_pre_reference_records", "entity_aggregate", "prepared"):
+                if name in ("cleaned_pre_reference_records", "entity_aggregate", "prepared", "all_model_predictions"):
                     continue
                 write_table(df, f"{dirs[names[stage]]}/{name}")
     return out
