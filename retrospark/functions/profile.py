@@ -109,7 +109,7 @@ def exact_quantiles(
     dv = base.groupBy(*keys, "__v").agg(F.sum("__w").alias("__w")).checkpoint()
     if buckets is None:  # enough buckets that each holds about ``values_per_bucket`` distinct values
         largest = dv.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        buckets = int(min(1024, max(8, -(-largest // values_per_bucket))))
+        buckets = int(max(8, -(-largest // values_per_bucket)))
     qs = [i / buckets for i in range(1, buckets)]
     bounds = dv.groupBy(*keys).agg(F.percentile_approx("__v", qs, 10000).alias("__b"), F.sum("__w").alias("n"))
     dv = dv.join(bounds.drop("n"), on=keys)  # bounds: one row per group, ``buckets`` numbers

@@ -27,6 +27,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.retrospark.fixture.partitions", str(cpus) if str(cpus).isdigit() else str(os.cpu_count() or 8))
         .config("spark.driver.memory", os.environ.get("RETROSPARK_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()

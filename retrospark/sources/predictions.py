@@ -1,13 +1,13 @@
 """Prediction-table sources.
 
 * :func:`fixture_predictions` - two models' scores over ``labels x documents`` (ties on purpose).
-* :func:`read_prediction_files` - one read over ``*_predictions.*`` files; the model name
-  comes from the file name, files lacking the truth/prediction columns are skipped (SRC5).
+* :func:`read_prediction_files` - all ``*_predictions.*`` files of a folder; the model name
+  comes from the file name, files lacking the truth/prediction columns are skipped (SRC5).  Files
+  may differ in their columns, so each keeps its own reader; they are one per model.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +36,8 @@ def fixture_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_prediction_files(spark: SparkSession, directory: str, cfg: EvalConfig = EvalConfig(), suffix: str = "_predictions") -> DataFrame:
     """All ``<model>_predictions.{csv,parquet}`` files of a folder as one table with ``model_name``."""
-    paths = sorted(p for p in glob.glob(os.path.join(directory, f"*{suffix}.*")) if not os.path.basename(p).startswith("all_model"))
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}.*").load(directory)  # paths only; works in any store
+    paths = sorted(r.path for r in listing.select("path").collect() if not os.path.basename(r.path).startswith("all_model"))
     frames = []
     for p in paths:
         model = os.path.basename(p).split(suffix)[0]

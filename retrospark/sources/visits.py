@@ -54,14 +54,10 @@ def _flag(cond) -> F.Column:
 def fixture_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``visits`` = lineitem x orders x customer x nation x part, mapped to visit columns."""
     li = table(spark, sf_dir, "lineitem")
-    # A test file may hold a single row group (one input split).  Spread it round-robin
-    # only then, so the map side is parallel; many-file inputs already split and skip this.
-    try:  # classic sessions only; a Connect session plans this server-side
-        target = spark.sparkContext.defaultParallelism
-        if li.rdd.getNumPartitions() < target:
-            li = li.repartition(target)
-    except Exception:  # noqa: BLE001
-        pass
+    # Test files may hold a single row group (one input split); a session may ask to spread it.
+    spread = spark.conf.get("spark.retrospark.fixture.partitions", None)
+    if spread:
+        li = li.repartition(int(spread))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")

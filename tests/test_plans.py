@@ -20,12 +20,13 @@ def test_flagship_plan(spark):
     assert scans and all("o_orderdate" not in s and "o_orderpriority" not in s for s in scans)
 
 
-def test_entity_aggregates_do_not_reshuffle(spark):
+def test_attrition_has_no_expand_and_counts_no_ids(spark):
     import __spark_entry__ as E
 
-    plan = _plan(E.queries()["fea9_extract_set_1"](spark, SF001))
-    # the feature aggregate reuses the entity partitioning of the reference-date join
-    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") + plan.count("BroadcastHashJoin") >= 1
+    for name in ("coh10_attrition_report", "coh12_window_distribution", "coh16_cohort_facts"):
+        plan = _plan(E.queries()[name](spark, SF001))
+        assert "Expand [" not in plan and "Expand (" not in plan, name
+        assert "sha2(" not in plan, name
 
 
 def test_top_k_is_limited_before_shuffle(spark):
