@@ -176,8 +176,9 @@ def train(docs: DataFrame, per_label: int = 1000) -> dict | None:
     idf[DIM] = 0.0
     ids = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
     ids.createOrReplaceTempView("_langid_ids")
-    few = docs.sparkSession.sql(
-        f"SELECT doc_id, h FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS r FROM _langid_ids) WHERE r <= {int(per_label)}"
+    first = "SELECT lang, doc_id, h, row_number() OVER (PARTITION BY lang, pmod(h, 64) ORDER BY h, doc_id) AS r FROM _langid_ids"
+    few = docs.sparkSession.sql(  # 64 shares of a label first, so that a common label is not one task's window
+        f"SELECT doc_id, h FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS r FROM ({first}) WHERE r <= {int(per_label)}) WHERE r <= {int(per_label)}"
     ).distinct()
     sample = usable.join(F.broadcast(few), usable["doc_id"].eqNullSafe(few["doc_id"])).select("h", "text", "lang")  # at most per_label ids a label
     sample = sample.groupBy("h", "lang").agg(F.min("text").alias("text"))
