@@ -1348,3 +1348,62 @@ def _imp4(s: SparkSession, sf: str) -> DataFrame:
 
 
 register("imp4_fold_pca_variance", None)(_imp4)
+
+
+# ---------------------------------------------------------------- inputs on which a check must answer
+
+
+def _overlapping(s: SparkSession, sf: str) -> DataFrame:
+    folded = set1_folded(s, sf)[0].select("patient_id", "fold")
+    return FO.overlap_guard(folded.unionByName(folded.where("fold = 0").withColumn("fold", F.lit(1))), MODEL_CFG)
+
+
+register(
+    "mod4_overlap_detected",
+    O.with_base("SELECT patient_id, count(DISTINCT fold) AS folds FROM (SELECT patient_id, fold FROM folded UNION ALL SELECT patient_id, 1 FROM folded WHERE fold = 0) "
+                "GROUP BY patient_id HAVING count(DISTINCT fold) > 1", SET1_CTE),
+)(_overlapping)
+
+
+def _repeated(s: SparkSession, sf: str) -> DataFrame:
+    long = stage2(s, sf)["pre_reference_records_with_windows"]
+    return CL.drop_exact_duplicates(long.unionByName(long.where(F.col("window") == "FIRST")))[1]
+
+
+register(
+    "cln6_repeated_records",
+    O.with_base("SELECT 'drop_exact_duplicates' AS rule, (SELECT count(*) FROM long) + (SELECT count(*) FROM long WHERE \"window\" = 'FIRST') AS rows_before, "
+                "(SELECT count(*) FROM long) AS rows_after, (SELECT count(*) FROM long WHERE \"window\" = 'FIRST') AS rows_changed"),
+)(_repeated)
+
+
+def _texts(s: SparkSession, sf: str) -> DataFrame:
+    """Laboratory values as text, missing ones as ``NaN`` or as words, coerced again."""
+    long, _ = CL.standardize_columns(stage2(s, sf)["pre_reference_records_with_windows"])
+    text = long.withColumns({
+        "hdl": F.coalesce(F.col("hdl").cast("string"), F.lit("NaN")),
+        "ldl": F.coalesce(F.col("ldl").cast("string"), F.lit("not done")),
+    })
+    out = CL.coerce_types(text)
+    return out.agg(
+        F.count("hdl").alias("hdl_values"), F.count("ldl").alias("ldl_values"), F.round(F.sum("hdl"), 2).alias("hdl_sum"),
+        F.count_if(F.isnan("hdl")).alias("hdl_nan"), F.count(F.lit(1)).alias("rows"),
+    )
+
+
+register(
+    "cln3_coerced_text",
+    O.with_base("SELECT count(HDL) AS hdl_values, count(LDL) AS ldl_values, round(sum(HDL), 2) AS hdl_sum, 0 AS hdl_nan, count(*) AS rows FROM long"),
+)(_texts)
+
+
+def _one_class(s: SparkSession, sf: str) -> DataFrame:
+    table = stage5(s, sf)["extract_set_1"]
+    return EV.skipped_models(MO.policy_results({"extract_set_1": table, "positives_only": table.where("stroke = 1")}, MODEL_CFG))
+
+
+register(
+    "mod12_single_class_skipped",
+    O.with_base(f"SELECT 'positives_only' AS model_name, 'not_run_single_class' AS skip_reason, count(*) AS n_patients, CAST({len(_S1_FEATS)} AS BIGINT) AS n_features, "
+                "count(*) AS target_positive_count, CAST(0 AS BIGINT) AS target_negative_count, 'not_run' AS cv_strategy FROM set1 WHERE stroke = 1", SET1_CTE),
+)(_one_class)
