@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retrospark.llm.common import doc_remainder, materialize, mix64, once, ship
+from retrospark.llm.common import doc_remainder, materialize, mix64, once, ship, tidy
 
 ship(__name__)
 
@@ -141,7 +141,7 @@ def count_bits(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "blob": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "chunk int, part int, blob binary"
-    sums = docs.select("text").mapInPandas(count, schema)
+    sums = docs.select("text").mapInPandas(tidy(count), schema)
     parts = docs.rdd.getNumPartitions()
     while parts > 1:
         sums = sums.groupBy("chunk", F.floor(F.col("part") / FAN).cast("int").alias("part")).applyInPandas(add, schema)
@@ -306,7 +306,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if words:
             yield pd.DataFrame({"word": list(words), "c": list(words.values())})
 
-    return docs.select("text").mapInPandas(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInPandas(tidy(count), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def is_held_out():
@@ -361,8 +361,7 @@ def score_documents(docs: DataFrame, sample_docs: int = 256, common_words: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(
-        run,
+    scored = rows.mapInArrow(tidy(run),
         f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_common bigint, log_common double, n_bytes bigint, bits double, rare array<binary>",
     )
     scored = materialize(scored.withColumn("rid", F.monotonically_increasing_id()))

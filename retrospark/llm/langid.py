@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retrospark.llm.common import doc_remainder, ship
+from retrospark.llm.common import doc_remainder, ship, tidy
 
 ship(__name__)
 
@@ -104,7 +104,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
     df_docs = [0]
     out = np.zeros(DIM + 1, np.int64)
-    for r in docs.select("text").mapInPandas(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInPandas(tidy(count), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]  # at most DIM + 1 rows
     return out
 
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_i
             score = np.where(ok, p[np.arange(len(p)), best], 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(label, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrospark.llm import shingles as S
-from retrospark.llm.common import materialize, mix64, ship
+from retrospark.llm.common import materialize, mix64, ship, tidy
 from retrospark.llm.components import connected_components
 
 ship(__name__)
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, words: int, rows: int, count: int) -> DataFrame:
                 made = [pa.array(sizes), *digest, pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "n_shingles", "d1", "d2", "keys", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary")
 
 
 def _union(n: int, links: np.ndarray) -> np.ndarray:

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retrospark.llm.common import once, sha256_hex, ship
+from retrospark.llm.common import once, sha256_hex, ship, tidy
 
 ship(__name__)
 
 SPACE = "▁"
 #: Entries of the per-process tables of words (two generations; the older one goes when the newer is full) and of token pairs.
 MEMO_WORDS = 250_000
-MEMO_PAIRS = 500_000
+MEMO_PAIRS = 300_000
 
 
 class PieceTable:
@@ -245,7 +245,7 @@ def encode_documents(docs: DataFrame, table: PieceTable, keep: tuple[str, ...] =
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = once(shared, PieceTable)  # one object per worker process: its tables of words and pairs stay
+        t = once(shared, PieceTable)  # one object per worker process
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             counts, ids, decoded = zip(*map(t.digests, texts), strict=True) if texts else ((), (), ())
@@ -254,5 +254,6 @@ def encode_documents(docs: DataFrame, table: PieceTable, keep: tuple[str, ...] =
                 each = [t.encode(x) for x in texts]
                 out += [pa.array(each, pa.list_(pa.int32())), pa.array([t.decode(i) for i in each], pa.string())]
             yield pa.RecordBatch.from_arrays(out, names)
+        t.words, t.older = {}, {}  # the table of pairs stays for the next task
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
