@@ -331,6 +331,19 @@ def test_adversarial_repeats(spark):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute_suffixes(docs, 50)
 
 
+def test_piece_that_its_first_document_repeats(spark):
+    letters = np.random.default_rng(9).integers(97, 123, 104)
+    unit, sep = bytes(letters[:90].tolist()).decode(), bytes(letters[90:].tolist()).decode()
+    docs = [(1, "a" * 60 + unit + "b" * 60), (2, "start " + (unit + sep) * 3 + "end"), (3, (unit + sep) * 4), (3, "x" + (unit + sep) * 2)]
+    rows = suffixes.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute_suffixes(docs[:2], 50)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows if r["doc_id"] < 3} == want
+    assert want[2][1:3] == (270, 3)
+    for text in (docs[2][1], docs[3][1]):
+        alone = brute_suffixes([*docs[:2], (3, text)], 50)[3]
+        assert alone in [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows if r["doc_id"] == 3]
+
+
 def test_kept_text_has_whole_characters(spark):
     docs = [(1, "é" * 60, "x"), (2, "a" + "é" * 40 + "ü" + "b", "clash")]
     rows = suffixes.deduplicate(spark.createDataFrame(docs, "doc_id long, text string, n_removed string"), with_text=True).orderBy("doc_id").collect()
