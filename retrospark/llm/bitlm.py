@@ -1,22 +1,25 @@
 """Language-model scoring: logistic context mixing over the bits of a text.
 
 The text (A-Z lower-cased, UTF-8, closed by the byte 0xFF) is predicted bit by bit.  For each of
-the ``ORDERS`` (1 to 5 preceding bytes) a table of hashed contexts holds how often the next bit
-was 0 and 1; the stretched probabilities of the orders are summed with weights that a gate
+the ``ORDERS`` (1 to 5 preceding bytes) the counts say how often the next bit was 0 and 1 in the
+context; the stretched probabilities of the orders are summed with weights that a gate
 selects (longest context seen, its confidence, bit position), and an adaptive probability map
 refines the sum.  A text's cost in bits is the sum over its bits.
 
-Learning:
+A bit's cost depends on its window only (the byte and the five before it), so the model is a
+distributed table of distinct windows that grows with the input; its counts are exact:
 
-* bit counts: one pass over all training texts.  Each task counts the distinct windows of its
-  blocks into its own tables and emits them as compressed chunks, which are added up in a tree
-  (``FAN`` tables at a time), so that no task meets more than ``FAN`` chunks.
-* weights and probability map: online, block by block, over a bounded sample
-  (``sample_docs`` texts with the smallest id hashes), each window without its own count.
+* *Ask.*  Each share of the texts (about ``SHARE`` bytes) sends its distinct windows, with their
+  occurrences in training texts, to the tasks that hold them.  Windows are dealt by the three
+  bytes before the target, so a task has all counts of orders 3 to 5 of its contexts.
+  The counts of orders 1 and 2 (at most 2**24 three-byte strings) are broadcast.
+* *Learn.*  Every training window has a part in the weights and in the map: each task sums the
+  gradients and curvatures of its windows, weighted by their occurrences and without the
+  occurrence itself; the sums (of a fixed size) are added up in a tree (``FAN`` at a time) and
+  give one Newton step of each gate's weights, ``ROUNDS`` times.  The map is counted in a last pass.
+* *Answer.*  Each task sends the costs of its windows to the shares that asked.
 
-Scoring uses the frozen tables, so a text's score depends on no other text and no partitioning.
-Prediction depends on six bytes only; a per-process cache of window costs makes most of the text
-a table look-up.  The tables have a fixed size (``BITS``), which bounds what is broadcast.
+Scoring uses the frozen model, so a text's score depends on the training texts only.
 
 Word counts for the base score are a distributed table.  The commonest words (at most
 ``common_words``, chosen by a count threshold) are broadcast; every other word occurrence is
@@ -42,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retrospark.llm.common import doc_remainder, materialize, mix64, once, ship, tidy
+from retrospark.llm.common import doc_remainder, materialize, mix64, release, ship, tidy
 
 ship(__name__)
 
@@ -50,13 +53,18 @@ ORDERS = (1, 2, 3, 4, 5)
 #: log2 of the slots of each order's table.
 BITS = (16, 19, 20, 21, 21)
 OFFSETS = tuple(int(sum(1 << b for b in BITS[:i])) for i in range(len(BITS) + 1))
-CHUNK = 1 << 16
 BLOCK = 1 << 19
 #: Rows that are taken from a batch at once.
 ROWS = 1000
 FAN = 64
-CACHE_BITS = 21
 APM_STEPS = 32
+#: Bytes of text whose windows are asked for at once, and whose windows one task holds on average.
+SHARE = 1 << 23
+ASK_BYTES = 1 << 23
+#: Windows that are predicted at once; Newton steps; weight of the starting weights.
+SOME = 1 << 16
+ROUNDS = 6
+RIDGE = 1.0
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,42 +127,6 @@ def _lower(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if text else b""  # bytes.lower changes A-Z only
 
 
-def count_bits(docs: DataFrame) -> np.ndarray:
-    """Bit counts (slots x 2, at most 65535 each) of all texts of ``docs``."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, seen = np.zeros((OFFSETS[-1], 2), np.uint32), False
-        for pdf in batches:
-            for b in range(0, len(pdf), ROWS):
-                for _, code, _ in _groups([_lower(t) for t in pdf["text"].iloc[b : b + ROWS]]):
-                    seen = True
-                    _count_into(table, code)
-        if seen:
-            part = TaskContext.get().partitionId()
-            for c in range(0, OFFSETS[-1], CHUNK):
-                yield pd.DataFrame({"chunk": [c // CHUNK], "part": [part], "blob": [zlib.compress(table[c : c + CHUNK].astype(np.int64).tobytes(), 1)]})
-
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((CHUNK, 2), np.int64)
-        for blob in pdf["blob"]:
-            total += np.frombuffer(zlib.decompress(blob), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "blob": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "chunk int, part int, blob binary"
-    sums = docs.select("text").mapInPandas(tidy(count), schema)
-    parts = docs.rdd.getNumPartitions()
-    while parts > 1:
-        sums = sums.groupBy("chunk", F.floor(F.col("part") / FAN).cast("int").alias("part")).applyInPandas(add, schema)
-        parts = -(-parts // FAN)
-    out = np.zeros((OFFSETS[-1], 2), np.uint16)
-    for r in sums.toLocalIterator():  # OFFSETS[-1] / CHUNK rows
-        got = np.frombuffer(zlib.decompress(bytes(r["blob"])), np.int64).reshape(-1, 2)
-        most = got.max(axis=1)
-        scale = np.where(most > 65535, 65535.0 / np.maximum(most, 1), 1.0)
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.ceil(got * scale[:, None]).astype(np.uint16)
-    return out
-
-
 def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + 0.4) / (n0 + 0.4))
 
@@ -194,7 +166,10 @@ class Mixer:
 
 
 def fit_mixer(texts: list[bytes], counts: np.ndarray, block: int = 1024) -> Mixer:
-    """Online over the windows of ``texts`` in order; a window's own occurrence is taken off the counts."""
+    """Online over the windows of ``texts`` in order; a window's own occurrence is taken off the counts.
+
+    With ``_count_into`` and :class:`Scorer` the form for one process and small texts; queries use :func:`train`.
+    """
     mixer = Mixer()
     for _, code, _ in _groups(texts):
         for b in range(0, len(code), block):
@@ -217,13 +192,12 @@ def fit_mixer(texts: list[bytes], counts: np.ndarray, block: int = 1024) -> Mixe
 
 
 class Scorer:
-    """Frozen model; keeps the costs of windows it has met (direct-mapped, bounded)."""
+    """Frozen model over one process' hashed tables (see :func:`fit_mixer`)."""
 
     def __init__(self, stretched: np.ndarray, confidence: np.ndarray, mixer: dict):
         self.stretched, self.confidence = stretched, confidence
         self.mixer = Mixer()
         vars(self.mixer).update(mixer)
-        self.keys: np.ndarray | None = None
 
     @staticmethod
     def state(counts: np.ndarray, mixer: Mixer) -> dict:
@@ -247,49 +221,280 @@ class Scorer:
             node = node * 2 + bit
         return cost
 
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Cost in bits of each text."""
-        if self.keys is None:
-            self.keys = np.full(1 << CACHE_BITS, ~np.uint64(0), np.uint64)
-            self.costs = np.zeros(1 << CACHE_BITS, np.float32)
-        out = np.zeros(len(texts))
-        for first, code, starts in _groups(texts):
-            slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            cost = self.costs[slot].astype(np.float64)
-            miss = np.flatnonzero(self.keys[slot] != code)
-            if len(miss):
-                fresh, inverse = np.unique(code[miss], return_inverse=True)
-                costs = np.concatenate([self._cost(fresh[b : b + (1 << 16)]) for b in range(0, len(fresh), 1 << 16)]).astype(np.float32)
-                cost[miss] = costs[inverse]
-                at = ((fresh * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-                self.costs[at], self.keys[at] = costs, fresh
-                clash = self.keys[at] != fresh  # of two windows in one slot the last write stays, in both arrays
-                if clash.any():
-                    self.costs[at[~clash]] = costs[~clash]
-            out[first : first + len(starts)] += np.add.reduceat(cost, starts)
-        return out
-
-
-def train_scorer(docs: DataFrame, sample_docs: int = 256) -> dict:
-    """State of a :class:`Scorer`.  Counts from all texts of ``docs`` (doc_id, text); mixer from at most ``sample_docs`` of them."""
-    counts = count_bits(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    few = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(sample_docs).select("doc_id")
-    sample = docs.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", "text")  # sample_docs ids at most
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(h=[hash_of(i) for i in pdf["doc_id"]]).sort_values(["h", "doc_id"])
-        return pd.DataFrame({"model": [pickle.dumps(vars(fit_mixer([_lower(t) for t in pdf["text"]], shared.value)))]})
+# ---------------------------------------------------------------- exact counts of distinct windows
+
+
+def _keys(code: np.ndarray, order: int) -> np.ndarray:
+    """Context of ``order`` bytes (the last one first), then the target byte."""
+    context = (code & np.uint64((1 << 40) - 1)) >> np.uint64(8 * (5 - order))
+    return (context << np.uint64(8)) | (code >> np.uint64(40))
+
+
+def _table(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the running total before each of them (and after the last)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[edge], np.concatenate([[0], np.cumsum(np.add.reduceat(n[order], edge))]) if len(keys) else np.zeros(1, np.int64)
+
+
+def _low_tables(grams: np.ndarray, n: np.ndarray) -> list:
+    """Tables of orders 1 and 2 from the counts of three-byte strings (windows without their oldest bytes)."""
+    code = grams.astype(np.uint64) << np.uint64(24)
+    return [_table(_keys(code, o), n.astype(np.int64)) for o in (1, 2)]
+
 
-    def hash_of(i) -> int:
-        return int(mix64(np.array([int(i) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+def _tables(low: list, code: np.ndarray, n: np.ndarray) -> list:
+    """Tables of all orders from the windows of a task."""
+    return [*low, *(_table(_keys(code, o), n) for o in ORDERS[2:])]
 
-    got = sample.groupBy(F.lit(0).alias("one")).applyInPandas(run, "model binary").collect()
+
+def _bits(tables: list, code: np.ndarray, without_own: bool) -> Iterator[tuple]:
+    """(bit position, node, bit, stretched inputs, longest order seen, its confidence) of every bit of the windows."""
+    target = (code >> np.uint64(40)).astype(np.int64)
+    keys = [_keys(code, o) & ~np.uint64(255) for o in ORDERS]
+    count = lambda k, key: tables[k][1][np.searchsorted(tables[k][0], key)]
+    low, high = [count(k, key) for k, key in enumerate(keys)], [count(k, key + np.uint64(256)) for k, key in enumerate(keys)]
+    node = np.ones(len(code), np.int64)
+    for i in range(7, -1, -1):
+        bit = (target >> i) & 1
+        half = (((target >> (i + 1)) * 2 + 1) << i).astype(np.uint64)
+        x, seen, conf = np.zeros((len(code), len(ORDERS))), np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        for k, key in enumerate(keys):
+            mid = count(k, key | half)
+            n0, n1 = mid - low[k], high[k] - mid
+            if without_own:
+                n0, n1 = n0 - (1 - bit), n1 - bit
+            x[:, k] = _stretch(n0, n1)
+            c = _confidence(n0 + n1)
+            seen, conf = np.where(c > 0, k + 1, seen), np.where(c > 0, c, conf)
+            low[k], high[k] = np.where(bit == 1, mid, low[k]), np.where(bit == 1, high[k], mid)
+        yield i, node, bit, x, seen, conf
+        node = node * 2 + bit
+
+
+def _parts(code: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in range(0, len(code), SOME):
+        yield code[b : b + SOME], n[b : b + SOME]
+
+
+_UP = np.triu_indices(len(ORDERS))
+
+
+def _slopes(mixer: Mixer, tables: list, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per gate: cost, gradient and curvature of the weights over all occurrences (gates x 21)."""
+    gates = len(mixer.weights)
+    out = np.zeros((gates, 1 + len(ORDERS) + len(_UP[0])))
+    for some, times in _parts(code, n):
+        for i, node, bit, x, seen, conf in _bits(tables, some, True):
+            _, gate, mixed, _ = mixer.predict(x, seen, conf, i, node)
+            slope, bend = times * (bit - mixed), times * mixed * (1 - mixed)
+            columns = [-times * np.log(np.where(bit == 1, mixed, 1 - mixed)), *(slope * x[:, k] for k in range(len(ORDERS)))]
+            columns += [bend * x[:, a] * x[:, b] for a, b in zip(*_UP, strict=True)]
+            for c, v in enumerate(columns):
+                out[:, c] += np.bincount(gate, v, gates)
+    return out
+
+
+def _cells(mixer: Mixer, tables: list, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Occurrences in each cell of the probability map."""
+    out = np.zeros(mixer.apm.size)
+    for some, times in _parts(code, n):
+        for i, node, bit, x, seen, conf in _bits(tables, some, True):
+            cell = mixer.predict(x, seen, conf, i, node)[3]
+            out += np.bincount((node * APM_STEPS + cell) * 2 + bit, times, mixer.apm.size)
+    return out.reshape(mixer.apm.shape)
+
+
+def _costs(mixer: Mixer, tables: list, code: np.ndarray) -> np.ndarray:
+    """Cost in bits of each window."""
+    out = np.zeros(len(code))
+    for b in range(0, len(code), SOME):
+        for i, node, bit, x, seen, conf in _bits(tables, code[b : b + SOME], False):
+            p = mixer.predict(x, seen, conf, i, node)[0]
+            out[b : b + SOME] -= np.log2(np.where(bit == 1, p, 1 - p))
+    return out
+
+
+def newton(sums, rounds: int = ROUNDS) -> Mixer:
+    """Mixer whose weights come from ``rounds`` steps; ``sums(mixer)`` gives :func:`_slopes` over all windows.
+
+    A gate whose cost rose takes half of its last step instead.
+    """
     mixer = Mixer()
-    if got:
-        vars(mixer).update(pickle.loads(bytes(got[0]["model"])))
+    start = mixer.weights.copy()
+    best, cost, step = start.copy(), np.full(len(start), np.inf), np.zeros(start.shape)
+    for _ in range(rounds + 1):
+        got = sums(mixer)
+        now = got[:, 0] + RIDGE / 2 * ((mixer.weights - start) ** 2).sum(axis=1)
+        good = now <= cost
+        curve = np.zeros((len(start), len(ORDERS), len(ORDERS)))
+        curve[:, _UP[0], _UP[1]] = curve[:, _UP[1], _UP[0]] = got[:, 1 + len(ORDERS) :]
+        slope = got[:, 1 : 1 + len(ORDERS)] - RIDGE * (mixer.weights - start)
+        ahead = np.linalg.solve(curve + RIDGE * np.eye(len(ORDERS)), slope[:, :, None])[:, :, 0]
+        best[good], cost[good] = mixer.weights[good], now[good]
+        step = np.where(good[:, None], ahead, step / 2)
+        mixer.weights = best + step
+    mixer.weights = best
+    return mixer
+
+
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, the first one sorted, as compressed byte planes."""
+    columns = (np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:])
+    return zlib.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns), 1)
+
+
+def _from_planes(blob: bytes, *types: str) -> list[np.ndarray]:
+    data = np.frombuffer(zlib.decompress(blob), np.uint8)
+    sizes = [np.dtype(t).itemsize for t in types]
+    n, at, out = len(data) // sum(sizes), 0, []
+    for t, z in zip(types, sizes, strict=True):
+        out.append(np.ascontiguousarray(data[at : at + n * z].reshape(z, n).T).view(t).reshape(-1))
+        at += n * z
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
+
+
+def _merged(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows in order, their counts added up."""
+    code, total = _table(code, n)
+    return code, np.diff(total)
+
+
+def ask(rows: DataFrame, total: int) -> DataFrame:
+    """(task, share, windows): distinct windows of each share of ``rows`` (share, text, held_out), and their training occurrences."""
+    bins = max(4, total // ASK_BYTES)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, held, size = None, [], 0
+
+        def flush():
+            code, n = _merged(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            task = (mix64((code >> np.uint64(16)) & np.uint64(0xFFFFFF)) % np.uint64(bins)).astype(np.int64)
+            order = np.argsort(task, kind="stable")
+            code, n, task = code[order], n[order], task[order]
+            edge = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
+            blobs = [_planes(code[a:z], n[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(task[edge[:-1]]), pa.array(np.full(len(blobs), share, np.int64)), pa.array(blobs, pa.binary())], ["task", "share", "windows"])
+
+        for batch in (whole.slice(b, ROWS) for whole in batches for b in range(0, whole.num_rows, ROWS)):
+            shares, out = batch.column("share").to_numpy(), batch.column("held_out").to_pylist()
+            texts = [_lower(t) for t in batch.column("text").to_pylist()]
+            edge = np.flatnonzero(np.concatenate([[True], shares[1:] != shares[:-1], [True]]))
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if held and (shares[a] != share or size >= 2 * SHARE):
+                    yield flush()
+                    held, size = [], 0
+                share = int(shares[a])
+                for trained in (True, False):
+                    for _, code, _ in _groups([t for t, o in zip(texts[a:z], out[a:z], strict=True) if o != trained]):
+                        window, n = np.unique(code, return_counts=True)
+                        held.append((window, n.astype(np.int64) if trained else np.zeros(len(n), np.int64)))
+                        size += len(code)
+        if held:
+            yield flush()
+
+    return rows.select("share", "text", "held_out").mapInArrow(tidy(send), "task bigint, share bigint, windows binary")
+
+
+def _heard(blobs) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_from_planes(bytes(b), "<u8", "<i8") for b in blobs]
+    return _merged(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
+def _summed(trained: DataFrame, run) -> np.ndarray | None:
+    """Sum of ``run(windows, counts)``, an array of a fixed size, over all tasks' training windows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in batches:
+            for blob in batch.column("windows").to_pylist():
+                got = run(*_from_planes(blob, "<u8", "<i8"))
+                out = got if out is None else out + got
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pickle.dumps(out)], pa.binary())], ["part", "blob"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "blob": [pickle.dumps(sum(pickle.loads(bytes(b)) for b in pdf.sort_values("part")["blob"]))]})
+
+    schema, parts = "part int, blob binary", trained.rdd.getNumPartitions()
+    sums = trained.mapInArrow(tidy(each), schema)
+    while parts > FAN:
+        sums = sums.groupBy(F.floor(F.col("part") / FAN).cast("int").alias("part")).applyInPandas(add, schema)
+        parts = -(-parts // FAN)
+    got = [pickle.loads(bytes(r["blob"])) for r in sorted(sums.collect(), key=lambda r: r["part"])]  # FAN rows at most
+    return sum(got) if got else None
+
+
+def train(asked: DataFrame) -> dict:
+    """Weights, probability map and tables of orders 1 and 2, from all training windows of ``asked``."""
+
+    def own(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        code, n = _heard(pdf["windows"])
+        return pd.DataFrame({"windows": [_planes(code[n > 0], n[n > 0])] if n.any() else []}, dtype=object)
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for blob in pdf["windows"]:
+                code, n = _from_planes(bytes(blob), "<u8", "<i8")
+                gram, n = _merged(code >> np.uint64(24), n)
+                yield pd.DataFrame({"gram": gram.astype(np.int64), "n": n})
+
+    trained = materialize(asked.select("task", "windows").groupBy("task").applyInPandas(own, "windows binary"))
+    found = trained.mapInPandas(tidy(grams), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    low = _low_tables(found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+    shared = asked.sparkSession.sparkContext.broadcast(low)
+
+    def total(of, mixer: Mixer, empty: np.ndarray) -> np.ndarray:
+        state = vars(mixer)
+
+        def run(code: np.ndarray, n: np.ndarray) -> np.ndarray:
+            model = Mixer()
+            vars(model).update(state)
+            return of(model, _tables(shared.value, code, n), code, n)
+
+        got = _summed(trained, run)
+        return empty if got is None else got
+
+    mixer = newton(lambda m: total(_slopes, m, np.zeros((len(m.weights), 1 + len(ORDERS) + len(_UP[0])))))
+    mixer.apm = mixer.apm + total(_cells, mixer, np.zeros(mixer.apm.shape))
     shared.unpersist()
-    return Scorer.state(counts, mixer)
+    return {"low": low, "mixer": vars(mixer)}
+
+
+def answer(asked: DataFrame, model: dict) -> DataFrame:
+    """(share, costs): cost of every window that a share asked for."""
+    shared = asked.sparkSession.sparkContext.broadcast(model)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, n = _heard(pdf["windows"])
+        mixer = Mixer()
+        vars(mixer).update(shared.value["mixer"])
+        trained = n > 0
+        cost = _costs(mixer, _tables(shared.value["low"], code[trained], n[trained]), code).astype(np.float32)
+        blobs = []
+        for b in pdf["windows"]:
+            wanted = _from_planes(bytes(b), "<u8", "<i8")[0]
+            blobs.append(_planes(wanted, cost[np.searchsorted(code, wanted)]))
+        release()
+        return pd.DataFrame({"share": pdf["share"], "costs": pd.Series(blobs, dtype=object, index=pdf.index)})
+
+    return asked.groupBy("task").applyInPandas(run, "share bigint, costs binary")
+
+
+def text_bits(texts: list[bytes], blobs: list[bytes]) -> np.ndarray:
+    """Cost in bits of each text, from the answers to its share."""
+    parts = [_from_planes(b, "<u8", "<f4") for b in blobs]
+    known = np.concatenate([c for c, _ in parts])
+    order = np.argsort(known)
+    known, costs = known[order], np.concatenate([c for _, c in parts])[order].astype(np.float64)
+    out = np.zeros(len(texts))
+    for first, code, starts in _groups(texts):
+        window, inverse = np.unique(code, return_inverse=True)
+        out[first : first + len(starts)] += np.add.reduceat(costs[np.searchsorted(known, window)][inverse], starts)
+    return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -313,17 +518,22 @@ def is_held_out():
     return F.coalesce(doc_remainder("doc_id", 7) == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, sample_docs: int = 256, common_words: int = 200_000) -> DataFrame:
+def score_documents(docs: DataFrame, common_words: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", is_held_out().alias("held_out"))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", is_held_out().alias("held_out")))
+    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    per_share = max(1, SHARE * n_rows // (total + n_rows + 1))  # rows
+    share = F.shiftright("rid", 33) * F.lit(1 << 33) + F.floor(F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(per_share))
+    rows = rows.withColumn("share", share.cast("bigint"))
     training = rows.where(~F.col("held_out"))
-    scorer = spark.sparkContext.broadcast(train_scorer(training, sample_docs))
+    asked = materialize(ask(rows, int(total)))
+    answers = answer(asked, train(asked))
 
     counts = materialize(word_counts(training))
     n_docs = training.count()
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_all, v_all = int(total) + n_docs, int(distinct) + (n_docs > 0)
+    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_all, v_all = int(tokens) + n_docs, int(distinct) + (n_docs > 0)
     unit = float(np.log10(n_all + v_all + 1))
     end = float(np.log10(n_docs + 1))
     bound, room = None, common_words  # smallest count of a common word: as many counts from the top as fit
@@ -335,36 +545,36 @@ def score_documents(docs: DataFrame, sample_docs: int = 256, common_words: int =
     top = counts.where(F.col("c") >= bound).toPandas() if bound else pd.DataFrame({"word": [], "c": []})
     common = spark.sparkContext.broadcast({bytes(w): float(np.log10(c + 1)) for w, c in zip(top["word"], top["c"], strict=True)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, get = once(scorer, Scorer), common.value.get
-        for batch in (whole.slice(b, ROWS) for whole in batches for b in range(0, whole.num_rows, ROWS)):
-            texts = [_lower(t) for t in batch.column("text").to_pylist()]
-            bits = model.bits(texts)
-            n_tokens, known, sums, rare = [], [], [], []
-            for t in texts:
-                words = t.split()
-                found = list(map(get, words))
-                odd = [w for w, f in zip(words, found, strict=True) if f is None] if None in found else []
-                n_tokens.append(len(words) + 1)
-                known.append(len(words) - len(odd))
-                sums.append(float(sum(f for f in found if f is not None)))
-                rare.append(odd)
-            made = [
-                pa.array(n_tokens, pa.int64()),
-                pa.array(known, pa.int64()),
-                pa.array(sums, pa.float64()),
-                pa.array([len(t) + 1 for t in texts], pa.int64()),
-                pa.array(bits, pa.float64()),
-                pa.array(rare, pa.list_(pa.binary())),
-            ]
-            names = ["doc_id", "held_out", "n_tokens", "n_common", "log_common", "n_bytes", "bits", "rare"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names)
+    def run(batch: pa.Table, costs: pa.Table) -> pa.Table:
+        get = common.value.get
+        texts = [_lower(t) for t in batch.column("text").to_pylist()]
+        bits = text_bits(texts, costs.column("costs").to_pylist()) if texts else np.zeros(0)
+        n_tokens, known, sums, rare = [], [], [], []
+        for t in texts:
+            words = t.split()
+            found = list(map(get, words))
+            odd = [w for w, f in zip(words, found, strict=True) if f is None] if None in found else []
+            n_tokens.append(len(words) + 1)
+            known.append(len(words) - len(odd))
+            sums.append(float(sum(f for f in found if f is not None)))
+            rare.append(odd)
+        made = [
+            pa.array(n_tokens, pa.int64()),
+            pa.array(known, pa.int64()),
+            pa.array(sums, pa.float64()),
+            pa.array([len(t) + 1 for t in texts], pa.int64()),
+            pa.array(bits, pa.float64()),
+            pa.array(rare, pa.list_(pa.binary())),
+        ]
+        names = ["rid", "doc_id", "held_out", "n_tokens", "n_common", "log_common", "n_bytes", "bits", "rare"]
+        release()
+        return pa.Table.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), *made], names)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(tidy(run),
-        f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_common bigint, log_common double, n_bytes bigint, bits double, rare array<binary>",
+    scored = rows.groupBy("share").cogroup(answers.groupBy("share")).applyInArrow(run,
+        f"rid bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_common bigint, log_common double, n_bytes bigint, bits double, rare array<binary>",
     )
-    scored = materialize(scored.withColumn("rid", F.monotonically_increasing_id()))
+    scored = materialize(scored)
     looked_up = (
         scored.select("rid", F.explode("rare").alias("word"))
         .join(counts, "word")

@@ -382,3 +382,43 @@ def test_bit_probabilities_sum_to_one():
     for j, b in enumerate([None, *history.tolist()]):
         code |= (np.arange(256, dtype=np.uint64) if b is None else np.uint64(b)) << np.uint64(8 * (5 - j))
     assert abs((2.0 ** -scorer._cost(code)).sum() - 1) < 1e-6
+
+
+def test_window_counts_are_exact():
+    texts = [np.random.default_rng(i).integers(0, 256, 120_000, np.uint8).tobytes() for i in range(4)] + [b"ab" * 200_000]
+    code, n = bitlm._merged(*(np.concatenate(c) for c in zip(*(np.unique(c, return_counts=True) for _, c, _ in bitlm._groups(texts)), strict=True)))
+    gram, m = bitlm._merged(code >> np.uint64(24), n)
+    tables = bitlm._tables(bitlm._low_tables(gram, m), code, n)
+    seen = collections.Counter()  # a window's first bit: target above 127 or not, after each context
+    for t in texts:
+        full = b"\0" * 5 + t + b"\xff"
+        for at in range(5, len(full)):
+            for o in bitlm.ORDERS:
+                seen[full[at - o : at], full[at] >> 7] += 1
+    some = np.concatenate([code[:: len(code) // 500], code[n > 65535]])
+    _, _, _, x, _, _ = next(bitlm._bits(tables, some, False))
+    for w, row in zip(some.tolist(), x, strict=True):
+        context = bytes((w >> (8 * j)) & 255 for j in range(5))
+        want = [math.log((seen[context[5 - o :], 1] + 0.4) / (seen[context[5 - o :], 0] + 0.4)) for o in bitlm.ORDERS]
+        assert np.allclose(row, want)
+    every = (np.arange(256, dtype=np.uint64) << np.uint64(40)) | (some[0] & np.uint64((1 << 40) - 1))
+    assert abs((2.0 ** -bitlm._costs(bitlm.Mixer(), tables, every)).sum() - 1) < 1e-6
+
+
+def test_every_training_text_has_a_part_in_the_mixer(spark, monkeypatch):
+    monkeypatch.setattr(bitlm, "SHARE", 4000)
+    rnd = random.Random(3)
+    docs = [(i, "".join(rnd.choice("abcd") for _ in range(100))) for i in range(600)]
+    docs = [(i, t) for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+
+    def fitted(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("doc_id % 3 as share", "text", "false as held_out")
+        return bitlm.train(bitlm.ask(df, 60_000))
+
+    model = fitted(docs)
+    cells = model["mixer"]["apm"].sum() - bitlm.Mixer().apm.sum()
+    assert abs(cells - 8 * sum(len(t) + 1 for _, t in docs)) < 1e-3
+    assert not np.array_equal(model["mixer"]["weights"], bitlm.Mixer().weights)
+    for i in (0, 300, len(docs) - 1):  # no text is without effect
+        other = fitted([(d, "zyxw " * 20 if k == i else t) for k, (d, t) in enumerate(docs)])
+        assert not np.allclose(other["mixer"]["weights"], model["mixer"]["weights"], atol=1e-9)
