@@ -102,3 +102,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def join_split(rows: DataFrame, facts: DataFrame, key: str, weight: str, most: int = 10_000) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one row a key) without gathering the rows of a common key in one task.
+
+    ``weight`` is the number of rows that a key has.  Keys with a share of 1 / ``most`` of all rows or
+    more number at most ``most``, so their facts are broadcast; the others meet by shuffle.  Both
+    tables are read twice: pass written ones.
+    """
+    total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.col(weight) >= max(1000, total // most + 1)
+    few = facts.where(hot)
+    common = rows.join(F.broadcast(few), key, "inner")
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.where(~hot), key, "left")
+    return common.unionByName(rest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import adsearch, bitlm, fingerprint, langid, mixing, neardup, pieces, suffixes, urlrules, warc
+from retrospark.llm import adsearch, bitlm, fingerprint, langid, mixing, neardup, pieces, suffixes, tokenalign, urlrules, warc
 from retrospark.llm.common import table
 
 # ---------------------------------------------------------------- op1
@@ -196,6 +196,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitlm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---------------------------------------------------------------- op13
+
+
+def byte_bpe() -> str:
+    """Path of the public byte-level BPE (a parameter of the operator; the file is not part of the repository)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and corpus-wide pair counts of two tokenizers over every document."""
+    return tokenalign.align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe(), piece_model())
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_adaptive_scan_search": op2_adaptive_scan_search,
@@ -207,6 +222,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 ORACLES = {
