@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import adsearch, bitlm, fingerprint, langid, mixing, neardup, pieces, suffixes, tokenalign, urlrules, warc
+from retrospark.llm import adsearch, bitlm, fingerprint, langid, mixing, neardup, pieces, suffixes, tokenalign, turntrie, urlrules, warc
 from retrospark.llm.common import table
 
 # ---------------------------------------------------------------- op1
@@ -196,6 +196,38 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitlm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---------------------------------------------------------------- op11
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations with their subtree sums."""
+    return turntrie.conversation_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def trie_sql() -> str:
+    """The same nodes in DuckDB SQL; a prefix is the list of its turns' digests (CRC-32 bit by bit)."""
+    bit = "list_reduce([crc, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    step = f"list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda r, b: {bit.replace('crc', 'xor(r, b)')})"
+    return f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % {turntrie.LEAD_GROUP} AS base, xor({step}, 4294967295) % {turntrie.LEAD_MOD} AS h FROM t GROUP BY conv_id),
+c AS (SELECT l.*, least(l.h, coalesce(b.n, 0)) AS lead FROM l LEFT JOIN l AS b ON b.conv_id = l.base),
+s AS (SELECT conv_id, 0 AS pos, '' AS role, '' AS text FROM c
+  UNION ALL SELECT c.conv_id, place + 1, role, text FROM c JOIN t ON t.conv_id = c.base WHERE place < lead
+  UNION ALL SELECT c.conv_id, lead + place - h + 1, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE place >= h),
+p AS (SELECT conv_id, pos AS depth, length(text) AS chars, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY pos) AS path,
+  max(pos) OVER (PARTITION BY conv_id) AS size FROM s),
+n AS (SELECT path, depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = size), '') AS ends FROM p GROUP BY path, depth),
+k AS (SELECT path[1 : len(path) - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+a AS (SELECT path[1 : i] AS path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT path, (n_children = 0)::INT AS leaf, (n_convs - 1) * chars AS saved, unnest(range(1, len(path) + 1)) AS i FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN a USING (path) LEFT JOIN v AS q ON q.path = v.path[1 : len(v.path) - 1] AND v.depth > 0"""
+
+
 # ---------------------------------------------------------------- op13
 
 
@@ -222,10 +254,12 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 ORACLES = {
     "op5_warc_derivatives": warc_sql(),
     "op8_mixing": mixing_sql(),
+    "op11_conversation_trie": trie_sql(),
 }
