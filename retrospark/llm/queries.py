@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import adsearch, bitlm, fingerprint, langid, mixing, neardup, pieces, suffixes, tokenalign, turntrie, urlrules, warc
+from retrospark.llm import adsearch, bitlm, fingerprint, langid, linerules, mixing, neardup, pieces, suffixes, tokenalign, turntrie, urlrules, warc
 from retrospark.llm.common import table
 
 # ---------------------------------------------------------------- op1
@@ -228,6 +228,39 @@ SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children,
 FROM v JOIN a USING (path) LEFT JOIN v AS q ON q.path = v.path[1 : len(v.path) - 1] AND v.depth > 0"""
 
 
+# ---------------------------------------------------------------- op12
+
+
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document and the verdict of the cross-document line rules, by source."""
+    return linerules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("n_removed_lines")
+
+
+def line_rules_sql() -> str:
+    """The same measures and rules in DuckDB SQL."""
+    word = "'[^ \\t\\n\\x0B\\f\\r]+'"
+    lower = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    n = linerules.SPAN
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, {word}) AS words FROM d),
+g AS (SELECT r, i, words[i : i + {n - 1}] AS g FROM (SELECT r, words, unnest(range(1, len(words) - {n - 2})) AS i FROM w)),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + {n})) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
+l AS (SELECT r, host, text, line, array_to_string(regexp_extract_all({lower}, {word}), ' ') AS k, len(regexp_extract_all(line, {word})) AS n
+  FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, {word})),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
+hd AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host),
+f AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS n FROM l GROUP BY host, k) JOIN hd USING (host)
+  WHERE n > {linerules.MOST_DOCS} AND n > host_docs * {linerules.MOST_SHARE}::DOUBLE),
+gone AS (SELECT r, sum(n) AS n FROM l JOIN f USING (host, k) GROUP BY r),
+m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(words) - coalesce(gone.n, 0) AS n_left
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_left::BIGINT AS n_left,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_left >= {linerules.LEAST_WORDS} AND n_left >= n_words * {linerules.LEAST_SHARE}::DOUBLE AS kept FROM m"""
+
+
 # ---------------------------------------------------------------- op13
 
 
@@ -255,6 +288,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_line_rules": op12_line_rules,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
@@ -262,4 +296,5 @@ ORACLES = {
     "op5_warc_derivatives": warc_sql(),
     "op8_mixing": mixing_sql(),
     "op11_conversation_trie": trie_sql(),
+    "op12_line_rules": line_rules_sql(),
 }
