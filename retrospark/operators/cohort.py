@@ -7,8 +7,9 @@ Physical design (for very large visit tables):
 * The reference date is attached back to the records with an equi-join on
   (entity, salt).  Entities with more than ``hot_entity_rows`` records (known from the
   cohort's record count) get their records spread over ``salts`` partitions and their
-  single cohort row replicated per salt; the optimiser sizes the join with the list of hot
-  entities.  The entity aggregates downstream shuffle only their partial aggregates.
+  single cohort row replicated per salt; the list of hot entities is bounded and broadcast, so
+  records are shuffled once, by (entity, salt).  The entity aggregates downstream shuffle only
+  their partial aggregates.
 * Window membership is computed as multi-hot booleans on each record (no range join,
   no copy per window); the long format is a narrow ``explode_outer``.
 * Completeness, window distributions and attrition roll up per entity first, then globally; source
@@ -28,6 +29,9 @@ from ..functions.codes import code_match, normalized_codes, q
 from ..functions.dates import days_between, to_timestamp_safe
 from ..functions.profile import scalar_row, stack_metrics
 
+#: Entities whose records are salted at most (the largest ones); their list is broadcast.
+HOT_ENTITIES = 10_000
+
 WINDOW_COLUMNS = [
     "window",
     "window_lower_months_before_reference",
@@ -160,16 +164,16 @@ def pre_reference_records(records: DataFrame, cohort: DataFrame, cfg: CohortConf
     rid = F.sha2(F.to_json(F.struct(*[q(c) for c in cols]), {"ignoreNullFields": "false"}).cast("binary"), 256)
     spread = F.pmod(F.xxhash64(*[q(c) for c in cols]), F.lit(cfg.salts))
     # Salted join for hot entities: their records spread over ``salts`` partitions and their
-    # single cohort row is replicated once per salt; every other entity keeps salt 0.
-    hot_flag = F.col("record_count") > F.lit(cfg.hot_entity_rows)
-    hot = cohort.where(hot_flag).select(s.entity, F.lit(True).alias("__hot"))
+    # single cohort row is replicated once per salt; every other entity keeps salt 0.  The list of
+    # hot entities holds the HOT_ENTITIES largest at most, so it is broadcast; an entity beyond them
+    # has no more than that part of all records.
+    large = cohort.where(F.col("record_count") > F.lit(cfg.hot_entity_rows)).orderBy(F.desc("record_count"), s.entity).limit(HOT_ENTITIES)
+    hot = F.broadcast(large.select(s.entity, F.lit(True).alias("__hot")))
     rec = records.join(hot, on=s.entity, how="left").withColumn(
         "__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0)).cast("bigint")
     ).drop("__hot")
-    side = cohort.select(
-        s.entity, "stroke", "reference_date", "reference_rule",
-        F.explode(F.when(hot_flag, F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("__salt"),
-    )
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    side = cohort.join(hot, on=s.entity, how="left").select(s.entity, "stroke", "reference_date", "reference_rule", F.explode(salts).alias("__salt"))
     joined = rec.join(side, on=[s.entity, "__salt"], how="inner").drop("__salt").where(q(s.date) <= F.col("reference_date"))
     days = days_between(F.col("reference_date"), q(s.date))
     out = joined.withColumns(

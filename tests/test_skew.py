@@ -35,3 +35,20 @@ def test_hot_entity_salted_and_results_equal(spark):
     # the join is keyed on (entity, salt) and the hot-entity list is broadcast
     plan = pre._jdf.queryExecution().executedPlan().toString()
     assert "__salt" in plan and "BroadcastExchange" in plan
+
+
+def test_records_are_shuffled_by_entity_and_salt_only(spark):
+    """Between the prepared records and the joined ones there is one exchange of the records, on (entity, salt)."""
+    cfg = CohortConfig(core_numeric=("bps",), hot_entity_rows=1000, salts=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = spark.createDataFrame(_skewed(spark).collect(), _skewed(spark).schema)
+        cohort = C.patient_cohort(records, cfg)
+        plan = C.pre_reference_records(records, cohort, cfg)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("__salt" in line for line in exchanges) == 2  # the records and the replicated cohort rows
+    assert plan.count("SortMergeJoin") == 1 and "SortMergeJoin [hn" in plan
+    bare = [line for line in exchanges if "__salt" not in line]
+    assert len(bare) <= 3 and all("hashpartitioning(hn" in line for line in bare)  # partial aggregates of the cohort
