@@ -72,6 +72,35 @@ def first_k_per_group(df: DataFrame, group: str, order: list[Column], k: int) ->
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
 
 
+def _rank_intervals(base: DataFrame, keys: list[str], spark, buckets: int | None, values_per_bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps 1 to 4 of :func:`exact_quantiles` for rows (keys, __v, __w).
+
+    (bucket boundaries and total weight n of each group; buckets with weight and first rank;
+    distinct values with their bucket and rank interval [__lo, __hi]).
+    """
+    # The collapsed table is read three times below (bounds, bucket totals, ranks): materialise
+    # it once in the shared checkpoint folder instead of re-running the input plan each time.
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    dv = base.groupBy(*keys, "__v").agg(F.sum("__w").alias("__w")).checkpoint()
+    if buckets is None:  # enough buckets that each holds about ``values_per_bucket`` distinct values
+        largest = dv.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        buckets = int(max(8, -(-largest // values_per_bucket)))
+    qs = [i / buckets for i in range(1, buckets)]
+    bounds = dv.groupBy(*keys).agg(F.percentile_approx("__v", qs, 10000).alias("__b"), F.sum("__w").alias("n"))
+    dv = dv.join(bounds.drop("n"), on=keys)  # bounds: one row per group, ``buckets`` numbers
+    dv = dv.withColumn("__bk", F.size(F.filter("__b", lambda x: x < F.col("__v")))).drop("__b")
+    bt = dv.groupBy(*keys, "__bk").agg(F.sum("__w").alias("__bw"))
+    wb = Window.partitionBy(*keys).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.withColumn("__start", F.coalesce(F.sum("__bw").over(wb), F.lit(0.0)))
+    wi = Window.partitionBy(*keys, "__bk").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    dv = dv.withColumn("__before", F.coalesce(F.sum("__w").over(wi), F.lit(0.0)))
+    dv = dv.join(bt.select(*keys, "__bk", "__start"), on=[*keys, "__bk"])
+    dv = dv.withColumns({"__lo": F.col("__start") + F.col("__before"), "__hi": F.col("__start") + F.col("__before") + F.col("__w") - 1})
+    return bounds, bt, dv
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -101,26 +130,7 @@ def exact_quantiles(
     keys = out_keys or ["__all"]  # a global quantile is one group
     src = df if out_keys else df.withColumn("__all", F.lit(0))
     base = src.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("__v"), w.alias("__w")).where(F.col("__v").isNotNull())
-    # The collapsed table is read three times below (bounds, bucket totals, ranks): materialise
-    # it once in the shared checkpoint folder instead of re-running the input plan each time.
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    dv = base.groupBy(*keys, "__v").agg(F.sum("__w").alias("__w")).checkpoint()
-    if buckets is None:  # enough buckets that each holds about ``values_per_bucket`` distinct values
-        largest = dv.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        buckets = int(max(8, -(-largest // values_per_bucket)))
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = dv.groupBy(*keys).agg(F.percentile_approx("__v", qs, 10000).alias("__b"), F.sum("__w").alias("n"))
-    dv = dv.join(bounds.drop("n"), on=keys)  # bounds: one row per group, ``buckets`` numbers
-    dv = dv.withColumn("__bk", F.size(F.filter("__b", lambda x: x < F.col("__v")))).drop("__b")
-    bt = dv.groupBy(*keys, "__bk").agg(F.sum("__w").alias("__bw"))
-    wb = Window.partitionBy(*keys).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("__start", F.coalesce(F.sum("__bw").over(wb), F.lit(0.0)))
-    wi = Window.partitionBy(*keys, "__bk").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    dv = dv.withColumn("__before", F.coalesce(F.sum("__w").over(wi), F.lit(0.0)))
-    dv = dv.join(bt.select(*keys, "__bk", "__start"), on=[*keys, "__bk"])
-    dv = dv.withColumns({"__lo": F.col("__start") + F.col("__before"), "__hi": F.col("__start") + F.col("__before") + F.col("__w") - 1})
+    bounds, bt, dv = _rank_intervals(base, keys, df.sparkSession, buckets, values_per_bucket)
     # target ranks per group and probability, located first in their bucket, then in the bucket's values
     targets = F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
@@ -147,3 +157,16 @@ def exact_quantiles(
     )
     out = out.join(moments, on=keys)
     return out if out_keys else out.drop("__all")
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: list[Column], values_per_bucket: int = 200_000) -> DataFrame:
+    """(keys..., n, place, value): the values at the given places (from 0, ascending; expressions of a group's number ``n``).
+
+    Nulls are no values; places outside a group give no row.  Ranked like :func:`exact_quantiles`.
+    """
+    base = df.select(*keys, F.col(value).cast("double").alias("__v"), F.lit(1.0).alias("__w")).where(F.col("__v").isNotNull())
+    bounds, bt, dv = _rank_intervals(base, keys, df.sparkSession, None, values_per_bucket)
+    asked = bounds.select(*keys, F.col("n").cast("bigint").alias("n"), F.explode(F.array_distinct(F.array(*[p.cast("bigint") for p in places]))).alias("place"))
+    asked = asked.join(bt, on=keys).where((F.col("place") >= F.col("__start")) & (F.col("place") < F.col("__start") + F.col("__bw"))).select(*keys, "n", "place", "__bk")
+    hit = asked.join(dv.select(*keys, "__bk", "__v", "__lo", "__hi"), on=[*keys, "__bk"])
+    return hit.where(F.col("place").between(F.col("__lo"), F.col("__hi"))).select(*keys, "n", "place", F.col("__v").alias("value"))

@@ -5,8 +5,9 @@
   ``md5(id:seed)``; the rank is computed without a global sort: md5 prefixes give 4096
   uniform buckets, a tiny window over bucket totals gives offsets, and ``row_number``
   inside each bucket finishes the exact rank.
-* Fold-local statistics (median imputation, standardisation) are computed for all folds
-  in one job by expanding each row to the k-1 training folds it belongs to.
+* Fold-local statistics (median imputation, standardisation) as tables, for a few folds: values are
+  copied to the k-1 training folds they belong to.  Leave-one-out and the fits themselves work
+  without copies (:mod:`foldfit`).
 """
 
 from __future__ import annotations
@@ -101,9 +102,13 @@ def _unpivot(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
 
 
 def fold_medians(folded: DataFrame, features: list[str], k: int) -> DataFrame:
-    """MOD5: exact median of every feature over each training fold (null when all-null)."""
-    long = _unpivot(training_copies(folded, k), ["train_fold"], features)
-    med = exact_quantiles(long, ["train_fold", "feature"], "value", [0.5]).select("train_fold", "feature", F.col("q0").alias("median"))
+    """MOD5: exact median of every feature over each training fold (null when all-null).
+
+    Equal values of a fold are one weighted row before they are copied to the training folds.
+    """
+    cells = _unpivot(folded, ["fold"], features).groupBy("fold", "feature", "value").agg(F.count(F.lit(1)).alias("__n"))
+    long = training_copies(cells, k).select("train_fold", "feature", "value", "__n")
+    med = exact_quantiles(long, ["train_fold", "feature"], "value", [0.5], weight="__n").select("train_fold", "feature", F.col("q0").alias("median"))
     # features with no value in a training fold keep a null median (dropped downstream)
     return long.select("train_fold", "feature").distinct().join(med, on=["train_fold", "feature"], how="left")
 

@@ -1,107 +1,47 @@
 """Stage 06 modelling: balanced L2 logistic regression with entity-level CV, out-of-fold scores.
 
 Per fold: impute (fold-local median) -> standardise (fold-local mean / population std)
--> ``spark.ml`` LogisticRegression with class-balanced ``weightCol``.  The fold-local
-statistics for all folds come from one job (:func:`folds.fold_statistics`); they are
-bounded by (folds x features), so they are collected and applied as literal projections
-(no join, constant-folded by Catalyst).  Each fit is a distributed spark.ml job.
-
-Regularisation parity: scikit-learn minimises 1/2 |w|^2 + C * sum(s_i * loss_i); spark.ml
-minimises sum(s_i * loss_i) / sum(s_i) + lambda/2 |w|^2.  With balanced weights
-sum(s_i) = n_train, hence ``regParam = 1 / (C * n_train)``.  The reference solver penalises the
-intercept like a weight, so the intercept is a column of ones and ``fitIntercept`` is off.
-spark.ml gives a column without variance the weight 0; the loss of (x, y) equals that of
-(-x, 1 - y), so half of the training rows (by entity hash) are mirrored and the column varies.
+-> class-balanced logistic regression.  All folds are prepared and fitted together
+(:mod:`foldfit`); rows are scored by the models of their own fold in one expression.
+
+Minimised is sum(s_i * loss_i) + |w|^2 / (2 C), C = ``reg_scale``, with balanced weights s_i =
+n_train / (2 n_class); the intercept is penalised like a weight, as the reference solver does.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..config import ModelConfig
-from ..functions.codes import q
-from .folds import CvPolicy, assign_folds, choose_cv, feature_columns, feature_matrix, fold_statistics, overlap_guard
-
-CONSTANT = "__constant"
+from . import foldfit as FF
+from .folds import CvPolicy, assign_folds, choose_cv, feature_columns, feature_matrix, overlap_guard
 
 
 def empty_predictions(spark, id_type: str) -> DataFrame:
     return spark.createDataFrame([], f"patient_id {id_type}, model_name string, fold int, y_true int, y_pred int, y_prob double")
 
 
-@dataclass
-class FoldState:
-    """Fold-local preprocessing: per feature (median, mean, scale); features all-null in training are absent."""
-
-    fold: int
-    stats: dict[str, tuple[float, float, float]]
-
-    def exprs(self, features: list[str]) -> list[Column]:
-        out = []
-        for c in features:
-            if c in self.stats:
-                med, mean, scale = self.stats[c]
-                out.append(((F.coalesce(q(c), F.lit(med)) - F.lit(mean)) / F.lit(scale)).alias(c))
-        return out
-
-    def used(self, features: list[str]) -> list[str]:
-        return [c for c in features if c in self.stats]
-
-
-def collect_fold_states(folded: DataFrame, features: list[str], k: int) -> list[FoldState]:
-    rows = fold_statistics(folded, features, k).where(F.col("median").isNotNull()).collect()  # k x features rows
-    states = {f: FoldState(f, {}) for f in range(k)}
-    for r in rows:
-        states[r["train_fold"]].stats[r["feature"]] = (float(r["median"]), float(r["mean"]), float(r["scale"]))
-    return [states[f] for f in range(k)]
-
-
-def balanced_weight(label: str, n_train: int, pos: int, neg: int) -> Column:
-    """scikit-learn ``class_weight='balanced'``: n / (2 * n_class)."""
-    return F.when(q(label) == 1, F.lit(n_train / (2.0 * pos))).otherwise(F.lit(n_train / (2.0 * neg)))
-
-
-def balanced_total(n_train: int, n_class: int) -> float:
-    """Sum of a class's weights."""
-    return n_class * (n_train / (2.0 * n_class))
-
-
-def fit_fold(train: DataFrame, used: list[str], cfg: ModelConfig, n_train: int, pos: int, neg: int):
-    """(assembler, model); ``train`` holds the used features and :data:`CONSTANT`."""
-    vec = VectorAssembler(inputCols=[*used, CONSTANT], outputCol="features", handleInvalid="keep")
-    mirror = F.pmod(F.xxhash64(q(cfg.entity)), F.lit(2)) == 1
-    sides = {c: F.when(mirror, -q(c)).otherwise(q(c)) for c in [*used, CONSTANT]}
-    data = train.withColumn("__w", balanced_weight(cfg.label, n_train, pos, neg)).withColumns(sides)
-    data = vec.transform(data.withColumn(cfg.label, F.when(mirror, 1 - q(cfg.label)).otherwise(q(cfg.label))))
-    lr = LogisticRegression(
-        featuresCol="features", labelCol=cfg.label, weightCol="__w", regParam=1.0 / (cfg.reg_scale * n_train),
-        elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=cfg.max_iter, tol=1e-8,
-    )
-    return vec, lr.fit(data)
-
-
-def score(model_vec, test: DataFrame, name: str, fold: int, cfg: ModelConfig) -> DataFrame:
-    vec, model = model_vec
-    out = model.transform(vec.transform(test))
-    prob = vector_to_array(F.col("probability"))[1]
-    return out.select(
-        q(cfg.entity).alias("patient_id"), F.lit(name).alias("model_name"), F.lit(fold).alias("fold"),
-        q(cfg.label).cast("int").alias("y_true"), (prob >= cfg.threshold).cast("int").alias("y_pred"), prob.alias("y_prob"),
-    )
+def fit_cv(folded: DataFrame, features: list[str], name: str, policy: CvPolicy, cfg: ModelConfig = ModelConfig()) -> tuple[DataFrame, bool]:
+    """MOD5-MOD7 for all folds: (model table, whether both classes weigh the same in every training set)."""
+    if policy.strategy == "LOOCV":
+        _, models, _ = FF.loo_models(folded, features, name, cfg, policy.positives, policy.negatives)
+        return models, True  # by construction: n / (2 n_class) of each training set
+    units, trains = FF.prepare(folded, features, policy.folds, cfg)
+    models = [FF.model(name, t, t.ranking(units.features)) for t in trains]
+    FF.fit(folded, units, models, cfg)
+    balanced = all(abs(m.weight[0] * t.negatives - m.weight[1] * t.positives) < 1e-9 * policy.n_rows for m, t in zip(models, trains, strict=True))
+    return FF.model_table(folded.sparkSession, units, models), balanced
 
 
 def train_predict_cv(table: DataFrame, name: str, cfg: ModelConfig = ModelConfig(), policy: CvPolicy | None = None) -> tuple[DataFrame, dict]:
     """MOD8: out-of-fold predictions for one feature table plus a result record."""
     spark = table.sparkSession
     ensure_checkpoint_dir(spark)
-    mat = feature_matrix(table, cfg).checkpoint()  # one row per entity; read by the policy, the ranks and every fold
+    mat = feature_matrix(table, cfg).checkpoint()  # one row per entity; read by the policy, the ranks and every step
     feats = feature_columns(mat, cfg)
     policy = policy or choose_cv(mat, cfg)
     if not feats and not policy.skip_reason:
@@ -115,26 +55,10 @@ def train_predict_cv(table: DataFrame, name: str, cfg: ModelConfig = ModelConfig
     if policy.skip_reason:
         return empty_predictions(spark, id_type), result
     folded = assign_folds(mat, policy, cfg).checkpoint()  # lineage cut in the shared checkpoint folder
-    counts = {(r["fold"], r[cfg.label]): r["count"] for r in folded.groupBy("fold", cfg.label).count().collect()}  # k x 2 rows
     result["patient_overlap_detected"] = overlap_guard(folded, cfg).limit(1).count() > 0
-    states = collect_fold_states(folded, feats, policy.folds)
-    parts, weighted = [], True
-    for st in states:
-        f = st.fold
-        used = st.used(feats)
-        pos = policy.positives - counts.get((f, 1), 0)
-        neg = policy.negatives - counts.get((f, 0), 0)
-        keep = [cfg.entity, cfg.label, F.lit(1.0).alias(CONSTANT)]
-        train = folded.where(F.col("fold") != f).select(*keep, *st.exprs(feats))
-        test = folded.where(F.col("fold") == f).select(*keep, *st.exprs(feats))
-        mv = fit_fold(train, used, cfg, pos + neg, pos, neg)
-        weighted &= mv[1].isDefined("weightCol") and abs(balanced_total(pos + neg, pos) - balanced_total(pos + neg, neg)) < 1e-9
-        parts.append(score(mv, test, name, f, cfg))
+    models, weighted = fit_cv(folded, feats, name, policy, cfg)
     result["class_weight"] = "balanced" if weighted else "unbalanced"
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
-    return preds, result
+    return FF.score(folded, models, feats, cfg), result
 
 
 RESULT_DDL = "model_name string, status string, skip_reason string, n_patients bigint, n_features bigint, target_positive_count bigint, target_negative_count bigint, cv_strategy string"

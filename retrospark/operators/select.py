@@ -1,8 +1,8 @@
 """Stage 07: ANOVA F ranking, fold-local top-k / PCA reduction, candidate grid by CV G-Mean.
 
-ANOVA F for two classes comes from per-(feature, class) moments (count, sum, sum of
-squares) -- one aggregate over an unpivot.  Fold-local versions reuse the
-``training_copies`` expansion so every fold's ranking is computed in the same job.
+ANOVA F for two classes comes from per-(feature, class) moments -- one aggregate over an
+unpivot.  The grid of candidates is nested (:func:`candidate_models`): one ranking and one
+eigen-decomposition per fold serve all candidates, which are fitted together (:mod:`foldfit`).
 The p-value needs the regularised incomplete beta; it is evaluated in a pandas UDF on
 the per-feature table (one row per feature), never on record-level data.
 """
@@ -11,19 +11,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..session import ensure_checkpoint_dir
 from ..config import ANOVA_K_GRID, PCA_N_GRID, ModelConfig
-from ..functions.codes import q
 from ..functions.profile import exact_quantiles
 from . import evaluate as EV
+from . import foldfit as FF
 from .folds import _unpivot, assign_folds, choose_cv, feature_columns, feature_matrix, training_copies
-from .model import CONSTANT, collect_fold_states, fit_fold
+
+#: Gram matrices of single rows held at once when features are selected by leave-one-out (cells).
+GRAM_CELLS = 1 << 23
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -139,46 +139,38 @@ def sanitize_candidates(limit: int, values: list[int]) -> list[int]:
     return sorted({int(v) for v in values if 0 < int(v) <= limit})
 
 
-def evaluate_candidate(folded: DataFrame, feats: list[str], states, counts, policy, mode: str, k: int, n: int, cfg: ModelConfig, name: str) -> DataFrame:
-    """IMP7: out-of-fold predictions of one (mode, k, n) pipeline: [ANOVA top-k] -> [PCA n] -> balanced LR."""
-    topk = None
-    if mode in ("anova", "anova_pca"):
-        topk = {}
-        for r in fold_anova_topk(folded, feats, policy.folds, k, cfg).collect():  # folds x k rows
-            topk.setdefault(r["train_fold"], []).append((r["rank"], r["feature"]))
-    parts = []
-    for st in states:
-        f = st.fold
-        used = st.used(feats)
-        if topk is not None:
-            chosen = {c for _, c in sorted(topk.get(f, []))}
-            used = [c for c in used if c in chosen]
-        pos = policy.positives - counts.get((f, 1), 0)
-        neg = policy.negatives - counts.get((f, 0), 0)
-        keep = [cfg.entity, cfg.label, F.lit(1.0).alias(CONSTANT)]
-        tr = folded.where(F.col("fold") != f).select(*keep, *st.exprs(used))
-        te = folded.where(F.col("fold") == f).select(*keep, *st.exprs(used))
-        if mode in ("pca", "anova_pca"):
-            if n > len(used):  # a fold has fewer usable features than components asked for
-                raise ValueError(f"{name}: {n} components of {len(used)} features in fold {f}")
-            vec = VectorAssembler(inputCols=used, outputCol="__x", handleInvalid="keep")
-            pca = PCA(k=n, inputCol="__x", outputCol="__pcs").fit(vec.transform(tr))
-            parts_of = lambda d: pca.transform(vec.transform(d)).withColumn("__a", vector_to_array("__pcs")).select(  # noqa: E731, B023
-                *[c for c in (cfg.entity, cfg.label, CONSTANT)], *[F.col("__a")[i].alias(f"pc{i}") for i in range(n)]
-            )
-            tr, te, used = parts_of(tr), parts_of(te), [f"pc{i}" for i in range(n)]
-        vec, model = fit_fold(tr, used, cfg, pos + neg, pos, neg)
-        te = vec.transform(te)
-        prob = vector_to_array(F.col("probability"))[1]
-        parts.append(model.transform(te).select(
-            q(cfg.entity).alias("patient_id"), F.lit(name).alias("model_name"), F.lit(f).alias("fold"),
-            q(cfg.label).cast("int").alias("y_true"), (prob >= cfg.threshold).cast("int").alias("y_pred"), prob.alias("y_prob")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def candidate_models(set_name: str, units: FF.Units, trains: list[FF.TrainingSet], ks: list[int], ns: list[int]) -> list[FF.Model]:
+    """IMP3-IMP7: a model of every fold for every candidate: [ANOVA top-k] -> [PCA n] -> balanced regression.
+
+    Features are ranked once per fold, so every k is a prefix; components are computed once per
+    fold and set of features, so every n is a prefix.
+    """
+    out = []
+    for t in trains:
+        ranking = t.ranking(units.features)
+        sets = [("pca", 0, ranking)] + [("anova_pca", k, ranking[:k]) for k in ks]
+        out += [FF.model(f"{set_name}|anova|k={k}|n=0", t, ranking[:k]) for k in ks]
+        for mode, k, columns in sets:
+            fitting = [n for n in ns if mode == "pca" or n <= k]
+            if not fitting:
+                continue
+            if max(fitting) > len(columns):  # a fold has fewer usable features than components asked for
+                raise ValueError(f"{set_name}: {max(fitting)} components of {len(columns)} features in fold {t.fold}")
+            _, directions = FF.components(t, columns)
+            out += [FF.model(f"{set_name}|{mode}|k={k}|n={n}", t, columns, directions[:, :n]) for n in fitting]
     return out
 
 
+def fold_pca_variance(folded: DataFrame, features: list[str], k_folds: int, n: int, cfg: ModelConfig = ModelConfig()) -> DataFrame:
+    """IMP4: share of the variance of the first ``n`` components of every training fold's standardised features."""
+    _, trains = FF.prepare(folded, features, k_folds, cfg)
+    rows = []
+    for t in trains:
+        variances, _ = FF.components(t, np.flatnonzero(t.used).tolist())
+        rows += [(t.fold, i + 1, float(v)) for i, v in enumerate(variances[:n] / variances.sum())]
+    return folded.sparkSession.createDataFrame(rows, "train_fold int, component int, explained_variance_ratio double")
+
+
 def _preference():
     """Best candidate: highest G-Mean, then the fewest features and components."""
     return F.struct(F.coalesce("g_mean", F.lit(-1.0)), -F.col("anova_k"), -F.col("pca_n"))
@@ -196,19 +188,17 @@ def run_set_analysis(table: DataFrame, set_name: str, cfg: ModelConfig = ModelCo
         skipped = spark.createDataFrame([(set_name, reason)], "feature_set string, skip_reason string")
         return {"performance": spark.createDataFrame([], "feature_set string"), "best": spark.createDataFrame([], "feature_set string"), "skipped": skipped}
     folded = assign_folds(mat, policy, cfg).checkpoint()
-    counts = {(r["fold"], r[cfg.label]): r["count"] for r in folded.groupBy("fold", cfg.label).count().collect()}
-    states = collect_fold_states(folded, feats, policy.folds)
-    min_train = min(policy.n_rows - sum(v for (f, _), v in counts.items() if f == s.fold) for s in states)
+    loo = policy.strategy == "LOOCV"
+    if loo and policy.n_rows * (1 + 2 * len(feats)) ** 2 > GRAM_CELLS:
+        raise ValueError(f"{set_name}: leave-one-out selection of {policy.n_rows} rows; use stratified folds")
+    units, trains = FF.prepare(folded, feats, policy.folds, cfg, loo)
+    min_train = min(t.positives + t.negatives for t in trains)
     ks = sanitize_candidates(len(feats), k_grid)
-    ns = sanitize_candidates(min(min_train, *[len(s.used(feats)) for s in states]), n_grid)  # components that every fold can give
-    cands = [("anova", k, 0) for k in ks] + [("pca", 0, n) for n in ns] + [("anova_pca", k, n) for k in ks for n in ns if n <= k]
-    preds = []
-    for mode, k, n in cands:
-        name = f"{set_name}|{mode}|k={k}|n={n}"
-        preds.append(evaluate_candidate(folded, feats, states, counts, policy, mode, k, n, cfg, name))
-    allp = preds[0]
-    for p in preds[1:]:
-        allp = allp.unionByName(p)
+    ns = sanitize_candidates(min(min_train, *[int(t.used.sum()) for t in trains]), n_grid)  # components that every fold can give
+    models = candidate_models(set_name, units, trains, ks, ns)
+    FF.fit(folded, units, models, cfg)
+    # written once: read by the confusion counts and by the ranking
+    allp = FF.score(folded, FF.model_table(spark, units, models), feats, cfg).checkpoint()
     m = EV.metrics_table(allp)
     parts = F.split("model_name", r"\|")
     perf = m.select(

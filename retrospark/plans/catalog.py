@@ -939,6 +939,7 @@ register(
 # ---------------------------------------------------------------- stage 06/07 on the feature tables
 
 from ..config import ModelConfig  # noqa: E402
+from ..operators import foldfit as FF  # noqa: E402
 from ..operators import folds as FO  # noqa: E402
 from ..operators import model as MO  # noqa: E402
 from ..operators import select as SE  # noqa: E402
@@ -1331,23 +1332,94 @@ register(
 )(lambda s, sf: EV.cv_policy_report(MO.policy_results(_policy_tables(s, sf), MODEL_CFG)))
 
 
+def _cut_folded(s: SparkSession, sf: str) -> tuple[DataFrame, list[str], FO.CvPolicy]:
+    ensure_checkpoint_dir(s)
+    folded, feats, policy = set1_folded(s, sf)
+    return folded.checkpoint(), feats, policy
+
+
 def _imp4(s: SparkSession, sf: str) -> DataFrame:
-    from pyspark.ml.feature import PCA, VectorAssembler
+    folded, feats, policy = _cut_folded(s, sf)
+    return SE.fold_pca_variance(folded, feats, policy.folds, 5, MODEL_CFG)
 
-    folded, feats, policy = set1_folded(s, sf)
+
+register("imp4_fold_pca_variance", None)(_imp4)
+
+_PAIR = ["first_bps_mean", "latest_age"]
+
+
+def _imp4_pair(s: SparkSession, sf: str) -> DataFrame:
+    folded, _, policy = _cut_folded(s, sf)
+    return round_doubles(SE.fold_pca_variance(folded, _PAIR, policy.folds, 2, MODEL_CFG))
+
+
+# two standardised features: the eigenvalues of [[1, r], [r, 1]] are 1 + |r| and 1 - |r|
+register(
+    "imp4_fold_pca_variance_pair",
+    O.with_base(
+        f"""SELECT train_fold, CAST(component AS INTEGER) AS component, {O.r6("(1 + CASE WHEN component = 1 THEN abs(r) ELSE -abs(r) END) / 2", "explained_variance_ratio")}
+FROM (SELECT train_fold, corr(x, y) AS r FROM (
+  SELECT t.train_fold, coalesce(t.{_PAIR[0]}, a.median) AS x, coalesce(t.{_PAIR[1]}, b.median) AS y FROM tc t
+  JOIN med a ON a.train_fold = t.train_fold AND a.feature = '{_PAIR[0]}' JOIN med b ON b.train_fold = t.train_fold AND b.feature = '{_PAIR[1]}') GROUP BY train_fold)
+CROSS JOIN (VALUES (1), (2)) c(component)""",
+        SET1_CTE,
+    ),
+)(_imp4_pair)
+
+
+def _grid(s: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return _memo("grid", s, sf, lambda: SE.run_set_analysis(stage5(s, sf)["extract_set_1"], "extract_set_1", MODEL_CFG))
+
+
+register("imp8_grid_set1", None)(lambda s, sf: round_doubles(_grid(s, sf)["performance"]))
+register("imp8_best_per_method_set1", None)(lambda s, sf: round_doubles(_grid(s, sf)["best"]))
+
+# ---------------------------------------------------------------- leave-one-out by exclusion
+
+LOO_CFG = ModelConfig(entity="patient_id", label="stroke", cv_strategy="loocv")
+
+
+def loo_folded(s: SparkSession, sf: str) -> tuple[DataFrame, list[str], FO.CvPolicy]:
+    return _memo("loo_folded", s, sf, lambda: _loo_folded(s, sf))
+
+
+def _loo_folded(s: SparkSession, sf: str) -> tuple[DataFrame, list[str], FO.CvPolicy]:
     ensure_checkpoint_dir(s)
-    folded = folded.checkpoint()
-    states = MO.collect_fold_states(folded, feats, policy.folds)
-    rows = []
-    for st in states:
-        used = st.used(feats)
-        tr = VectorAssembler(inputCols=used, outputCol="features").transform(folded.where(F.col("fold") != st.fold).select(*st.exprs(feats)))
-        model = PCA(k=min(5, len(used)), inputCol="features", outputCol="pcs").fit(tr)
-        rows += [(st.fold, i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]
-    return s.createDataFrame(rows, "train_fold int, component int, explained_variance_ratio double")
+    mat = FO.feature_matrix(stage5(s, sf)["extract_set_1"], LOO_CFG).checkpoint()
+    policy = FO.choose_cv(mat, LOO_CFG)
+    return FO.assign_folds(mat, policy, LOO_CFG).checkpoint(), FO.feature_columns(mat, LOO_CFG), policy
 
 
-register("imp4_fold_pca_variance", None)(_imp4)
+def _loo_stats(s: SparkSession, sf: str) -> DataFrame:
+    folded, feats, _ = loo_folded(s, sf)
+    return round_doubles(FF.loo_statistics(folded, feats, LOO_CFG))
+
+
+LOO_CTE = (
+    SET1_CTE
+    + ",\nlf AS (SELECT s.*, CAST(row_number() OVER (ORDER BY md5(CAST(patient_id AS VARCHAR) || ':42')) - 1 AS INTEGER) AS train_fold FROM set1 s),\n"
+    + "lu AS (" + " UNION ALL ".join(f"SELECT train_fold, '{c}' AS feature, {c} AS value FROM lf" for c in _S1_FEATS) + "),\n"
+    + "lm AS (SELECT train_fold, feature, quantile_cont(value, 0.5) OVER w AS median, count(value) OVER w AS held, avg(value) OVER w AS m, var_pop(value) OVER w AS v, count(*) OVER w AS n "
+    + "FROM lu WINDOW w AS (PARTITION BY feature ORDER BY train_fold ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW)),\n"
+    # mean and variance after the missing entries are set to the median
+    + "ls AS (SELECT *, m + (median - m) * (n - held) / n AS mean, sqrt((v * held + (median - m) * (median - m) * held * (n - held) / n) / n) AS std FROM lm)"
+)
+register("mod5_loo_medians", O.with_base(f"SELECT train_fold, feature, {O.r6('median', 'median')} FROM lm", LOO_CTE))(
+    lambda s, sf: _loo_stats(s, sf).select("train_fold", "feature", "median")
+)
+register(
+    "mod6_loo_scaling",
+    O.with_base(f"SELECT train_fold, feature, {O.r6('mean', 'mean')}, {O.r6('std', 'std')}, {O.r6('CASE WHEN std > 1e-9 THEN std WHEN median IS NOT NULL THEN 1.0 END', 'scale')} FROM ls", LOO_CTE),
+)(lambda s, sf: _loo_stats(s, sf).select("train_fold", "feature", "mean", "std", "scale"))
+
+
+def _mod8_loo(s: SparkSession, sf: str) -> DataFrame:
+    folded, feats, policy = loo_folded(s, sf)
+    models, _ = MO.fit_cv(folded, feats, "extract_set_1", policy, LOO_CFG)
+    return round_doubles(FF.score(folded, models, feats, LOO_CFG))
+
+
+register("mod8_loo_predictions_set1", None)(_mod8_loo)
 
 
 # ---------------------------------------------------------------- inputs on which a check must answer

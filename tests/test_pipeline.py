@@ -125,10 +125,8 @@ def test_string_ids_and_tables_without_features(spark):
 def test_intercept_is_penalised(spark):
     import numpy as np
 
-    from pyspark.sql import functions as F
-
     from retrospark.config import ModelConfig
-    from retrospark.operators.model import CONSTANT, fit_fold
+    from retrospark.operators import foldfit as FF
 
     rng = np.random.default_rng(3)
     n = 200
@@ -141,6 +139,8 @@ def test_intercept_is_penalised(spark):
     for _ in range(60):  # Newton steps on the weighted loss with a penalty on all three coefficients
         p = 1 / (1 + np.exp(-a @ beta))
         beta -= np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.eye(3) / n, a.T @ (w * (p - y)) + beta / n)
-    df = spark.createDataFrame([(i, float(r[0]), float(r[1]), int(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "patient_id long, a double, b double, stroke int")
-    _, model = fit_fold(df.withColumn(CONSTANT, F.lit(1.0)), ["a", "b"], ModelConfig(entity="patient_id", label="stroke"), n, pos, neg)
-    assert model.intercept == 0.0 and np.allclose(model.coefficients.toArray(), beta, atol=1e-4)
+    df = spark.createDataFrame([(i, float(r[0]), float(r[1]), int(t), 0) for i, (r, t) in enumerate(zip(x, y, strict=True))], "patient_id long, a double, b double, stroke int, fold int")
+    units = FF.Units(("a", "b"), np.zeros(2), np.ones(2))
+    model = FF.Model("m", -1, np.eye(5)[:, :3], (n / (2.0 * neg), n / (2.0 * pos)), np.zeros(3))
+    FF.fit(df, units, [model], ModelConfig(entity="patient_id", label="stroke"))
+    assert np.allclose(model.coef, beta[[2, 0, 1]], atol=1e-8)

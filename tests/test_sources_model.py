@@ -60,8 +60,6 @@ def test_logistic_regression_parity(spark):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    from retrospark.operators.model import balanced_weight
-
     rng = np.random.default_rng(3)
     n = 300
     X = rng.normal(size=(n, 3))
@@ -71,7 +69,7 @@ def test_logistic_regression_parity(spark):
     lam = 1.0 / n
     ref = _newton(X, y, w, lam)
     df = spark.createDataFrame([(float(a), float(b), float(c), int(t)) for (a, b, c), t in zip(X, y)], "a double, b double, c double, stroke int")
-    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df.withColumn("__w", balanced_weight("stroke", n, pos, neg)))
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df.withColumn("__w", F.when(F.col("stroke") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * neg))))
     m = LogisticRegression(labelCol="stroke", weightCol="__w", regParam=lam, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-12).fit(data)
     got = np.concatenate([[m.intercept], m.coefficients.toArray()])
     assert np.allclose(got, ref, atol=1e-5)
