@@ -23,11 +23,13 @@ What reaches the driver is bounded by folds x candidates x features (leave-one-o
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ from ..functions.codes import q
 from ..functions.profile import order_statistics
 from .folds import _unpivot, fold_medians
 
+# functions for executors are sent by value, so that they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MODEL_DDL = "model_name string, fold int, intercept double, terms array<struct<slope: double, offset: double, missing: double>>"
 #: Models of leave-one-out that are fitted together; rows of the matrix handled at once in a task.
 LOO_BLOCK = 8192
@@ -348,58 +353,64 @@ def score(folded: DataFrame, models: DataFrame, features: tuple[str, ...] | list
 # ---------------------------------------------------------------- leave-one-out by exclusion
 
 
-def _column_facts(folded: DataFrame, features: list[str]) -> dict[str, dict]:
-    """Per feature: rows, values, mean, sum of squared deviations, and the order statistics around the middle (a row a feature)."""
-    n = F.count(F.lit(1))
-    row = folded.agg(n, *[f for c in features for f in (F.count(q(c)), F.avg(q(c)), F.var_pop(q(c)) * F.count(q(c)))]).first()
-    facts = {c: {"n": row[0], "m": row[1 + 3 * i], "mean": row[2 + 3 * i], "m2": row[3 + 3 * i], "at": {}} for i, c in enumerate(features)}
-    # without one value the middle of m - 1 values lies between places (m - 2) div 2 and three further on of the m values
+FACTS_DDL = "feature string, rows bigint, held bigint, mean0 double, m20 double, whole double, low double, low_next double, high double, high_next double"
+
+
+def column_facts(folded: DataFrame, features: list[str]) -> DataFrame:
+    """A row a feature (:data:`FACTS_DDL`): rows, values, their mean and squared deviations, their median, and the
+    order statistics from which the median without one value follows.
+
+    Without one of m values the middle lies at the places ``low`` = (m - 2) div 2 and ``high`` = (m - 1) div 2
+    of the others, which are these places of all values, or the next ones if the removed value comes before.
+    """
+    row = folded.agg(F.count(F.lit(1)), *[f for c in features for f in (F.count(q(c)), F.avg(q(c)), F.var_pop(q(c)) * F.count(q(c)))]).first()
     places = [F.floor((F.col("n") - 2) / 2) + j for j in range(4)]
-    for r in order_statistics(_unpivot(folded, [], features), ["feature"], "value", places).collect():
-        facts[r["feature"]]["at"][r["place"]] = r["value"]
-    return facts
-
-
-def loo_columns(facts: dict, c: str) -> dict[str, Column]:
-    """median, mean, std, scale of the column ``c`` over all rows but the one at hand, by exclusion."""
-    x, n, m, at = q(c).cast("double"), facts["n"], facts["m"], facts["at"]
-    none = F.lit(None).cast("double")
-
-    def middle(count: int, pick) -> Column:  # median of ``count`` values, by place
-        if count <= 0:
-            return none
-        low, high = (count - 1) // 2, count // 2
-        return (pick(low) + pick(high)) / 2
-
-    whole = middle(m, lambda j: F.lit(at[j]))
-    # the value at a place of the others: the next one of all values, if this row's value is not above that place
-    others = middle(m - 1, lambda j: F.when(x <= F.lit(at[j]), F.lit(at[j + 1])).otherwise(F.lit(at[j])))
-    median = F.when(x.isNull(), whole).otherwise(others)
-    if m == 0:
-        return {"median": none, "mean": none, "std": none, "scale": none}
-    mean0, m20 = F.lit(facts["mean"]), F.lit(facts["m2"])
-    gone = x - mean0
-    mean = F.when(x.isNull(), mean0).otherwise(mean0 - gone / F.lit(float(max(m - 1, 1))))
-    m2 = F.when(x.isNull(), m20).otherwise(m20 - gone * gone * F.lit(m / max(m - 1, 1)))
-    held, empty = F.when(x.isNull(), F.lit(m)).otherwise(F.lit(m - 1)), F.when(x.isNull(), F.lit(n - m - 1)).otherwise(F.lit(n - m))
-    off = median - mean
-    total = m2 + off * off * held * empty / F.lit(n - 1)
-    least = F.lit(CONSTANT_PART) * (m20 + off * off * held * empty / F.lit(n - 1))
-    std = F.when(total > least, F.sqrt(total / F.lit(n - 1))).otherwise(F.lit(0.0))
-    std = F.when(median.isNotNull(), std)
-    return {"median": median, "mean": mean + off * empty / F.lit(n - 1), "std": std, "scale": F.when(std > 0, std).when(median.isNotNull(), F.lit(1.0))}
-
-
-def loo_statistics(folded: DataFrame, features: list[str], cfg: ModelConfig = ModelConfig()) -> DataFrame:
-    """(train_fold, feature, mean, std, scale, median) of every leave-one-out training set, without copying rows.
-
-    The plan scans ``folded`` once; features without a value in a training set have a null median.
+    at: dict[str, dict[int, float]] = {c: {} for c in features}
+    for r in order_statistics(_unpivot(folded, [], features), ["feature"], "value", places).collect():  # 4 rows a feature
+        at[r["feature"]][r["place"]] = r["value"]
+    rows = []
+    for i, c in enumerate(features):
+        m, get = row[1 + 3 * i], at[c].get
+        low, high = (m - 2) // 2, (m - 1) // 2
+        whole = (get((m - 1) // 2) + get(m // 2)) / 2 if m else None
+        rows.append((c, row[0], m, row[2 + 3 * i], row[3 + 3 * i], whole, *[get(p) if m > 1 else None for p in (low, low + 1, high, high + 1)]))
+    return folded.sparkSession.createDataFrame(rows, FACTS_DDL)
+
+
+def loo_statistics(folded: DataFrame, features: list[str], cfg: ModelConfig = ModelConfig(), facts: DataFrame | None = None) -> DataFrame:
+    """(train_fold, feature, mean, std, scale, median) of every leave-one-out training set, by exclusion.
+
+    No row is copied to other folds: each value meets the facts of its own column (a row a feature,
+    broadcast).  A feature without a value in a training set has nulls only.
     """
-    if folded.isEmpty():
-        raise ValueError("leave-one-out of an empty table")
-    facts = _column_facts(folded, features)
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), *[v.alias(k) for k, v in loo_columns(facts[c], c).items()]) for c in features])
-    return folded.select(F.col("fold").alias("train_fold"), F.explode(cells).alias("s")).select("train_fold", "s.feature", "s.mean", "s.std", "s.scale", "s.median")
+    facts = facts or column_facts(folded, features)
+    x, held, empty = F.col("value"), F.col("held"), F.col("rows") - F.col("held")
+    given = x.isNotNull()
+    step = lambda at, after: F.when(x <= F.col(at), F.col(after)).otherwise(F.col(at))
+    cells = _unpivot(folded, ["fold"], features).join(F.broadcast(facts), "feature")
+    # values of the others: number, missing entries, median, mean and squared deviations
+    cells = cells.select(
+        F.col("fold").alias("train_fold"), "feature", F.when(given, held - 1).otherwise(held).alias("m"), F.when(given, empty).otherwise(empty - 1).alias("k"),
+        F.when(given, (step("low", "low_next") + step("high", "high_next")) / 2).otherwise(F.col("whole")).alias("median"),
+        F.when(given, F.col("mean0") - (x - F.col("mean0")) / F.greatest(held - 1, F.lit(1))).otherwise(F.col("mean0")).alias("own_mean"),
+        F.when(given, F.col("m20") - (x - F.col("mean0")) ** 2 * held / F.greatest(held - 1, F.lit(1))).otherwise(F.col("m20")).alias("m2"), "m20",
+    )
+    cells = cells.withColumn("off", F.col("median") - F.col("own_mean")).withColumn("share", F.col("off") * F.col("k") / (F.col("m") + F.col("k")))
+    # the missing entries at the median add their distance from the mean
+    added = F.col("off") * F.col("share") * F.col("m")
+    var = F.when(F.col("m2") + added > F.lit(CONSTANT_PART) * (F.col("m20") + added), (F.col("m2") + added) / (F.col("m") + F.col("k"))).otherwise(F.lit(0.0))
+    std = F.when(F.col("median").isNotNull(), F.sqrt(var))
+    out = cells.select("train_fold", "feature", F.when(F.col("median").isNotNull(), F.col("own_mean") + F.col("share")).alias("mean"), std.alias("std"), "median")
+    return out.select("train_fold", "feature", "mean", "std", F.when(F.col("std") > 0, F.col("std")).when(F.col("median").isNotNull(), F.lit(1.0)).alias("scale"), "median")
+
+
+def _column(rows: DataFrame, fold: str, value: str, lo: int, width: int = 1) -> np.ndarray:
+    """A column of a block of folds as (fold, feature) numbers; ``place`` numbers the features."""
+    got = rows.select(F.col(fold).cast("bigint"), (F.col("place") if width > 1 else F.lit(0)).cast("bigint"), F.col(value).cast("double")).toArrow()
+    at, place, values = (got.column(i).to_numpy() for i in range(3))
+    out = np.full((int(at.max()) - lo + 1, width), np.nan)
+    out[at - lo, place] = values.astype(float)
+    return out
 
 
 def loo_models(folded: DataFrame, features: list[str], name: str, cfg: ModelConfig, positives: int, negatives: int) -> tuple[Units, DataFrame, int]:
@@ -411,8 +422,9 @@ def loo_models(folded: DataFrame, features: list[str], name: str, cfg: ModelConf
     spark, n = folded.sparkSession, positives + negatives
     units = units_of(folded, features)
     n_f, matrix = len(features), _matrix(folded, units, cfg)
-    facts = _column_facts(folded, features)
-    means = np.array([facts[c]["mean"] if facts[c]["m"] else 0.0 for c in features])
+    facts = column_facts(folded, features)
+    means = {r["feature"]: r["mean0"] for r in facts.collect()}
+    means = np.array([units.center[i] if means[c] is None else means[c] for i, c in enumerate(features)])
     whole = np.zeros((1 + 2 * n_f, 1 + n_f))  # the design of all rows: mean imputation is near enough for a start
     whole[0, 0] = 1
     whole[1 : 1 + n_f, 1:] = np.eye(n_f)
@@ -434,44 +446,39 @@ def loo_models(folded: DataFrame, features: list[str], name: str, cfg: ModelConf
     hess = np.frombuffer(_summed(matrix.mapInArrow(curvature, "all bigint, body binary"), "all").first()["body"], float).reshape(1 + 2 * n_f, 1 + 2 * n_f)
     tables = []
     for lo in range(0, n, LOO_BLOCK):
-        cells = F.array(*[F.array(*[loo_columns(facts[c], c)[k] for k in ("median", "mean", "scale")]) for c in features])
-        own = folded.where(F.col("fold").between(lo, lo + LOO_BLOCK - 1)).select("fold", q(cfg.label).cast("int").alias("y"), cells.alias("cells")).orderBy("fold").collect()  # a block
-        stats = np.array([r["cells"] for r in own], float)  # (model, feature, 3)
-        median, mean, scale = stats[:, :, 0], stats[:, :, 1], stats[:, :, 2]
+        block = folded.where(F.col("fold").between(lo, lo + LOO_BLOCK - 1))
+        y_own = _column(block.select("fold", F.col(cfg.label).cast("int").alias("y")), "fold", "y", lo)[:, 0]
+        place = spark.createDataFrame(list(enumerate(features)), "place int, feature string")
+        stats = loo_statistics(block, features, cfg, facts).join(F.broadcast(place), "feature")
+        median, mean, scale = (_column(stats, "train_fold", c, lo, n_f) for c in ("median", "mean", "scale"))
         used = ~np.isnan(median)
-        dev = np.where(used, scale / units.spread, 1.0)
-        shift = np.where(used, (mean - units.center) / units.spread, 0.0)
-        impute = np.where(used, (median - units.center) / units.spread, 0.0)
-        y_own, folds = np.array([r["y"] for r in own]), np.array([r["fold"] for r in own])
+        over = np.where(used, units.spread / scale, 0.0)  # the standardised feature is x * over + ..., x in units
+        shift = np.where(used, (mean - units.center) / units.spread * over, 0.0)
+        impute = np.where(used, (median - units.center) / units.spread * over, 0.0)
+        folds = np.arange(lo, lo + len(y_own))
         pos, neg = positives - y_own, negatives - (1 - y_own)
         weights = np.stack([(n - 1) / (2.0 * neg), (n - 1) / (2.0 * pos)])  # by class, of each model
-
-        def design(i: int, used=used, dev=dev, shift=shift, impute=impute) -> np.ndarray:
-            d = np.zeros((1 + 2 * n_f, 1 + n_f))
-            d[0, 0] = 1
-            d[0, 1:] = np.where(used[i], -shift[i] / dev[i], 0.0)
-            d[1 : 1 + n_f, 1:] = np.diag(np.where(used[i], 1 / dev[i], 0.0))
-            d[1 + n_f :, 1:] = np.diag(np.where(used[i], impute[i] / dev[i], 0.0))
-            return d
-
         solvers = []
-        for i in range(len(own)):
-            d = design(i)
+        for i in range(len(folds)):
+            d = np.zeros((1 + 2 * n_f, 1 + n_f))
+            d[0, 0], d[0, 1:] = 1, -shift[i]
+            d[1 : 1 + n_f, 1:], d[1 + n_f :, 1:] = np.diag(over[i]), np.diag(impute[i])
             solvers.append(np.linalg.inv(d.T @ hess @ d + np.eye(1 + n_f) / cfg.reg_scale))
-        back = [np.linalg.lstsq(design(i), first, rcond=None)[0] for i in range(len(own))]
-        coef = np.array(back)
+        solvers = np.array(solvers)
+        coef = np.where(used, first[1 : 1 + n_f] / np.where(used, over, 1.0), 0.0)
+        coef = np.hstack([(first[0] + (coef * shift).sum(axis=1))[:, None], coef])
         for _ in range(MAX_STEPS):
-            theta = np.stack([design(i) @ coef[i] for i in range(len(own))], axis=1)
+            theta = np.hstack([(coef[:, 0] - (coef[:, 1:] * shift).sum(axis=1))[:, None], coef[:, 1:] * over, coef[:, 1:] * impute]).T
             shared = spark.sparkContext.broadcast((theta, folds, weights))
-
-            grad = np.frombuffer(_summed(matrix.mapInArrow(_loo_gradients(shared, units), "all bigint, body binary"), "all").first()["body"], float).reshape(theta.shape)
+            grad = np.frombuffer(_summed(matrix.mapInArrow(_loo_gradients(shared, units), "all bigint, body binary"), "all").first()["body"], float).reshape(theta.shape).T
             shared.unpersist()
             jobs += 1
-            moves = np.stack([solvers[i] @ (design(i).T @ grad[:, i] + coef[i] / cfg.reg_scale) for i in range(len(own))])
+            own = np.hstack([grad[:, :1], grad[:, 1 : 1 + n_f] * over + grad[:, 1 + n_f :] * impute - grad[:, :1] * shift])
+            moves = np.einsum("ijk,ik->ij", solvers, own + coef / cfg.reg_scale)
             coef -= moves
             if np.abs(moves).max() < TOLERANCE:
                 break
         else:
             raise ArithmeticError("leave-one-out models did not converge")
-        tables += [(name, int(f), design(i) @ coef[i]) for i, f in enumerate(folds)]
+        tables += [(name, int(f), theta[:, i]) for i, f in enumerate(folds)]
     return units, spark.createDataFrame(model_rows(units, tables), MODEL_DDL), jobs
