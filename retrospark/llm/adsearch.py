@@ -159,16 +159,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, lists: int | None = None,
     probes = asked.mapInPandas(probe, "vec_id bigint, v array<double>, list array<int>").select("vec_id", "v", F.explode("list").alias("list"))
     wanted = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
 
-    def parts(counts: dict, each: int):
-        many = {i: -(-m // each) for i, m in counts.items() if m > each}
-        out = F.lit(1)
-        for i, m in many.items():
-            out = F.when(F.col("list") == i, F.lit(m)).otherwise(out)
-        return out
-
-    v_parts, q_parts = parts(sizes, PART), parts(wanted, PART_QUERIES)
-    left = indexed.select("list", F.pmod(F.xxhash64("vec_id"), v_parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), q_parts - 1)).alias("share"), "vec_id", "v")
-    right = probes.select("list", F.explode(F.sequence(F.lit(0), v_parts - 1)).alias("part"), F.pmod(F.xxhash64("vec_id"), q_parts).cast("int").alias("share"), "vec_id", "v")
+    # a row a list: into how many parts its vectors and its queries are dealt
+    dealt = [(i, max(1, -(-sizes.get(i, 0) // PART)), max(1, -(-wanted.get(i, 0) // PART_QUERIES))) for i in range(len(centroids))]
+    parts = F.broadcast(spark.createDataFrame(dealt, "list int, v_parts int, q_parts int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    left = indexed.join(parts, "list").select("list", own("v_parts").alias("part"), each("q_parts").alias("share"), "vec_id", "v")
+    right = probes.join(parts, "list").select("list", each("v_parts").alias("part"), own("q_parts").alias("share"), "vec_id", "v")
 
     def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
