@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with the columns of
 ``documents`` (the last one returns token counts and digests).  Between the stages the documents
 are written as Parquet and read again, so a stage starts from files, whatever executors are lost.
+
+Defined cases: an empty table stays empty; extra columns are dropped; a null text has no language,
+so the first stage drops it (a later stage called by itself keeps it as an empty text); null and
+repeated ids are allowed: near-dedup keeps one row of each group of texts, suffix dedup cuts
+nothing from rows with a null id and compares no rows of one id with each other, mixing keeps or
+drops the rows of one id and cell together, and tokenisation returns a row for every row.
 """
 
 from __future__ import annotations
@@ -32,9 +38,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document (the smallest id) of each group of near duplicates (five-word shingles, 0.8)."""
-    gone = neardup.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep one document of each group of near duplicates (five-word shingles, 0.8): the smallest id.
+
+    Rows are told apart by a number of their own, so that null ids, repeated rows and ids that
+    several texts share lose no text: each group keeps exactly one row (null ids come last, ties by
+    the row's number), and a text without words is a group of its own.
+    """
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=5, percent=80)
+    groups = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    keep = groups.groupBy("component_id").agg(first).select(F.col("first.row").alias("row"))
+    return rows.join(keep, "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
