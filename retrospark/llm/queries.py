@@ -132,7 +132,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its raked factor, its probability and the sampling decision."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mix(docs, MIX_TARGETS, keep=MIX_KEEP, rounds=MIX_ROUNDS).select(
-        "doc_id", "tokens", "topic", "factor", "probability", "kept"
+        "doc_id", "tokens", "topic", "factor", "probability", "keep_share", "kept"
     )
 
 
@@ -156,27 +156,27 @@ def mixing_sql(docs: str = "documents") -> str:
         "t AS (SELECT sum(tokens)::DOUBLE AS total FROM c)",
     ]
     for dim in mixing.DIMS:
-        ctes.append(f"m_{dim} AS (SELECT {dim}, {share(dim)} AS s FROM (SELECT {dim}, sum(tokens) AS n FROM c GROUP BY {dim}) WHERE n > 0)")
-        ctes.append(f"g_{dim} AS (SELECT {dim}, s * (SELECT total FROM t) / nullif((SELECT sum(s) FROM m_{dim}), 0) AS goal_{dim} FROM m_{dim})")
+        ctes.append(f"m_{dim} AS (SELECT {dim}, {share(dim)} AS s, n FROM (SELECT {dim}, sum(tokens) AS n FROM c GROUP BY {dim}) WHERE n > 0)")
+    scarce = ", ".join(f"(SELECT min(n / s) * sum(s) FROM m_{d} WHERE s > 0) / (SELECT total FROM t)" for d in mixing.DIMS)
+    ctes.append(f"k AS (SELECT least({MIX_KEEP}, {scarce}) AS keep)")
+    for dim in mixing.DIMS:
+        ctes.append(f"g_{dim} AS (SELECT {dim}, s * (SELECT total FROM t) * (SELECT keep FROM k) / nullif((SELECT sum(s) FROM m_{dim}), 0) AS goal_{dim} FROM m_{dim})")
     ctes.append(
-        "f0 AS (SELECT c.*, tokens::DOUBLE AS weight, coalesce(goal_source, 0) AS goal_source, coalesce(goal_lang, 0) AS goal_lang, coalesce(goal_topic, 0) AS goal_topic "
+        "f0 AS (SELECT c.*, tokens * (SELECT keep FROM k) AS weight, coalesce(goal_source, 0) AS goal_source, coalesce(goal_lang, 0) AS goal_lang, coalesce(goal_topic, 0) AS goal_topic "
         "FROM c LEFT JOIN g_source USING (source) LEFT JOIN g_lang USING (lang) LEFT JOIN g_topic USING (topic))"
     )
-    k = 0
+    step = 0
     for _ in range(MIX_ROUNDS):
         for dim in mixing.DIMS:
             ctes.append(
-                f"f{k + 1} AS (SELECT * EXCLUDE (weight, m), CASE WHEN m > 0 THEN weight * goal_{dim} / m ELSE 0 END AS weight "
-                f"FROM (SELECT *, sum(weight) OVER (PARTITION BY {dim}) AS m FROM f{k}))"
+                f"f{step + 1} AS (SELECT * EXCLUDE (weight, m), CASE WHEN m > 0 THEN least(tokens::DOUBLE, weight * goal_{dim} / m) ELSE 0 END AS weight "
+                f"FROM (SELECT *, sum(weight) OVER (PARTITION BY {dim}) AS m FROM f{step}))"
             )
-            k += 1
-    ctes.append(
-        f"p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS factor FROM f{k})"
-    )
+            step += 1
+    ctes.append(f"p AS (SELECT source, lang, topic, keep, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS chance FROM f{step}, k)")
     return (
-        "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, tokens, topic, round(factor, 9) AS factor, round(least(1.0, factor * {MIX_KEEP}), 9) AS probability, "
-        "cast('0x' || substr(md5('0:' || coalesce(cast(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < round(least(1.0, factor * "
-        f"{MIX_KEEP}), 9) AS kept FROM d JOIN p USING (source, lang, topic)"
+        "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, tokens, topic, round(chance / keep, 9) AS factor, round(chance, 9) AS probability, round(keep, 9) AS keep_share, "
+        "cast('0x' || substr(md5('0:' || coalesce(cast(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < round(chance, 9) AS kept FROM d JOIN p USING (source, lang, topic)"
     )
 
 

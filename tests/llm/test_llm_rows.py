@@ -67,3 +67,28 @@ def test_every_list_split(spark, monkeypatch):
     for r in got.orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append(r["vec_id"])
     assert found == want
+
+
+def test_mixture_reaches_its_targets(spark):
+    """Sources that are scarce against their targets lower the share kept, not their part of the mixture."""
+    from retrospark.llm import mixing
+    from retrospark.llm.queries import MIX_TARGETS
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(30_000):
+        source, lang = rnd.choice(["src0", "src1", "src1", "src1", "src2", "zzz"]), rnd.choice(["en", "en", "de", "fr"])
+        rows.append((i, "w " * rnd.choice([50, 200, 900]), lang, source))
+    rows += [(7, None, None, None), (None, "", "en", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("_p", F.lit("clash")).withColumn("__tokens", F.lit("clash")).withColumn("kept", F.lit("clash"))
+    targets = {"source": {"src0": 0.5, "src1": 0.3, "src2": 0.2}, "lang": {"en": 0.4, "de": 0.35, "fr": 0.25}, "topic": {"note": 0.02, "article": 0.2, "report": 0.78}}
+    mixed = mixing.mix(docs, targets, keep=0.9, rounds=40).cache()
+    assert mixed.count() == len(rows) and {"_p", "__tokens"} <= set(mixed.columns)
+    for r in mixing.margins(mixed, targets).collect():
+        assert abs(r["expected"] - r["target"]) < 5e-3, r  # where cells are full, the rest is reported, not hidden
+        assert abs(r["realised"] - r["target"]) < 0.03, r  # sampling error
+    top = mixed.agg(F.max("probability"), F.min("keep_share")).first()
+    assert top[0] <= 1.0 and 0 < top[1] < 0.9
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in mixing.margins(mixing.mix(sf, MIX_TARGETS, keep=0.5, rounds=10), MIX_TARGETS).collect():
+        assert abs(r["expected"] - r["target"]) < 2e-3, r
