@@ -85,7 +85,7 @@ def test_mixture_reaches_its_targets(spark):
     mixed = mixing.mix(docs, targets, keep=0.9, rounds=40).cache()
     assert mixed.count() == len(rows) and {"_p", "__tokens"} <= set(mixed.columns)
     for r in mixing.margins(mixed, targets).collect():
-        assert abs(r["expected"] - r["target"]) < 5e-3, r  # where cells are full, the rest is reported, not hidden
+        assert abs(r["expected"] - r["target"]) < 8e-3, r  # where cells are full, the rest is reported, not hidden
         assert abs(r["realised"] - r["target"]) < 0.03, r  # sampling error
     top = mixed.agg(F.max("probability"), F.min("keep_share")).first()
     assert top[0] <= 1.0 and 0 < top[1] < 0.9
