@@ -90,7 +90,7 @@ def _rank_intervals(base: DataFrame, keys: list[str], spark, buckets: int | None
     qs = [i / buckets for i in range(1, buckets)]
     bounds = dv.groupBy(*keys).agg(F.percentile_approx("__v", qs, 10000).alias("__b"), F.sum("__w").alias("n"))
     dv = dv.join(bounds.drop("n"), on=keys)  # bounds: one row per group, ``buckets`` numbers
-    dv = dv.withColumn("__bk", F.size(F.filter("__b", lambda x: x < F.col("__v")))).drop("__b")
+    dv = dv.withColumn("__bk", F.size(F.filter("__b", lambda x: x < F.col("__v")))).withColumn("__c", F.get("__b", F.lit(len(qs) // 2))).drop("__b")
     bt = dv.groupBy(*keys, "__bk").agg(F.sum("__w").alias("__bw"))
     wb = Window.partitionBy(*keys).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("__start", F.coalesce(F.sum("__bw").over(wb), F.lit(0.0)))
@@ -121,7 +121,7 @@ def exact_quantiles(
     4. inside each bucket a window over values gives each value's rank interval;
     5. the values covering the two ranks around each target position are interpolated.
     Output: one row per group with ``{prefix}{i}`` for each probability, ``n`` (total weight)
-    and the weighted ``{prefix}_mean``, ``{prefix}_min``, ``{prefix}_max``.
+    and the weighted ``{prefix}_mean``, ``{prefix}_m2`` (squared deviations), ``{prefix}_min``, ``{prefix}_max``.
     The collapsed (group, value, weight) table is checkpointed, so building this DataFrame runs
     one job over the input.
     """
@@ -150,8 +150,10 @@ def exact_quantiles(
     )
     val = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__f")
     out = picked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("qi") == i, val)).alias(f"{prefix}{i}") for i in range(len(probs))])
+    off = F.col("__v") - F.col("__c")  # from a value near the middle, so that large values don't cancel
     moments = dv.groupBy(*keys).agg(
         (F.sum(F.col("__v") * F.col("__w")) / F.sum("__w")).alias(f"{prefix}_mean"),
+        F.greatest(F.sum(off * off * F.col("__w")) - F.sum(off * F.col("__w")) ** 2 / F.sum("__w"), F.lit(0.0)).alias(f"{prefix}_m2"),
         F.min("__v").alias(f"{prefix}_min"),
         F.max("__v").alias(f"{prefix}_max"),
     )

@@ -76,9 +76,9 @@ def visit_gaps(records: DataFrame, schema: CleanSchema = CleanSchema()) -> DataF
     per_day = records.groupBy(e, d).agg(F.count(F.lit(1)).alias("m"))
     w = Window.partitionBy(e).orderBy(d)
     steps = per_day.withColumn("__prev", F.lag(d).over(w))
-    zeros = steps.where(F.col("m") > 1).select(F.lit(0).cast("bigint").alias("gap_days"), (F.col("m") - 1).cast("bigint").alias("freq"))
-    moves = steps.where(F.col("__prev").isNotNull()).select(days_between(F.col(d), F.col("__prev")).cast("bigint").alias("gap_days"), F.lit(1).cast("bigint").alias("freq"))
-    return zeros.unionByName(moves)
+    gap = lambda days, freq: F.struct(days.cast("bigint").alias("gap_days"), freq.cast("bigint").alias("freq"))
+    both = F.array(gap(F.lit(0), F.col("m") - 1), gap(days_between(F.col(d), F.col("__prev")), F.lit(1)))
+    return steps.select(F.explode(both).alias("g")).select("g.*").where(F.col("gap_days").isNotNull() & (F.col("freq") > 0))
 
 
 def time_gap_summary(records: DataFrame, schema: CleanSchema = CleanSchema()) -> DataFrame:
@@ -177,29 +177,22 @@ def complete_case_summary(cohort: DataFrame, completeness: DataFrame, entity: st
 def descriptive_stats(records: DataFrame, label: str = "stroke", columns: list[str] = EDA_NUMERIC) -> DataFrame:
     """EDA11: n, mean, std (ddof=1), min, quartiles, max per column, per label and overall.
 
-    One unpivot and one ``rollup(column, label)`` -- the (column) level is the "all" row.
+    One unpivot, collapsed once; the table is scanned a single time.
     """
     present = [c for c in columns if c in records.columns]
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), q(c).try_cast("double").alias("value")) for c in present])
     long = records.select(q(label).alias("__label"), F.explode(pairs).alias("p")).select("__label", "p.column", "p.value").where(F.col("value").isNotNull())
-    v = F.col("value")
-    g = long.rollup("column", "__label").agg(
-        F.grouping_id().alias("__gid"),
-        F.count(v).alias("count"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    ).where(F.col("__gid") < 2)
-    g = g.withColumn("stroke", F.when(F.col("__gid") == 1, F.lit("all")).otherwise(F.col("__label").cast("string")))
-    # collapse to (column, label, value, count) once; the "all" level re-groups that small table
+    # collapse to (column, label, value, count) once; the "all" level re-groups that small table, and
+    # moments, extremes and quartiles all come from the collapsed values
     dv = long.groupBy("column", F.col("__label").cast("string").alias("stroke"), "value").agg(F.count(F.lit(1)).alias("__n"))
     both = dv.unionByName(dv.groupBy("column", "value").agg(F.sum("__n").alias("__n")).withColumn("stroke", F.lit("all")))
-    quart = exact_quantiles(both, ["column", "stroke"], "value", [0.25, 0.5, 0.75], weight="__n")
-    return g.join(quart, on=["column", "stroke"], how="left").select(
-        "column", "stroke", "count", "mean",
-        F.when(F.col("count") > 1, F.col("std")).alias("std"),
-        "min", F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), "max",
+    # a label that is null is a level of its own
+    both = both.withColumn("__group", F.struct("column", "stroke")).select("__group", "value", "__n")
+    stats = exact_quantiles(both, ["__group"], "value", [0.25, 0.5, 0.75], weight="__n")
+    return stats.select(
+        "__group.column", "__group.stroke", F.col("n").cast("bigint").alias("count"), F.col("q_mean").alias("mean"),
+        F.when(F.col("n") > 1, F.sqrt(F.col("q_m2") / (F.col("n") - 1))).alias("std"),
+        F.col("q_min").alias("min"), F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), F.col("q_max").alias("max"),
     )
 
 
