@@ -171,6 +171,7 @@ def training_sets(grams: np.ndarray, medians: np.ndarray, units: Units) -> list[
         train = before[f] + after[f + 1]
         impute = np.nan_to_num((medians[f] - units.center) / units.spread)
         n, mean, m2 = _standardised(train.sum(axis=0), impute)
+        n = max(n, 1.0)  # a training set without rows has zeros throughout
         classes = [_standardised(train[c], impute) for c in (0, 1)]
         square = np.diag(m2) + n * mean**2
         var = np.where(np.diag(m2) > CONSTANT_PART * np.maximum(square, n * 1e-20), np.diag(m2) / n, 0.0)

@@ -941,6 +941,7 @@ register(
 from ..config import ModelConfig  # noqa: E402
 from ..operators import foldfit as FF  # noqa: E402
 from ..operators import folds as FO  # noqa: E402
+from ..operators import inference as IN  # noqa: E402
 from ..operators import model as MO  # noqa: E402
 from ..operators import select as SE  # noqa: E402
 
@@ -1117,12 +1118,7 @@ register("doc2_relaxed_completeness", O.with_base(_relaxed_sql()))(_doc2)
 
 def _doc3(s: SparkSession, sf: str) -> DataFrame:
     st5 = stage5(s, sf)
-    comp = st5["temporal_completeness"].select("patient_id", "temporal_complete")
-    ss = st5["single_shot"].select("patient_id")
-    ids = ss.unionByName(comp.select("patient_id")).distinct()
-    j = ids.join(comp, "patient_id", "left").join(ss.withColumn("__ss", F.lit(True)), "patient_id", "left")
-    route = F.when(F.coalesce("temporal_complete", F.lit(False)), F.lit("temporal")).when(F.col("__ss"), F.lit("single_shot")).otherwise(F.lit("insufficient_history"))
-    return j.select("patient_id", route.alias("route"))
+    return IN.routes(st5["temporal_completeness"], st5["single_shot"], MODEL_CFG)
 
 
 register(
@@ -1153,6 +1149,49 @@ WINDOW w AS (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLL
     ),
 )(_doc4)
 
+
+
+def _quarterly(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The test predictions, made at the first visit of their entity; labels become known at its reference date."""
+    cohort = stage2(s, sf)["patient_level_cohort"].select(F.col("hn").alias("patient_id"), "first_visit_date", "reference_date")
+    preds = fixture_predictions(s, sf).join(cohort, "patient_id")
+    made = preds.select("patient_id", "model_name", "y_pred", "y_prob", F.col("first_visit_date").alias("made_at"))
+    return made, preds.select("patient_id", F.col("reference_date").alias("known_at"), "y_true").distinct()
+
+
+def _doc4_performance(s: SparkSession, sf: str) -> DataFrame:
+    made, labels = _quarterly(s, sf)
+    return round_doubles(DR.performance_drift(DR.performance_by_period(made, labels, unit="day")))
+
+
+_RATES = ["prevalence", "mean_score", "brier", "sensitivity", "specificity", "g_mean"]
+register(
+    "doc4_performance_drift",
+    O.with_base(
+        f"""SELECT model_name, period, labelled, {", ".join(O.r6(c, c) for c in _RATES)}, {", ".join(O.r6(f"{c} - first_value({c}) OVER w", f"{c}_drift") for c in _RATES)}
+FROM (SELECT *, sqrt(sensitivity * specificity) AS g_mean FROM (
+  SELECT model_name, date_trunc('day', c.first_visit_date) AS period, count(*) AS labelled, avg(CAST(y_true AS DOUBLE)) AS prevalence, avg(y_prob) AS mean_score,
+    avg((y_prob - y_true) * (y_prob - y_true)) AS brier, avg(CASE WHEN y_true = 1 THEN CAST(y_pred AS DOUBLE) END) AS sensitivity, avg(CASE WHEN y_true = 0 THEN 1.0 - y_pred END) AS specificity
+  FROM p2 JOIN cohort c ON c.hn = p2.patient_id WHERE c.reference_date >= c.first_visit_date GROUP BY 1, 2))
+WINDOW w AS (PARTITION BY model_name ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+        PRED_CTE,
+    ),
+)(_doc4_performance)
+
+register(
+    "doc4_value_stability",
+    """WITH e AS (SELECT date_trunc('day', ts) AS period, CAST(value AS DOUBLE) AS value FROM events),
+f AS (SELECT min(period) AS first FROM e),
+cuts AS (SELECT list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS cuts FROM e, f WHERE period = first),
+b AS (SELECT period, CASE WHEN value IS NULL THEN -1 ELSE len(list_filter(cuts, lambda c: c < value)) END AS bin, count(*) AS n FROM e, cuts GROUP BY ALL),
+t AS (SELECT period, sum(n) AS total FROM b GROUP BY period),
+r AS (SELECT bin, n AS ref_n FROM b, f WHERE period = first),
+s AS (SELECT period, total, bin FROM t, r UNION SELECT b.period, total, bin FROM b JOIN t USING (period)),
+x AS (SELECT s.period, total, greatest(coalesce(b.n, 0) / total, 1e-4) AS p, greatest(coalesce(ref_n, 0) / (SELECT sum(ref_n) FROM r), 1e-4) AS q
+  FROM s LEFT JOIN b USING (period, bin) LEFT JOIN r USING (bin))
+SELECT period, 'value' AS "column", CAST(max(total) AS BIGINT) AS n, """ + O.r6("sum((p - q) * ln(p / q))", "psi") + " FROM x GROUP BY period",
+)(lambda s, sf: round_doubles(DR.stability_index(s.read.parquet(f"{sf}/events.parquet"), "ts", ["value"], "day")))
+
 register(
     "doc5_set1_last_representation",
     O.with_base(
@@ -1374,6 +1413,23 @@ def _grid(s: SparkSession, sf: str) -> dict[str, DataFrame]:
 register("imp8_grid_set1", None)(lambda s, sf: round_doubles(_grid(s, sf)["performance"]))
 register("imp8_best_per_method_set1", None)(lambda s, sf: round_doubles(_grid(s, sf)["best"]))
 
+# ---------------------------------------------------------------- final models, routing and scoring
+
+
+def _final_models(s: SparkSession, sf: str) -> DataFrame:
+    st5 = stage5(s, sf)
+    return _memo("final_models", s, sf, lambda: IN.fit_final(st5["single_shot"], "single_shot", MODEL_CFG).unionByName(IN.fit_final(st5["extract_set_1"], "extract_set_1", MODEL_CFG)))
+
+
+def _doc3_scores(s: SparkSession, sf: str) -> DataFrame:
+    st5 = stage5(s, sf)
+    out = IN.route_and_score(st5["temporal_completeness"], st5["single_shot"], st5["extract_set_1"], _final_models(s, sf), "single_shot", "extract_set_1", MODEL_CFG)
+    return round_doubles(out)
+
+
+register("doc3_routed_scores", None)(_doc3_scores)
+register("doc3_final_models", None)(lambda s, sf: round_doubles(_final_models(s, sf).select("model_name", "n_rows", "positives", "intercept", F.size("features").alias("n_features"))))
+
 # ---------------------------------------------------------------- leave-one-out by exclusion
 
 LOO_CFG = ModelConfig(entity="patient_id", label="stroke", cv_strategy="loocv")
