@@ -3,21 +3,19 @@
 ANOVA F for two classes comes from per-(feature, class) moments -- one aggregate over an
 unpivot.  The grid of candidates is nested (:func:`candidate_models`): one ranking and one
 eigen-decomposition per fold serve all candidates, which are fitted together (:mod:`foldfit`).
-The p-value needs the regularised incomplete beta; it is evaluated in a pandas UDF on
-the per-feature table (one row per feature), never on record-level data.
+The p-value is the regularised incomplete beta as an expression on the per-feature table.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..session import ensure_checkpoint_dir
 from ..config import ANOVA_K_GRID, PCA_N_GRID, ModelConfig
 from ..functions.profile import exact_quantiles
+from ..functions.stats import f_pvalue
 from . import evaluate as EV
 from . import foldfit as FF
 from .folds import _unpivot, assign_folds, choose_cv, feature_columns, feature_matrix, training_copies
@@ -26,62 +24,6 @@ from .folds import _unpivot, assign_folds, choose_cv, feature_columns, feature_m
 GRAM_CELLS = 1 << 23
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction for the incomplete beta (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    import math
-
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    front = math.exp(lbeta)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
-
-
-@F.pandas_udf(DoubleType())
-def f_pvalue(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    """P(F(df1, df2) > f) via I_{df2/(df2+df1 f)}(df2/2, df1/2)."""
-    out = []
-    for fv, a, b in zip(f, df1, df2):
-        if fv is None or np.isnan(fv) or b <= 0:
-            out.append(np.nan)
-        elif np.isinf(fv):
-            out.append(0.0)
-        else:
-            out.append(betainc(b / 2.0, a / 2.0, b / (b + a * fv)))
-    return pd.Series(out, dtype="float64")
-
-
 def anova_scores(classes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., feature) -> F statistic from (n, mean, m2) per class; m2 = sum of squared deviations.
 
@@ -117,7 +59,7 @@ def anova_ranking(table: DataFrame, cfg: ModelConfig = ModelConfig(), with_p: bo
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(F.round("f_score", 6)), "feature")  # one row per feature
     out = scores.withColumn("rank", F.row_number().over(w))
     if with_p:
-        out = out.withColumn("p_value", f_pvalue("f_score", F.col("df1").cast("double"), F.col("df2").cast("double")))
+        out = out.withColumn("p_value", f_pvalue(F.col("f_score"), F.col("df1"), F.col("df2")))
     return out.drop("df1", "df2")
 
 

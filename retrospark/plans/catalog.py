@@ -1017,7 +1017,28 @@ register(
     "imp1_anova_ranking",
     O.with_base(f"SELECT feature, {O.r6('f_score', 'f_score')}, row_number() OVER (ORDER BY round(f_score, 6) DESC NULLS LAST, feature) AS rank FROM fsc", SET1_CTE + ",\n" + _ANOVA_SQL),
 )(lambda s, sf: round_doubles(SE.anova_ranking(stage5(s, sf)["extract_set_1"], MODEL_CFG, with_p=False)))
-register("imp1_anova_pvalues", None)(lambda s, sf: SE.anova_ranking(stage5(s, sf)["extract_set_1"], MODEL_CFG, with_p=True))
+
+# the continued fraction of the incomplete beta as a reduction over 400 steps
+_PVALUE_SQL = """bt AS (SELECT feature, f_score, (N - k) / 2.0 AS a, (k - 1) / 2.0 AS b, (N - k) / ((N - k) + (k - 1) * f_score) AS x FROM fsc JOIN tot USING (feature)),
+bs AS (SELECT *, x >= (a + 1) / (a + b + 2) AS flip FROM bt),
+bp AS (SELECT feature, f_score, x, flip, CASE WHEN flip THEN b ELSE a END AS p, CASE WHEN flip THEN a ELSE b END AS r, CASE WHEN flip THEN 1 - x ELSE x END AS t FROM bs),
+bf AS (SELECT *, list_reduce(list_prepend({'m': 0.0::DOUBLE, 'c': 1.0::DOUBLE, 'd': (1 / (1 - (p + r) * t / (p + 1)))::DOUBLE, 'h': (1 / (1 - (p + r) * t / (p + 1)))::DOUBLE},
+    list_transform(range(1, 401), lambda i: {'m': i::DOUBLE, 'c': 0.0::DOUBLE, 'd': 0.0::DOUBLE, 'h': 0.0::DOUBLE})),
+  lambda s, e: {'m': e.m,
+    'c': (1 - (p + e.m) * (p + r + e.m) * t / ((p + 2 * e.m) * (p + 2 * e.m + 1)) / (1 + e.m * (r - e.m) * t / ((p + 2 * e.m - 1) * (p + 2 * e.m)) / s.c))::DOUBLE,
+    'd': (1 / (1 - (p + e.m) * (p + r + e.m) * t / ((p + 2 * e.m) * (p + 2 * e.m + 1)) / (1 + e.m * (r - e.m) * t / ((p + 2 * e.m - 1) * (p + 2 * e.m)) * s.d)))::DOUBLE,
+    'h': (s.h / (1 + e.m * (r - e.m) * t / ((p + 2 * e.m - 1) * (p + 2 * e.m)) * s.d) * (1 + e.m * (r - e.m) * t / ((p + 2 * e.m - 1) * (p + 2 * e.m)) / s.c)
+      / (1 - (p + e.m) * (p + r + e.m) * t / ((p + 2 * e.m) * (p + 2 * e.m + 1)) / (1 + e.m * (r - e.m) * t / ((p + 2 * e.m - 1) * (p + 2 * e.m)) * s.d))
+      * (1 - (p + e.m) * (p + r + e.m) * t / ((p + 2 * e.m) * (p + 2 * e.m + 1)) / (1 + e.m * (r - e.m) * t / ((p + 2 * e.m - 1) * (p + 2 * e.m)) / s.c)))::DOUBLE}).h AS h FROM bp),
+pv AS (SELECT *, exp(lgamma(p + r) - lgamma(p) - lgamma(r) + p * ln(t) + r * ln(1 - t)) * h / p AS v FROM bf)"""
+register(
+    "imp1_anova_pvalues",
+    O.with_base(
+        f"SELECT feature, {O.r6('f_score', 'f_score')}, row_number() OVER (ORDER BY round(f_score, 6) DESC NULLS LAST, feature) AS rank, "
+        f"{O.r6('CASE WHEN flip THEN 1 - v ELSE v END', 'p_value')} FROM pv",
+        SET1_CTE + ",\n" + _ANOVA_SQL + ",\n" + _PVALUE_SQL,
+    ),
+)(lambda s, sf: round_doubles(SE.anova_ranking(stage5(s, sf)["extract_set_1"], MODEL_CFG, with_p=True)))
 
 
 def _imp3(s: SparkSession, sf: str) -> DataFrame:

@@ -91,14 +91,20 @@ def test_selection_grid_small(spark):
     assert all(r.p_value is None or 0.0 <= r.p_value <= 1.0 for r in ranking)
 
 
-def test_f_pvalue_reference_points():
-    from retrospark.operators.select import betainc
-
-    # P(F(1, 100) > 3.936) ~= 0.05 ; P(F(1, 10) > 4.965) ~= 0.05 ; F = 0 -> p = 1
-    p = lambda f, a, b: betainc(b / 2.0, a / 2.0, b / (b + a * f))
-    assert abs(p(3.936, 1, 100) - 0.05) < 5e-4
-    assert abs(p(4.965, 1, 10) - 0.05) < 5e-4
-    assert p(0.0, 1, 10) == 1.0
+def test_f_pvalue_reference_points(spark):
+    from retrospark.functions.stats import beta_inc, f_pvalue
+
+    # P(F(1, 100) > 3.936) ~= 0.05 ; P(F(1, 10) > 4.965) ~= 0.05 ; F = 0 -> p = 1 ; F(2, d) has the closed form (1 + 2 f / d) ** (-d / 2)
+    rows = [(3.936, 1, 100), (4.965, 1, 10), (0.0, 1, 10), (float("inf"), 1, 10), (None, 1, 10), (1.0, 1, 0)] + [(f, 2, d) for f in (0.1, 1.0, 7.0) for d in (4, 60, 5000, 400_000)]
+    df = spark.createDataFrame(rows, "f double, a int, b int").repartition(1)
+    got = [r[0] for r in df.select(f_pvalue(F.col("f"), F.col("a"), F.col("b"))).collect()]
+    assert abs(got[0] - 0.05) < 5e-4 and abs(got[1] - 0.05) < 5e-4 and abs(got[2] - 1.0) < 1e-12 and got[3] == 0.0 and got[4] is None and got[5] is None
+    for (f, _, d), p in zip(rows[6:], got[6:], strict=True):
+        assert abs(p - (1 + 2 * f / d) ** (-d / 2)) < 1e-9  # 1 - x loses digits at 400,000 degrees of freedom
+    # I_x(a, 1) = x ** a, and the symmetry of the two sides
+    pairs = spark.createDataFrame([(a, x) for a in (0.5, 3.0, 40.0) for x in (0.01, 0.5, 0.99)], "a double, x double")
+    for a, x, left, right in pairs.select("a", "x", beta_inc(F.col("a"), F.lit(1.0), F.col("x")), beta_inc(F.lit(1.0), F.col("a"), 1 - F.col("x"))).collect():
+        assert abs(left - x**a) < 1e-11 and abs(left + right - 1) < 1e-11
 
 
 def test_optional_catalog_context_and_sinks(spark):
