@@ -4,7 +4,8 @@ Everything is one lazy plan until a table is written.  Three tables are reused b
 outputs and are materialised once: the prepared (deduplicated) records, the cleaned
 long-format records and the entity-level feature aggregate.  When ``output_root`` is given each stage's tables are
 written there (Parquet) and the next stage reads them back, so lineage is cut at stage
-boundaries on shared storage (an executor loss re-runs one stage, not the whole chain).
+boundaries on shared storage (an executor loss re-runs one stage, not the whole chain), and a ledger
+of finished stages lets a run that was cut off go on (:mod:`ledger`).
 Without an output root, lineage is cut with ``checkpoint()`` into the session's
 ``spark.checkpoint.dir``.
 """
@@ -27,6 +28,7 @@ from ..operators import model as MO
 from ..operators import select as SE
 from ..session import ensure_checkpoint_dir
 from ..sources.files import write_table
+from .ledger import RunLedger
 
 STAGES = [
     ("01", "raw_data_output"),
@@ -143,19 +145,35 @@ def leakage_guards(facts: DataFrame, cleaning: DataFrame, eda: DataFrame, featur
 
 
 def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> dict[str, dict[str, DataFrame]]:
-    """ORC1: every stage's tables; ``skip_modeling`` stops after features."""
+    """ORC1: every stage's tables; ``skip_modeling`` stops after features.
+
+    With an ``output_root`` each stage is written and committed to the run's ledger, and the next one
+    reads it back; a run that was cut off goes on after its last finished stage.
+    """
     dirs = stage_dirs(cfg.output_root) if cfg.output_root else {}
-    cohort_cfg = CohortConfig(schema=cfg.raw)
-    st1 = AU.run_raw_data_audit(raw, cfg.raw)
-    prepared = _cut(C.prepare_records(raw, cohort_cfg), dirs and f"{dirs['target_cohort_output']}/prepared_records", spark)
-    st2 = C.run_target_cohort(raw, cohort_cfg, prepared=prepared)
-    long = st2["pre_reference_records_with_windows"]
-    st3 = CL.run_data_cleaning(long, cfg.clean)
-    cleaned = _cut(st3["cleaned_pre_reference_records"], dirs and f"{dirs['data_cleaning_output']}/cleaned_pre_reference_records", spark)
-    st3["cleaned_pre_reference_records"] = cleaned
-    st4 = EX.run_eda(cleaned, st2["patient_level_cohort"], st2["temporal_completeness_flags"], st2["cohort_attrition_report"], cfg.clean, cfg.raw.entity)
-    st5 = FE.run_feature_engineering(cleaned, FeatureConfig(schema=cfg.clean), persist=True)
-    out = {"00": {"run_contract": run_contract(spark, cfg)}, "01": st1, "02": st2, "03": st3, "04": st4, "05": st5}
+    ledger = RunLedger(spark, cfg.output_root, cfg, raw.schema.json(), sorted(raw.inputFiles())) if cfg.output_root else None
+    names, cohort_cfg = dict(STAGES), CohortConfig(schema=cfg.raw)
+    out: dict[str, dict[str, DataFrame]] = {"00": {"run_contract": run_contract(spark, cfg)}}
+
+    def stage(number: str, build, written: tuple[str, ...] = (), skip: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+        out[number] = ledger.run(number, build, dirs[names[number]], written, skip) if ledger else build()
+        return out[number]
+
+    def cohort() -> dict[str, DataFrame]:
+        prepared = _cut(C.prepare_records(raw, cohort_cfg), dirs and f"{dirs['target_cohort_output']}/prepared_records", spark)
+        return C.run_target_cohort(raw, cohort_cfg, prepared=prepared)
+
+    def cleaning() -> dict[str, DataFrame]:
+        made = CL.run_data_cleaning(st2["pre_reference_records_with_windows"], cfg.clean)
+        path = dirs and f"{dirs['data_cleaning_output']}/cleaned_pre_reference_records"
+        return {**made, "cleaned_pre_reference_records": _cut(made["cleaned_pre_reference_records"], path, spark)}
+
+    st1 = stage("01", lambda: AU.run_raw_data_audit(raw, cfg.raw))
+    st2 = stage("02", cohort, skip=("prepared",))
+    st3 = stage("03", cleaning, written=("cleaned_pre_reference_records",))
+    cleaned = st3["cleaned_pre_reference_records"]
+    st4 = stage("04", lambda: EX.run_eda(cleaned, st2["patient_level_cohort"], st2["temporal_completeness_flags"], st2["cohort_attrition_report"], cfg.clean, cfg.raw.entity))
+    st5 = stage("05", lambda: FE.run_feature_engineering(cleaned, FeatureConfig(schema=cfg.clean), persist=True), skip=("entity_aggregate",))
     checks = {
         "01": st1["raw_acceptance_checks"],
         "02": st2["target_cohort_acceptance_checks"],
@@ -166,25 +184,24 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: PipelineConfig = Pipe
     metrics = mcnemar = None
     if not cfg.skip_modeling:
         tables = {k: st5[k] for k in ("single_shot", "extract_set_1", "extract_set_2", "extract_set_3")}
-        st6 = MO.run_modeling(tables, cfg.model)
-        st6["all_model_predictions"] = _cut(st6["all_model_predictions"], dirs and f"{dirs['model_output']}/all_model_predictions", spark)
-        out["06"] = st6
+
+        def models() -> dict[str, DataFrame]:
+            made = MO.run_modeling(tables, cfg.model)
+            path = dirs and f"{dirs['model_output']}/all_model_predictions"
+            return {**made, "all_model_predictions": _cut(made["all_model_predictions"], path, spark)}
+
+        st6 = stage("06", models, written=("all_model_predictions",))
         checks["06"] = st6["modeling_acceptance_checks"]
         if cfg.importance:
-            out["07"] = SE.run_feature_importance({k: v for k, v in tables.items() if k != "single_shot"}, cfg.model, cfg.anova_k, cfg.pca_n)
-        out["08"] = EV.run_validation(st6["all_model_predictions"], st2["cohort_attrition_report"], st4["leakage_audit"], out.get("07", {}).get("performance_grid"), cfg.eval)
-        metrics, mcnemar = out["08"]["validation_metrics"], out["08"]["mcnemar_test_report"]
+            stage("07", lambda: SE.run_feature_importance({k: v for k, v in tables.items() if k != "single_shot"}, cfg.model, cfg.anova_k, cfg.pca_n))
+        grid = out.get("07", {}).get("performance_grid")
+        st8 = stage("08", lambda: EV.run_validation(st6["all_model_predictions"], st2["cohort_attrition_report"], st4["leakage_audit"], grid, cfg.eval))
+        metrics, mcnemar = st8["validation_metrics"], st8["mcnemar_test_report"]
     guards = leakage_guards(st2["target_cohort_summary"], st3["leakage_audit_report"], st4["leakage_audit"], st5["generation_log"])
     out["00"]["pipeline_acceptance"] = pipeline_acceptance(
         checks, st2["target_cohort_summary"], st2["cohort_attrition_report"], st5["single_shot"], guards, metrics, mcnemar
     )
-    if cfg.output_root:
-        names = dict(STAGES)
-        for stage, tables in out.items():
-            if stage == "00":
-                continue
-            for name, df in tables.items():
-                if name in ("cleaned_pre_reference_records", "entity_aggregate", "prepared", "all_model_predictions"):
-                    continue
-                write_table(df, f"{dirs[names[stage]]}/{name}")
+    if ledger:
+        rows = [(n, n in ledger.reused) for n in out if n != "00"]
+        out["00"]["run_ledger"] = spark.createDataFrame(rows, "stage string, taken_from_an_earlier_run boolean")
     return out
