@@ -1305,20 +1305,29 @@ register("cln15_unified_cleaning_log", None)(lambda s, sf: round_doubles(CL.unif
 register("eda15_eda_acceptance", None)(lambda s, sf: EX.eda_acceptance(
     eda_stage(s, sf)["class_imbalance"], eda_stage(s, sf)["temporal_coverage"], eda_stage(s, sf)["missingness_by_window"],
     eda_stage(s, sf)["leakage_audit"], eda_stage(s, sf)["temporal_complete_case_summary"], eda_stage(s, sf)["sensitivity_recommendation"]))
+# stage 07 of the registered run: ANOVA k and PCA n; one candidate of each kind a feature set
+RUN_GRID = ((5,), (2,))
+RUN_CANDIDATES = 3
 register(
     "val7_leakage_evidence",
     O.with_base("SELECT 'eda_no_post_reference_records' AS \"check\", count(*) FILTER (WHERE visit_date > reference_date) = 0 AS passed, "
                 "'failed_record_count=' || CAST(count(*) FILTER (WHERE visit_date > reference_date) AS VARCHAR) AS detail FROM cleaned "
-                "UNION ALL SELECT 'feature_selection_and_pca_fold_local_fit', false, 'feature importance outputs not found'"),
-)(lambda s, sf: EV.leakage_evidence(eda_stage(s, sf)["leakage_audit"], None))
+                f"UNION ALL SELECT 'feature_selection_and_pca_fold_local_fit', true, 'candidates={3 * RUN_CANDIDATES}'"),
+)(lambda s, sf: _full_run(s, sf)["08"]["leakage_audit_report"])
 register("val8_attrition_view", ORACLES["coh10_attrition_report"])(lambda s, sf: EV.attrition_view(stage2(s, sf)["cohort_attrition_report"]))
 
 
-def _orc3(s: SparkSession, sf: str) -> DataFrame:
+def _full_run(s: SparkSession, sf: str) -> dict[str, dict[str, DataFrame]]:
+    """The end-to-end run with models, a small selection grid and validation."""
     from ..plans.pipeline import PipelineConfig, run_pipeline
     from ..sources.visits import FIXTURE_RAW
 
-    return run_pipeline(s, fixture_visits(s, sf), PipelineConfig(raw=FIXTURE_RAW, clean=FIXTURE_CLEAN))["00"]["pipeline_acceptance"]
+    cfg = PipelineConfig(raw=FIXTURE_RAW, clean=FIXTURE_CLEAN, skip_modeling=False, anova_k=RUN_GRID[0], pca_n=RUN_GRID[1])
+    return _memo("full_run", s, sf, lambda: run_pipeline(s, fixture_visits(s, sf), cfg))
+
+
+def _orc3(s: SparkSession, sf: str) -> DataFrame:
+    return _full_run(s, sf)["00"]["pipeline_acceptance"]
 
 
 register("orc3_pipeline_acceptance", None)(_orc3)
