@@ -913,27 +913,28 @@ register(
 )(lambda s, sf: round_doubles(EV.baseline_vs_temporal(eval_metrics(s, sf))))
 
 _ERFC = "(t * exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))))"
-register(
-    "val6_mcnemar",
-    O.with_base(
+def _mcnemar_sql(challenger: str) -> str:
+    return O.with_base(
         f"""SELECT CASE WHEN n = 0 OR b + c = 0 THEN 'skipped' ELSE 'completed' END AS status,
   CASE WHEN n = 0 THEN 'no_overlap_patients_between_models' WHEN b + c = 0 THEN 'no_disagreement' ELSE '' END AS reason,
   n AS overlap_patients, b AS b_baseline_correct_challenger_wrong, c AS c_baseline_wrong_challenger_correct,
   {O.r6('CASE WHEN n = 0 THEN NULL WHEN b + c = 0 THEN 0.0 ELSE chi END')} AS chi_square,
   {O.r6('CASE WHEN n = 0 THEN NULL WHEN b + c = 0 THEN 1.0 ELSE p END')} AS p_value,
-  'single_shot' AS baseline_model, 'extract_set_1' AS challenger_model
+  'single_shot' AS baseline_model, {challenger} AS challenger_model
 FROM (SELECT *, {_ERFC} AS p FROM (SELECT *, 1.0 / (1.0 + 0.5 * z) AS t FROM (SELECT *, sqrt(greatest(chi, 0.0) / 2.0) AS z FROM (
   SELECT n, b, c, CASE WHEN b + c > 0 THEN power(abs(b - c) - 1.0, 2) / (b + c) END AS chi FROM (
     SELECT count(*) AS n, count(*) FILTER (WHERE x.y_pred = x.y_true AND y.y_pred <> y.y_true) AS b,
            count(*) FILTER (WHERE x.y_pred <> x.y_true AND y.y_pred = y.y_true) AS c
     FROM p2 x JOIN p2 y ON x.patient_id = y.patient_id AND x.y_true = y.y_true
-    WHERE x.model_name = 'single_shot' AND y.model_name = 'extract_set_1')))))""",
+    WHERE x.model_name = 'single_shot' AND y.model_name = {challenger})))))""",
         PRED_CTE,
-    ),
-)(lambda s, sf: round_doubles(EV.mcnemar(fixture_predictions(s, sf), "single_shot", "extract_set_1")))
+    )
+
+
+register("val6_mcnemar", _mcnemar_sql("'extract_set_1'"))(lambda s, sf: round_doubles(EV.mcnemar(fixture_predictions(s, sf), "single_shot", "extract_set_1")))
 register(
     "val6_mcnemar_vs_best",
-    None,
+    _mcnemar_sql("(SELECT model_name FROM metrics WHERE model_name <> 'single_shot' ORDER BY g_mean DESC NULLS LAST, model_name LIMIT 1)"),
 )(lambda s, sf: round_doubles(EV.mcnemar_vs_best(fixture_predictions(s, sf), eval_metrics(s, sf))))
 
 # ---------------------------------------------------------------- stage 06/07 on the feature tables
@@ -1300,9 +1301,47 @@ def _cln14(s: SparkSession, sf: str) -> DataFrame:
                                   d["range_check_summary"], d["range_change_log"], d["diagnosis_normalization_report"], d["leakage_audit_report"])
 
 
-register("cln14_cleaning_acceptance", None)(_cln14)
-register("cln15_unified_cleaning_log", None)(lambda s, sf: round_doubles(CL.unified_cleaning_log(stage3(s, sf)["range_change_log"], stage3(s, sf)["duplicate_report"])))
-register("eda15_eda_acceptance", None)(lambda s, sf: EX.eda_acceptance(
+
+def _checks_sql(sources: dict[str, str], rows: list[tuple[str, str, str]]) -> str:
+    """Acceptance checks over the SQL of other queries: (check, passed, detail) expressions, in order."""
+    ctes = ", ".join(f"{name} AS ({ORACLES[query]})" for name, query in sources.items())
+    each = [f"SELECT CAST({i} AS INTEGER) AS check_order, '{c}' AS \"check\", coalesce({ok}, false) AS passed, {detail} AS detail" for i, (c, ok, detail) in enumerate(rows, start=1)]
+    return f"WITH {ctes}\n" + "\nUNION ALL ".join(each)
+
+
+_LEAK_OK = "(SELECT coalesce(bool_and(passed), false) FROM leak)"
+register(
+    "cln14_cleaning_acceptance",
+    _checks_sql(
+        {"req": "cln11_required_columns", "leak": "cln13_leakage_audit", "bin": "cln12_binary_validation", "rng": "cln8_range_check_summary", "log": "cln8_range_change_log", "codes": "cln5_code_normalization_report"},
+        [
+            ("required_columns_kept", "(SELECT coalesce(bool_and(status = 'available'), true) FROM req)", "(SELECT coalesce(string_agg(required_column, ', ' ORDER BY required_column) FILTER (WHERE status = 'missing'), '') FROM req)"),
+            ("no_post_reference_records", _LEAK_OK, "(SELECT string_agg(detail, '; ' ORDER BY detail) FROM leak)"),
+            ("binary_columns_only_0_1_missing", "(SELECT coalesce(bool_and(valid_binary_or_missing), true) FROM bin)", "'columns_checked=' || (SELECT count(*) FROM bin)"),
+            ("implausible_values_logged", "(SELECT coalesce(sum(invalid_values_set_missing), 0) FROM rng) = 0 OR (SELECT count(*) FROM log) > 0", "'range_invalid_values=' || (SELECT coalesce(sum(invalid_values_set_missing), 0)::BIGINT FROM rng)"),
+            ("diagnosis_normalization_preserves_stroke_signal", "(SELECT coalesce(bool_and(stroke_icd_signal_preserved), false) FROM codes)", "'ICD-10 I60-I68 hits before/after normalization match'"),
+            ("cleaning_does_not_create_new_target_leakage", _LEAK_OK, "'stroke label retained; records remain pre-reference'"),
+        ],
+    ),
+)(_cln14)
+register(
+    "cln15_unified_cleaning_log",
+    f"SELECT * FROM ({ORACLES['cln8_range_change_log']}) UNION ALL BY NAME SELECT *, 'drop_rows' AS action, NULL AS \"column\" FROM ({ORACLES['cln6_duplicate_report']})",
+)(lambda s, sf: round_doubles(CL.unified_cleaning_log(stage3(s, sf)["range_change_log"], stage3(s, sf)["duplicate_report"])))
+register(
+    "eda15_eda_acceptance",
+    _checks_sql(
+        {"imb": "eda1_class_imbalance", "cov": "eda8_temporal_coverage", "miss": "eda7_missingness_by_window", "leak": "eda12_leakage_audit", "cases": "eda10_complete_case_summary", "rec": "eda14_sensitivity_recommendation"},
+        [
+            ("class_imbalance_reported", "(SELECT count(*) FROM imb) > 0", "'label_groups=' || (SELECT count(*) FROM imb)"),
+            ("temporal_complete_patient_count_reported", "(SELECT count(*) FROM cov WHERE metric = 'temporal_complete_patients') > 0", "'temporal_complete_patients=' || (SELECT max(patient_count)::BIGINT FROM cov WHERE metric = 'temporal_complete_patients')"),
+            ("missingness_by_first_mid_last_reported", "(SELECT count(DISTINCT \"window\") FROM miss WHERE \"window\" IN ('FIRST', 'MID', 'LAST')) = 3", "'windows=' || (SELECT count(DISTINCT \"window\") FROM miss WHERE \"window\" IN ('FIRST', 'MID', 'LAST'))"),
+            ("no_post_reference_records_confirmed", "(SELECT bool_and(passed) FROM leak)", "'failed_record_count=' || (SELECT sum(failed_record_count)::BIGINT FROM leak)"),
+            ("strict_completeness_stroke_case_count_identified", "(SELECT count(stroke_patients) FROM cases WHERE \"group\" = 'temporal_complete') > 0", "'temporal_complete_stroke_patients=' || (SELECT max(stroke_patients)::BIGINT FROM cases WHERE \"group\" = 'temporal_complete')"),
+            ("sensitivity_analysis_recommended_if_needed", "(SELECT bool_or(recommend_sensitivity_analysis) FROM rec) = ((SELECT max(stroke_patients) FROM cases WHERE \"group\" = 'temporal_complete') < 2)", "'recommend=' || (SELECT bool_or(recommend_sensitivity_analysis) FROM rec)"),
+        ],
+    ),
+)(lambda s, sf: EX.eda_acceptance(
     eda_stage(s, sf)["class_imbalance"], eda_stage(s, sf)["temporal_coverage"], eda_stage(s, sf)["missingness_by_window"],
     eda_stage(s, sf)["leakage_audit"], eda_stage(s, sf)["temporal_complete_case_summary"], eda_stage(s, sf)["sensitivity_recommendation"]))
 # stage 07 of the registered run: ANOVA k and PCA n; one candidate of each kind a feature set
