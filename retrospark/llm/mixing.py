@@ -47,13 +47,14 @@ def _share(col: Column, targets: Mapping[str, float]) -> Column:
     return other if known is None else F.coalesce(F.try_element_at(known, F.coalesce(col, F.lit(OTHER))), other)
 
 
-def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int, keep: float = 1.0, cut_every: int = 5) -> DataFrame:
+def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int, keep: float = 1.0, cut_every: int = 5, least: float = 0.0) -> DataFrame:
     """Rake the cells (source, lang, topic, tokens) to the targets: adds ``weight`` (tokens to keep) and ``keep``.
 
     ``targets`` gives a share per category of each dimension; categories without tokens are left
     out and the others' shares are scaled to sum to 1.  A share of 0 empties its cells.  No cell
-    can keep more than it has: ``keep`` is lowered to what the scarcest category allows, and each
-    scaling step is cut at the cell's tokens; later steps hand what was cut to the other cells.
+    can keep more than it has: ``keep`` is lowered to what the scarcest category allows, but not
+    below ``least`` (a scarcer category then keeps all it has and stays below its target), and
+    each scaling step is cut at the cell's tokens; later steps hand what was cut to the other cells.
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     out, goals = cells, []
@@ -63,6 +64,7 @@ def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], roun
         goals.append((dim, total / facts["shares"] if facts["shares"] else 0.0))
         if facts["shares"]:
             keep = min(keep, facts["scarce"] * facts["shares"] / total)
+    keep = max(keep, least)
     for dim, scale in goals:
         out = out.withColumn(f"{dim}_goal", _share(F.col(dim), targets[dim]) * F.lit(scale * keep))
     out = out.withColumn("weight", F.col("tokens") * F.lit(keep))
@@ -89,11 +91,12 @@ def mix(
     seed: int = 0,
     topic: Column | None = None,
     tokens: Column | None = None,
+    least: float = 0.0,
 ) -> DataFrame:
     """Every input row with tokens, topic, factor (raked / own tokens), probability and ``kept``.
 
     ``keep`` is the share of all tokens that is expected to stay; it is lowered to the share that the
-    scarcest category allows (column ``keep_share``).  :func:`margins` compares the shares reached
+    scarcest category allows, though not below ``least`` (column ``keep_share``).  :func:`margins` compares the shares reached
     with the targets.  Input columns named tokens, topic, factor, probability, keep_share or kept
     are replaced; any other name may occur.
 
@@ -111,7 +114,7 @@ def mix(
     rows = docs.withColumn(name("tokens"), tok).withColumn(name("topic"), category(top, targets["topic"]))
     rows = rows.withColumn(name("source"), category(F.col("source"), targets["source"])).withColumn(name("lang"), category(F.col("lang"), targets["lang"]))
     cells = rows.groupBy(*[F.col(name(d)).alias(d) for d in DIMS]).agg(F.sum(name("tokens")).alias("tokens"))
-    fitted = materialize(fit_cells(materialize(cells), targets, rounds, float(keep)))
+    fitted = materialize(fit_cells(materialize(cells), targets, rounds, float(keep), least=float(least)))
     chance = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
     prob = fitted.select(
         *[F.col(d).alias(name(d)) for d in DIMS],

@@ -39,6 +39,7 @@ def folders(spark, tmp_path_factory):
         "embeddings": spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>"),
         "pages": spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("title", F.lit("clash")),
     }
+    tables["conversations"] = spark.createDataFrame([(1, None, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 0, "user", "b"), (100, 1, "user", "")], "conv_id long, turn long, role string, text string").withColumn("id", F.lit("clash"))
     full, empty = (str(tmp_path_factory.mktemp(n)) for n in ("full", "empty"))
     for name, df in tables.items():
         df.coalesce(2).write.parquet(f"{full}/{name}.parquet")
@@ -51,7 +52,7 @@ def test_empty_tables_give_no_rows(spark, folders, name):
     assert Q.QUERIES[name](spark, folders[1]).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op1_document_fingerprints", "op3_language_id", "op6_sentencepiece", "op7_minhash_neardup", "op8_mixing", "op9_suffix_array_dedup", "op10_lm_scoring"])
+@pytest.mark.parametrize("name", ["op1_document_fingerprints", "op3_language_id", "op6_sentencepiece", "op7_minhash_neardup", "op8_mixing", "op9_suffix_array_dedup", "op10_lm_scoring", "op12_line_rules", "op13_cross_tokenizer_alignment"])
 def test_one_row_for_every_document(spark, folders, name):
     rows = Q.QUERIES[name](spark, folders[0]).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == sorted((d[0] is None, d[0] or 0) for d in DOCS)
@@ -67,6 +68,10 @@ def test_one_row_for_every_document(spark, folders, name):
         assert all(r["kept"] for r in rows) and got[1]["n_shingles"] == 0 and got[None]["component_id"] is None
     if name.startswith("op9_"):
         assert all(r["n_removed"] == 0 for r in rows) and got[7]["n_bytes"] == 360000
+    if name.startswith("op12_"):
+        assert got[1]["n_words"] == 0 and got[1]["base_failed"] and not got[1]["kept"] and got[7]["n_words"] == 60000
+    if name.startswith("op13_"):
+        assert (got[1]["n_a"], got[1]["groups_sha256"]) == (0, "") and got[2]["n_links"] == 0 and got[4]["n_groups"] > 0 and got[8]["n_b"] > 30
     if name.startswith("op10_"):
         assert got[1]["n_tokens"] == 1 and got[1]["base_score"] == got[2]["base_score"]
 
@@ -92,3 +97,8 @@ def test_vectors_that_take_no_part(spark, folders):
     rows = [tuple(r) for r in Q.op2_adaptive_scan_search(spark, folders[0]).orderBy("query_id", "rank").collect()]
     far = 8.0**0.5
     assert rows == [(0, 1, 3, 0.0), (0, 2, 3, 0.0), (0, 3, 200, far), (200, 1, 0, far), (200, 2, 3, far), (200, 3, 3, far)]
+
+
+def test_trie_of_edge_cases(spark, folders):
+    rows = {(r["depth"], r["conv_id"]): r for r in Q.op11_conversation_trie(spark, folders[0]).collect()}
+    assert rows[0, 1]["n_convs"] == 2 and rows[0, 1]["parent_conv_id"] is None and all(r["conv_id"] in (1, 100) for r in rows.values())
