@@ -25,8 +25,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LANG_SCORE = 0.5
 #: Bytes of a passage that repeats (well over chance repeats of short phrases, under 50 words).
 PASSAGE = 200
-#: Expected share of the tokens that the mix keeps.
-KEEP = 0.9
+#: Share of the tokens that the mix aims to keep, and the least it goes down to where a category is scarce
+#: (such a category then stays whole, below its target).
+KEEP, LEAST_KEEP = 0.9, 0.75
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents by their raked probabilities."""
-    return mixing.mix(docs.select(*COLUMNS), MIX_TARGETS, keep=KEEP, rounds=MIX_ROUNDS).where("kept").select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS), MIX_TARGETS, keep=KEEP, rounds=MIX_ROUNDS, least=LEAST_KEEP).where("kept").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
