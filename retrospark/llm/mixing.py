@@ -47,22 +47,24 @@ def _share(col: Column, targets: Mapping[str, float]) -> Column:
     return other if known is None else F.coalesce(F.try_element_at(known, F.coalesce(col, F.lit(OTHER))), other)
 
 
-def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int, keep: float = 1.0, cut_every: int = 5, least: float = 0.0) -> DataFrame:
+def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int, keep: float | None = None, cut_every: int = 5, least: float = 0.0) -> DataFrame:
     """Rake the cells (source, lang, topic, tokens) to the targets: adds ``weight`` (tokens to keep) and ``keep``.
 
     ``targets`` gives a share per category of each dimension; categories without tokens are left
-    out and the others' shares are scaled to sum to 1.  A share of 0 empties its cells.  No cell
-    can keep more than it has: ``keep`` is lowered to what the scarcest category allows, but not
+    out and the others' shares are scaled to sum to 1.  A share of 0 empties its cells.  Without
+    ``keep`` the weights sum to all tokens and a cell's may exceed what it has.  With it no cell
+    is asked for more than it has: ``keep`` is lowered to what the scarcest category allows, but not
     below ``least`` (a scarcer category then keeps all it has and stays below its target), and
     each scaling step is cut at the cell's tokens; later steps hand what was cut to the other cells.
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
-    out, goals = cells, []
+    out, goals, bounded = cells, [], keep is not None
+    keep = keep if bounded else 1.0
     for dim in DIMS:
         held = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).where("t > 0").select("t", _share(F.col(dim), targets[dim]).alias("s"))
         facts = held.agg(F.sum("s").alias("shares"), F.min(F.when(F.col("s") > 0, F.col("t") / F.col("s"))).alias("scarce")).first()  # one row
         goals.append((dim, total / facts["shares"] if facts["shares"] else 0.0))
-        if facts["shares"]:
+        if bounded and facts["shares"]:
             keep = min(keep, facts["scarce"] * facts["shares"] / total)
     keep = max(keep, least)
     for dim, scale in goals:
@@ -72,7 +74,7 @@ def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], roun
         for dim in DIMS:
             margin = F.sum("weight").over(Window.partitionBy(dim))
             scaled = F.when(margin > 0, F.col("weight") * F.col(f"{dim}_goal") / margin).otherwise(F.lit(0.0))
-            out = out.withColumn("weight", F.least(F.col("tokens").cast("double"), scaled))
+            out = out.withColumn("weight", F.least(F.col("tokens").cast("double"), scaled) if bounded else scaled)
         if (i + 1) % cut_every == 0:
             out = materialize(out)
     return out.drop(*[f"{d}_goal" for d in DIMS]).withColumn("keep", F.lit(float(keep)))
