@@ -3,8 +3,9 @@
 The text (A-Z lower-cased, UTF-8, closed by the byte 0xFF) is predicted bit by bit.  For each of
 the ``ORDERS`` (1 to 5 preceding bytes) the counts say how often the next bit was 0 and 1 in the
 context; the stretched probabilities of the orders are summed with weights that a gate
-selects (longest context seen, its confidence, bit position), and an adaptive probability map
-refines the sum.  A text's cost in bits is the sum over its bits.
+selects (longest context seen, its confidence, place in the word, bit position), and an adaptive
+probability map refines the sum.  Whole passages are predicted by a sixth, hashed context of
+``MEMORY`` bytes (below).  A text's cost in bits is the sum over its bits.
 
 A bit's cost depends on its window only (the byte and the five before it), so the model is a
 distributed table of distinct windows that grows with the input; its counts are exact:
@@ -19,6 +20,15 @@ distributed table of distinct windows that grows with the input; its counts are
   give one Newton step of each gate's weights, ``ROUNDS`` times.  The map is counted in a last pass.
 * *Answer.*  Each task sends the costs of its windows to the shares that asked.
 
+Long contexts.  Content-defined marks (one byte in ``EVERY``) cut a text into passages.  The context of
+a passage is the hash of the ``MEMORY`` bytes before it; C is how often training texts hold the context,
+c how often it goes on with this very passage.  The probability of a passage is mixed from the bit
+model's and the remembered share c / C; the weight of the memory (by the size of C) is the share of
+the training passages, each without itself, that their contexts remember.  The mixture stays a
+probability: both parts sum to one over all passages.  Passages are dealt by their context like the
+windows, so this memory is a distributed table that grows with the text.  A training text's own
+occurrence doesn't count in its own memory, so texts that occur once stay apart from those that repeat.
+
 Scoring uses the frozen model, so a text's score depends on the training texts only.
 
 Word counts for the base score are a distributed table.  The commonest words (at most
@@ -50,9 +60,10 @@ from retrospark.llm.common import doc_remainder, materialize, mix64, release, sh
 ship(__name__)
 
 ORDERS = (1, 2, 3, 4, 5)
-#: log2 of the slots of each order's table.
-BITS = (16, 19, 20, 21, 21)
-OFFSETS = tuple(int(sum(1 << b for b in BITS[:i])) for i in range(len(BITS) + 1))
+#: Places in a word that a gate tells apart: bytes since the last white space, at most the longest order.
+PLACES = max(ORDERS) + 1
+#: A passage starts where the hash of the ``MARK`` bytes before it is a multiple of ``EVERY``; its context's bytes.
+MARK, EVERY, MEMORY = 8, 32, 24
 BLOCK = 1 << 19
 #: Rows that are taken from a batch at once.
 ROWS = 1000
@@ -95,32 +106,41 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             first, size = i + 1, 0
 
 
-def _slots(window: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the order's context, and the target byte, of order-``ORDERS[k]`` windows."""
-    o = np.uint64(8 * ORDERS[k])
-    context = window & ((np.uint64(1) << o) - np.uint64(1))
-    return mix64(context + np.uint64((k + 1) << 56)), (window >> o).astype(np.int64)
+def _passages(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First and last (exclusive) position, hashed context and hash of the passages of a group's windows.
+
+    A passage ends at the next mark or the end of its text; the bytes before a text's first mark are in none.
+    """
+    byte, one = code >> np.uint64(40), np.uint64(1)
+    packed = np.zeros(len(code) + 1, np.uint64)  # the MARK bytes before each position
+    for j in range(1, MARK + 1):
+        packed[j : len(code)] |= byte[: max(len(code) - j, 0)] << np.uint64(8 * (j - 1))
+    sizes = np.diff(np.append(starts, len(code)))
+    since = np.arange(len(code)) - np.repeat(starts, sizes)
+    first = np.flatnonzero((mix64(packed[:-1]) % np.uint64(EVERY) == 0) & (since >= MEMORY))
+    ends = np.append(starts[1:], len(code))[np.searchsorted(starts, first, "right") - 1]
+    last = np.minimum(np.append(first[1:], len(code)), ends)
+    key = np.zeros(len(first), np.uint64)
+    for j in range(0, MEMORY, MARK):
+        key = mix64(key + packed[first - j] + one)
+    # polynomial hash modulo 2^64 of scrambled bytes, by differences of running sums
+    power = np.cumprod(np.concatenate([[one], np.full(len(code), _BASE)]))
+    running = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[byte.astype(np.int64)] * power[:-1])])
+    back = np.cumprod(np.concatenate([[one], np.full(len(code), _INVERSE)]))
+    return first, last, key, mix64((running[last] - running[first]) * back[first] + (last - first).astype(np.uint64))
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BYTES = mix64(np.arange(1, 257).astype(np.uint64))
 
 
-def _slot(hashed: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
-    h = (hashed + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95)
-    return (h >> np.uint64(64 - BITS[k])).astype(np.int64) + OFFSETS[k]
+def _level(n: np.ndarray) -> np.ndarray:
+    """Class of a context's occurrences: 0, 1, 2-3, 4-15, more."""
+    return (n > 0).astype(np.int64) + (n > 1) + (n > 3) + (n > 15)
 
 
-def _count_into(table: np.ndarray, code: np.ndarray) -> None:
-    """Add the bits of all windows to ``table`` (slots x 2)."""
-    window, n = np.unique(code, return_counts=True)
-    for k in range(len(ORDERS) - 1, -1, -1):
-        if k < len(ORDERS) - 1:  # windows stay sorted when their oldest byte is dropped
-            window = window >> np.uint64(8 * (ORDERS[k + 1] - ORDERS[k]))
-            edge = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-            window, n = window[edge], np.add.reduceat(n, edge)
-        hashed, byte = _slots(window, k)
-        node = np.ones(len(window), np.int64)
-        for i in range(7, -1, -1):
-            bit = (byte >> i) & 1
-            np.add.at(table, (_slot(hashed, node, k), bit), n)
-            node = node * 2 + bit
+LEVELS = 5
 
 
 def _lower(text: str | None) -> bytes:
@@ -139,15 +159,14 @@ class Mixer:
     """Gated weights and the adaptive probability map."""
 
     def __init__(self) -> None:
-        gates = 8 * (len(ORDERS) + 1) * 4
+        gates = 8 * (len(ORDERS) + 1) * PLACES * 4
         self.weights = np.full((gates, len(ORDERS)), 0.3)
-        self.energy = np.full(self.weights.shape, 1e-2)
         centres = 1 / (1 + np.exp(-(np.arange(APM_STEPS) - APM_STEPS / 2 + 0.5) / 2))
         self.apm = np.stack([np.tile(1 - centres, (256, 1)), np.tile(centres, (256, 1))], axis=-1) * 4.0
 
     def predict(self, x: np.ndarray, seen: np.ndarray, conf: np.ndarray, bit_at: int, node: np.ndarray) -> tuple[np.ndarray, ...]:
         """Probability of a 1 (and gate, mixed probability, map cell) from stretched inputs x."""
-        gate = (bit_at * (len(ORDERS) + 1) + seen) * 4 + conf
+        gate = (bit_at * (len(ORDERS) + 1) * PLACES + seen) * 4 + conf
         dot = np.clip((self.weights[gate] * x).sum(axis=1), -12, 12)
         mixed = 1 / (1 + np.exp(-dot))
         cell = np.clip((dot * 2 + APM_STEPS / 2).astype(np.int64), 0, APM_STEPS - 1)
@@ -155,72 +174,6 @@ class Mixer:
         refined = pair[:, 1] / pair.sum(axis=1)
         return np.clip((mixed + refined) / 2, 1e-5, 1 - 1e-5), gate, mixed, cell
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, mixed: np.ndarray, cell: np.ndarray, node: np.ndarray, bit: np.ndarray, rate: float = 0.05) -> None:
-        grad = (bit - mixed)[:, None] * x
-        total, sq = np.zeros(self.weights.shape), np.zeros(self.weights.shape)
-        np.add.at(total, gate, grad)
-        np.add.at(sq, gate, grad * grad)
-        self.energy += sq
-        self.weights += rate * total / np.sqrt(self.energy)
-        np.add.at(self.apm, (node, cell, bit), 1.0)
-
-
-def fit_mixer(texts: list[bytes], counts: np.ndarray, block: int = 1024) -> Mixer:
-    """Online over the windows of ``texts`` in order; a window's own occurrence is taken off the counts.
-
-    With ``_count_into`` and :class:`Scorer` the form for one process and small texts; queries use :func:`train`.
-    """
-    mixer = Mixer()
-    for _, code, _ in _groups(texts):
-        for b in range(0, len(code), block):
-            part = code[b : b + block]
-            hashed, byte = zip(*(_slots(part >> np.uint64(8 * (5 - o)), k) for k, o in enumerate(ORDERS)), strict=True)
-            node = np.ones(len(part), np.int64)
-            for i in range(7, -1, -1):
-                bit = (byte[0] >> i) & 1
-                x, seen, conf = np.zeros((len(part), len(ORDERS))), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-                for k in range(len(ORDERS)):
-                    n = counts[_slot(hashed[k], node, k)].astype(np.float64)
-                    n[np.arange(len(n)), bit] = np.maximum(n[np.arange(len(n)), bit] - 1, 0)
-                    x[:, k] = _stretch(n[:, 0], n[:, 1])
-                    c = _confidence(n.sum(axis=1))
-                    seen, conf = np.where(c > 0, k + 1, seen), np.where(c > 0, c, conf)
-                _, gate, mixed, cell = mixer.predict(x, seen, conf, i, node)
-                mixer.learn(x, gate, mixed, cell, node, bit)
-                node = node * 2 + bit
-    return mixer
-
-
-class Scorer:
-    """Frozen model over one process' hashed tables (see :func:`fit_mixer`)."""
-
-    def __init__(self, stretched: np.ndarray, confidence: np.ndarray, mixer: dict):
-        self.stretched, self.confidence = stretched, confidence
-        self.mixer = Mixer()
-        vars(self.mixer).update(mixer)
-
-    @staticmethod
-    def state(counts: np.ndarray, mixer: Mixer) -> dict:
-        """What a ``Scorer`` is made of, in plain arrays."""
-        n0, n1 = counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32)
-        return {"stretched": _stretch(n0, n1).astype(np.float16), "confidence": _confidence(n0 + n1).astype(np.uint8), "mixer": vars(mixer)}
-
-    def _cost(self, code: np.ndarray) -> np.ndarray:
-        hashed, byte = zip(*(_slots(code >> np.uint64(8 * (5 - o)), k) for k, o in enumerate(ORDERS)), strict=True)
-        node, cost = np.ones(len(code), np.int64), np.zeros(len(code))
-        for i in range(7, -1, -1):
-            bit = (byte[0] >> i) & 1
-            x, seen, conf = np.zeros((len(code), len(ORDERS))), np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-            for k in range(len(ORDERS)):
-                at = _slot(hashed[k], node, k)
-                x[:, k] = self.stretched[at]
-                c = self.confidence[at].astype(np.int64)
-                seen, conf = np.where(c > 0, k + 1, seen), np.where(c > 0, c, conf)
-            p = self.mixer.predict(x, seen, conf, i, node)[0]
-            cost -= np.log2(np.where(bit == 1, p, 1 - p))
-            node = node * 2 + bit
-        return cost
-
 
 # ---------------------------------------------------------------- exact counts of distinct windows
 
@@ -250,13 +203,23 @@ def _tables(low: list, code: np.ndarray, n: np.ndarray) -> list:
     return [*low, *(_table(_keys(code, o), n) for o in ORDERS[2:])]
 
 
+def _place(code: np.ndarray) -> np.ndarray:
+    """Bytes between the last white space (or the text's start) and the target."""
+    place, inside = np.zeros(len(code), np.int64), np.ones(len(code), bool)
+    for j in range(1, PLACES):
+        byte = (code >> np.uint64(40 - 8 * j)) & np.uint64(255)
+        inside &= (byte != 0) & (byte != 32) & ((byte < 9) | (byte > 13))
+        place += inside
+    return place
+
+
 def _bits(tables: list, code: np.ndarray, without_own: bool) -> Iterator[tuple]:
-    """(bit position, node, bit, stretched inputs, longest order seen, its confidence) of every bit of the windows."""
+    """(bit position, node, bit, stretched inputs, longest order seen and place, its confidence) of every bit of the windows."""
     target = (code >> np.uint64(40)).astype(np.int64)
     keys = [_keys(code, o) & ~np.uint64(255) for o in ORDERS]
     count = lambda k, key: tables[k][1][np.searchsorted(tables[k][0], key)]
     low, high = [count(k, key) for k, key in enumerate(keys)], [count(k, key + np.uint64(256)) for k, key in enumerate(keys)]
-    node = np.ones(len(code), np.int64)
+    node, place = np.ones(len(code), np.int64), _place(code)
     for i in range(7, -1, -1):
         bit = (target >> i) & 1
         half = (((target >> (i + 1)) * 2 + 1) << i).astype(np.uint64)
@@ -270,7 +233,7 @@ def _bits(tables: list, code: np.ndarray, without_own: bool) -> Iterator[tuple]:
             c = _confidence(n0 + n1)
             seen, conf = np.where(c > 0, k + 1, seen), np.where(c > 0, c, conf)
             low[k], high[k] = np.where(bit == 1, mid, low[k]), np.where(bit == 1, high[k], mid)
-        yield i, node, bit, x, seen, conf
+        yield i, node, bit, x, seen * PLACES + place, conf
         node = node * 2 + bit
 
 
@@ -363,21 +326,41 @@ def _merged(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.diff(total)
 
 
+def _memories(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct (context, passage) in order of context, with training and other occurrences added up."""
+    key, passage, n, others = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((passage, key))
+    key, passage, n, others = key[order], passage[order], n[order], others[order]
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (passage[1:] != passage[:-1])])) if len(key) else np.zeros(0, np.int64)
+    if not len(edge):
+        return key, passage, n, others
+    return key[edge], passage[edge], np.add.reduceat(n, edge), np.add.reduceat(others, edge)
+
+
 def ask(rows: DataFrame, total: int) -> DataFrame:
-    """(task, share, windows): distinct windows of each share of ``rows`` (share, text, held_out), and their training occurrences."""
+    """(task, share, windows, passages): distinct windows and passages of each share of ``rows`` (share, text, held_out).
+
+    Each with its training occurrences, passages with those in other texts too.
+    """
     bins = max(4, total // ASK_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share, held, size = None, [], 0
+        share, held, told, size = None, [], [], 0
+
+        def dealt(task: np.ndarray, columns: tuple[np.ndarray, ...]) -> dict[int, bytes]:
+            order = np.argsort(task, kind="stable")
+            task, columns = task[order], [c[order] for c in columns]
+            edge = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]])) if len(task) else [0]
+            return {int(task[a]): _planes(*(c[a:z] for c in columns)) for a, z in zip(edge[:-1], edge[1:], strict=True)}
 
         def flush():
             code, n = _merged(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            task = (mix64((code >> np.uint64(16)) & np.uint64(0xFFFFFF)) % np.uint64(bins)).astype(np.int64)
-            order = np.argsort(task, kind="stable")
-            code, n, task = code[order], n[order], task[order]
-            edge = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
-            blobs = [_planes(code[a:z], n[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(task[edge[:-1]]), pa.array(np.full(len(blobs), share, np.int64)), pa.array(blobs, pa.binary())], ["task", "share", "windows"])
+            windows = dealt((mix64((code >> np.uint64(16)) & np.uint64(0xFFFFFF)) % np.uint64(bins)).astype(np.int64), (code, n))
+            kept = _memories(told)
+            passages = dealt((kept[0] % np.uint64(bins)).astype(np.int64), kept)
+            tasks = sorted(windows.keys() | passages.keys())
+            blobs = [pa.array([d.get(t) for t in tasks], pa.binary()) for d in (windows, passages)]
+            return pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array([share] * len(tasks), pa.int64()), *blobs], ["task", "share", "windows", "passages"])
 
         for batch in (whole.slice(b, ROWS) for whole in batches for b in range(0, whole.num_rows, ROWS)):
             shares, out = batch.column("share").to_numpy(), batch.column("held_out").to_pylist()
@@ -386,17 +369,64 @@ def ask(rows: DataFrame, total: int) -> DataFrame:
             for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if held and (shares[a] != share or size >= 2 * SHARE):
                     yield flush()
-                    held, size = [], 0
+                    held, told, size = [], [], 0
                 share = int(shares[a])
                 for trained in (True, False):
-                    for _, code, _ in _groups([t for t, o in zip(texts[a:z], out[a:z], strict=True) if o != trained]):
+                    for _, code, starts in _groups([t for t, o in zip(texts[a:z], out[a:z], strict=True) if o != trained]):
                         window, n = np.unique(code, return_counts=True)
                         held.append((window, n.astype(np.int64) if trained else np.zeros(len(n), np.int64)))
+                        _, _, key, passage = _passages(code, starts)
+                        each = np.ones(len(key), np.int64)
+                        told.append((key, passage, each * trained, each * (not trained)))
                         size += len(code)
         if held:
             yield flush()
 
-    return rows.select("share", "text", "held_out").mapInArrow(tidy(send), "task bigint, share bigint, windows binary")
+    return rows.select("share", "text", "held_out").mapInArrow(tidy(send), "task bigint, share bigint, windows binary, passages binary")
+
+
+def remember(asked: DataFrame) -> DataFrame:
+    """(share, passages): known contexts' passages with c and C, of every share that asked.
+
+    Rows without a share hold, for a class of C, how many training passages have a context that other
+    occurrences know (``seen``) and how many of these it remembers (``hits``).
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [tuple(_from_planes(bytes(b), "<u8", "<u8", "<i8", "<i8")) for b in pdf["passages"]]
+        key, passage, n, _ = _memories(parts)
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        context, total = key[edge], np.add.reduceat(n, edge)
+        level = _level(np.repeat(total, np.diff(np.append(edge, len(key)))) - 1)
+        seen, hits = np.bincount(level, n, LEVELS), np.bincount(level, n * (n > 1), LEVELS)
+        out = [(None, None, k, int(seen[k]), int(hits[k])) for k in range(1, LEVELS) if seen[k]]
+        pair = _pair(key, passage)
+        order = np.argsort(pair)
+        pair, count = pair[order], n[order]
+        for share, (k, p, _, others) in zip(pdf["share"], parts, strict=True):
+            c, every = count[np.searchsorted(pair, _pair(k, p))], total[np.searchsorted(context, k)]
+            known = (every > 1) | ((every > 0) & (others > 0))
+            if known.any():
+                wanted = _pair(k, p)[known]
+                order = np.argsort(wanted)
+                out.append((share, _planes(wanted[order], c[known][order], every[known][order]), None, None, None))
+        release()
+        return pd.DataFrame(out, columns=["share", "passages", "level", "seen", "hits"], dtype=object)
+
+    told = asked.where(F.col("passages").isNotNull()).select("task", "share", "passages")
+    return told.groupBy("task").applyInPandas(run, "share bigint, passages binary, level int, seen bigint, hits bigint")
+
+
+def _pair(key: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    return mix64(key + mix64(passage))
+
+
+def memory_weights(remembered: DataFrame) -> np.ndarray:
+    """Weight of the memory for each class of C: how often a known context remembers (a row a class at most)."""
+    weights = np.full(LEVELS, 0.5)
+    for r in remembered.where(F.col("share").isNull()).groupBy("level").agg(F.sum("seen").alias("seen"), F.sum("hits").alias("hits")).collect():
+        weights[r["level"]] = (r["hits"] + 1) / (r["seen"] + 2)
+    return weights
 
 
 def _heard(blobs) -> tuple[np.ndarray, np.ndarray]:
@@ -442,7 +472,7 @@ def train(asked: DataFrame) -> dict:
                 gram, n = _merged(code >> np.uint64(24), n)
                 yield pd.DataFrame({"gram": gram.astype(np.int64), "n": n})
 
-    trained = materialize(asked.select("task", "windows").groupBy("task").applyInPandas(own, "windows binary"))
+    trained = materialize(asked.where(F.col("windows").isNotNull()).select("task", "windows").groupBy("task").applyInPandas(own, "windows binary"))
     found = trained.mapInPandas(tidy(grams), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     low = _low_tables(found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
     shared = asked.sparkSession.sparkContext.broadcast(low)
@@ -481,22 +511,59 @@ def answer(asked: DataFrame, model: dict) -> DataFrame:
         release()
         return pd.DataFrame({"share": pdf["share"], "costs": pd.Series(blobs, dtype=object, index=pdf.index)})
 
-    return asked.groupBy("task").applyInPandas(run, "share bigint, costs binary")
+    told = asked.where(F.col("windows").isNotNull()).select("task", "share", "windows")
+    return told.groupBy("task").applyInPandas(run, "share bigint, costs binary")
 
 
-def text_bits(texts: list[bytes], blobs: list[bytes]) -> np.ndarray:
-    """Cost in bits of each text, from the answers to its share."""
-    parts = [_from_planes(b, "<u8", "<f4") for b in blobs]
+def text_bits(texts: list[bytes], trained: np.ndarray, costs: list[bytes], passages: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Cost in bits of each text (1 in ``trained``: it is a training text), from the answers to its share."""
+    parts = [_from_planes(b, "<u8", "<f4") for b in costs]
     known = np.concatenate([c for c, _ in parts])
     order = np.argsort(known)
-    known, costs = known[order], np.concatenate([c for _, c in parts])[order].astype(np.float64)
+    known, cost = known[order], np.concatenate([c for _, c in parts])[order].astype(np.float64)
+    parts = [_from_planes(b, "<u8", "<i8", "<i8") for b in passages]
+    pairs, count, every = (np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, np.int64) for j in range(3))
+    order = np.argsort(pairs)
+    pairs, count, every = pairs[order], count[order], every[order]
     out = np.zeros(len(texts))
     for first, code, starts in _groups(texts):
         window, inverse = np.unique(code, return_inverse=True)
-        out[first : first + len(starts)] += np.add.reduceat(costs[np.searchsorted(known, window)][inverse], starts)
+        each = cost[np.searchsorted(known, window)][inverse]
+        out[first : first + len(starts)] += np.add.reduceat(each, starts)
+        if len(pairs):
+            a, z, key, passage = _passages(code, starts)
+            pair = _pair(key, passage)
+            at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            text = first + np.searchsorted(starts, a, "right") - 1
+            own = trained[text]
+            c, total = count[at] - own, every[at] - own
+            use = (pairs[at] == pair) & (total > 0)
+            a, z, text, c, total = a[use], z[use], text[use], c[use], total[use]
+            running = np.concatenate([[0.0], np.cumsum(each)])
+            plain, weight = running[z] - running[a], weights[_level(total)]
+            with np.errstate(divide="ignore"):
+                mixed = -np.logaddexp2(np.log2(weight * c / total), np.log2(1 - weight) - plain)
+            np.add.at(out, text, mixed - plain)
     return out
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(share, texts): rows of a share as compressed Arrow streams, which shuffle at a fraction of the texts' size."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in (whole.slice(b, ROWS) for whole in batches for b in range(0, whole.num_rows, ROWS)):
+            shares = batch.column("share").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], shares[1:] != shares[:-1], [True]]))
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:
+                    stream.write_batch(batch.slice(a, z - a))
+                yield pa.RecordBatch.from_arrays([pa.array([shares[a]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["share", "texts"])
+
+    return rows.select("share", "rid", "doc_id", "text", "held_out").mapInArrow(tidy(pack), "share bigint, texts binary")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) of all texts; each task combines its words before the shuffle."""
 
@@ -528,7 +595,10 @@ def score_documents(docs: DataFrame, common_words: int = 200_000) -> DataFrame:
     rows = rows.withColumn("share", share.cast("bigint"))
     training = rows.where(~F.col("held_out"))
     asked = materialize(ask(rows, int(total)))
-    answers = answer(asked, train(asked))
+    remembered = materialize(remember(asked))
+    weights = memory_weights(remembered)
+    known = remembered.where(F.col("share").isNotNull()).select("share", F.lit(None).cast("binary").alias("costs"), "passages")
+    answers = answer(asked, train(asked)).withColumn("passages", F.lit(None).cast("binary")).unionByName(known)
 
     counts = materialize(word_counts(training))
     n_docs = training.count()
@@ -545,10 +615,13 @@ def score_documents(docs: DataFrame, common_words: int = 200_000) -> DataFrame:
     top = counts.where(F.col("c") >= bound).toPandas() if bound else pd.DataFrame({"word": [], "c": []})
     common = spark.sparkContext.broadcast({bytes(w): float(np.log10(c + 1)) for w, c in zip(top["word"], top["c"], strict=True)})
 
-    def run(batch: pa.Table, costs: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, told: pa.Table) -> pa.Table:
         get = common.value.get
+        batch = pa.concat_tables(pa.ipc.open_stream(b.as_buffer()).read_all() for b in packed.column("texts"))
         texts = [_lower(t) for t in batch.column("text").to_pylist()]
-        bits = text_bits(texts, costs.column("costs").to_pylist()) if texts else np.zeros(0)
+        trained = 1 - batch.column("held_out").to_numpy().astype(np.int64)
+        costs, passages = (told.column(c).drop_null().to_pylist() for c in ("costs", "passages"))
+        bits = text_bits(texts, trained, costs, passages, weights)
         n_tokens, known, sums, rare = [], [], [], []
         for t in texts:
             words = t.split()
@@ -571,7 +644,7 @@ def score_documents(docs: DataFrame, common_words: int = 200_000) -> DataFrame:
         return pa.Table.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), *made], names)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.groupBy("share").cogroup(answers.groupBy("share")).applyInArrow(run,
+    scored = _packed(rows).groupBy("share").cogroup(answers.groupBy("share")).applyInArrow(run,
         f"rid bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_common bigint, log_common double, n_bytes bigint, bits double, rare array<binary>",
     )
     scored = materialize(scored)

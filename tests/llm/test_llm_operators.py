@@ -372,16 +372,88 @@ def test_base_score_and_model(spark, documents, texts):
 
 
 def test_bit_probabilities_sum_to_one():
-    text = [b"abracadabra", b"abrabra"]
-    counts = np.zeros((bitlm.OFFSETS[-1], 2), np.int64)
-    for _, code, _ in bitlm._groups(text):
-        bitlm._count_into(counts, code)
-    scorer = bitlm.Scorer(**bitlm.Scorer.state(counts.astype(np.uint16), bitlm.fit_mixer(text, counts)))
+    code, n = np.unique(bitlm._codes([b"abracadabra", b"abrabra"])[0], return_counts=True)
+    gram, m = bitlm._merged(code >> np.uint64(24), n)
+    tables = bitlm._tables(bitlm._low_tables(gram, m), code, n)
     history = np.frombuffer(b"brac"[::-1] + b"a", np.uint8)  # any context: the 256 next bytes share all probability
     code = np.zeros(256, np.uint64)
     for j, b in enumerate([None, *history.tolist()]):
         code |= (np.arange(256, dtype=np.uint64) if b is None else np.uint64(b)) << np.uint64(8 * (5 - j))
-    assert abs((2.0 ** -scorer._cost(code)).sum() - 1) < 1e-6
+    assert abs((2.0 ** -bitlm._costs(bitlm.Mixer(), tables, code)).sum() - 1) < 1e-6
+
+
+def brute_bits(rows, model, weights):
+    """Cost of each (text, held out) by dictionaries over bytes, with a fitted model's weights and map."""
+    texts = [(b"\0" * 24 + t.encode().lower() + b"\xff", out) for t, out in rows]
+    mixer = bitlm.Mixer()
+    vars(mixer).update(model["mixer"])
+    seen, pages, contexts = collections.Counter(), collections.Counter(), collections.Counter()
+
+    def steps(t, at):
+        return [((t[at] >> (i + 1)) | (1 << (7 - i)), (t[at] >> i) & 1, i) for i in range(7, -1, -1)]
+
+    def passages(t):
+        marks = [i for i in range(48, len(t)) if int(bitlm.mix64(np.array([int.from_bytes(t[i - 8 : i][::-1], "little")], np.uint64))[0]) % bitlm.EVERY == 0]
+        return [(a, z, t[a - 24 : a], t[a:z]) for a, z in zip(marks, [*marks[1:], len(t)])]
+
+    for t, out in texts:
+        if not out:
+            for at in range(24, len(t)):
+                for node, bit, _ in steps(t, at):
+                    seen.update((t[at - o : at], node, bit) for o in bitlm.ORDERS)
+            pages.update((context, page) for _, _, context, page in passages(t))
+            contexts.update(context for _, _, context, _ in passages(t))
+    costs = []
+    for t, out in texts:
+        each = [0.0] * len(t)
+        for at in range(24, len(t)):
+            word = t[max(24, at - 5) : at].replace(b"\n", b" ").replace(b"\t", b" ").rpartition(b" ")[2]
+            for node, bit, i in steps(t, at):
+                n = [(seen[t[at - o : at], node, 0], seen[t[at - o : at], node, 1]) for o in bitlm.ORDERS]
+                longest = max((k + 1 for k, c in enumerate(n) if sum(c)), default=0)
+                total = sum(n[longest - 1]) if longest else 0
+                conf = (total > 0) + (total > 2) + (total > 12)
+                x = np.array([[math.log((c[1] + 0.4) / (c[0] + 0.4)) for c in n]])
+                p = mixer.predict(x, np.array([longest * bitlm.PLACES + len(word)]), np.array([conf]), i, np.array([node]))[0][0]
+                each[at] -= math.log2(p if bit else 1 - p)
+        cost = sum(each)
+        for a, z, context, page in passages(t):
+            c, total = pages[context, page] - (not out), contexts[context] - (not out)
+            if total > 0:
+                w, plain = weights[(total > 0) + (total > 1) + (total > 3) + (total > 15)], sum(each[a:z])
+                cost += -math.log2(w * c / total + (1 - w) * 2.0**-plain) - plain
+        costs.append(cost)
+    return costs
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bitlm, "SHARE", 2500)
+    monkeypatch.setattr(bitlm, "ASK_BYTES", 2500)
+    kept = {}
+    train, memory_weights = bitlm.train, bitlm.memory_weights
+    monkeypatch.setattr(bitlm, "train", lambda asked: kept.setdefault("model", train(asked)))
+    monkeypatch.setattr(bitlm, "memory_weights", lambda known: kept.setdefault("weights", memory_weights(known)))
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 7))) for _ in range(40)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n)) + rnd.choice(["", ".\n", "\tZ"])
+    shared = text(30)
+    texts = [text(rnd.randint(0, 60)) for _ in range(24)] + [text(5) + shared + text(5) for _ in range(6)]
+    texts += [texts[3], texts[5], "", shared, shared]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in bitlm.score_documents(df).collect()}
+    want = brute_bits([(t, rows[i]["held_out"]) for i, t in enumerate(texts)], kept["model"], kept["weights"])
+    for i, bits in enumerate(want):
+        assert abs(rows[i]["score"] + bits * math.log10(2)) < 1e-3 + 1e-5 * bits, i
+
+
+def test_repeated_texts_score_apart_from_single_ones(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(3000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(120)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:10])), "doc_id long, text string")
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in bitlm.score_documents(df).collect()}
+    twice = {i for i in range(10) if zlib.crc32(str(60 + i).encode()) % 7 != 2}  # the copy is a training text
+    assert max(bits[i] for i in twice) < 0.7 * min(bits[i] for i in range(10, 60))
 
 
 def test_window_counts_are_exact():
