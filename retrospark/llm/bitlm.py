@@ -43,6 +43,7 @@ model predicts every bit with 1/2; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import pickle
 import zlib
 from collections import Counter
@@ -124,9 +125,8 @@ def _passages(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     for j in range(0, MEMORY, MARK):
         key = mix64(key + packed[first - j] + one)
     # polynomial hash modulo 2^64 of scrambled bytes, by differences of running sums
-    power = np.cumprod(np.concatenate([[one], np.full(len(code), _BASE)]))
-    running = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[byte.astype(np.int64)] * power[:-1])])
-    back = np.cumprod(np.concatenate([[one], np.full(len(code), _INVERSE)]))
+    power, back = _powers()
+    running = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[byte.astype(np.int64)] * power[: len(code)])])
     return first, last, key, mix64((running[last] - running[first]) * back[first] + (last - first).astype(np.uint64))
 
 
@@ -135,6 +135,13 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = mix64(np.arange(1, 257).astype(np.uint64))
 
 
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for a group of the largest size, made once per process."""
+    first = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate([first, np.full(2 * BLOCK, base)])) for base in (_BASE, _INVERSE))
+
+
 def _level(n: np.ndarray) -> np.ndarray:
     """Class of a context's occurrences: 0, 1, 2-3, 4-15, more."""
     return (n > 0).astype(np.int64) + (n > 1) + (n > 3) + (n > 15)
