@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .codes import q
@@ -37,13 +39,12 @@ def scalar_row(*aggs: DataFrame) -> DataFrame:
     return out
 
 
-def missing_summary(df: DataFrame) -> DataFrame:
-    """Per column: missing count and share, from a single aggregate over the table."""
-    cols = df.columns
-    agg = df.agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.count_if(q(c).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)],
-    )
+def missing_columns(df: DataFrame) -> list[Column]:
+    """Aggregates that :func:`missing_rows` needs."""
+    return [F.count(F.lit(1)).alias("__n"), *[F.count_if(q(c).isNull()).alias(f"__m{i}") for i, c in enumerate(df.columns)]]
+
+
+def missing_rows(row: DataFrame, columns: list[str]) -> DataFrame:
     structs = [
         F.struct(
             F.lit(i + 1).alias("ordinal"),
@@ -51,9 +52,29 @@ def missing_summary(df: DataFrame) -> DataFrame:
             F.col(f"__m{i}").cast("bigint").alias("missing_count"),
             F.when(F.col("__n") > 0, F.col(f"__m{i}") / F.col("__n")).otherwise(F.lit(0.0)).alias("missing_percent"),
         )
-        for i, c in enumerate(cols)
+        for i, c in enumerate(columns)
     ]
-    return agg.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+
+
+def missing_summary(df: DataFrame) -> DataFrame:
+    """Per column: missing count and share, from a single aggregate over the table."""
+    return missing_rows(df.agg(*missing_columns(df)), df.columns)
+
+
+def written_with_metrics(df: DataFrame, write: Callable[[DataFrame], DataFrame], metrics: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The table as ``write`` stores it and, as one row, aggregates of it that are taken during that write.
+
+    The metrics sit on top of the plan, in the stage that writes: a task that is repeated counts once.  Where
+    the optimiser leaves no plan to observe (an empty table) they are aggregated from the stored table.
+    """
+    schema = df.agg(*metrics).schema
+    seen = Observation()
+    stored = write(df.observe(seen, *metrics))
+    found = seen.get
+    if len(found) != len(schema.names):
+        return stored, stored.agg(*metrics)
+    return stored, df.sparkSession.createDataFrame([tuple(found[c] for c in schema.names)], schema)
 
 
 def long_values(df: DataFrame, columns: list[str], value_type: str = "string") -> DataFrame:

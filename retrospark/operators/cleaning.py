@@ -7,6 +7,8 @@ shuffle).  Every report is one global aggregate over the table, reshaped to rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from ..config import (
 )
 from ..functions.codes import code_match, normalized_codes, q
 from ..functions.dates import to_timestamp_safe
-from ..functions.profile import first_k_per_group, missing_summary, scalar_row
+from ..functions.profile import first_k_per_group, missing_columns, missing_rows, missing_summary, scalar_row, written_with_metrics
 
 CODE_COLUMNS = ["principal_diagnosis", "comorbidity_diagnosis"]
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
@@ -266,60 +268,87 @@ def cleaned_missing_summary(df: DataFrame) -> DataFrame:
     return missing_summary(df)
 
 
-def no_post_reference(df: DataFrame, schema: CleanSchema = CleanSchema()) -> DataFrame:
-    """CLN10: one row: true / false, or null when no (date, reference) pair exists."""
-    if schema.date not in df.columns or schema.reference_date not in df.columns:
+def _dated(df: DataFrame, schema: CleanSchema) -> bool:
+    return schema.date in df.columns and schema.reference_date in df.columns
+
+
+def date_columns(df: DataFrame, schema: CleanSchema = CleanSchema()) -> list[Column]:
+    """Aggregates of CLN10 and CLN13 (none where a date column is missing)."""
+    if not _dated(df, schema):
+        return []
+    d, r = q(schema.date), q(schema.reference_date)
+    valid = d.isNotNull() & r.isNotNull()
+    return [
+        F.bool_and(F.when(valid, d <= r)).alias("no_post_reference_records"),
+        F.count_if(valid & (d > r)).alias("post"),
+        F.count_if(valid).alias("pairs"),
+    ]
+
+
+def no_post_reference(df: DataFrame, schema: CleanSchema = CleanSchema(), row: DataFrame | None = None) -> DataFrame:
+    """CLN10: one row: true / false, or null when no (date, reference) pair exists (``row``: known aggregates)."""
+    if not _dated(df, schema):
         return df.sparkSession.createDataFrame([(None,)], "no_post_reference_records boolean")
-    valid = q(schema.date).isNotNull() & q(schema.reference_date).isNotNull()
-    return df.agg(F.bool_and(F.when(valid, q(schema.date) <= q(schema.reference_date))).alias("no_post_reference_records"))
+    row = df.agg(*date_columns(df, schema)) if row is None else row
+    return row.select("no_post_reference_records")
+
+
+def required_columns(df: DataFrame, required: list[str] = REQUIRED_OUTPUT_COLUMNS) -> list[Column]:
+    """Aggregates of CLN11."""
+    present = [c for c in required if c in df.columns]
+    return [F.count(F.lit(1)).alias("__rows"), *[F.count(q(c)).alias(f"__r{i}") for i, c in enumerate(present)]]
 
 
-def required_column_report(df: DataFrame, required: list[str] = REQUIRED_OUTPUT_COLUMNS) -> DataFrame:
-    """CLN11: required output columns present, with non-null counts (one aggregate)."""
+def required_column_report(df: DataFrame, required: list[str] = REQUIRED_OUTPUT_COLUMNS, row: DataFrame | None = None) -> DataFrame:
+    """CLN11: required output columns present, with non-null counts (one aggregate, or ``row``)."""
     present = [c for c in required if c in df.columns]
-    row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(present)], F.lit(0).alias("__z"))
+    row = df.agg(*required_columns(df, required)) if row is None else row
     structs = [
         F.struct(
             F.lit(i).alias("ordinal"),
             F.lit(c).alias("required_column"),
             F.lit("available" if c in present else "missing").alias("status"),
-            (F.col(f"n{present.index(c)}") if c in present else F.lit(0)).cast("bigint").alias("non_null_count"),
+            (F.col(f"__r{present.index(c)}") if c in present else F.lit(0)).cast("bigint").alias("non_null_count"),
         )
         for i, c in enumerate(required, start=1)
     ]
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def binary_validation_report(df: DataFrame, columns: list[str] = BINARY_COLUMNS) -> DataFrame:
-    """CLN12: after cleaning, binaries hold only 0/1/null."""
+def binary_columns(df: DataFrame, columns: list[str] = BINARY_COLUMNS) -> list[Column]:
+    """Aggregates of CLN12."""
+    present = [c for c in columns if c in df.columns]
+    return [
+        *[F.count_if(q(c).isNotNull() & ~_is_binary(c)).alias(f"__i{i}") for i, c in enumerate(present)],
+        *[F.count(q(c)).alias(f"__b{i}") for i, c in enumerate(present)],
+    ]
+
+
+def binary_validation_report(df: DataFrame, columns: list[str] = BINARY_COLUMNS, row: DataFrame | None = None) -> DataFrame:
+    """CLN12: after cleaning, binaries hold only 0/1/null (one aggregate, or ``row``)."""
     present = [c for c in columns if c in df.columns]
     if not present:
         return _small_df(df.sparkSession, [], "column string")
-    row = df.agg(
-        *[F.count_if(q(c).isNotNull() & ~_is_binary(c)).alias(f"i{i}") for i, c in enumerate(present)],
-        *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(present)],
-    )
+    row = df.agg(*binary_columns(df, columns)) if row is None else row
     structs = [
         F.struct(
             F.lit(c).alias("column"),
-            (F.col(f"i{i}") == 0).alias("valid_binary_or_missing"),
-            F.col(f"i{i}").alias("invalid_count_after_cleaning"),
-            F.col(f"n{i}").alias("non_null_after_cleaning"),
+            (F.col(f"__i{i}") == 0).alias("valid_binary_or_missing"),
+            F.col(f"__i{i}").alias("invalid_count_after_cleaning"),
+            F.col(f"__b{i}").alias("non_null_after_cleaning"),
         )
         for i, c in enumerate(present)
     ]
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def leakage_audit_report(df: DataFrame, schema: CleanSchema = CleanSchema()) -> DataFrame:
-    """CLN13: post-reference row count and parseable (date, reference) pairs."""
-    d, r = schema.date, schema.reference_date
-    if d not in df.columns or r not in df.columns:
+def leakage_audit_report(df: DataFrame, schema: CleanSchema = CleanSchema(), row: DataFrame | None = None) -> DataFrame:
+    """CLN13: post-reference row count and parseable (date, reference) pairs (one aggregate, or ``row``)."""
+    if not _dated(df, schema):
         return df.sparkSession.createDataFrame(
             [("no_post_reference_records", False, "visit_date or reference_date missing")], "check string, passed boolean, detail string"
         )
-    valid = q(d).isNotNull() & q(r).isNotNull()
-    row = df.agg(F.count_if(valid & (q(d) > q(r))).alias("post"), F.count_if(valid).alias("pairs"))
+    row = df.agg(*date_columns(df, schema)) if row is None else row
     structs = [
         F.struct(F.lit("no_post_reference_records").alias("check"), (F.col("post") == 0).alias("passed"),
                  F.concat(F.lit("post_reference_records="), F.col("post").cast("string")).alias("detail")),
@@ -389,8 +418,14 @@ def clean_records(long: DataFrame, schema: CleanSchema = CleanSchema()) -> DataF
     return range_nulling(binary_nulling(with_normalized_codes(df)))
 
 
-def run_data_cleaning(long: DataFrame, schema: CleanSchema = CleanSchema()) -> dict[str, DataFrame]:
-    """CLN16: rename -> de-identify -> coerce -> dedupe -> codes -> binaries -> ranges (all lazy)."""
+def run_data_cleaning(
+    long: DataFrame, schema: CleanSchema = CleanSchema(), write: Callable[[DataFrame], DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """CLN16: rename -> de-identify -> coerce -> dedupe -> codes -> binaries -> ranges.
+
+    All lazy; with ``write``, which stores the cleaned table and gives it back, the reports on that table
+    (CLN9 to CLN13) come from metrics taken during the write, without a scan of their own.
+    """
     df, column_report = standardize_columns(long)
     df, deid_report = deidentify(df, schema.quasi_identifiers, schema.drop_quasi_identifiers)
     df = coerce_types(df)
@@ -398,9 +433,13 @@ def run_data_cleaning(long: DataFrame, schema: CleanSchema = CleanSchema()) -> d
     df, code_report = normalize_codes(df)
     df, binary_report = apply_binary_encoding(df)
     df, range_summary, range_log = apply_range_checks(df, schema)
-    required = required_column_report(df)
-    binval = binary_validation_report(df)
-    leakage = leakage_audit_report(df, schema)
+    row = None
+    if write is not None:
+        metrics = [*missing_columns(df), *required_columns(df), *binary_columns(df), *date_columns(df, schema)]
+        df, row = written_with_metrics(df, write, metrics)
+    required = required_column_report(df, row=row)
+    binval = binary_validation_report(df, row=row)
+    leakage = leakage_audit_report(df, schema, row)
     return {
         "cleaned_pre_reference_records": df,
         "column_standardization_report": column_report,
@@ -410,11 +449,11 @@ def run_data_cleaning(long: DataFrame, schema: CleanSchema = CleanSchema()) -> d
         "binary_encoding_report": binary_report,
         "range_check_summary": range_summary,
         "range_change_log": range_log,
-        "missing_summary_after_cleaning": cleaned_missing_summary(df),
+        "missing_summary_after_cleaning": cleaned_missing_summary(df) if row is None else missing_rows(row, df.columns),
         "required_column_report": required,
         "binary_validation_report": binval,
         "leakage_audit_report": leakage,
-        "no_post_reference": no_post_reference(df, schema),
+        "no_post_reference": no_post_reference(df, schema, row),
         "cleaning_log": unified_cleaning_log(range_log, duplicate_report),
         "cleaning_acceptance_checks": cleaning_acceptance(df, required, binval, range_summary, range_log, code_report, leakage),
     }

@@ -1283,7 +1283,7 @@ register(
     O.with_base('SELECT count(DISTINCT source_record_id) AS pre_reference_source_records, count(DISTINCT source_record_id) FILTER (WHERE "window" IS NOT NULL) AS window_source_records, count(*) AS long_rows FROM long'),
 )(lambda s, sf: core2(s, sf)[4].agg(
     C.source_record_count(core2(s, sf)[4]).alias("pre_reference_source_records"),
-    F.count_distinct(F.when(F.col("window").isNotNull(), F.col("source_record_id"))).alias("window_source_records"),
+    C.source_record_count(core2(s, sf)[4], F.col("window").isNotNull()).alias("window_source_records"),
     F.count(F.lit(1)).alias("long_rows")))
 
 register("cln9_missing_after_cleaning", _missing_by_var_sql())(

@@ -164,9 +164,8 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: PipelineConfig = Pipe
         return C.run_target_cohort(raw, cohort_cfg, prepared=prepared)
 
     def cleaning() -> dict[str, DataFrame]:
-        made = CL.run_data_cleaning(st2["pre_reference_records_with_windows"], cfg.clean)
         path = dirs and f"{dirs['data_cleaning_output']}/cleaned_pre_reference_records"
-        return {**made, "cleaned_pre_reference_records": _cut(made["cleaned_pre_reference_records"], path, spark)}
+        return CL.run_data_cleaning(st2["pre_reference_records_with_windows"], cfg.clean, write=lambda df: _cut(df, path, spark))
 
     st1 = stage("01", lambda: AU.run_raw_data_audit(raw, cfg.raw))
     st2 = stage("02", cohort, skip=("prepared",))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,23 +42,45 @@ def read_context(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
-def input_manifest(spark: SparkSession, path_glob: str) -> DataFrame:
+def input_manifest(spark: SparkSession, path_glob: str, whole: int = 256 << 20, chunk: int = 8 << 20) -> DataFrame:
     """SRC7: one row per input file: path, name, suffix, size, modification time, SHA-256 of the bytes.
 
-    ``binaryFile`` holds a whole file in one cell: files of up to 2 GB, the work spreads over files.
+    Files of up to ``whole`` bytes are read by Spark and hashed in the JVM; larger ones never sit in a cell:
+    a task opens each through its file system (local, HDFS, S3, GCS) and hashes it in pieces of ``chunk`` bytes.
     """
     files = spark.read.format("binaryFile").load(path_glob)
+    facts = ["path", "length", "modificationTime"]
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(sha256=[_sha256(path, chunk) for path in pdf["path"]])
+
+    small = files.where(F.col("length") <= whole).select(*facts, F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select(*facts).mapInPandas(
+        hashed, "path string, length bigint, modificationTime timestamp, sha256 string"
+    )
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
+    return small.unionByName(large).select(
         "path",
         name.alias("file_name"),
         F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("suffix"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("modified_time"),
-        F.sha2(F.col("content"), 256).alias("sha256"),
+        "sha256",
     )
 
 
+def _sha256(path: str, chunk: int) -> str:
+    """SHA-256 of a file's bytes, at most ``chunk`` of them in memory."""
+    scheme, _, rest = path.partition(":")
+    system, at = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(path)
+    digest = hashlib.sha256()
+    with system.open_input_stream(at, buffer_size=0) as stream:
+        while piece := stream.read(chunk):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """SNK1: overwrite a table (Parquet by default; CSV with header for hand-off)."""
     w = df.write.mode("overwrite")

@@ -45,6 +45,8 @@ def test_input_manifest(spark):
     data = open(f"{SF001}/nation.parquet", "rb").read()
     assert rows["nation.parquet"].sha256 == hashlib.sha256(data).hexdigest()
     assert rows["nation.parquet"].size_bytes == len(data)
+    pieces = {r.file_name: r for r in input_manifest(spark, f"{SF001}/[nr]*.parquet", whole=100, chunk=1000).collect()}
+    assert pieces["nation.parquet"] == rows["nation.parquet"] and len(pieces) == 2
 
 
 def test_pipeline_with_models(spark):
