@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# functions for executors go by value: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def optional_table(spark: SparkSession, path: str, schema_ddl: str, fmt: str = "parquet") -> DataFrame:
     """SRC3: the table at ``path`` or an empty table of ``schema_ddl`` when it does not exist."""
