@@ -456,6 +456,22 @@ def test_repeated_texts_score_apart_from_single_ones(spark):
     assert max(bits[i] for i in twice) < 0.7 * min(bits[i] for i in range(10, 60))
 
 
+def test_words_are_counted_by_arrow(spark):
+    texts = ["  A\x0bb\x0cC\rd e\u0130 \x85x\x1cy", "", None, "\t\n", "Ab ab\nAB", "\x00 a"]
+    counts = bitlm.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = collections.Counter(w for t in texts for w in (t or "").encode().lower().split())
+    assert {bytes(r["word"]): r["c"] for r in counts.collect()} == dict(want)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan  # no Python object per word
+
+
+def test_windows_are_the_bytes_before_each_target():
+    texts = [b"", b"ab", b"", b"hello, world", b""]
+    code, starts = bitlm._codes(texts)
+    want = [int.from_bytes((bytes(5) + t + b"\xff")[i : i + 6], "little") for t in texts for i in range(len(t) + 1)]
+    assert code.tolist() == want and starts.tolist() == [0, 1, 4, 5, 18]
+
+
 def test_window_counts_are_exact():
     texts = [np.random.default_rng(i).integers(0, 256, 120_000, np.uint8).tobytes() for i in range(4)] + [b"ab" * 200_000]
     code, n = bitlm._merged(*(np.concatenate(c) for c in zip(*(np.unique(c, return_counts=True) for _, c, _ in bitlm._groups(texts)), strict=True)))
