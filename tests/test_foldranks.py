@@ -89,3 +89,17 @@ def test_column_statistics_without_one_row_agree(spark, n):
     for r in FF.loo_statistics(folded, feats).collect():
         got = FF._without(values[r["train_fold"]], arrays)
         assert np.allclose([x[0][feats.index(r["feature"])] for x in got], [r["median"], r["mean"], r["scale"]], rtol=1e-12, atol=1e-12)
+
+
+def test_boundaries_are_one_constant_for_all_columns(spark, monkeypatch):
+    """The 1023 boundaries are no expressions of their own in each column's aggregate."""
+    from retrospark.operators import foldranks as FR
+
+    made = []
+    lit = FR.F.lit
+    monkeypatch.setattr(FR.F, "percentile_approx", lambda c, at, n, f=FR.F.percentile_approx: made.append(at) or f(c, at, n))
+    df = spark.range(3000).select(lit(0).alias("fold"), FR.F.col("id").cast("double").alias("a"), (FR.F.col("id") % 7).cast("double").alias("b"))
+    a, b = FR._edges(df, ["a", "b"])
+    assert len(made) == 2 and made[0] is made[1] and not isinstance(made[0], list)
+    listed = df.agg(*[FR.F.expr(f"percentile_approx({c}, array({', '.join(repr(i / FR.EDGES) + 'D' for i in range(1, FR.EDGES))}), 10000)") for c in "ab"]).first()
+    assert a.tolist() == sorted(set(listed[0])) and b.tolist() == sorted(set(listed[1]))
