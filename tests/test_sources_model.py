@@ -134,3 +134,21 @@ def test_feature_importance_runner(spark):
     out = SE.run_feature_importance({"extract_set_1": t}, cfg, k_grid=[5], n_grid=[2])
     assert out["best_choice_per_set"].count() == 1
     assert out["anova_feature_ranking"].count() == 35
+
+
+def test_p_values_of_all_sets_are_one_expression(spark, monkeypatch):
+    from retrospark.config import ModelConfig
+    from retrospark.operators import select as SE
+
+    cfg = ModelConfig(entity="patient_id", label="stroke")
+    rows = [(i, i % 3 == 0, float(i * i % 11), None if i % 5 == 0 else float(i % 4)) for i in range(40)]
+    one = spark.createDataFrame(rows, "patient_id int, stroke boolean, a double, b double").withColumn("stroke", F.col("stroke").cast("int"))
+    tables = {"one": one, "two": one.withColumn("a", F.col("a") + F.col("stroke"))}
+    want = sorted((n, r["feature"], r["rank"], r["f_score"], r["p_value"]) for n, t in tables.items() for r in SE.anova_ranking(t, cfg).collect())
+    made = []
+    best = spark.createDataFrame([], "feature_set string, method string, anova_k int, pca_n int, g_mean double")
+    monkeypatch.setattr(SE, "run_set_analysis", lambda *a: {"performance": best, "best": best, "skipped": best})
+    monkeypatch.setattr(SE, "f_pvalue", lambda *a, f=SE.f_pvalue: made.append(1) or f(*a))
+    ranking = SE.run_feature_importance(tables, cfg)["anova_feature_ranking"]
+    assert ranking.columns == ["feature", "f_score", "rank", "p_value", "feature_set"] and len(made) == 1
+    assert sorted((r["feature_set"], r["feature"], r["rank"], r["f_score"], r["p_value"]) for r in ranking.collect()) == want
