@@ -1,11 +1,12 @@
-"""SentencePiece BPE encoding and decoding by a prefix table.
+"""SentencePiece BPE encoding and decoding by compatible pairs of tokens.
 
 The BPE encoding of a string is the only sequence of tokens in which every neighbouring pair
 (a, b) is compatible, that is, BPE turns the string a + b into exactly [a, b].  So every prefix
-of a string has one last token.  :meth:`PieceTable.encode` fills a table with it: an automaton
-(Aho-Corasick) over the vocabulary gives the tokens that end at a position, and the one that is
-compatible with the last token of the prefix before it is stored.  The ids are then read off
-from the end backwards.  The work is linear in the text, also for one very long word.
+of a string has one last token.  :meth:`PieceTable.tokens` goes from place to place: a trie of the
+vocabulary gives the longest token that begins there, and the longest one that is compatible with
+the token before is taken.  Where none is, the place is marked and the token before gives way to a
+shorter one; a place has one last token, so no place is left behind twice and the work is linear
+in the text, also for one very long word.
 
 Characters outside the vocabulary become byte tokens.  Text is cut where no token can reach
 across (before a space that follows something else, around line breaks), and the results of the
@@ -38,6 +39,16 @@ MEMO_WORDS = 250_000
 MEMO_PAIRS = 300_000
 
 
+class _Words(dict):
+    """Encoded words; one that is missing is made."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str) -> str | tuple[str, str]:
+        return self.make(word)
+
+
 class PieceTable:
     """Vocabulary of a SentencePiece BPE model: pieces in id order with scores and kinds."""
 
@@ -69,18 +80,30 @@ class PieceTable:
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) > 1:
-                self.automaton.add_word(p, (len(p), p))
-        self.automaton.make_automaton()
+                self.automaton.add_word(p, 0)
         multi = [p for p in self.ids if len(p) > 1]
+        self.most = max(map(len, multi), default=1)
+        # of every beginning of a token: the longest token that begins it, or its first character; of every token: the next shorter one
+        self.longest, self.shorter = {}, {}
+        for p in multi:
+            token = p[0]
+            for n in range(2, len(p) + 1):
+                if p[:n] in self.ids:
+                    self.shorter[p[:n]], token = token, p[:n]
+                self.longest[p[:n]] = token
+        self.texts = {p: str(i) for p, i in self.ids.items()}
         # no token goes on from something else into a space, and none holds a line break:
         self.cut_space = not any(SPACE in p.lstrip(SPACE) for p in multi)
         self.cut_line = not any("\n" in p for p in multi)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.wholes: dict[str, bool] = {}
-        self.words: dict[str, str | tuple[str, str]] = {}
-        self.older: dict[str, str | tuple[str, str]] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # by the token before
+        self.n_pairs = 0
+        self.forget()
         self._ready = True
 
+    def forget(self) -> None:
+        """Drop the tables of words."""
+        self.words, self.older = _Words(self._word), _Words(self._word)
+
     def _merge(self, text: str) -> list[str]:
         """BPE by its definition: join the best-scored neighbours, the leftmost first; for token pairs."""
         get, none, out = self.score.get, float("-inf"), list(text)
@@ -98,42 +121,47 @@ class PieceTable:
                 gains[at] = get(out[at] + out[at + 1], none)
         return out
 
-    def _whole(self, token: str) -> bool:
-        ok = self.wholes.get(token)
-        if ok is None:
-            ok = self.wholes[token] = len(token) == 1 or self._merge(token) == [token]
-        return ok
-
     def _fits(self, left: str, right: str) -> bool:
-        if len(self.pairs) >= MEMO_PAIRS:
+        """Whether BPE keeps the pair as it is (without a token before it: the token)."""
+        if self.n_pairs >= MEMO_PAIRS:
             self.pairs.clear()
-        ok = self.pairs[left, right] = self._merge(left + right) == [left, right]
+            self.n_pairs = 0
+        self.n_pairs += 1
+        ok = self.pairs.setdefault(left, {})[right] = self._merge(left + right) == ([left, right] if left else [right])
         return ok
 
     def tokens(self, text: str) -> list[str]:
-        """Tokens of an escaped text (spaces are U+2581) by the prefix table."""
+        """Tokens of an escaped text (spaces are U+2581): at each place the longest that fits, else a shorter one, else a step back."""
         self._prepare()
-        last: list[str | None] = [None] * (len(text) + 1)  # of each prefix; None: the character itself
-        pairs = self.pairs
-        for at, (size, token) in self.automaton.iter(text):
-            if last[at + 1] is None:
-                start = at + 1 - size
-                if start:
-                    left = last[start] or text[start - 1]
-                    ok = pairs.get((left, token))
-                    if ok is None:
-                        ok = self._fits(left, token)
-                else:
-                    ok = self._whole(token)
+        if not text:
+            return []
+        reach, longest, shorter, pairs, most, end = self.automaton.longest_prefix, self.longest, self.shorter, self.pairs, self.most, len(text)
+        out: list[str] = []
+        dead: set[int] = set()  # places that tokens reach but from which none leads to the end
+        at, left, row = 0, "", pairs.get("") or {}
+        n = reach(text[:most])
+        token = longest[text[:n]] if n > 1 else text[0]
+        while True:
+            if not token:  # none is left here
+                dead.add(at)
+                token = out.pop()
+                at -= len(token)
+                left = out[-1] if out else ""
+                row = pairs.get(left) or {}
+            elif not dead or at + len(token) not in dead:
+                ok = row.get(token)
+                if ok is None:
+                    ok = self._fits(left, token)
                 if ok:
-                    last[at + 1] = token
-        out, i = [], len(text)
-        while i:
-            token = last[i] or text[i - 1]
-            out.append(token)
-            i -= len(token)
-        out.reverse()
-        return out
+                    out.append(token)
+                    at += len(token)
+                    if at == end:
+                        return out
+                    left, row = token, pairs.get(token) or {}
+                    n = reach(text[at : at + most])
+                    token = longest[text[at : at + n]] if n > 1 else text[at]
+                    continue
+            token = shorter.get(token, "")
 
     def _ids_of(self, token: str) -> list[int]:
         got = self.ids.get(token)
@@ -145,16 +173,20 @@ class PieceTable:
 
     def _word(self, word: str) -> str | tuple[str, str]:
         """Ids joined by commas of a piece that no token leaves; with the decoded text where it isn't the piece itself."""
-        out = self.older.get(word)
+        out = self.words.get(word) or self.older.get(word)
         if out is None:
-            ids = [i for t in self.tokens(word) for i in self._ids_of(t)]
-            text = self._text_of(ids)
-            out = ",".join(map(str, ids))
-            if text != word.replace(SPACE, " "):
-                out = (out, text)
+            tokens = self.tokens(word)
+            try:
+                out = ",".join([self.texts[t] for t in tokens])  # all from the vocabulary: they decode to the word
+            except KeyError:
+                ids = [i for t in tokens for i in self._ids_of(t)]
+                text = self._text_of(ids)
+                out = ",".join(map(str, ids))
+                if text != word.replace(SPACE, " "):
+                    out = (out, text)
         if len(word) <= 64:
             if len(self.words) >= MEMO_WORDS:
-                self.older, self.words = self.words, {}
+                self.older, self.words = self.words, _Words(self._word)
             self.words[word] = out
         return out
 
@@ -165,15 +197,11 @@ class PieceTable:
             return "", ""
         escaped = SPACE + text.replace(" ", SPACE)
         words = _CUTS.findall(escaped) if self.cut_space and self.cut_line else [escaped]
-        found = list(map(self.words.get, words))
-        odd = False
-        for i, f in enumerate(found):
-            if f is None:
-                f = found[i] = self._word(words[i])
-            if f.__class__ is tuple:
-                odd = True
-        if not odd:
+        found = list(map(self.words.__getitem__, words))
+        try:
             return ",".join(found), escaped.replace(SPACE, " ")
+        except TypeError:  # words that decode to something else
+            pass
         texts = [f[1] if f.__class__ is tuple else w.replace(SPACE, " ") for f, w in zip(found, words, strict=True)]
         return ",".join([f[0] if f.__class__ is tuple else f for f in found]), "".join(texts)
 
@@ -254,6 +282,6 @@ def encode_documents(docs: DataFrame, table: PieceTable, keep: tuple[str, ...] =
                 each = [t.encode(x) for x in texts]
                 out += [pa.array(each, pa.list_(pa.int32())), pa.array([t.decode(i) for i in each], pa.string())]
             yield pa.RecordBatch.from_arrays(out, names)
-        t.words, t.older = {}, {}  # the table of pairs stays for the next task
+        t.forget()  # the table of pairs stays for the next task
 
     return rows.mapInArrow(tidy(run), schema)

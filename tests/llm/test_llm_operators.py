@@ -188,6 +188,20 @@ def test_encoding_equals_the_library(model, texts):
         assert table.decode(ids) == sp.decode(ids)
 
 
+def test_a_word_is_made_once_and_long_words_equal_the_library(model, monkeypatch):
+    table, sp = model
+    assert table.encode("warm") == sp.encode("warm")
+    made, tokens = [], table.tokens
+    monkeypatch.setattr(table, "tokens", lambda word: made.append(word) or tokens(word))
+    assert table.encode("qzxqv qzxqv qzxqv\nqzxqv") == sp.encode("qzxqv qzxqv qzxqv\nqzxqv")
+    assert made.count("▁qzxqv") == made.count("qzxqv") == 1
+    rnd = random.Random(4)
+    for _ in range(1500):  # many pairs that don't fit: shorter tokens and steps back
+        word = "".join(rnd.choice("aeinorsttthélß.,'-(\"1") for _ in range(rnd.randint(1, 60)))
+        assert table.encode(word) == sp.encode(word)
+    assert table.encode("thention" * 20_000) == sp.encode("thention" * 20_000)
+
+
 def test_decoding_any_ids_equals_the_library(model):
     table, sp = model
     rnd = random.Random(2)
