@@ -44,7 +44,7 @@ def _clean(col: Column) -> Column:
         col = F.replace(col, F.lit(entity), F.lit(char))
     col = F.regexp_replace(col, r"[ \t\r\f\x0B]+", " ")
     col = F.regexp_replace(col, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(col, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(col, F.lit(" \n"))
 
 
 def plain_text(html: Column) -> Column:

@@ -165,6 +165,12 @@ def test_written_warc_files_read_back(spark, tmp_path):
     assert {s[1] for s in seen} == {f"<{r[0]}>".encode() for r in ids}
 
 
+def test_ends_are_trimmed_before_the_end_only(spark):
+    rows = [("  \n a  b \t\n \n c &nbsp;\n ", "a b\nc"), (" x \u2028 ", "x \u2028"), (" x \u2028", "x \u2028"), ("\n \n", ""), ("", ""), (None, None)]
+    made = spark.createDataFrame(rows, "h string, want string").withColumn("got", warc.plain_text(F.col("h")))
+    assert all(r["got"] == r["want"] for r in made.collect())
+
+
 # ---- op6
 
 
