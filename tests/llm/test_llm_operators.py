@@ -530,3 +530,21 @@ def test_every_training_text_has_a_part_in_the_mixer(spark, monkeypatch):
     for i in (0, 300, len(docs) - 1):  # no text is without effect
         other = fitted([(d, "zyxw " * 20 if k == i else t) for k, (d, t) in enumerate(docs)])
         assert not np.allclose(other["mixer"]["weights"], model["mixer"]["weights"], atol=1e-9)
+
+
+def test_windows_are_looked_up_by_hash_and_passages_take_few_bytes():
+    rnd = np.random.default_rng(3)
+    for n in (1, 7, 5000):
+        known = np.unique(rnd.integers(0, 1 << 48, n, dtype=np.uint64))
+        rnd.shuffle(known)
+        cost = rnd.random(len(known)).astype(np.float32)
+        of = bitlm._lookup(known, cost)
+        at = rnd.integers(0, len(known), 4 * n)
+        assert (of(known[at]) == cost[at]).all() and (of(known) == cost).all()
+    texts = [bytes(rnd.integers(97, 123, 5000).astype(np.uint8)) for _ in range(80)]
+    _, _, key, passage = (np.concatenate(c) for c in zip(*(bitlm._passages(code, starts) for _, code, starts in bitlm._groups(texts)), strict=True))
+    one = np.ones(len(key), np.int64)
+    kept = bitlm._memories([(key, passage, one, one - 1)])
+    blob = bitlm._planes(*kept)
+    assert len(key) > 8000 and len(blob) < 13 * len(key)
+    assert all((a == b).all() for a, b in zip(bitlm._from_planes(blob, "<u8", "<u8", "<i8", "<i8"), kept, strict=True))
