@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from retrospark.config import CohortConfig, RawSchema
 from retrospark.operators import cohort as C
+from retrospark.operators import explore as EX
 
 
 def _subtrees(plan: str, node: str) -> set[str]:
@@ -36,3 +37,14 @@ def test_reports_share_one_exchange_of_the_records(spark):
     plain = C.prepare_records(visits, cfg)
     cohort, _, long = C.build_windowed_records(plain, cfg)
     assert sorted(map(tuple, C.reference_date_audit(plain, cohort, long, cfg).collect())) == sorted(map(tuple, audit.collect()))
+
+
+def test_visit_distribution_reads_the_entities_once(spark):
+    freq = spark.range(100).selectExpr("id % 17 AS p").groupBy("p").agg(F.count(F.lit(1)).alias("visit_count"))
+    out = EX.visit_distribution(freq)
+    assert "Range (" not in out._jdf.queryExecution().executedPlan().toString()  # only the kept counts
+    assert out.first().asDict() == {"patients": 17, "mean_visits": 100 / 17, "median_visits": 6.0, "min_visits": 5, "max_visits": 6, "p25_visits": 6.0, "p75_visits": 6.0}
+    empty = EX.visit_distribution(freq.where("p < 0")).first().asDict()
+    assert set(empty.values()) == {0} and len(empty) == 7
+    missing = EX.visit_distribution(freq.select(F.when(F.col("p") > 0, F.col("visit_count")).alias("visit_count"))).first()
+    assert (missing.patients, missing.max_visits) == (17, 6)
