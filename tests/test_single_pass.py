@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from retrospark.config import CohortConfig, RawSchema
+from retrospark.functions.profile import exact_quantiles
 from retrospark.operators import cohort as C
 from retrospark.operators import explore as EX
 
@@ -48,3 +49,14 @@ def test_visit_distribution_reads_the_entities_once(spark):
     assert set(empty.values()) == {0} and len(empty) == 7
     missing = EX.visit_distribution(freq.select(F.when(F.col("p") > 0, F.col("visit_count")).alias("visit_count"))).first()
     assert (missing.patients, missing.max_visits) == (17, 6)
+
+
+def test_quantiles_shuffle_the_values_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = exact_quantiles(spark.range(1000).selectExpr("id % 3 AS g", "cast(id AS double) AS v"), ["g"], "v", [0.5], buckets=4)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") <= 2  # asked ranks with their buckets, quantiles with moments: no values
+    assert [r.q0 for r in out.orderBy("g").collect()] == [499.5, 499.0, 500.0]
