@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from retrospark.config import CohortConfig, RawSchema
 from retrospark.functions.profile import exact_quantiles
 from retrospark.operators import cohort as C
+from retrospark.operators import evaluate as EV
 from retrospark.operators import explore as EX
 
 
@@ -60,3 +61,21 @@ def test_quantiles_shuffle_the_values_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("SortMergeJoin") <= 2  # asked ranks with their buckets, quantiles with moments: no values
     assert [r.q0 for r in out.orderBy("g").collect()] == [499.5, 499.0, 500.0]
+
+
+def test_ranks_are_cut_by_one_set_of_boundaries(spark):
+    preds = spark.range(60_000, numPartitions=16).selectExpr(
+        "id AS patient_id", "'m' AS model_name", "cast(xxhash64(id) % 2 = 0 AS int) AS y_true", "0 AS y_pred", "(xxhash64(id, 7) % 1000003) / 1000003D AS y_prob")
+    ranked = EV.cumulative_below(EV.score_table(preds), ["model_name"])
+    # approximate boundaries made twice may differ: counts below a score would then be wrong, and its precision a division by zero
+    assert "percentile_approx" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert ranked.where("pos_below < 0 OR neg_below < 0").count() == 0
+    rows = sorted(map(tuple, ranked.select("score", "pos", "neg", "pos_below", "neg_below").collect()))
+    pos = neg = 0
+    for _, p, n, pos_below, neg_below in rows:
+        assert (pos, neg) == (pos_below, neg_below)
+        pos, neg = pos + p, neg + n
+    values = preds.select("model_name", "y_prob")
+    out = exact_quantiles(values, ["model_name"], "y_prob", [0.5], buckets=64)
+    assert "percentile_approx" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().q0 == values.agg(F.percentile("y_prob", 0.5)).first()[0]
