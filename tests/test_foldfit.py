@@ -217,3 +217,30 @@ def test_metrics_of_the_grid_are_finite(spark):
     res = SE.run_set_analysis(frame(spark, x, y).drop("gone"), "s", CFG, k_grid=[3], n_grid=[2])
     assert all(0 <= r["g_mean"] <= 1 for r in res["performance"].collect())
     assert EV.metrics_table(res["predictions"]).count() == 3
+
+
+def test_registered_run_has_the_whole_grid(spark, monkeypatch):
+    from retrospark.config import ANOVA_K_GRID, FEATURE_TARGET_COUNTS, PCA_N_GRID
+    from retrospark.plans import catalog as K
+    from retrospark.plans import pipeline as P
+
+    monkeypatch.setattr(K, "_memo", lambda kind, s, sf, build: build())
+    monkeypatch.setattr(K, "fixture_visits", lambda s, sf: None)
+    monkeypatch.setattr(P, "run_pipeline", lambda s, raw, cfg: cfg)
+    cfg = K._full_run(spark, "")
+    assert (list(cfg.anova_k), list(cfg.pca_n), cfg.importance, cfg.skip_modeling) == (ANOVA_K_GRID, PCA_N_GRID, True, False)
+    made = []
+    for n in FEATURE_TARGET_COUNTS.values():
+        rng = np.random.default_rng(n)
+        units = FF.Units(tuple(f"f{i:03d}" for i in range(n)), np.zeros(n), np.ones(n))
+        u = units.u(rng.normal(size=(200, n)))
+        y = np.arange(200) % 2
+        grams = np.array([[u[(np.arange(200) // 100 == f) & (y == c)].T @ u[(np.arange(200) // 100 == f) & (y == c)] for c in (0, 1)] for f in (0, 1)])
+        trains = FF.training_sets(grams, np.zeros((2, n)), units)
+        models = SE.candidate_models("s", units, trains, SE.sanitize_candidates(n, ANOVA_K_GRID), SE.sanitize_candidates(n, PCA_N_GRID))
+        made.append(len(models) // 2)
+        assert made[-1] == K._candidates(n)
+        # models of a fold whose columns are the same and whose directions are prefixes share their products with the rows
+        sets = FF._nested(models, {i: m.coef for i, m in enumerate(models)})
+        assert [len(s[2]) for s in sets] == [1 + 2 * sum(k <= n for k in ANOVA_K_GRID)] * 2 and sum(len(x[2]) for s in sets for x in s[2]) == len(models)
+    assert f"candidates={sum(made)}" in K.ORACLES["val7_leakage_evidence"]
